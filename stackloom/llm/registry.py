@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.llm import language_id, mixing, pii, quality, url_filter, warc
+from stackloom.llm import decontaminate, fingerprints, jaccard_join, language_id, license_scan, mixing, pii, quality, url_filter, warc
 from stackloom.runtime import ship
 
 
@@ -20,11 +20,15 @@ def _over(f: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": _over(language_id.identify, "documents"),
+    "op2_license_scan": _over(license_scan.scan, "documents"),
     "op3_source_mix": _over(lambda d: mixing.mix(d).drop("copies"), "documents"),
     "op4_warc": _over(warc.round_trip, "pages"),
+    "op5_fingerprints": _over(fingerprints.fingerprint, "documents"),
     "op6_url_filter": _over(url_filter.judge, "pages"),
+    "op7_jaccard_join": _over(jaccard_join.join, "documents"),
     "op8_pii": _over(pii.scan, "documents"),
+    "op9_decontamination": _over(decontaminate.leaks, "documents", "benchmark"),
     "op10_quality": _over(quality.classify, "documents", "labels"),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.scan_sql()}
