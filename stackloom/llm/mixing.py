@@ -117,9 +117,9 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, seed: int = SEED
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with how often (``copies``) and the words that makes (``taken``).
 
-    The texts are joined once, by id; rows that share an id all get the largest copies among them.
+    The texts are joined once, by id, and move only if there are too many ids to broadcast; rows that share an id all get the largest copies among them.
     """
     made = mix(docs)
     one = made.groupBy(F.col("doc_id").alias("doc_id_")).agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken", "copies"))).where("copies > 0")
     clash = [c for c in one.columns if c in docs.columns]
-    return docs.drop(*clash).join(one, F.col("doc_id").eqNullSafe(F.col("doc_id_"))).drop("doc_id_")
+    return docs.drop(*clash).join(small(keep(one)), F.col("doc_id").eqNullSafe(F.col("doc_id_"))).drop("doc_id_")
