@@ -1,4 +1,451 @@
-"""Catalogue of queries by name, with their SQL."""
+"""Catalogue of queries by name over the driver's tables, each with DuckDB SQL of the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``embeddings`` stand for an image stack: the label is the plane, the order of ids the frame, the 64 values an image of
+8 x 8. Other tables stand for records; what stands for what is said at each query. Integers are long, and doubles are
+rounded to six digits on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stackloom.functions import scalar, stats
+from stackloom.operators import features, gates, provenance, recon, register, volume
+from stackloom.runtime import ship
+from stackloom.sources import io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+Q = Callable[["Tables"], DataFrame]
+WIDTH = 8
+
+
+class Tables:
+    """The tables of a folder by name, and the stack of ``embeddings``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+
+    def frames(self) -> DataFrame:
+        return io.rectangular(self.embeddings, "label", "vec_id", "embedding")
+
+    def vox(self) -> DataFrame:
+        return recon.voxels(self.frames(), WIDTH)
+
+    def med(self) -> DataFrame:
+        return recon.median_volume(self.vox())
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    def one(name: str, kind: str) -> Column:
+        if kind in ("double", "float"):
+            return (F.round(F.col(name).cast("double"), 6) + F.lit(0.0)).alias(name)
+        return F.col(name).cast("long").alias(name) if kind in ("int", "smallint", "tinyint") else F.col(name)
+
+    return df.select(*(one(n, k) for n, k in df.dtypes))
+
+
+STACK = """fr AS (SELECT label::BIGINT AS plane, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS local_index FROM embeddings),
+nf AS (SELECT min(c) AS f FROM (SELECT count(*) AS c FROM embeddings GROUP BY label)),
+vox AS (SELECT plane, local_index, px // 8 AS y, px % 8 AS x, v FROM (SELECT plane, local_index, unnest(generate_series(0, 63)) AS px, unnest(embedding)::DOUBLE AS v FROM fr, nf WHERE local_index < f)),
+med AS (SELECT plane, y, x, median(v) AS v FROM vox GROUP BY ALL)"""
+# correlation by moments, so that constants give NaN
+CORR = "CASE WHEN stddev_pop({a}) > 1e-12 AND stddev_pop({b}) > 1e-12 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) ELSE 'NaN'::DOUBLE END"
+
+
+def query(name: str, sql: str | None, d: str = "", l: str = "", stack: bool = False, ctes: str = "") -> Callable[[Q], Q]:  # noqa: E741
+    """Registers a query; ``d`` and ``l`` name the SQL's doubles to round and its integers to widen."""
+
+    def put(f: Q) -> Q:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return tidy(f(Tables(spark, sf_dir)))
+
+        QUERIES[name] = run
+        if sql is not None:
+            casts = [f"round({c}, 6) + 0.0 AS {c}" for c in d.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in l.split()]
+            head = ", ".join(x for x in (STACK if stack else "", ctes) if x)
+            ORACLE_SQL[name] = (f"WITH {head} " if head else "") + f"SELECT *{f' REPLACE ({', '.join(casts)})' if casts else ''} FROM ({sql}) q_"
+        return f
+
+    return put
+
+
+# --- reconstruction and its quality control -------------------------------------------------------------------------
+
+FQ = f"""fs AS (SELECT v.plane, v.local_index, {CORR.format(a='v.v', b='m.v')} AS corr, avg(v.v) AS frame_mean FROM vox v JOIN med m USING (plane, y, x) GROUP BY 1, 2),
+fs2 AS (SELECT v.plane, v.local_index, {CORR.format(a='v.v', b='m.v')} AS corr FROM vox v JOIN med m USING (plane, y, x) WHERE v.y % 2 = 0 AND v.x % 2 = 0 GROUP BY 1, 2)"""
+
+
+def _bound(src: str, k: float) -> str:
+    return f"(SELECT plane, median(corr) - ({k}) * 1.4826 * mad(corr) AS threshold FROM {src} GROUP BY plane)"
+
+
+def _plane_qc_sql(src: str) -> str:
+    return f"""SELECT a.*, r.longest_run, i.median_mean, i.median_p99 FROM (
+      SELECT f.plane, count(*) AS frames, min(f.corr) AS corr_min, quantile_cont(f.corr, 0.05) AS corr_p05, median(f.corr) AS corr_median, quantile_cont(f.corr, 0.95) AS corr_p95,
+             first(t.threshold) AS threshold, count(*) FILTER (f.corr < t.threshold) AS low_frames, stddev_pop(g.frame_mean) / avg(g.frame_mean) AS frame_mean_cv
+      FROM {src} f JOIN {_bound(src, 1.0)} t USING (plane) JOIN fs g USING (plane, local_index) GROUP BY f.plane) a
+    JOIN (SELECT plane, coalesce(max(n) FILTER (low), 0) AS longest_run FROM (
+            SELECT plane, low, isl, count(*) AS n FROM (SELECT plane, low, row_number() OVER (PARTITION BY plane ORDER BY local_index) - row_number() OVER (PARTITION BY plane, low ORDER BY local_index) AS isl
+              FROM (SELECT f.plane, f.local_index, f.corr < t.threshold AS low FROM {src} f JOIN {_bound(src, 1.0)} t USING (plane))) GROUP BY ALL) GROUP BY plane) r USING (plane)
+    JOIN (SELECT plane, avg(v) AS median_mean, quantile_cont(v, 0.99) AS median_p99 FROM med GROUP BY plane) i USING (plane)"""
+
+
+PQ = dict(d="corr_min corr_p05 corr_median corr_p95 threshold frame_mean_cv median_mean median_p99", l="frames low_frames longest_run", stack=True, ctes=FQ)
+
+query("median_volume", "SELECT * FROM med", "v", "plane y x", True)(lambda t: t.med())
+query("mean_volume", "SELECT plane, y, x, avg(v) AS v FROM vox GROUP BY ALL", "v", "plane y x", True)(lambda t: recon.mean_volume(t.vox()))
+query("discard_mean", "SELECT plane, y, x, avg(v) AS v FROM vox WHERE local_index >= 3 GROUP BY ALL", "v", "plane y x", True)(lambda t: recon.mean_volume(t.vox(), 3))
+query("frame_qc", f"SELECT f.*, t.threshold, f.corr < t.threshold AS low FROM fs f JOIN {_bound('fs', 1.0)} t USING (plane)", "corr frame_mean threshold", "plane local_index", True, FQ)(lambda t: recon.frame_qc(t.vox(), 1.0))
+query("plane_qc", _plane_qc_sql("fs"), **PQ)(lambda t: recon.plane_qc(t.vox(), 1.0))
+query("plane_qc_strided", _plane_qc_sql("fs2"), **PQ)(lambda t: recon.plane_qc(t.vox(), 1.0, 2))
+
+
+def _kept_sql(k: float) -> str:
+    return f"""kept AS (SELECT plane, local_index FROM (SELECT *, row_number() OVER (PARTITION BY plane ORDER BY corr DESC, local_index DESC) AS rk, sum(ok::INT) OVER (PARTITION BY plane) AS n_ok, ceil(count(*) OVER (PARTITION BY plane) * 0.3) AS need
+      FROM (SELECT f.*, f.corr >= t.threshold AS ok FROM fs f JOIN {_bound('fs', k)} t USING (plane))) WHERE CASE WHEN n_ok < need THEN rk <= need ELSE ok END)"""
+
+
+MEAN_KEPT = "SELECT plane, y, x, avg(v) AS v FROM vox SEMI JOIN kept USING (plane, local_index) GROUP BY ALL"
+query("mad_filtered_mean", MEAN_KEPT, "v", "plane y x", True, FQ + ", " + _kept_sql(1.0))(lambda t: recon.filtered_mean(t.vox(), 1.0))
+query("keep_floor_topk", "SELECT * FROM kept", "", "plane local_index", True, FQ + ", " + _kept_sql(-3.0))(lambda t: recon.kept_frames(recon.frame_statistics(t.vox()), -3.0).where("keep").select("plane", "local_index"))
+query("robust_bounds", "SELECT user_id, median(value) AS centre, mad(value) AS mad, median(value) - 3 * 1.4826 * mad(value) AS lower, median(value) + 3 * 1.4826 * mad(value) AS upper FROM events GROUP BY user_id", "centre mad lower upper")(
+    lambda t: stats.robust_bounds(t.events, ["user_id"], "value", 3.0)
+)
+query("frame_mean_cv", "SELECT plane, stddev_pop(m) / avg(m) AS cv FROM (SELECT plane, local_index, avg(v) AS m FROM vox GROUP BY ALL) GROUP BY plane", "cv", "plane", True)(
+    lambda t: t.vox().groupBy("plane", "local_index").agg(F.avg("v").alias("m")).groupBy("plane").agg(stats.cv("m").alias("cv"))
+)
+query("early_late_means", "SELECT plane, y, x, avg(v) FILTER (local_index < 5) AS early, avg(v) FILTER (local_index >= f - 5) AS late FROM vox, nf GROUP BY ALL", "early late", "plane y x", True)(lambda t: recon.early_late(t.vox()))
+
+# --- volumes ---------------------------------------------------------------------------------------------------------
+
+PROJ = """proj AS (SELECT 'xy' AS name, y AS i, x AS j, avg(v) AS mean, max(v) AS max FROM med GROUP BY y, x UNION ALL SELECT 'xz', plane, x, avg(v), max(v) FROM med GROUP BY plane, x UNION ALL SELECT 'yz', plane, y, avg(v), max(v) FROM med GROUP BY plane, y)"""
+query("projections", "SELECT * FROM proj", "mean max", "i j", True, PROJ)(lambda t: volume.projections(t.med()))
+query("projection_summary", "SELECT name, kind, min(v) AS minimum, avg(v) AS mean, max(v) AS maximum FROM (SELECT name, 'mean' AS kind, mean AS v FROM proj UNION ALL SELECT name, 'max', max FROM proj) GROUP BY ALL", "minimum mean maximum", "", True, PROJ)(
+    lambda t: volume.projection_summary(t.med())
+)
+query("thin_slab_mip", "SELECT y, x, max(v) AS v FROM med WHERE plane BETWEEN 3 AND 7 GROUP BY ALL", "v", "y x", True)(lambda t: volume.slab_mip(t.med(), F.lit(5), 2))
+query(
+    "slab_panels",
+    "SELECT c.fraction, c.centre, m.y, m.x, max(m.v) AS v FROM med m JOIN (SELECT fr AS fraction, round_even(fr * (SELECT max(plane) FROM med), 0) AS centre FROM (VALUES (0.25::DOUBLE), (0.5), (0.75)) w(fr)) c ON m.plane BETWEEN c.centre - 1 AND c.centre + 1 GROUP BY ALL",
+    "fraction v", "centre y x", True,
+)(lambda t: volume.slab_panels(t.med(), [0.25, 0.5, 0.75], 1))
+LIM = "lim AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.998) AS hi FROM med)"
+UNIT = "greatest(0.0, least(1.0, (v - lo) / (hi - lo)))"
+query("display_gamma", f"SELECT plane, y, x, pow({UNIT}, 0.75) AS shown FROM med, lim", "shown", "plane y x", True, LIM)(lambda t: volume.display(t.med()).select("plane", "y", "x", "shown"))
+query("display_asinh", f"SELECT plane, y, x, asinh(3.0 * {UNIT}) / asinh(3.0) AS shown FROM med, lim", "shown", "plane y x", True, LIM)(lambda t: volume.display(t.med(), asinh=3.0).select("plane", "y", "x", "shown"))
+query("clip_fractions", "SELECT lo, hi, avg((v < lo)::INT) AS clipped_low, avg((v > hi)::INT) AS clipped_high, 1.0::DOUBLE AS finite FROM med, lim GROUP BY lo, hi", "lo hi clipped_low clipped_high", "", True, LIM)(lambda t: volume.clip_fractions(t.med(), 0.01, 0.998))
+
+
+def _lags(src: str, most: int) -> str:
+    return f"(SELECT a.plane AS plane_a, b.plane AS plane_b, b.plane - a.plane AS lag, {CORR.format(a='a.v', b='b.v')} AS corr FROM {src} a JOIN {src} b ON a.y = b.y AND a.x = b.x AND b.plane - a.plane BETWEEN 1 AND {most} GROUP BY ALL)"
+
+
+query("adjacent_correlation", f"SELECT * FROM {_lags('med', 1)}", "corr", "plane_a plane_b lag", True)(lambda t: volume.lag_correlation(t.med()))
+query("z_decay", f"SELECT lag, lag * 2.0::DOUBLE AS lag_um, count(*) AS pairs, avg(corr) AS mean, median(corr) AS median, quantile_cont(corr, 0.05) AS p05, quantile_cont(corr, 0.95) AS p95 FROM {_lags('med', 4)} GROUP BY lag", "lag_um mean median p05 p95", "lag pairs", True)(
+    lambda t: volume.z_decay(t.med(), 2.0, 4)
+)
+MET = "avg_ AS (SELECT plane, y, x, avg(v) AS v FROM vox GROUP BY ALL)"
+query(
+    "volume_metrics",
+    " UNION ALL ".join(f"SELECT (SELECT avg(v) FROM {s}) AS mean, (SELECT stddev_pop(v) FROM {s}) AS std, 1.0::DOUBLE AS finite, avg(corr) AS adjacent_mean, median(corr) AS adjacent_median, '{n}' AS method FROM {_lags(s, 1)}" for n, s in (("median", "med"), ("mean", "avg_"))),
+    "mean std adjacent_mean adjacent_median", "", True, MET,
+)(lambda t: volume.volume_metrics({"median": t.med(), "mean": recon.mean_volume(t.vox())}))
+query(
+    "tenengrad_by_plane",
+    """SELECT plane, avg(gy * gy + gx * gx) / var_pop(v) AS tenengrad FROM (SELECT plane, v,
+      CASE WHEN y = 0 THEN lead(v) OVER wy - v WHEN y = 7 THEN v - lag(v) OVER wy ELSE (lead(v) OVER wy - lag(v) OVER wy) / 2 END AS gy,
+      CASE WHEN x = 0 THEN lead(v) OVER wx - v WHEN x = 7 THEN v - lag(v) OVER wx ELSE (lead(v) OVER wx - lag(v) OVER wx) / 2 END AS gx
+      FROM med WINDOW wy AS (PARTITION BY plane, x ORDER BY y), wx AS (PARTITION BY plane, y ORDER BY x)) GROUP BY plane""",
+    "tenengrad", "plane", True,
+)(lambda t: stats.tenengrad(t.med(), ["plane"], "y", "x", "v"))
+SHOWN = LIM + f", sh AS (SELECT plane, y, x, pow({UNIT}, 0.75) AS s FROM med, lim), ps AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY y, x ORDER BY plane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM sh)"
+_shown = lambda t: volume.display(t.med()).select("plane", "y", "x", F.col("shown").alias("v"))
+query("attenuated_mip", "SELECT y, x, max(s * exp(-0.6 * f)) AS v FROM ps GROUP BY ALL", "v", "y x", True, SHOWN)(lambda t: volume.attenuated_mip(_shown(t), 0.6))
+query("alpha_composite", "SELECT y, x, sum(exp(-0.14 * f) * (1 - exp(-0.14 * s)) * s) AS v FROM ps GROUP BY ALL", "v", "y x", True, SHOWN)(lambda t: volume.alpha_composite(_shown(t), 0.14))
+STEPS = f"""st AS (SELECT plane_b AS plane, corr FROM {_lags('med', 1)}), im AS (SELECT plane, avg(v) AS m, median(v) AS h FROM med GROUP BY plane),
+sp AS (SELECT st.plane, st.corr, 20 * (b.m - a.m) AS dy, 20 * (b.h - a.h) AS dx FROM st JOIN im b ON b.plane = st.plane JOIN im a ON a.plane = st.plane - 1),
+ok AS (SELECT *, corr >= (SELECT median(corr) - 0.5 * 1.4826 * mad(corr) FROM sp) AND sqrt(dy * dy + dx * dx) <= 10 AS reliable FROM sp)"""
+
+
+def _steps(t: Tables) -> DataFrame:
+    """Differences of plane means and medians stand for the shifts of neighbouring planes."""
+    med = t.med()
+    image = med.groupBy("plane").agg(F.avg("v").alias("m"), F.median("v").alias("h"))
+    c = volume.lag_correlation(med).select(F.col("plane_b").alias("plane"), "corr")
+    before = image.select((F.col("plane") + 1).alias("plane"), F.col("m").alias("m0"), F.col("h").alias("h0"))
+    s = c.join(image, "plane").join(before, "plane")
+    return volume.cumulative_drift(s.select(F.lit(0).alias("stack"), "plane", "corr", (20 * (F.col("m") - F.col("m0"))).alias("dy"), (20 * (F.col("h") - F.col("h0"))).alias("dx")), 0.5)
+
+
+query("step_reliability", "SELECT plane, corr, dy, dx, reliable FROM ok", "corr dy dx", "plane", True, STEPS)(lambda t: _steps(t).select("plane", "corr", "dy", "dx", "reliable"))
+query("cumulative_drift", "SELECT plane, sum(CASE WHEN reliable THEN dy ELSE 0 END) OVER (ORDER BY plane) AS cum_dy, sum(CASE WHEN reliable THEN dx ELSE 0 END) OVER (ORDER BY plane) AS cum_dx FROM ok", "cum_dy cum_dx", "plane", True, STEPS)(
+    lambda t: _steps(t).select("plane", "cum_dy", "cum_dx")
+)
+MERGED = "mg AS (SELECT plane, y, x, avg(v) AS v, count(*) AS sources FROM (SELECT * FROM med WHERE plane <= 5 UNION ALL SELECT plane, y, x, v * 1.5 FROM med WHERE plane >= 5) GROUP BY ALL)"
+_merged = lambda t: volume.merge(t.med().where("plane <= 5"), t.med().where("plane >= 5").withColumn("v", F.col("v") * 1.5))
+query("merge_boundary", "SELECT * FROM mg", "v", "plane y x sources", True, MERGED)(_merged)
+query("combined_slice_stats", "SELECT plane, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.01) AS p01, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.99) AS p99, 1.0::DOUBLE AS finite FROM mg GROUP BY plane", "mean std p01 p50 p99", "plane", True, MERGED)(
+    lambda t: volume.slice_stats(_merged(t))
+)
+query(
+    "crop_support",
+    "SELECT plane, y, x, CASE WHEN v > 0.4 THEN v ELSE 'NaN'::DOUBLE END AS v FROM med, (SELECT min(y) AS ly, max(y) AS hy, min(x) AS lx, max(x) AS hx FROM med WHERE v > 0.4) WHERE y BETWEEN ly - 1 AND hy + 1 AND x BETWEEN lx - 1 AND hx + 1",
+    "v", "plane y x", True,
+)(lambda t: volume.crop_box(t.med(), 0.4, 1))
+query("cuboid_edges", "SELECT plane, y, x FROM med WHERE (plane < 1 OR plane > 8)::INT + (y < 1 OR y > 6)::INT + (x < 1 OR x > 6)::INT >= 2", "", "plane y x", True)(lambda t: volume.cuboid_edges(t.med(), 1))
+query(
+    "bilinear_shift",
+    """SELECT g.plane, g.y, g.x, CASE WHEN bool_or(m.v IS NULL AND w > 0) THEN 'NaN'::DOUBLE ELSE sum(coalesce(m.v * w, 0)) END AS v FROM (
+      SELECT plane, y, x, floor(y - 1.25)::BIGINT + a AS sy, floor(x + 0.5)::BIGINT + b AS sx, (CASE a WHEN 0 THEN 0.25 ELSE 0.75 END) * (CASE b WHEN 0 THEN 0.5 ELSE 0.5 END) AS w
+      FROM med, (VALUES (0), (1)) p(a), (VALUES (0), (1)) r(b)) g LEFT JOIN med m ON m.plane = g.plane AND m.y = g.sy AND m.x = g.sx GROUP BY ALL""",
+    "v", "plane y x", True,
+)(lambda t: volume.bilinear_shift(t.med(), 1.25, -0.5))
+query(
+    "trilinear_resample",
+    """SELECT i AS plane, j AS y, k AS x, sum(coalesce(m.v, 0) * wz * wy * wx) AS v FROM (
+      SELECT i, j, k, floor(i * 9 / 4.0)::BIGINT + a AS sz, floor(j * 7 / 4.0)::BIGINT + b AS sy, floor(k * 7 / 5.0)::BIGINT + c AS sx,
+        abs(1 - a - (i * 9 / 4.0 - floor(i * 9 / 4.0))) AS wz, abs(1 - b - (j * 7 / 4.0 - floor(j * 7 / 4.0))) AS wy, abs(1 - c - (k * 7 / 5.0 - floor(k * 7 / 5.0))) AS wx
+      FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j), (SELECT unnest(range(6)) AS k), (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b), (VALUES (0), (1)) r(c)) g
+      LEFT JOIN med m ON m.plane = sz AND m.y = sy AND m.x = sx GROUP BY ALL""",
+    "v", "plane y x", True,
+)(lambda t: volume.resample(t.med(), (5, 5, 6)))
+
+
+def _gauss_sql(name: str, src: str, sigma: float, radius: int) -> str:
+    def one(out: str, src: str, axis: str, top: int) -> str:
+        others = [c for c in ("plane", "y", "x") if c != axis]
+        return f"{out} AS (SELECT {', '.join('g.' + c for c in others)}, g.{axis}, sum(m.v * k.w) AS v FROM {src} g, (SELECT o, exp(-0.5 * (o / {sigma}) ** 2) / (SELECT sum(exp(-0.5 * (o / {sigma}) ** 2)) FROM (SELECT unnest(range(-{radius}, {radius + 1}))::DOUBLE AS o)) AS w FROM (SELECT unnest(range(-{radius}, {radius + 1}))::DOUBLE AS o)) k JOIN {src} m ON m.{axis} = least(greatest(g.{axis} + k.o, 0), {top}) AND {' AND '.join(f'm.{c} = g.{c}' for c in others)} GROUP BY g.plane, g.y, g.x)"
+
+    return ", ".join((one(f"{name}1", src, "plane", 9), one(f"{name}2", f"{name}1", "y", 7), one(name, f"{name}2", "x", 7)))
+
+
+query("gaussian_stencil", "SELECT plane, y, x, v FROM ga", "v", "plane y x", True, _gauss_sql("ga", "med", 1.2, 3))(lambda t: volume.gaussian(t.med(), 1.2, 3))
+query(
+    "bright_candidates",
+    """SELECT printf('candidate_%02d', row_number() OVER (ORDER BY f DESC, plane, y, x)) AS candidate_id, plane, y, x, f AS score FROM (SELECT * FROM ft a WHERE f >= (SELECT quantile_cont(f, 0.9) FROM ft) AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6
+      AND NOT EXISTS (SELECT 1 FROM ft b WHERE abs(b.plane - a.plane) <= 1 AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.f > a.f OR b.f = a.f AND (b.plane, b.y, b.x) < (a.plane, a.y, a.x))) ORDER BY f DESC, plane, y, x LIMIT 6)""",
+    "score", "plane y x", True, _gauss_sql("na", "med", 0.8, 2) + ", " + _gauss_sql("br", "med", 2.0, 4) + ", ft AS (SELECT na.plane, na.y, na.x, round(na.v - br.v, 9) AS f FROM na JOIN br USING (plane, y, x))",
+)(lambda t: volume.candidates(t.med(), 0.9, 6))
+
+# --- intensities: events stand for samples ---------------------------------------------------------------------------
+
+HIST = "h AS (SELECT user_id, floor(value)::BIGINT AS v, count(*) AS n FROM events GROUP BY ALL)"
+_samples = lambda t: t.events.select("user_id", F.floor("value").cast("long").alias("v"))
+query("saturation_histogram", "SELECT v, sum(n) AS n FROM h GROUP BY v", "", "v n", ctes=HIST)(lambda t: _samples(t).groupBy("v").agg(F.count("*").alias("n")))
+query("histogram_quantiles", "SELECT user_id, quantile_disc(floor(value)::BIGINT, 0.5) AS p50, quantile_disc(floor(value)::BIGINT, 0.99) AS p99, quantile_disc(floor(value)::BIGINT, 0.999) AS p999 FROM events GROUP BY user_id", "", "p50 p99 p999")(
+    lambda t: _samples(t).groupBy("user_id").agg(*(F.expr(f"cast(percentile_disc({p}) WITHIN GROUP (ORDER BY v) as bigint)").alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"), (0.999, "p999"))))
+)
+
+
+def _upper_tail(t: Tables) -> DataFrame:
+    """Mode of the values at or above each user's p90: most frequent, then smallest; with its share of that tail."""
+    s = _samples(t)
+    bound = s.groupBy("user_id").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY v)").alias("b"))
+    h = s.join(bound, "user_id").where(F.col("v") >= F.col("b")).groupBy("user_id", "v").agg(F.count("*").alias("n"))
+    g = h.groupBy("user_id").agg(F.sum("n").alias("tail"), F.max(F.struct("n", (-F.col("v")).alias("m"))).alias("x"))
+    return g.select("user_id", "tail", (-F.col("x.m")).alias("mode"), (F.col("x.n") / F.col("tail")).alias("share"))
+
+
+query(
+    "upper_tail_mode",
+    "SELECT user_id, tail, v AS mode, n / tail AS share FROM (SELECT h.user_id, h.v, h.n, sum(h.n) OVER (PARTITION BY h.user_id) AS tail, row_number() OVER (PARTITION BY h.user_id ORDER BY h.n DESC, h.v) AS rk FROM h JOIN (SELECT user_id, quantile_disc(floor(value)::BIGINT, 0.9) AS b FROM events GROUP BY user_id) USING (user_id) WHERE h.v >= b) WHERE rk = 1",
+    "share", "tail mode", ctes=HIST,
+)(_upper_tail)
+query(
+    "rail_fractions",
+    "SELECT user_id, avg((v <= 0)::INT) AS low_rail, avg((v = mx)::INT) AS at_max, avg((v = mx)::INT) > 0.01 AS plateau FROM (SELECT user_id, floor(value)::BIGINT AS v, max(floor(value)::BIGINT) OVER (PARTITION BY user_id) AS mx FROM events) GROUP BY user_id",
+    "low_rail at_max",
+)(
+    lambda t: _samples(t).join(_samples(t).groupBy("user_id").agg(F.max("v").alias("mx")), "user_id").groupBy("user_id").agg(F.avg((F.col("v") <= 0).cast("double")).alias("low_rail"), F.avg((F.col("v") == F.col("mx")).cast("double")).alias("at_max")).withColumn("plateau", F.col("at_max") > 0.01)
+)
+query(
+    "saturation_offsets",
+    "SELECT l_orderkey, n, array_to_string(CASE WHEN 99 < n THEN [0, 25, 50, 75, 99] ELSE list_transform(list_filter(list_transform([0, 25, 50, 75, 99], lambda o: round_even(o * (n - 1) / 99.0, 0)::BIGINT), lambda x, i: i = 1 OR x <> round_even([0, 25, 50, 75, 99][i - 1] * (n - 1) / 99.0, 0)::BIGINT), lambda x: x) END, ',') AS offsets FROM (SELECT l_orderkey, count(*) * 5 AS n FROM lineitem GROUP BY 1)",
+    "", "n",
+)(
+    lambda t: t.lineitem.groupBy("l_orderkey").agg((F.count("*") * 5).alias("n")).select("l_orderkey", "n", F.array_join(scalar.resolve_offsets(F.array(*(F.lit(x).cast("long") for x in (0, 25, 50, 75, 99))), F.col("n"), F.lit(100)), ",").alias("offsets"))
+)
+
+# --- gates: order lines and conversations stand for pages --------------------------------------------------------------
+
+
+def _geometry_sql(table: str, key: str, z: str, tie: str, cond: str) -> str:
+    return f"""SELECT *, CASE WHEN reasons = '' THEN 'pass' ELSE 'fail' END AS status FROM (SELECT *, concat_ws(';', CASE WHEN n < 2 THEN 'too_few' END, CASE WHEN NOT finite THEN 'not_finite' END, CASE WHEN NOT coalesce(diff_min > 0, false) THEN 'not_monotonic' END, CASE WHEN residual > 1e-6 THEN 'irregular_step' END) AS reasons
+      FROM (SELECT {key}, count(*) AS n, min(d) AS diff_min, median(d) AS diff_median, max(d) AS diff_max, max(abs(abs(d) - 1)) AS residual, bool_and({z} IS NOT NULL) AS finite FROM (SELECT *, {z} - lag({z}) OVER (PARTITION BY {key} ORDER BY {tie}) AS d FROM {table} WHERE {cond}) GROUP BY {key}))"""
+
+
+query("z_geometry_gate", _geometry_sql("conversations", "conv_id", "turn", "turn", "true"), "diff_median", "n diff_min diff_max residual")(lambda t: gates.z_geometry(t.conversations, ["conv_id"], "turn", "turn", 1.0).withColumn("residual", F.col("residual").cast("long")))
+query("z_geometry_lines", _geometry_sql("lineitem", "l_orderkey", "l_linenumber", "l_linenumber", "true"), "diff_median", "n diff_min diff_max residual")(lambda t: gates.z_geometry(t.lineitem, ["l_orderkey"], "l_linenumber", "l_linenumber", 1.0).withColumn("residual", F.col("residual").cast("long")))
+query(
+    "page_grouping_gate",
+    "SELECT conv_id, count(*) AS pages, count(DISTINCT b) AS planes, max(abs(z - z0)) AS spread, CASE WHEN count(*) = count(DISTINCT b) * 2 AND max(abs(z - z0)) <= 1e-6 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT *, first_value(z) OVER (PARTITION BY conv_id, b ORDER BY turn) AS z0 FROM (SELECT conv_id, turn, floor(turn / 2) AS z, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS b FROM conversations)) GROUP BY conv_id",
+    "", "pages planes spread",
+)(lambda t: gates.page_grouping(t.conversations.select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("z")), ["conv_id"], "turn", "z", 2))
+query(
+    "page_count_gate",
+    "SELECT coalesce(o.k, e.k) AS k, o.observed, e.expected, CASE WHEN o.observed IS NOT DISTINCT FROM e.expected THEN 'pass' ELSE 'fail' END AS status FROM (SELECT l_orderkey AS k, count(*) AS observed FROM lineitem GROUP BY 1) o FULL JOIN (SELECT o_orderkey AS k, o_orderkey % 7 + 1 AS expected FROM orders) e ON o.k = e.k",
+    "", "observed expected",
+)(lambda t: gates.count_gate(t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n")), t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7 + 1).alias("n")), ["k"]))
+query(
+    "stack_set_gate",
+    """SELECT *, CASE WHEN reasons = '' THEN 'pass' ELSE 'fail' END AS status FROM (SELECT s_nationkey, count(*) AS n, concat_ws(';', CASE WHEN count(*) <> 2 THEN 'wrong_number' END, CASE WHEN count(DISTINCT s_suppkey % 3) > 1 THEN 'differs_shape' END, CASE WHEN NOT max(s_acctbal) - min(s_acctbal) <= 1e-6 + 1e-5 * abs(max(s_acctbal)) THEN 'apart_s_acctbal' END) AS reasons FROM supplier GROUP BY 1)""",
+    "", "s_nationkey n",
+)(lambda t: gates.stack_set(t.supplier.withColumn("shape", F.col("s_suppkey") % 3), ["s_nationkey"], ["shape"], ["s_acctbal"]))
+query(
+    "normalise_positions",
+    "SELECT l_orderkey, arg_min(z, o) AS start, arg_max(z, o) AS \"end\", median(CASE WHEN d <> 0 THEN d END) AS step, count(DISTINCT z) AS slices, count(*) AS frames, coalesce(abs(arg_min(z, o) + median(CASE WHEN d <> 0 THEN d END) * (count(DISTINCT z) - 1) - arg_max(z, o)) <= 1e-6, false) AS spans, count(*) % count(DISTINCT z) = 0 AS divides FROM (SELECT *, z - lag(z) OVER (PARTITION BY l_orderkey ORDER BY o) AS d FROM (SELECT l_orderkey, l_linenumber AS z, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS o FROM lineitem)) GROUP BY l_orderkey",
+    "step", 'start "end" slices frames',
+)(lambda t: gates.positions_normal_form(t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("z"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("o")), ["l_orderkey"], "o", "z"))
+query(
+    "collapse_positions",
+    "SELECT l_orderkey, n, len(list_reduce(zs, lambda a, z: CASE WHEN abs(z[1] - a[len(a)]) > 2.5 THEN list_append(a, z[1]) ELSE a END)) AS kept FROM (SELECT l_orderkey, count(*) AS n, list([l_quantity] ORDER BY l_quantity) AS zs FROM lineitem GROUP BY 1)",
+    "", "n kept",
+)(lambda t: t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("l_quantity")).alias("zs")).select("l_orderkey", "n", F.size(scalar.collapse_positions(F.col("zs"), 2.5)).alias("kept")))
+query(
+    "storage_layout",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN f > 0 AND q % f = 0 THEN q // f END AS stored, CASE WHEN f = 1 THEN 'raw_frame' WHEN l_returnflag = 'N' THEN 'logged_sum' ELSE 'logged_mean' END AS kind FROM (SELECT *, l_quantity::BIGINT AS q, l_linenumber::BIGINT AS f FROM lineitem)",
+    "", "l_linenumber stored",
+)(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", scalar.stored_frames(F.col("l_quantity").cast("long"), F.col("l_linenumber")).alias("stored"), scalar.storage_class(F.col("l_linenumber"), F.col("l_returnflag") == "N").alias("kind")))
+query("page_index", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * 2 + l_linenumber % 2 AS page FROM lineitem", "", "l_linenumber page")(
+    lambda t: t.lineitem.select("l_orderkey", "l_linenumber", scalar.page_index(F.col("l_quantity").cast("long"), F.lit(2), F.col("l_linenumber") % 2).alias("page"))
+)
+query(
+    "channel_resolution",
+    "SELECT o_orderkey, CASE WHEN req IS NULL THEN CASE WHEN len(saved) = 1 THEN 0 END ELSE nullif(coalesce(list_position(saved, req), 0), 0) - 1 END AS position FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN [3] ELSE [3, 4] END AS saved, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 3 ELSE 4 END AS req FROM orders)",
+    "", "position",
+)(
+    lambda t: t.orders.select("o_orderkey", scalar.resolve_channel(F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(3))).otherwise(F.array(F.lit(3), F.lit(4))), F.when(F.col("o_orderkey") % 3 == 1, 3).when(F.col("o_orderkey") % 3 == 2, 4)).alias("position"))
+)
+query("setup_normalise", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'bench2p' WHEN p_partkey % 3 = 1 THEN 'mini2p' ELSE 'unknown' END AS setup FROM part")(
+    lambda t: t.part.select("p_partkey", scalar.normalize_setup(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Rig BENCH-2P "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.lit("x/mini_2P")).otherwise(F.lit("other"))).alias("setup"))
+)
+SESSION = "'op_' || replace(c_name, '#', '') || '_2026-09-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || '_scan' || c_nationkey || '_S' || c_custkey"
+_session = lambda: F.concat(F.lit("op_"), F.replace("c_name", F.lit("#"), F.lit("")), F.lit("_2026-09-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit("_scan"), F.col("c_nationkey").cast("string"), F.lit("_S"), F.col("c_custkey").cast("string"))
+query("session_parse", f"SELECT c_custkey, regexp_extract(s, '([^_/]+)_([^_/]+)_(\\d{{4}}-\\d{{2}}-\\d{{2}})_([^_/]+)_([^_/]+)/?$', 2) AS animal, CAST(strptime('2026-09-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0'), '%Y-%m-%d') AS DATE)::VARCHAR AS day, 'scan' || c_nationkey AS scan FROM (SELECT *, {SESSION} AS s FROM customer)")(
+    lambda t: t.customer.select("c_custkey", scalar.session_part(_session(), 2).alias("animal"), F.try_to_date(scalar.session_part(_session(), 3)).cast("string").alias("day"), scalar.session_part(_session(), 4).alias("scan"))
+)
+query("slug_digest", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(sha256(coalesce(p_name, '') || '|' || coalesce(p_brand, '') || '|' || coalesce(p_size::VARCHAR, '')), 1, 8) AS digest FROM part")(
+    lambda t: t.part.select("p_partkey", scalar.slug(F.col("p_name")).alias("slug"), scalar.stable_digest(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("digest"))
+)
+query("odd_slab", "SELECT p_size, (greatest(round_even((p_size / 1.2 - 1) / 2, 0), 0) * 2 + 1)::BIGINT AS planes, hypot_ AS shift_um FROM (SELECT DISTINCT p_size, sqrt((p_size * 0.9104) ** 2 + (p_size * 0.5) ** 2) AS hypot_ FROM part)", "shift_um", "p_size planes")(
+    lambda t: t.part.select("p_size").distinct().select("p_size", scalar.odd_slab(F.col("p_size"), F.lit(1.2)).alias("planes"), scalar.to_um(F.col("p_size"), F.col("p_size"), 0.9104, 0.5).alias("shift_um"))
+)
+query("safe_paths", "SELECT page_id, NOT (p LIKE '/%' OR regexp_matches(p, '(^|/)\\.\\.(/|$)')) AS safe FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '../' ELSE '' END || regexp_extract(url, '://[^/]*(/.*)', 1) AS p FROM pages)")(
+    lambda t: t.pages.select("page_id", scalar.safe_relative(F.concat(F.when(F.col("page_id") % 3 == 0, "../").otherwise(""), F.regexp_extract("url", "://[^/]*(/.*)", 1))).alias("safe"))
+)
+
+# --- provenance: orders stand for declarations, their lines for files --------------------------------------------------
+
+query("post_event_day", "SELECT event_id, CASE WHEN ts::DATE - DATE '2024-01-10' >= 0 THEN ts::DATE - DATE '2024-01-10' END AS day FROM events", "", "day")(lambda t: t.events.select("event_id", provenance.day_after(F.col("ts"), F.lit("2024-01-10").cast("date")).alias("day")))
+query("identity_relabel", "SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '1995-06-17' THEN o_orderpriority ELSE o_orderstatus END AS label FROM orders")(
+    lambda t: t.orders.select("o_orderkey", provenance.relabel(F.col("o_orderdate"), F.lit("1995-06-17").cast("timestamp_ntz"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("label"))
+)
+query(
+    "manifest_admission",
+    """SELECT *, reasons = '' AS admitted FROM (SELECT o.o_orderkey, coalesce(d.n, 0) AS entries, concat_ws(';', CASE WHEN d.n IS NULL THEN 'undeclared' END, CASE WHEN d.n > 1 THEN 'ambiguous' END, CASE WHEN d.n = 1 AND o.sz IS DISTINCT FROM d.sz THEN 'size_differs' END) AS reasons
+      FROM (SELECT o_orderkey, o_orderkey % 7 + 1 AS sz FROM orders) o LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS sz FROM lineitem GROUP BY 1) d ON d.l_orderkey = o.o_orderkey)""",
+    "", "entries",
+)(lambda t: provenance.admission(t.orders.select("o_orderkey", (F.col("o_orderkey") % 7 + 1).alias("sz")), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("sz")), ["o_orderkey"], "sz").select("o_orderkey", "entries", "reasons", "admitted"))
+query("stale_entries", "SELECT o_orderkey, o_custkey FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")(lambda t: provenance.stale(t.orders.select("o_orderkey", "o_custkey"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"]))
+query(
+    "size_hash_check",
+    """SELECT coalesce(d.doc_id, o.doc_id) AS doc_id, concat_ws(';', CASE WHEN o.doc_id IS NULL THEN 'missing' END, CASE WHEN d.doc_id IS NULL THEN 'undeclared' END, CASE WHEN d.size <> o.size THEN 'size' END, CASE WHEN d.h <> o.h THEN 'hash' END) AS errors
+      FROM (SELECT doc_id, n_chars AS size, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN (SELECT doc_id, length(trim(text)) AS size, sha256(trim(text)) AS h FROM documents WHERE doc_id % 7 <> 0) o ON o.doc_id = d.doc_id
+      WHERE o.doc_id IS NULL OR d.doc_id IS NULL OR d.size <> o.size OR d.h <> o.h""",
+)(
+    lambda t: provenance.compare_outputs(
+        t.documents.where("doc_id % 5 <> 0").select("doc_id", F.col("n_chars").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")),
+        t.documents.where("doc_id % 7 <> 0").select("doc_id", F.char_length(F.trim("text")).cast("long").alias("size"), F.sha2(F.trim("text").cast("binary"), 256).alias("sha256")),
+        "doc_id",
+    )
+)
+query(
+    "declaration_conflicts",
+    "SELECT o_orderkey, array_to_string(list_sort(list_filter([CASE WHEN o_custkey % 25 <> c_nationkey THEN 'nation:' || (o_custkey % 25) || '|' || c_nationkey END, CASE WHEN (CASE o_orderstatus WHEN 'F' THEN 'BUILDING' ELSE 'MACHINERY' END) <> c_mktsegment THEN 'segment:' || (CASE o_orderstatus WHEN 'F' THEN 'BUILDING' ELSE 'MACHINERY' END) || '|' || c_mktsegment END], lambda x: x IS NOT NULL)), ';') AS conflicts FROM orders JOIN customer ON o_custkey = c_custkey",
+)(
+    lambda t: t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", provenance.conflicts([("nation", F.col("o_custkey") % 25, F.col("c_nationkey").cast("long")), ("segment", F.when(F.col("o_orderstatus") == "F", "BUILDING").otherwise("MACHINERY"), F.col("c_mktsegment"))]).alias("conflicts"))
+)
+query("review_flag_join", "SELECT DISTINCT s.s_suppkey, f.c_custkey AS flag_id FROM supplier s JOIN (SELECT * FROM customer WHERE c_custkey % 11 = 0) f ON (s.s_nationkey = f.c_nationkey AND s.s_suppkey % 5 = f.c_custkey % 5) OR s.s_suppkey = f.c_custkey % 100")(
+    lambda t: provenance.review_flags(
+        t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 5).alias("part"), F.col("s_suppkey").alias("path")),
+        t.customer.where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("flag_id"), F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 5).alias("part"), (F.col("c_custkey") % 100).alias("path")),
+        ["nation", "part"], "path",
+    ).select("s_suppkey", "flag_id")
+)
+query("eligibility", "SELECT doc_id, 'eligible' AS reconstruction, CASE WHEN reasons = '' THEN 'eligible' ELSE 'hold' END AS longitudinal, reasons FROM (SELECT d.doc_id, concat_ws(';', CASE WHEN l.doc_id IS NULL THEN 'day_unknown' END, CASE WHEN l.toxic = 1 THEN 'review_flag' END) AS reasons FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")(
+    lambda t: t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", *provenance.eligibility(F.col("quality").isNull(), F.coalesce(F.col("toxic") == 1, F.lit(False))))
+)
+query("dangling_assets", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)")(lambda t: provenance.dangling(t.lineitem.select("l_orderkey", F.col("l_partkey")), t.part.where("p_size > 3").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").select("l_orderkey", "l_partkey"))
+
+# --- runs, pairs, roll-ups ---------------------------------------------------------------------------------------------
+
+RUN = """SELECT {k} coalesce(max(n) FILTER (hot), 0) AS longest_run FROM (SELECT {k} hot, isl, count(*) AS n FROM (SELECT {k} hot, row_number() OVER ({p} ORDER BY ts, event_id) - row_number() OVER (PARTITION BY {k} hot ORDER BY ts, event_id) AS isl FROM (SELECT *, value > 50 AS hot FROM events)) GROUP BY ALL) {g}"""
+query("longest_run_by_key", RUN.format(k="user_id,", p="PARTITION BY user_id", g="GROUP BY user_id"), "", "longest_run")(lambda t: stats.longest_run(t.events.withColumn("hot", F.col("value") > 50), ["user_id"], ["ts", "event_id"], "hot"))
+query("longest_run_by_type", RUN.format(k="event_type,", p="PARTITION BY event_type", g="GROUP BY event_type"), "", "longest_run")(lambda t: stats.longest_run(t.events.withColumn("hot", F.col("value") > 50), ["event_type"], ["ts", "event_id"], "hot"))
+query("repeat_pairs", "SELECT a.s_nationkey, a.s_suppkey AS first, b.s_suppkey AS second FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey", "", "s_nationkey")(lambda t: features.repeat_pairs(t.supplier, ["s_nationkey"], "s_suppkey"))
+
+
+def _overlaps(t: Tables) -> DataFrame:
+    s = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_acctbal") / 100).alias("lo"))
+    side = lambda i, n: s.select(F.col("s_suppkey").alias(n), F.col("lo").alias(f"z_lo_{i}"), (F.col("lo") + 40).alias(f"z_hi_{i}"))
+    p = features.repeat_pairs(t.supplier, ["s_nationkey"], "s_suppkey")
+    return features.overlap(p.join(side(1, "first"), "first").join(side(2, "second"), "second"), ["z"], 4, 2.0).select("first", "second", "z_lo", "z_hi", "z_n", "usable")
+
+
+query(
+    "grid_overlap",
+    "SELECT first, second, z_lo, z_hi, z_n, z_n >= 4 AS usable FROM (SELECT *, greatest(floor((z_hi - z_lo) / 2.0 + 1e-9) + 1, 0)::BIGINT AS z_n FROM (SELECT a.s_suppkey AS first, b.s_suppkey AS second, greatest(a.s_acctbal / 100, b.s_acctbal / 100) AS z_lo, least(a.s_acctbal / 100 + 40, b.s_acctbal / 100 + 40) AS z_hi FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey))",
+    "z_lo z_hi",
+)(_overlaps)
+LM = """lm AS (SELECT vec_id AS id, label, embedding[1]::DOUBLE * 10 AS a, embedding[2]::DOUBLE * 10 AS b, embedding[3]::DOUBLE * 10 AS c FROM embeddings WHERE label IN (0, 1)),
+nn AS (SELECT l.id, arg_min(r.id, (d, r.id)) AS match, min(d) AS distance FROM (SELECT * FROM lm WHERE label = 0) l LEFT JOIN LATERAL (SELECT r.id, sqrt((l.a - r.a) ** 2 + (l.b - r.b) ** 2 + (l.c - r.c) ** 2) AS d FROM lm r WHERE r.label = 1) r ON d <= 8 GROUP BY l.id)"""
+
+
+def _nearest(t: Tables) -> DataFrame:
+    e = t.embeddings.select(F.col("vec_id").alias("id"), "label", *((F.get("embedding", F.lit(i)).cast("double") * 10).alias(n) for i, n in enumerate("abc")))
+    return features.nearest(e.where("label = 0"), e.where("label = 1"), ["a", "b", "c"], 8.0)
+
+
+query("nearest_landmark", "SELECT * FROM nn", "distance", "", ctes=LM)(_nearest)
+query("landmark_summary", "SELECT count(*) AS landmarks, count(distance) AS matched, coalesce(median(distance), 'NaN'::DOUBLE) AS error_median, coalesce(quantile_cont(distance, 0.95), 'NaN'::DOUBLE) AS error_p95 FROM nn", "error_median error_p95", "landmarks matched", ctes=LM)(lambda t: features.landmark_summary(_nearest(t)))
+query("status_rollup", "SELECT user_id, CASE WHEN bool_or(value < 0) THEN 'fail' WHEN quantile_cont(value, 0.95) > 95 THEN 'needs_review' ELSE 'pass' END AS status FROM events GROUP BY user_id")(
+    lambda t: t.events.groupBy("user_id").agg(gates.rollup(F.bool_or(F.col("value") < 0), stats.percentile("value", 0.95) > 95).alias("status"))
+)
+query("retention_summary", f"SELECT count(*) AS planes, min(r) AS retained_min, avg(r) AS retained_mean, count_if(r < 0.9) AS relaxed, bool_or(r < 0.9) AS any_relaxed FROM (SELECT plane, avg((f.corr >= t.threshold)::INT) AS r FROM fs f JOIN {_bound('fs', 1.0)} t USING (plane) GROUP BY plane)", "retained_min retained_mean", "planes relaxed", True, FQ)(
+    lambda t: recon.kept_frames(recon.frame_statistics(t.vox()), 1.0, 0.0).groupBy("plane").agg(F.avg(F.col("keep").cast("double")).alias("r")).agg(F.count("*").alias("planes"), F.min("r").alias("retained_min"), F.avg("r").alias("retained_mean"), F.count_if(F.col("r") < 0.9).alias("relaxed"), F.bool_or(F.col("r") < 0.9).alias("any_relaxed"))
+)
+query(
+    "synthetic_gates",
+    "SELECT l_returnflag, sqrt(avg(e * e)) AS rmse, quantile_cont(e, 0.95) AS p95 FROM (SELECT l_returnflag, sqrt((l_quantity / 50 - avg(l_quantity / 50) OVER w - l_tax + avg(l_tax) OVER w) ** 2 + (l_discount - avg(l_discount) OVER w) ** 2) AS e FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)) GROUP BY 1",
+    "rmse p95",
+)(lambda t: features.centred_error(t.lineitem.select("l_returnflag", (F.col("l_quantity") / 50).alias("dy"), F.col("l_discount").alias("dx"), F.col("l_tax").alias("true_dy"), F.lit(0.0).alias("true_dx")), ["l_returnflag"]))
+query("newest_run", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")(lambda t: t.events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")))
+query("pivot_methods", "SELECT label::BIGINT AS label, avg(embedding[1]::DOUBLE) FILTER (vec_id % 2 = 0) AS a, avg(embedding[1]::DOUBLE) FILTER (vec_id % 2 = 1) AS b FROM embeddings GROUP BY 1", "a b", "label")(
+    lambda t: t.embeddings.select("label", F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("method"), F.get("embedding", F.lit(0)).cast("double").alias("v")).groupBy("label").pivot("method", ["a", "b"]).agg(F.avg("v"))
+)
+query("set_difference", "SELECT p_partkey FROM part WHERE p_size > 10 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")(lambda t: t.part.where("p_size > 10").select("p_partkey").subtract(t.lineitem.where("l_quantity > 49").select("l_partkey")))
+query("union_of_columns", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")(lambda t: io.union_rows(t.documents.select(F.col("doc_id").alias("id"), "lang"), t.pages.select(F.col("page_id").alias("id"), "url")))
+
+# --- registration: kernels in Arrow UDFs, tested for recovery; no SQL ----------------------------------------------------
+
+query("phase_shift", None)(lambda t: register.frame_shifts(t.frames(), WIDTH))
+query("registration_keep", None)(lambda t: register.registration_keep(register.frame_shifts(t.frames(), WIDTH)))
+query("cross_plane_registration", None)(lambda t: register.cross_plane(t.med(), WIDTH))
+query("xy_methods", None)(lambda t: register.plane_methods(t.frames(), WIDTH))
+
+
+def _repeats(t: Tables) -> DataFrame:
+    f = t.vox()
+    half = lambda i: recon.median_volume(f.where(F.col("local_index") % 2 == i)).withColumn("pair", F.lit("odd_even"))
+    return register.volume_shift(half(0), half(1), (10, WIDTH, WIDTH))
+
+
+query("repeat_volumes", None)(_repeats)
