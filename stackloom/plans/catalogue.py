@@ -197,9 +197,9 @@ query("combined_slice_stats", "SELECT plane, avg(v) AS mean, stddev_pop(v) AS st
 )
 query(
     "crop_support",
-    "SELECT plane, y, x, CASE WHEN v > 0.4 THEN v ELSE 'NaN'::DOUBLE END AS v FROM med, (SELECT min(y) AS ly, max(y) AS hy, min(x) AS lx, max(x) AS hx FROM med WHERE v > 0.4) WHERE y BETWEEN ly - 1 AND hy + 1 AND x BETWEEN lx - 1 AND hx + 1",
+    "SELECT plane, y, x, CASE WHEN v > 0.03 THEN v ELSE 'NaN'::DOUBLE END AS v FROM med, (SELECT min(y) AS ly, max(y) AS hy, min(x) AS lx, max(x) AS hx FROM med WHERE v > 0.03) WHERE y BETWEEN ly - 1 AND hy + 1 AND x BETWEEN lx - 1 AND hx + 1",
     "v", "plane y x", True,
-)(lambda t: volume.crop_box(t.med(), 0.4, 1))
+)(lambda t: volume.crop_box(t.med(), 0.03, 1))
 query("cuboid_edges", "SELECT plane, y, x FROM med WHERE (plane < 1 OR plane > 8)::INT + (y < 1 OR y > 6)::INT + (x < 1 OR x > 6)::INT >= 2", "", "plane y x", True)(lambda t: volume.cuboid_edges(t.med(), 1))
 query(
     "bilinear_shift",
