@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a join is broadcast; it is counted first, beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
+#: The name of an id that is joined to a table whose columns are not known.
+ID = "__stackloom_id"
 
 
 def shared_dir(spark: SparkSession) -> str:

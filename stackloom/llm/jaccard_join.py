@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import textkernels as tk
-from stackloom.llm.common import Scratch, groups, keep, small
+from stackloom.llm.common import ID, Scratch, groups, keep, small
 from stackloom.llm.graph import components
 
 #: Words of a shingle, threshold as a fraction, bands and rows of a band, hashes compared at a time, tolerance, texts of a block.
@@ -199,11 +199,11 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, whose id is that of their class; of rows repeated wholly, one."""
     made = join(docs)
-    gone = keep(made.where("doc_id <> class_id").select(F.col("doc_id").alias("doc_id_")).distinct())
-    out = docs.join(small(gone), F.col("doc_id") == F.col("doc_id_"), "left_anti")
-    again = keep(made.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc_id_")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id_"))
+    gone = keep(made.where("doc_id <> class_id").select(F.col("doc_id").alias(ID)).distinct())
+    out = docs.join(small(gone), F.col("doc_id") == F.col(ID), "left_anti")
+    again = keep(made.where("doc_id is not null").groupBy(F.col("doc_id").alias(ID)).agg(F.count("*").alias("n")).where("n > 1").select(ID))
     rows = again.count()
     if rows:
-        same = F.col("doc_id") == F.col("doc_id_")
+        same = F.col("doc_id") == F.col(ID)
         out = out.join(small(again, rows), same, "left_anti").unionByName(docs.join(small(gone), same, "left_anti").join(small(again, rows), same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import Scratch, keep, small
+from stackloom.llm.common import ID, Scratch, keep, small
 
 MOST = 3.0
 #: Documents of a bucket, and residuals that meet in one node of the tree.
@@ -120,6 +120,6 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     The texts are joined once, by id, and move only if there are too many ids to broadcast; rows that share an id all get the largest copies among them.
     """
     made = mix(docs)
-    one = made.groupBy(F.col("doc_id").alias("doc_id_")).agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken", "copies"))).where("copies > 0")
+    one = made.groupBy(F.col("doc_id").alias(ID)).agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken", "copies"))).where("copies > 0")
     clash = [c for c in one.columns if c in docs.columns]
-    return docs.drop(*clash).join(small(keep(one)), F.col("doc_id").eqNullSafe(F.col("doc_id_"))).drop("doc_id_")
+    return docs.drop(*clash).join(small(keep(one)), F.col("doc_id").eqNullSafe(F.col(ID))).drop(ID)
