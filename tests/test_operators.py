@@ -166,7 +166,7 @@ def test_sources(spark, tmp_path):
     r = io.hashed_files(spark, str(tmp_path / "a.bin")).first()
     assert r["size"] == 3 and r["sha256"].startswith("ba7816bf")
     assert io.the_only_file(spark, str(tmp_path / "*.bin")).endswith("a.bin")
-    (tmp_path / "b.bin").write_bytes(b"")
+    (tmp_path / "b.bin").write_bytes(b"x")
     with pytest.raises(ValueError):
         io.the_only_file(spark, str(tmp_path / "*.bin"))
     with pytest.raises(ValueError):
