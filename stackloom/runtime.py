@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch, where the application did not set them: texts may be long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -23,10 +25,13 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, as --py-files would."""
+    """Sends this package to the executors once per application, as --py-files would, and bounds Arrow batches."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    for k, v in ARROW.items():
+        if not sc.getConf().contains(k):
+            spark.conf.set(k, v)
     root = Path(__file__).resolve().parent
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
