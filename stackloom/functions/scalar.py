@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Rig names as they occur in paths and headers once case and separators are gone.
-SETUPS = ("bench2p", "mini2p", "bscope")
+SETUPS = ("bench2p", "mini2p1", "mini2p2")
 
 
 def normalize_setup(text: Column) -> Column:

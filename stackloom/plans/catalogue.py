@@ -324,8 +324,8 @@ query(
 )(
     lambda t: t.orders.select("o_orderkey", scalar.resolve_channel(F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(3))).otherwise(F.array(F.lit(3), F.lit(4))), F.when(F.col("o_orderkey") % 3 == 1, 3).when(F.col("o_orderkey") % 3 == 2, 4)).alias("position"))
 )
-query("setup_normalise", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'bench2p' WHEN p_partkey % 3 = 1 THEN 'mini2p' ELSE 'unknown' END AS setup FROM part")(
-    lambda t: t.part.select("p_partkey", scalar.normalize_setup(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Rig BENCH-2P "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.lit("x/mini_2P")).otherwise(F.lit("other"))).alias("setup"))
+query("setup_normalise", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'bench2p' WHEN p_partkey % 3 = 1 THEN 'mini2p1' ELSE 'unknown' END AS setup FROM part")(
+    lambda t: t.part.select("p_partkey", scalar.normalize_setup(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Rig BENCH-2P "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.lit("x/mini_2P-1")).otherwise(F.lit("other"))).alias("setup"))
 )
 SESSION = "'op_' || replace(c_name, '#', '') || '_2026-09-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || '_scan' || c_nationkey || '_S' || c_custkey"
 _session = lambda: F.concat(F.lit("op_"), F.replace("c_name", F.lit("#"), F.lit("")), F.lit("_2026-09-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit("_scan"), F.col("c_nationkey").cast("string"), F.lit("_S"), F.col("c_custkey").cast("string"))
