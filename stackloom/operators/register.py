@@ -86,14 +86,18 @@ def frame_shifts(frames: DataFrame, width: int, upsample: int = 10, condition: b
     return frames.select("plane", "local_index", "pixels").groupBy("plane").applyInPandas(run, "plane long, local_index long, dy double, dx double, error double, corr_before double, corr_after double")
 
 
-def registration_keep(shifts: DataFrame, most: float = 8.0, corr_k: float = 3.0, error_k: float = 4.0, gain: float = -0.02, least: float = 0.3) -> DataFrame:
-    """Adds the shift's ``magnitude``, the correlation ``gain``, ``keep`` and ``reasons``. Bounds come from the frames whose shift is valid; if too few
-    frames pass, the best of the valid ones are kept."""
+def registration_keep(shifts: DataFrame, most: float = 8.0, corr_k: float = 3.0, error_k: float = 4.0, gain: float = -0.02, least: float = 0.3, least_corr: float | None = None, most_error: float | None = None) -> DataFrame:
+    """Adds the shift's ``magnitude``, the correlation ``gain``, ``keep`` and ``reasons``. Bounds come from the frames whose shift is valid,
+    unless ``least_corr`` or ``most_error`` fix them; if too few frames pass, the best of the valid ones are kept."""
     s = shifts.withColumns({"magnitude": F.hypot("dy", "dx"), "gain": F.col("corr_after") - F.col("corr_before")}).withColumn("valid", F.col("magnitude") <= most)
     good = s.where("valid")
     low = stats.robust_bounds(good, ["plane"], "corr_after", corr_k).select("plane", F.col("lower").alias("corr_bound"))
     high = stats.robust_bounds(good, ["plane"], "error", error_k).select("plane", F.col("upper").alias("error_bound"))
     s = s.join(low, "plane", "left").join(high, "plane", "left")
+    if least_corr is not None:
+        s = s.withColumn("corr_bound", F.lit(float(least_corr)))
+    if most_error is not None:
+        s = s.withColumn("error_bound", F.lit(float(most_error)))
     ok = F.col("valid") & (F.col("corr_after") >= F.col("corr_bound")) & (F.col("error") <= F.col("error_bound")) & (F.col("gain") >= gain)
     from pyspark.sql import Window
 

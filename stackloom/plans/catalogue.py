@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import scalar, stats
-from stackloom.operators import features, gates, provenance, recon, register, volume
+from stackloom.operators import features, gates, provenance, recon, register, render, synthetic, volume
 from stackloom.runtime import ship
 from stackloom.sources import io
 
@@ -449,3 +449,33 @@ def _repeats(t: Tables) -> DataFrame:
 
 
 query("repeat_volumes", None)(_repeats)
+
+query("synthetic_registration", None)(lambda t: synthetic.evaluate(t.spark))
+
+# --- turned views --------------------------------------------------------------------------------------------------------
+
+ANGLE = 30.0
+
+
+def _turn_sql(nearest: bool) -> str:
+    c, s, (rows, columns), (a, b) = render.turn(WIDTH, WIDTH, ANGLE)
+    to = f"""SELECT plane, to_y, to_x, round({c!r} * to_y + {s!r} * to_x + {a!r}, 9) AS fy, round({c!r} * to_x - {s!r} * to_y + {b!r}, 9) AS fx
+      FROM (SELECT DISTINCT plane FROM med), (SELECT unnest(generate_series(0, {rows - 1})) AS to_y), (SELECT unnest(generate_series(0, {columns - 1})) AS to_x)"""
+    inside = f"fy BETWEEN 0 AND {WIDTH - 1} AND fx BETWEEN 0 AND {WIDTH - 1}"
+    if nearest:
+        return f"SELECT t.plane, to_y AS y, to_x AS x, CASE WHEN {inside} THEN coalesce(v, 0) ELSE 0 END AS v FROM ({to}) t LEFT JOIN med m ON m.plane = t.plane AND m.y = floor(fy + 0.5) AND m.x = floor(fx + 0.5)"
+    return f"""SELECT g.plane, to_y AS y, to_x AS x, sum(coalesce(m.v * w, 0)) AS v FROM (
+      SELECT plane, to_y, to_x, floor(fy) + i AS sy, floor(fx) + j AS sx, CASE WHEN {inside} THEN (CASE i WHEN 0 THEN 1 - fy + floor(fy) ELSE fy - floor(fy) END) * (CASE j WHEN 0 THEN 1 - fx + floor(fx) ELSE fx - floor(fx) END) ELSE 0 END AS w
+      FROM ({to}), (VALUES (0), (1)) p(i), (VALUES (0), (1)) r(j)) g LEFT JOIN med m ON m.plane = g.plane AND m.y = g.sy AND m.x = g.sx GROUP BY ALL"""
+
+
+query("rotate_planes", _turn_sql(False), "v", "plane y x", True)(lambda t: render.rotate(t.med(), ANGLE)[0])
+query("rotate_mask", _turn_sql(True), "v", "plane y x", True)(lambda t: render.rotate(t.med(), ANGLE, nearest=True)[0])
+query("edge_dilation", "SELECT DISTINCT y + i AS y, x + j AS x FROM med, (VALUES (-2), (-1), (0), (1), (2)) p(i), (VALUES (-2), (-1), (0), (1), (2)) r(j) WHERE plane = 0 AND v > 0.03 AND abs(i) + abs(j) <= 2 AND y + i BETWEEN 0 AND 7 AND x + j BETWEEN 0 AND 7", "", "y x", True)(
+    lambda t: render.dilate(t.med().where("plane = 0 and v > 0.03").select("y", "x"), (WIDTH, WIDTH), 2)
+)
+query("crop_nonzero", "SELECT y - greatest(ly - 1, 0) AS y, x - greatest(lx - 1, 0) AS x, v FROM med, (SELECT min(y) AS ly, max(y) AS hy, min(x) AS lx, max(x) AS hx FROM med WHERE plane = 0 AND v > 0.03) WHERE plane = 0 AND y BETWEEN ly - 1 AND hy + 1 AND x BETWEEN lx - 1 AND hx + 1", "v", "y x", True)(
+    lambda t: render.crop_nonzero(t.med().where("plane = 0").select("y", "x", "v"), 0.03, 1)
+)
+query("oblique_views", None)(lambda t: render.views(t.med(), 2.0, 1.0))
+query("cuboid_render", None)(lambda t: render.cuboid(t.med(), (1.0, 1.0, 1.0), most=64, threshold=0.0))

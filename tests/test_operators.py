@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions import scalar, stats
-from stackloom.operators import features, gates, provenance, recon, register, volume
+from stackloom.operators import features, gates, provenance, recon, register, render, synthetic, volume
 from stackloom.sources import io
 from stackloom.streaming import ingest
 
@@ -182,3 +182,72 @@ def test_streamed_ingest(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values("x")
     assert isinstance(got, pd.DataFrame) and got["v"].tolist() == [1.0, 2.0]
+
+
+def turned(a, angle, axes, nearest=False):
+    """A slow rotation, one target voxel at a time."""
+    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    m = np.array([[c, s], [-s, c]])
+    n = np.array([a.shape[k] for k in axes])
+    corners = m @ np.array([[0, 0, n[0], n[0]], [0, n[1], 0, n[1]]])
+    size = (np.ptp(corners, axis=1) + 0.5).astype(int)
+    offset = (n - 1) / 2 - m @ ((size - 1) / 2)
+    shape = list(a.shape)
+    shape[axes[0]], shape[axes[1]] = size
+    out = np.zeros(shape)
+    for i in np.ndindex(*shape):
+        p = np.round(m @ np.array([i[axes[0]], i[axes[1]]]) + offset, 9)
+        if (p < 0).any() or (p > n - 1).any():
+            continue
+        low = np.floor(p + 0.5 if nearest else p).astype(int)
+        for dy, dx in [(0, 0)] if nearest else [(0, 0), (0, 1), (1, 0), (1, 1)]:
+            w = 1.0 if nearest else np.prod([f if d else 1 - f for d, f in zip((dy, dx), p - low, strict=True)])
+            at = list(i)
+            at[axes[0]], at[axes[1]] = low + (dy, dx)
+            out[i] += w * a[tuple(at)] if w else 0
+    return out
+
+
+@pytest.mark.parametrize(("angle", "axes", "nearest"), [(30, (1, 2), False), (-20, (0, 1), False), (90, (1, 2), False), (33, (0, 1), True), (0, (1, 2), True)])
+def test_rotation_equals_the_slow_one(spark, angle, axes, nearest):
+    a = np.random.default_rng(1).normal(size=(3, 4, 5))
+    names = ("plane", "y", "x")
+    got, shape = render.rotate(vol(spark, a), angle, tuple(names[k] for k in axes), nearest)
+    want = turned(a, angle, axes, nearest)
+    assert shape == want.shape
+    assert np.allclose(grid(got, shape), want)
+
+
+def test_views_and_cuboid(spark):
+    a = np.random.default_rng(2).uniform(size=(3, 4, 5))
+    v = vol(spark, a)
+    got = render.views(v, 1.0, 1.0, -20.0, 28.0).collect()
+    flat = lambda name: {(r["y"], r["x"]): r["v"] for r in got if r["view"] == name}
+    assert flat("axial") == {(y, x): a[:, y, x].max() for y in range(4) for x in range(5)}
+    assert flat("side").keys() == {(z, x) for z in range(3) for x in range(5)}
+    seen = turned(turned(a, -20.0, (1, 2)), 28.0, (0, 1)).max(0)
+    feet = turned(turned(np.ones_like(a), -20.0, (1, 2), True), 28.0, (0, 1), True).max(0) > 0
+    ys, xs = np.where(feet)
+    y0, x0 = max(0, ys.min() - 4), max(0, xs.min() - 4)
+    want = {(y - y0, x - x0): seen[y, x] if feet[y, x] else np.nan for y in range(y0, min(seen.shape[0], ys.max() + 5)) for x in range(x0, min(seen.shape[1], xs.max() + 5))}
+    oblique = flat("oblique")
+    assert oblique.keys() == want.keys() and all(np.isclose(oblique[k], want[k], equal_nan=True) for k in want)
+    c = render.cuboid(v, (1.0, 1.0, 1.0), 64, 0.0, 0.0, 0.0, 0.5, dilation=0).collect()
+    assert {(r["y"], r["x"]) for r in c} == {(y, x) for y in range(4 + 24) for x in range(5 + 24)}
+    inner = {(r["y"] - 12, r["x"] - 12): r for r in c if r["support"]}
+    light = np.cumprod(np.concatenate((np.ones((1, 4, 5)), np.exp(-0.5 * a)))[:3], 0)
+    assert inner.keys() == {(y, x) for y in range(4) for x in range(5)}
+    assert all(np.isclose(inner[y, x]["v"], (light * (1 - np.exp(-0.5 * a)) * a).sum(0)[y, x]) for y, x in inner)
+    assert {k for k, r in inner.items() if r["edge"]} == {(y, x) for y in range(4) for x in range(5) if y in (0, 3) or x in (0, 4)}
+
+
+def test_known_motion_is_recovered(spark):
+    ref = synthetic.reference((64, 64), 1)
+    assert np.array_equal(ref, synthetic.reference((64, 64), 1)) and ref.min() == 150 and np.isclose(ref.max(), 1950)
+    assert np.allclose(synthetic.displaced(ref, 3, -2)[8:-8, 8:-8], np.roll(ref, (3, -2), (0, 1))[8:-8, 8:-8])
+    got = {r["case"]: r for r in synthetic.evaluate(spark).collect()}
+    assert got["motion_with_outliers"]["passed"] and got["low_snr"]["passed"] is None
+    assert got["brightness_only"]["p95"] <= 0.5 and got["brightness_only"]["passed"] == (got["brightness_only"]["kept"] >= 0.9)
+    fixed = {r["case"]: r for r in synthetic.evaluate(spark, least_corr=0.95, most_error=0.2).collect()}
+    assert fixed["brightness_only"]["passed"] and fixed["brightness_only"]["kept"] == 1
+    assert [got[c]["frames"] for c in synthetic.CASES] == [48, 36, 36]
