@@ -138,3 +138,39 @@ def test_volumes_round_trip_with_spacing(spark, tmp_path):
 def test_spacing_of_other_files_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="no OME metadata"):
         tiff.physical_spacing(spark, stack(tmp_path / SESSION / "a.tif", images(12)))
+
+
+def test_a_run_is_made_whole_and_every_damage_is_found(spark, tmp_path):
+    import json
+
+    from stackloom.plans.run import reconstruct
+    from stackloom.sources import bundle
+
+    im = images(12)
+    path = stack(tmp_path / SESSION / "a.tif", im)
+    run = reconstruct(spark, path, str(tmp_path / "runs"), channel=3, stride=1)
+    assert bundle.validate(spark, run).collect() == []
+    got = np.zeros((3, 4, 5))
+    for r in tiff.volume(spark, f"{run}/volume/median.ome.tif").collect():
+        got[r["plane"], r["y"], r["x"]] = r["v"]
+    want = np.stack([np.median([im[4 * p + 1], im[4 * p + 3]], 0) for p in range(3)])
+    assert np.array_equal(got, want)
+    arrays = bundle.read_arrays(f"{run}/figures/fig_mean_projections.npz")
+    assert np.allclose(arrays["mean_xy"], want.mean(0)) and np.allclose(arrays["mean_xz"], want.mean(1))
+    with pytest.raises(FileExistsError):
+        bundle.write_json(f"{run}/analysis_manifest.json", {})
+    with pytest.raises(Exception, match="ome.tif"):
+        reconstruct(spark, path, str(tmp_path / "runs"), channel=3, stride=1)
+    with pytest.raises(ValueError, match="name one"):
+        reconstruct(spark, path, str(tmp_path / "runs"))
+    root = tmp_path / "runs" / run.rsplit("/", 1)[1]
+    manifest = json.loads((root / "analysis_manifest.json").read_text())
+    manifest["outputs"].append({"path": "../elsewhere", "size_bytes": 1, "sha256": "x"})
+    del manifest["title"]
+    (root / "analysis_manifest.json").write_text(json.dumps(manifest))
+    (root / "figures" / "fig_mean_projections.png").unlink()
+    (root / "figures" / "fig_mean_projections.npz").write_bytes(b"other")
+    errors = {(r["path"], r["error"]) for r in bundle.validate(spark, run).collect()}
+    assert {("analysis_manifest.json", "lacks title"), ("../elsewhere", "escapes the run"), ("figures/fig_mean_projections.json", "plotted data hash"), ("figures/fig_mean_projections.png", "missing")} <= errors
+    assert any(p == "figures/fig_mean_projections.npz" and "hash" in e for p, e in errors)
+    assert [tuple(r) for r in bundle.validate(spark, str(tmp_path)).collect()] == [("analysis_manifest.json", "missing")]
