@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from stackloom.functions import scalar, stats
 from stackloom.operators import features, gates, provenance, recon, register, render, synthetic, volume
-from stackloom.runtime import ship
-from stackloom.sources import io
+from stackloom.runtime import scratch, ship
+from stackloom.sources import io, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -479,3 +479,14 @@ query("crop_nonzero", "SELECT y - greatest(ly - 1, 0) AS y, x - greatest(lx - 1,
 )
 query("oblique_views", None)(lambda t: render.views(t.med(), 2.0, 1.0))
 query("cuboid_render", None)(lambda t: render.cuboid(t.med(), (1.0, 1.0, 1.0), most=64, threshold=0.0))
+
+# --- files ---------------------------------------------------------------------------------------------------------------
+
+
+def _ome(t: Tables) -> DataFrame:
+    made = tiff.write_volumes(t.med().withColumn("scan_id", F.lit("median")), scratch(t.spark), (2.0, 0.5, 0.5)).head()["path"]
+    z, y, x = tiff.physical_spacing(t.spark, made)
+    return tiff.volume(t.spark, made).select((F.col("plane") * z).alias("z_um"), (F.col("y") * y).alias("y_um"), (F.col("x") * x).alias("x_um"), "v")
+
+
+query("ome_round_trip", "SELECT plane * 2.0::DOUBLE AS z_um, y * 0.5::DOUBLE AS y_um, x * 0.5::DOUBLE AS x_um, v::FLOAT::DOUBLE AS v FROM med", "z_um y_um x_um v", "", True)(_ome)

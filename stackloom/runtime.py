@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,3 +43,13 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(buffer.getvalue())
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one only in one process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="stackloom-")
+    return f"{base.rstrip('/')}/stackloom/{uuid.uuid4().hex}"
