@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the small side of a join is broadcast; it is counted first, beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
+#: The same for the elements of all its arrays, where it has any.
+BROADCAST_CELLS = 4_000_000
 #: The name of an id that is joined to a table whose columns are not known.
 ID = "__stackloom_id"
 
@@ -66,9 +68,9 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks a written table for broadcast if its counted rows are few; otherwise leaves the join to shuffle."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int | None = None, cells: int = 0) -> DataFrame:
+    """Marks a written table for broadcast if its counted rows, and elements of arrays, are few; otherwise leaves the join to shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS and cells <= BROADCAST_CELLS else df
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:

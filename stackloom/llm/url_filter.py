@@ -56,6 +56,7 @@ class DigestArray:
     blob: np.ndarray
     values: np.ndarray
     lengths: list[int]  # of the paths in the list
+    reach: int  # length of the longest host in the list
 
     def find(self, names: list[bytes]) -> np.ndarray:
         """For each name the entry's verdict, or -1; equal digests are told apart by the stored text."""
@@ -81,7 +82,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def store(spark: SparkSession, entries: Iterable[tuple[str, str, int]]) -> str:
     """Writes a digest array of (host, path, value) to the shared folder and returns where it is."""
-    entries = sorted({(xxhash.xxh64_intdigest((h + p).encode()), (h + p).encode(), int(v), len(p)) for h, p, v in entries})
+    entries = sorted({(xxhash.xxh64_intdigest((h + p).encode()), (h + p).encode(), int(v), len(p), len(h)) for h, p, v in entries})
     root = f"{shared_dir(spark)}/stackloom/urls-{uuid.uuid4().hex}"
     fs, path = _filesystem(root)
     fs.create_dir(path, recursive=True)
@@ -95,7 +96,7 @@ def store(spark: SparkSession, entries: Iterable[tuple[str, str, int]]) -> str:
         with fs.open_output_stream(f"{path}/{name}") as f:
             f.write(a.tobytes())
     with fs.open_output_stream(f"{path}/lengths") as f:
-        f.write(json.dumps(sorted({e[3] for e in entries})).encode())
+        f.write(json.dumps({"lengths": sorted({e[3] for e in entries}), "reach": max((e[4] for e in entries), default=0)}).encode())
     return root
 
 
@@ -112,15 +113,20 @@ def load(root: str) -> DigestArray:
             return np.frombuffer(f.read(), kind)
 
     with fs.open_input_stream(f"{path}/lengths") as f:
-        lengths = json.loads(f.read())
-    return DigestArray(array("keys", np.uint64), array("ends", np.int64), array("blob", np.uint8), array("values", np.int64), lengths)
+        found = json.loads(f.read())
+    return DigestArray(array("keys", np.uint64), array("ends", np.int64), array("blob", np.uint8), array("values", np.int64), found["lengths"], found["reach"])
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
-    """Host suffixes by path prefixes of the given lengths, longest first; of equal lengths the longer host first."""
+def candidates(host: str, path: str, lengths: list[int], reach: int) -> list[tuple[str, str]]:
+    """Host suffixes of at most ``reach`` characters by path prefixes of the given lengths, longest first; of equal lengths the longer host first.
+
+    The limit bounds the work of a host of very many labels; a longer suffix is not in the list.
+    """
     if not host:
         return []
-    labels = host.split(".")
+    labels = host[-reach - 1 :].split(".")
+    if len(host) > reach:  # the first one is cut, or its suffix is too long
+        labels = labels[1:]
     hosts = [".".join(labels[i:]) for i in range(len(labels))]
     out = [(h, path[:n]) for h in hosts for n in lengths if n <= len(path)]
     return sorted(out, key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))
@@ -144,7 +150,7 @@ def judge(pages: DataFrame, rules=RULES, blocked: Iterable[str] = BLOCKED_HOSTS)
             for index, first in ((by_host, False), (by_rule, True)):
                 names, owner = [], []
                 for i, (h, p) in enumerate(parts):
-                    for x in candidates(h, p, index.lengths):
+                    for x in candidates(h, p, index.lengths, index.reach):
                         names.append(x[0] + x[1])
                         owner.append(i)
                 seen = -1

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stackloom.llm import decontaminate, fingerprints, jaccard_join, language_id, license_scan, mixing, pii, quality, registry, url_filter, warc
+from stackloom.llm import common, decontaminate, fingerprints, jaccard_join, language_id, license_scan, mixing, pii, quality, registry, url_filter, warc
 from stackloom.llm import textkernels as tk
 from stackloom.llm.common import Scratch
 from stackloom.llm.graph import components
@@ -192,7 +192,7 @@ def test_edited_texts(spark, monkeypatch, rows):
 
 
 def test_url_rules_equal_brute_force(spark):
-    urls = ["http://A.Example.COM/en/7x?q", "https://example.com/en/8", "http://x.net/de/", "http://b.example.net/de/81", "http://org/es/", "http://spam-farm.example.org", "http://notspam-farm.example.org/a", None, "no scheme", "http://", "ftp://u@h.org#/es/", "://com/en/", "http://ex.com:80/en/", "a://b://com/en/"]
+    urls = ["http://A.Example.COM/en/7x?q", "https://example.com/en/8", "http://x.net/de/", "http://b.example.net/de/81", "http://org/es/", "http://spam-farm.example.org", "http://notspam-farm.example.org/a", None, "no scheme", "http://", "ftp://u@h.org#/es/", "://com/en/", "http://ex.com:80/en/", "a://b://com/en/", "http://" + "a." * 50_000 + "example.com/en/7", "http://" + "a" * 50_000 + "com/en/", "http://xspam-farm.example.org/"]
     d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").unionByName(real(spark, "pages").select(F.col("page_id") + 1000, "url").toDF("page_id", "url"))
     rules = {h + p: (h, p, v) for h, p, v in url_filter.RULES}
     for r in url_filter.judge(d).join(d, "page_id").collect():
@@ -206,13 +206,21 @@ def test_url_rules_equal_brute_force(spark):
 
 def test_digest_collisions_are_told_apart():
     keys = np.array([5, 5, 9], np.uint64)
-    a = url_filter.DigestArray(keys, np.array([1, 2, 3]), np.frombuffer(b"abc", np.uint8), np.array([0, 1, 1]), [0])
+    a = url_filter.DigestArray(keys, np.array([1, 2, 3]), np.frombuffer(b"abc", np.uint8), np.array([0, 1, 1]), [0], 1)
     mine = pytest.MonkeyPatch()
     mine.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: {b"a": 5, b"b": 5, b"z": 5, b"c": 9}.get(x, 1))
     assert a.find([b"b", b"a", b"z", b"c", b"q"]).tolist() == [1, 0, -1, 1, -1]
     mine.undo()
 
 
+def test_host_suffixes_are_those_that_fit_the_list():
+    for host in ("", "com", "a.com", "ab.c.com", ".com", "com.", "a..com", "abcdefg.com"):
+        for reach in range(1, 12):
+            every = {host[i:] for i in range(len(host)) if i == 0 or host[i - 1] == "."}
+            got = {h for h, _ in url_filter.candidates(host, "/x", [0, 2], reach)} - {""}
+            assert got == {h for h in every if len(h) <= reach} - {""}, (host, reach)
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0
 
@@ -280,7 +288,9 @@ def test_pii_masks_and_accounts(spark):
     assert got["text"] == "[EMAIL] x" and got["n_chars"] == 9
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("cells", [4_000_000, 10])
+def test_leaks_equal_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(common, "BROADCAST_CELLS", cells)
     items = [(i, " ".join(words(n, 50 + i))) for i, n in enumerate([14, 20, 37, 59, 3, 5])]
     rows = []
     for k in range(60):
