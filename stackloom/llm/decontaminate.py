@@ -1,8 +1,8 @@
 """Benchmark decontamination, in DataFrame expressions only.
 
-A window of a document is as long as the item it is compared with. Windows are placed where a document shares a shingle
-with an item (a window of the needed similarity shares shingles, so none is lost), and a document is kept only for
-the items of which it has shingles enough. SimHash fingerprints of windows and items are split into RADIUS + 1 blocks:
+A window of a document is as long as the item it is compared with. The shingles that a document shares with an item are
+counted at every start of a window, in whatever order they stand: each adds one over a range of starts, so the sums at
+the ends of the ranges give those of all starts. Windows are placed at the starts that reach the similarity. SimHash fingerprints of windows and items are split into RADIUS + 1 blocks:
 two within the radius agree in a block, so a join on blocks finds them all. What remains is verified exactly:
 the share of the item's shingles, by weight, that the window has.
 """
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from stackloom.llm.common import ID, Scratch, keep, small
 from stackloom.llm.native import grams, hashes, let, words
 
-#: Words of a shingle, least similarity, Hamming radius of 64 bits, and how far windows move around a shared shingle.
-K, LEAST, RADIUS, SLACK = 5, 0.8, 15, 2
+#: Words of a shingle, least similarity and Hamming radius of 64 bits.
+K, LEAST, RADIUS = 5, 0.8, 15
+#: A row of the documents (rows may share an id), and an item with its length, shingles and fingerprint.
+ROW = ["doc_id", "digest", "item_id", "len", "m", "ifp", "item_digest"]
 _BITS = 64 // (RADIUS + 1)
 
 
@@ -51,6 +53,24 @@ def overlap(window: Column, item: Column) -> Column:
     return shared / F.size(item)
 
 
+def coverage(parts: DataFrame, least: float) -> DataFrame:
+    """The columns of ROW, start and shared (weight of the item's shingles that the window at that start has), where that is enough.
+
+    ``parts`` holds ROW, the shingle, its weight in the item and a position in the document. A shingle counts in a window
+    as often as the item has it: one at p, whose repeat that many places before is at q, counts for the starts from
+    q + 1, or where the window ends with it, to p. Sums change at the ends of these ranges only, and a best window,
+    the first of equal ones, is where one begins.
+    """
+    of_row = Window.partitionBy(*ROW)
+    at = parts.groupBy(*ROW, "shingle", "weight").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    at = at.withColumn("total", F.sum(F.least(F.size("ps"), F.col("weight"))).over(of_row)).where(F.col("total") / F.col("m") >= least)
+    at = at.select(*ROW, "weight", "ps", F.posexplode("ps").alias("i", "p")).withColumn("q", F.get("ps", F.col("i") - F.col("weight").cast("int")))
+    first = F.greatest(F.lit(0), F.col("p") - (F.col("len") - F.least("len", F.lit(K))), F.coalesce(F.col("q") + 1, F.lit(0)))
+    ends = at.select(*ROW, F.explode(F.array(F.struct(first.alias("start"), F.lit(1).alias("n")), F.struct((F.col("p") + 1).alias("start"), F.lit(-1).alias("n")))).alias("e"))
+    sums = ends.groupBy(*ROW, F.col("e.start").alias("start")).agg(F.sum("e.n").alias("n"))
+    return sums.withColumn("shared", F.sum("n").over(of_row.orderBy("start"))).where(F.col("shared") / F.col("m") >= least).drop("n")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, start and words (of the window, in words), hamming, similarity: the best window of each pair that reaches ``least``.
 
@@ -64,21 +84,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
         items = scratch.save(items)
         n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         sizes = sorted(r[0] for r in items.select(F.least("len", F.lit(K))).distinct().collect())
-        anchors = scratch.save(items.select("item_id", "len", F.size("ish").alias("m"), F.posexplode("ish").alias("offset", "shingle")))
+        anchors = scratch.save(items.select("item_id", "len", F.size("ish").alias("m"), "ifp", F.xxhash64("ih").alias("item_digest"), F.explode("ish").alias("shingle")).groupBy(*ROW[2:], "shingle").agg(F.count("*").alias("weight")))
         d = docs.select(F.col("doc_id").cast("long"), "text")
         parts = None
         for k in sizes:  # one pass where no item has fewer than five words
-            p = d.select("doc_id", F.posexplode(rolled(F.col("text"), k)).alias("pos", "shingle")).join(small(anchors.where(F.least("len", F.lit(K)) == k)), "shingle")
+            p = d.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(rolled(F.col("text"), k)).alias("pos", "shingle")).join(small(anchors.where(F.least("len", F.lit(K)) == k)), "shingle")
             parts = p if parts is None else parts.unionByName(p)
         if parts is None:
             return keep(spark.createDataFrame([], "doc_id long, item_id long, start int, words int, hamming int, similarity double"))
-        found = parts.groupBy("doc_id", "item_id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("hits"), F.first("m").alias("m"))
-        # a window of the needed similarity holds that share of the item's shingles, so the document does
-        total = F.sum("hits").over(Window.partitionBy("doc_id", "item_id"))
-        found = found.withColumn("total", total).where(F.col("total") >= F.lit(least) * F.col("m"))
-        starts = found.groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-        near = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(s - SLACK, s + SLACK), lambda x: F.greatest(x, F.lit(0))))))
-        pairs = scratch.save(starts.select(F.col("doc_id").alias("doc_id_"), "item_id", near.alias("starts")))
+        starts = coverage(parts, least).groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
+        pairs = scratch.save(starts.select(F.col("doc_id").alias("doc_id_"), "item_id", "starts"))
         n_pairs, n_starts = pairs.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
         at = d.join(small(pairs, n_pairs, n_starts), F.col("doc_id").eqNullSafe(F.col("doc_id_"))).join(small(items, n_items, 2 * n_words), "item_id")
         at = at.withColumn("h", hashes(words(F.col("text")))).select("doc_id", "item_id", "len", "ish", "ifp", "h", F.explode("starts").alias("start"))

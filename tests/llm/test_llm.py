@@ -321,6 +321,47 @@ def test_leaks_equal_brute_force(spark, monkeypatch, cells):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def best_windows(rows, items):
+    """The first best window of each pair that reaches 0.8, over all starts."""
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        for i, it in items:
+            g, n = grams(it.split()), len(it.split())
+            best, at = max((sum((grams(w[s : s + n]) & g).values()), -s) for s in range(len(w) - min(n, len(w)) + 1))
+            if best / sum(g.values()) >= 0.8:
+                want[d, i] = (-at, round(best / sum(g.values()), 9))
+    return want
+
+
+def found_windows(spark, rows, items):
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 9)) for r in got.collect()}
+
+
+def test_leaks_of_reordered_items(spark):
+    items = [(i, " ".join(words(n, 150 + i))) for i, n in enumerate([40, 60, 100, 100])]
+    items.append((4, " ".join(words(12, 170) * 2 + words(30, 171))))
+    rows = []
+    for i, t in items:
+        w, p = words(300, 700 + i), t.split()
+        for cut in (len(p) // 2, len(p) // 3, len(p) // 4, len(p) - 12):
+            for at in (0, 90, 300):
+                rows.append((len(rows), " ".join(w[:at] + p[cut:] + p[:cut] + w[at:])))
+    want = best_windows(rows, items)
+    assert len(want) == 60 and found_windows(spark, rows, items) == want
+
+
+def test_rows_of_one_id_are_not_joined(spark):
+    p = words(40, 160)
+    items = spark.createDataFrame([(0, " ".join(p))], "item_id long, text string")
+    halves = [" ".join(words(30, 161) + p[:24]), " ".join(p[16:] + words(30, 162))]
+    for i in (1, None):
+        assert count(decontaminate.leaks(spark.createDataFrame([(i, h) for h in halves], "doc_id long, text string"), items)) == 0
+        assert count(decontaminate.leaks(spark.createDataFrame([(i, h) for h in [*halves, " ".join(p)]], "doc_id long, text string"), items)) == 1
+
+
 def test_queries_and_pipeline(spark):
     assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in [(1, "language_id"), (2, "license_scan"), (3, "source_mix"), (4, "warc"), (5, "fingerprints"), (6, "url_filter"), (7, "jaccard_join"), (8, "pii"), (9, "decontamination"), (10, "quality")])
     docs = real(spark, "documents")
