@@ -1,10 +1,10 @@
 """Benchmark decontamination, in DataFrame expressions only.
 
-A window of a document is as long as the item it is compared with. The shingles that a document shares with an item are
-counted at every start of a window, in whatever order they stand: each adds one over a range of starts, so the sums at
-the ends of the ranges give those of all starts. Windows are placed at the starts that reach the similarity. SimHash fingerprints of windows and items are split into RADIUS + 1 blocks:
-two within the radius agree in a block, so a join on blocks finds them all. What remains is verified exactly:
-the share of the item's shingles, by weight, that the window has.
+A window of a document is as long as the item it is compared with; its similarity is the share of the item's shingles,
+by weight, that it has. The shingles that a document shares with an item are counted at every start of a window, in
+whatever order they stand: each adds one over a range of starts, so the sums at the ends of the ranges give those of
+all starts. That is exact, so no filter by SimHash distance comes before it: an item cut at an end within a longer
+document can be at any distance. The distance of the best window is computed for those found, and reported.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from stackloom.llm.common import ID, Scratch, keep, small
 from stackloom.llm.native import grams, hashes, let, words
 
-#: Words of a shingle, least similarity and Hamming radius of 64 bits.
-K, LEAST, RADIUS = 5, 0.8, 15
+#: Words of a shingle and least similarity.
+K, LEAST = 5, 0.8
 #: A row of the documents (rows may share an id), and an item with its length, shingles and fingerprint.
 ROW = ["doc_id", "digest", "item_id", "len", "m", "ifp", "item_digest"]
-_BITS = 64 // (RADIUS + 1)
 
 
 def shingles(h: Column, k: int = K) -> Column:
@@ -41,18 +40,6 @@ def simhash(h: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
-def blocks(fingerprint: Column) -> Column:
-    """(number, bits) of the RADIUS + 1 blocks of a fingerprint."""
-    return F.transform(F.sequence(F.lit(0), F.lit(RADIUS)), lambda i: F.struct(i.alias("i"), F.call_function("shiftright", fingerprint, i * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1)).alias("v")))
-
-
-def overlap(window: Column, item: Column) -> Column:
-    """The share of the item's shingles, with their weights (how often they occur), that the window has."""
-    count = lambda a, s: F.size(F.filter(a, lambda x: x == s))
-    shared = F.aggregate(F.array_distinct(item), F.lit(0), lambda n, s: n + F.least(count(window, s), count(item, s)))
-    return shared / F.size(item)
-
-
 def coverage(parts: DataFrame, least: float) -> DataFrame:
     """The columns of ROW, start and shared (weight of the item's shingles that the window at that start has), where that is enough.
 
@@ -80,11 +67,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         items = benchmark.select(F.col("item_id").cast("long"), hashes(words(F.col("text"))).alias("ih"))
-        items = items.where(F.size("ih") > 0).select("item_id", "ih", F.size("ih").alias("len"), shingles(F.col("ih")).alias("ish"), simhash(F.col("ih")).alias("ifp"))
+        items = items.where(F.size("ih") > 0).select("item_id", F.xxhash64("ih").alias("item_digest"), F.size("ih").alias("len"), shingles(F.col("ih")).alias("ish"), simhash(F.col("ih")).alias("ifp"))
         items = scratch.save(items)
-        n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         sizes = sorted(r[0] for r in items.select(F.least("len", F.lit(K))).distinct().collect())
-        anchors = scratch.save(items.select("item_id", "len", F.size("ish").alias("m"), "ifp", F.xxhash64("ih").alias("item_digest"), F.explode("ish").alias("shingle")).groupBy(*ROW[2:], "shingle").agg(F.count("*").alias("weight")))
+        anchors = scratch.save(items.select("item_id", "len", F.size("ish").alias("m"), "ifp", "item_digest", F.explode("ish").alias("shingle")).groupBy(*ROW[2:], "shingle").agg(F.count("*").alias("weight")))
         d = docs.select(F.col("doc_id").cast("long"), "text")
         parts = None
         for k in sizes:  # one pass where no item has fewer than five words
@@ -92,22 +78,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
             parts = p if parts is None else parts.unionByName(p)
         if parts is None:
             return keep(spark.createDataFrame([], "doc_id long, item_id long, start int, words int, hamming int, similarity double"))
-        starts = coverage(parts, least).groupBy("doc_id", "item_id").agg(F.collect_set("start").alias("starts"))
-        pairs = scratch.save(starts.select(F.col("doc_id").alias("doc_id_"), "item_id", "starts"))
-        n_pairs, n_starts = pairs.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
-        at = d.join(small(pairs, n_pairs, n_starts), F.col("doc_id").eqNullSafe(F.col("doc_id_"))).join(small(items, n_items, 2 * n_words), "item_id")
-        at = at.withColumn("h", hashes(words(F.col("text")))).select("doc_id", "item_id", "len", "ish", "ifp", "h", F.explode("starts").alias("start"))
-        at = at.select("doc_id", "item_id", "len", "ish", "ifp", "start", F.slice("h", F.col("start") + 1, F.col("len")).alias("w")).where(F.size("w") > 0)
-        at = scratch.save(at.select("doc_id", "item_id", "len", "ish", "ifp", "start", simhash(F.col("w")).alias("wfp"), shingles(F.col("w")).alias("wsh")))
-        # multi-index: pairs that agree in a block of the fingerprint
-        of_items = items.select(F.col("item_id").alias("item"), F.explode(blocks(F.col("ifp"))).alias("b")).select("item", F.col("b.i").alias("bi"), F.col("b.v").alias("bv"))
-        of_windows = at.select("doc_id", "item_id", "start", F.explode(blocks(F.col("wfp"))).alias("b"))
-        agree = of_windows.join(small(of_items, n_items * (RADIUS + 1)), (F.col("item_id") == F.col("item")) & (F.col("b.i") == F.col("bi")) & (F.col("b.v") == F.col("bv")))
-        agree = agree.groupBy("doc_id", "item_id", "start").agg(F.count("*").alias("agreeing"))
-        agree = agree.select(F.col("doc_id").alias("d_"), F.col("item_id").alias("i_"), F.col("start").alias("s_"))
-        at = at.join(agree, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("item_id") == F.col("i_")) & (F.col("start") == F.col("s_")), "left_semi")
-        at = at.withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp")))).where(F.col("hamming") <= RADIUS)
-        at = at.withColumn("similarity", overlap(F.col("wsh"), F.col("ish"))).where(F.col("similarity") >= least)
+        best = coverage(parts, least).groupBy(*ROW).agg(F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("x"))
+        best = scratch.save(best.select(F.col("doc_id").alias("doc_id_"), F.col("digest").alias("digest_"), *ROW[2:], (-F.col("x.back")).alias("start"), (F.col("x.shared") / F.col("m")).alias("similarity")))
+        at = d.withColumn("digest", F.xxhash64("text")).join(small(best), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("digest") == F.col("digest_")))
+        window = simhash(F.slice(hashes(words(F.col("text"))), F.col("start") + 1, F.col("len")))
+        at = at.withColumn("hamming", F.bit_count(window.bitwiseXOR(F.col("ifp"))))
         best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("len"), (-F.col("hamming")).alias("h"))).alias("x")
         out = at.groupBy("doc_id", "item_id").agg(best)
         return keep(out.select("doc_id", "item_id", (-F.col("x.back")).alias("start"), F.col("x.len").alias("words"), (-F.col("x.h")).alias("hamming"), F.col("x.similarity").alias("similarity")))

@@ -329,6 +329,8 @@ def best_windows(rows, items):
         w = t.split()
         for i, it in items:
             g, n = grams(it.split()), len(it.split())
+            if not grams(w) & g:
+                continue
             best, at = max((sum((grams(w[s : s + n]) & g).values()), -s) for s in range(len(w) - min(n, len(w)) + 1))
             if best / sum(g.values()) >= 0.8:
                 want[d, i] = (-at, round(best / sum(g.values()), 9))
@@ -353,6 +355,17 @@ def test_leaks_of_reordered_items(spark):
     assert len(want) == 60 and found_windows(spark, rows, items) == want
 
 
+def test_leaks_of_items_cut_at_an_end(spark):
+    items = [(i, " ".join(words(n, 1000 + i))) for i, n in enumerate([20, 30, 50, 100] * 30)]
+    rows = []
+    for i, t in items:
+        w, p = words(240, 2000 + i), t.split()
+        gone = (len(p) - 4) // 5
+        rows.append((i, " ".join(w[:120] + (p[gone:] if i % 8 < 4 else p[:-gone]) + w[120:])))
+    want = best_windows(rows, items)
+    assert len(want) == len(items) and found_windows(spark, rows, items) == want
+
+
 def test_rows_of_one_id_are_not_joined(spark):
     p = words(40, 160)
     items = spark.createDataFrame([(0, " ".join(p))], "item_id long, text string")
