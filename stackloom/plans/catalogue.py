@@ -41,6 +41,10 @@ class Tables:
     def med(self) -> DataFrame:
         return recon.median_volume(self.vox())
 
+    def all_vox(self) -> DataFrame:
+        """Voxels of all rows, also where planes differ in their number of frames."""
+        return recon.voxels(io.ragged(self.embeddings, "label", "vec_id", "embedding"), WIDTH)
+
 
 def tidy(df: DataFrame) -> DataFrame:
     def one(name: str, kind: str) -> Column:
@@ -55,6 +59,10 @@ STACK = """fr AS (SELECT label::BIGINT AS plane, embedding, row_number() OVER (P
 nf AS (SELECT min(c) AS f FROM (SELECT count(*) AS c FROM embeddings GROUP BY label)),
 vox AS (SELECT plane, local_index, px // 8 AS y, px % 8 AS x, v FROM (SELECT plane, local_index, unnest(generate_series(0, 63)) AS px, unnest(embedding)::DOUBLE AS v FROM fr, nf WHERE local_index < f)),
 med AS (SELECT plane, y, x, median(v) AS v FROM vox GROUP BY ALL)"""
+# the same without the cut to the shortest plane
+ALL_STACK = """fr AS (SELECT label::BIGINT AS plane, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS local_index FROM embeddings),
+vox AS (SELECT plane, local_index, px // 8 AS y, px % 8 AS x, v FROM (SELECT plane, local_index, unnest(generate_series(0, 63)) AS px, unnest(embedding)::DOUBLE AS v FROM fr)),
+med AS (SELECT plane, y, x, median(v) AS v FROM vox GROUP BY ALL)"""
 # correlation by moments, so that constants give NaN
 CORR = "CASE WHEN stddev_pop({a}) > 1e-12 AND stddev_pop({b}) > 1e-12 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) ELSE 'NaN'::DOUBLE END"
 
@@ -102,9 +110,13 @@ PQ = dict(d="corr_min corr_p05 corr_median corr_p95 threshold frame_mean_cv medi
 
 query("median_volume", "SELECT * FROM med", "v", "plane y x", True)(lambda t: t.med())
 query("mean_volume", "SELECT plane, y, x, avg(v) AS v FROM vox GROUP BY ALL", "v", "plane y x", True)(lambda t: recon.mean_volume(t.vox()))
+query("median_volume_all", "SELECT * FROM med", "v", "plane y x", ctes=ALL_STACK)(lambda t: recon.median_volume(t.all_vox()))
+query("mean_volume_all", "SELECT plane, y, x, avg(v) AS v FROM vox GROUP BY ALL", "v", "plane y x", ctes=ALL_STACK)(lambda t: recon.mean_volume(t.all_vox()))
 query("discard_mean", "SELECT plane, y, x, avg(v) AS v FROM vox WHERE local_index >= 3 GROUP BY ALL", "v", "plane y x", True)(lambda t: recon.mean_volume(t.vox(), 3))
 query("frame_qc", f"SELECT f.*, t.threshold, f.corr < t.threshold AS low FROM fs f JOIN {_bound('fs', 1.0)} t USING (plane)", "corr frame_mean threshold", "plane local_index", True, FQ)(lambda t: recon.frame_qc(t.vox(), 1.0))
 query("plane_qc", _plane_qc_sql("fs"), **PQ)(lambda t: recon.plane_qc(t.vox(), 1.0))
+query("frame_qc_all", f"SELECT f.*, t.threshold, f.corr < t.threshold AS low FROM fs f JOIN {_bound('fs', 1.0)} t USING (plane)", "corr frame_mean threshold", "plane local_index", ctes=f"{ALL_STACK}, {FQ}")(lambda t: recon.frame_qc(t.all_vox(), 1.0))
+query("plane_qc_all", _plane_qc_sql("fs"), **(PQ | dict(stack=False, ctes=f"{ALL_STACK}, {FQ}")))(lambda t: recon.plane_qc(t.all_vox(), 1.0))
 query("plane_qc_strided", _plane_qc_sql("fs2"), **PQ)(lambda t: recon.plane_qc(t.vox(), 1.0, 2))
 
 

@@ -52,9 +52,13 @@ def union_rows(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def ragged(rows: DataFrame, plane: str, order: str, pixels: str) -> DataFrame:
+    """Frames (plane, local_index, pixels) of all rows of each plane, however many it has."""
+    w = Window.partitionBy(plane).orderBy(order)
+    return rows.select(F.col(plane).cast("long").alias("plane"), (F.row_number().over(w) - 1).cast("long").alias("local_index"), F.col(pixels).alias("pixels"))
+
+
 def rectangular(rows: DataFrame, plane: str, order: str, pixels: str) -> DataFrame:
     """Frames (plane, local_index, pixels) of ragged planes, cut to the length of the shortest."""
     n = rows.groupBy(plane).count().agg(F.min("count").alias("n_"))
-    w = Window.partitionBy(plane).orderBy(order)
-    f = rows.select(F.col(plane).cast("long").alias("plane"), (F.row_number().over(w) - 1).cast("long").alias("local_index"), F.col(pixels).alias("pixels"))
-    return f.join(F.broadcast(n)).where("local_index < n_").drop("n_")  # one row
+    return ragged(rows, plane, order, pixels).join(F.broadcast(n)).where("local_index < n_").drop("n_")  # one row

@@ -43,6 +43,13 @@ def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_all_queries_use_every_row(spark, duck):
+    rows = dict(duck.sql("SELECT label::BIGINT, count(*) FROM embeddings GROUP BY 1").fetchall())
+    assert len(set(rows.values())) > 1
+    assert {r["plane"]: r["frames"] for r in QUERIES["plane_qc_all"](spark, DATA).collect()} == rows
+    assert QUERIES["frame_qc_all"](spark, DATA).count() == sum(rows.values())
+
+
 def test_entry_works_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT / "stackloom", tmp_path / "stackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
