@@ -31,6 +31,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
 _VALUE = re.compile(r"(?:[ \t]*[:=#][ \t]*|[ \t]+)[\"']?([A-Za-z0-9_-]{16,})")
+# what may stand between the cue of an account and its value, an IBAN in one run or in groups of four, and grouped digits
+_LABEL = re.compile(r"(?:[ \t]+(?:number|no|nr)\b\.?)?(?:[ \t]*[:=#][ \t]*|[ \t]+)[\"']?", re.IGNORECASE)
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"[0-9]{2,}(?:[ -][0-9]{2,})*(?![A-Za-z0-9])")
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])")
+ACCOUNT_DIGITS = (8, 34)
 
 
 @cache
@@ -60,6 +66,23 @@ def _iban(value: str) -> bool:
     return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", v)) and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _account(text: str, at: int, numbers: bool) -> tuple[int, int] | None:
+    """The span of an IBAN, longest first, or, with ``numbers``, of a number of 8 to 34 digits, that follows a cue's end."""
+    start = m.end() if (m := _LABEL.match(text, at)) else None
+    if start is None:
+        return None
+    if m := _IBAN.match(text, start):
+        value = m.group()
+        while value:
+            if _iban(value.replace(" ", "")):
+                return start, start + len(value)
+            value = value.rpartition(" ")[0]
+    if numbers and not _DATE.match(text, start) and (m := _NUMBER.match(text, start)):
+        if ACCOUNT_DIGITS[0] <= sum(c.isdigit() for c in m.group()) <= ACCOUNT_DIGITS[1]:
+            return start, m.end()
+    return None
+
+
 def find(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, end exclusive, by start and then kind; spans of one kind don't overlap.
 
@@ -106,11 +129,17 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
             if done["url"] <= s < at and (m := _USERINFO.match(text, at + 3)):
                 done["url"] = m.end()
                 out.append((s, "url", m.end()))
-        elif at >= done["account"] and (m := _VALUE.match(text, end + 1)):
-            value = m.group(1)
-            if _iban(value) if text[at : end + 1].lower() == "iban" else any(c.isdigit() for c in value):
-                done["account"] = m.end()
-                out.append((m.start(1), "account", m.end()))
+        elif at >= done["account"]:
+            cue, span = text[at : end + 1].lower(), None
+            if m := _VALUE.match(text, end + 1):
+                value = m.group(1)
+                if _iban(value) if cue == "iban" else any(c.isdigit() for c in value):
+                    span = m.start(1), m.end()
+            if span is None and cue in ("account", "iban"):
+                span = _account(text, end + 1, cue == "account")
+            if span:
+                done["account"] = span[1]
+                out.append((span[0], "account", span[1]))
     out.sort(key=lambda x: (x[0], KINDS.index(x[1])))
     return out
 

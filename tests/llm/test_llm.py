@@ -288,6 +288,20 @@ def test_pii_masks_and_accounts(spark):
     assert got["text"] == "[EMAIL] x" and got["n_chars"] == 9
 
 
+def test_pii_ordinary_accounts():
+    for text, masked in [
+        ("account: 12345678", "account: [ACCOUNT]"),
+        ("Account number: 1234 5678 90, thanks", "Account number: [ACCOUNT], thanks"),
+        ("account no. 123456789012.", "account no. [ACCOUNT]."),
+        ("IBAN: DE89 3704 0044 0532 0130 00 due", "IBAN: [ACCOUNT] due"),
+        ("iban NO9386011117947", "iban [ACCOUNT]"),
+        ("account GB82 WEST 1234 5698 7654 32", "account [ACCOUNT]"),
+    ]:
+        assert pii.mask(text) == masked
+    for text in ("account 1234567", "account since 2019", "account 2024-01-15", "account 12345678x", "IBAN: DE89 3704 0044 0532 0130 01", "iban 12345678", "token 12345678"):
+        assert pii.mask(text) == text
+
+
 @pytest.mark.parametrize("cells", [4_000_000, 10])
 def test_leaks_equal_brute_force(spark, monkeypatch, cells):
     monkeypatch.setattr(common, "BROADCAST_CELLS", cells)
