@@ -1,6 +1,7 @@
 """The catalogue against DuckDB, and the entry without the optional subpackage."""
 
 import math
+import os
 import shutil
 import subprocess
 import sys
@@ -50,8 +51,23 @@ def test_all_queries_use_every_row(spark, duck):
     assert QUERIES["frame_qc_all"](spark, DATA).count() == sum(rows.values())
 
 
-def test_entry_works_without_the_optional_parts(tmp_path):
+@pytest.mark.parametrize("left", ["all", "folder", "nothing"])
+def test_entry_works_without_the_optional_parts(tmp_path, left):
+    """The optional folder is deleted: with the pipeline's file left behind, with an empty folder too, or with neither."""
     shutil.copytree(ROOT / "stackloom", tmp_path / "stackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if left != "nothing" and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
+    if left == "folder":
+        (tmp_path / "stackloom" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'plane_qc' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_other_import_errors_show(tmp_path):
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    shutil.copytree(ROOT / "stackloom", tmp_path / "stackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "stackloom" / "llm").mkdir()
+    (tmp_path / "stackloom" / "llm" / "registry.py").write_text("import no_such_module\n")
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert run.returncode and "no_such_module" in run.stderr
