@@ -402,3 +402,40 @@ def test_queries_and_pipeline(spark):
         assert kept is None or ids <= kept
         kept = ids
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()} == kept
+
+
+@pytest.mark.parametrize("size", range(1, 8))
+def test_windows_are_simhashes(spark, size):
+    rows = [(i, " ".join(words(n, 300 + i))) for i, n in enumerate([0, 1, 3, 6, 7, 8, 30])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", decontaminate.hashes(decontaminate.words(F.col("text"))).alias("h"))
+    for r in d.select("h", decontaminate.let(F.col("h"), lambda h: decontaminate.windows(h, size)).alias("w")).collect():
+        h, want = [x % 2**64 for x in r["h"]], []
+        for s in range(len(h) - size + 1):
+            want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[s : s + size]) > size))
+        assert [x % 2**64 for x in r["w"]] == want
+
+
+def test_fingerprints_within_the_radius_share_a_block(spark):
+    r, rows = random.Random(9), []
+    for _ in range(200):
+        a = r.getrandbits(64)
+        rows.append((a - 2**63, (a ^ sum(1 << b for b in r.sample(range(64), decontaminate.RADIUS))) - 2**63))
+    d = spark.createDataFrame(rows, "a long, b long").select(decontaminate.keys(F.col("a")).alias("x"), decontaminate.keys(F.col("b")).alias("y"))
+    assert all(set(r["x"]) & set(r["y"]) and len(set(r["x"])) == len(decontaminate.BLOCKS) for r in d.collect())
+
+
+def test_leaks_of_edited_items(spark):
+    """Replaced, inserted and deleted words at random, in items of many lengths: all that reach 0.8 are found, with the exact similarity."""
+    r = random.Random(4)
+    items = [(i, " ".join(words(n, 400 + i))) for i, n in enumerate([9, 12, 15, 18, 21, 24, 28, 33, 40, 47, 55, 64, 90, 140] * 3)]
+    rows = []
+    for i, t in items:
+        for edits in (1, 2, 3, 5):
+            p = t.split()
+            for e in range(edits):
+                k = r.randrange(len(p))
+                p[k : k + r.randrange(2)] = [f"new{e}"] * r.randrange(2)
+            w = words(80, 5000 + len(rows))
+            rows.append((len(rows), " ".join(w[:40] + p + w[40:])))
+    want = best_windows(rows, items)
+    assert 60 < len(want) < len(rows) and found_windows(spark, rows, items) == want
