@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 300_000
 #: The same for the elements of all its arrays, where it has any.
 BROADCAST_CELLS = 4_000_000
+#: Rows of one key that a join by spread() leaves together, and the most keys that may have more.
+HUB_ROWS, HUBS = 500, 100_000
 #: The name of an id that is joined to a table whose columns are not known.
 ID = "__stackloom_id"
 
@@ -73,6 +75,21 @@ def small(df: DataFrame, rows: int | None = None, cells: int = 0) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS and cells <= BROADCAST_CELLS else df
 
 
+def spread(left: DataFrame, on: str, right: DataFrame, key: str, n: str, by: Column, total: int, how: str = "inner") -> DataFrame:
+    """Joins ``left`` with the one row of its key in ``right``; left rows of a frequent key are dealt over several tasks by a hash of ``by``.
+
+    ``n`` bounds a key's left rows and ``total`` all of them. As at most HUBS keys can have more than total / HUBS rows,
+    the list of frequent keys, which is broadcast, is bounded; only their right rows are repeated.
+    """
+    most = max(HUB_ROWS, total // HUBS)
+    parts = F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("int")
+    hubs = right.where(F.col(n) > most).select(F.col(key).alias("hub__"), parts.alias("parts__"))
+    dealt = left.join(F.broadcast(hubs), F.col(on) == F.col("hub__"), "left")
+    dealt = dealt.withColumn("salt__", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts__")), F.lit(0)).cast("int")).drop("hub__", "parts__")
+    copies = right.withColumn("copy__", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, (F.col(on) == F.col(key)) & (F.col("salt__") == F.col("copy__")), how).drop("salt__", "copy__")
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """True where crc32 of the id as text leaves no remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))

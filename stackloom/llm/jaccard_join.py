@@ -1,11 +1,13 @@
 """Near-duplicate join on the Jaccard similarity of word shingles, with Bayesian pruning of candidates.
 
-Equal texts are one class and are compared once, through a representative. MinHash bands of the representatives give
-buckets; those that share one, directly or in a chain, form a candidate component. A component is cut into blocks, and
-each pair of blocks is one unit of work: for its pairs, MinHash values are compared a few at a time, and a pair is
-dropped as soon as the posterior probability that it reaches the threshold falls below a tolerance; the rest is
-verified exactly on the shingles. A unit returns counts of links and a spanning forest of them, not the pairs, so a group
-of n copies moves and returns rows in proportion to n for each block, however many pairs it has.
+Equal texts, by digest, are one class and are compared once, through one row. Texts that share a bucket of a MinHash band
+are candidates. They meet in groups: the texts of a component of buckets, or those of one bucket where that moves
+fewer copies, as in a component that chance has chained together. A group is cut into blocks, and each pair of blocks is one
+unit of work: for its pairs that share a band (in a bucket's group: no earlier one, so that each pair counts once), MinHash
+values are compared a few at a time, and a pair is dropped as soon as the posterior probability that it reaches the
+threshold falls below a tolerance; the rest is verified exactly on the shingles. A unit returns counts of links and a
+spanning forest of them, not the pairs, so a group of n copies moves and returns rows in proportion to n for each block,
+however many pairs it has.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import textkernels as tk
-from stackloom.llm.common import ID, Scratch, groups, keep, small
+from stackloom.llm.common import ID, Scratch, groups, keep, small, spread
 from stackloom.llm.graph import components
 
 #: Words of a shingle, threshold as a fraction, bands and rows of a band, hashes compared at a time, tolerance, texts of a block.
@@ -39,11 +41,12 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
-    rows = sketch.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+def bands(sketches: np.ndarray) -> np.ndarray:
+    """The bucket of each band, for each row of a matrix of sketches."""
+    rows = sketches.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
     for r in range(ROWS):
-        h = tk.mix(h + rows[:, r])
+        h = tk.mix(h + rows[:, :, r])
     return h.view(np.int64)
 
 
@@ -115,15 +118,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, text) to (doc_id, h, bands), for texts with a word."""
     for b in batches:
-        ids, out = [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            s = tk.shingles(t.as_py(), K)
-            if len(s):
-                ids.append(i)
-                out.append(bands(minhash(s)))
-        flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(ids) + 1, BANDS), pa.int32()), flat)], ["id", "bands"])
+        sets = [tk.shingles(t.as_py(), K) for t in b.column(2)]
+        has = np.array([len(s) > 0 for s in sets], bool)
+        flat = bands(np.array([minhash(s) for s in sets if len(s)], np.uint32)).ravel()
+        made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(has)) for c in b.columns[:2]), made], ["doc_id", "h", "bands"])
 
 
 def _member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,25 +134,32 @@ def _member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([minhash(x).tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.large_binary()).cast(pa.binary())], [*b.schema.names[1:], "sketch", "shingles"])
 
 
+def sharing(buckets: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: int | None = None) -> np.ndarray:
+    """Which pairs share a band; with ``bucket`` given, which have it as the first band that they share."""
+    same = buckets[i] == buckets[j]
+    some = same.any(1)
+    return some if bucket is None else some & (buckets[i, same.argmax(1)] == bucket)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, n) of each pair of blocks: n links of text a where b is null, else an edge of the forest."""
     need = fewest()
-    for t in groups(batches, ["root", "x", "y"]):
+    for t in groups(batches, ["bucket", "unit", "x", "y"]):
         ids, first = np.unique(t["node"].to_numpy(), return_index=True)
-        first = pa.array(first)
-        t = t.take(first)
+        t = t.take(pa.array(first))
         copies, block = t["copies"].to_numpy(), t["block"].to_numpy()
-        x, y = t["x"][0].as_py(), t["y"][0].as_py()
+        bucket, unit, x, y = (t[c][0].as_py() for c in ("bucket", "unit", "x", "y"))
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
         if x == y:
             i, j = np.triu_indices(len(ids), 1)
         else:
             left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
             i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        i, j = survivors(sketch, sketch, i, j, need)
+        ok = sharing(bands(sketch), i, j, unit if bucket else None)
+        i, j = survivors(sketch, sketch, i[ok], j[ok], need)
         if not len(i):
             continue
+        sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
         ok = verified(sets, i, j)
         i, j = i[ok], j[ok]
         n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
@@ -162,48 +170,91 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.concatenate((n[linked], np.zeros(len(edges)))).astype(np.int64))], ["a", "b", "n"])
 
 
+def digest(text: str = "text"):
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+
+
+def places(buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, places: the groups (unit, bucket or component, blocks) in which each text of ``buckets`` (node, band, lo, n) is compared.
+
+    A component's texts meet as one group or, where that sends fewer copies to pairs of blocks, bucket by bucket.
+    """
+    near = scratch.save(components(buckets.where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v")), scratch))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("long")
+    of_node = buckets.groupBy("node").agg(F.sum(blocks("n")).alias("apart")).withColumnRenamed("node", "node_")
+    near = scratch.save(near.join(of_node, F.col("node") == F.col("node_")).drop("node_"))
+    groups_ = near.groupBy(F.col("root").alias("root_")).agg(F.count("*").alias("size"), F.sum("apart").alias("apart_"))
+    at = scratch.save(spread(near, "root", groups_, "root_", "size", F.col("node"), near.count()).select("node", "root", blocks("size").alias("blocks"), (F.col("apart_") < F.col("size") * blocks("size")).alias("by_bucket")))
+    whole = at.where(~F.col("by_bucket")).select("node", F.struct(F.col("root").alias("unit"), F.lit(False).alias("bucket"), "blocks").alias("place"))
+    single = buckets.join(at.where("by_bucket").select(F.col("node").alias("node_")), F.col("node") == F.col("node_"), "left_semi").select("node", F.struct(F.col("band").alias("unit"), F.lit(True).alias("bucket"), blocks("n").alias("blocks")).alias("place"))
+    return whole.unionByName(single).groupBy("node").agg(F.collect_set("place").alias("places"))
+
+
+def classified(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h) of ``docs``, h being the digest of the text, and a row (h_, rep, copies, first, n_links) for each text.
+
+    ``rep`` is the smallest doc_id of the text, and ``first`` the smallest (null last) doc_id and text of its class. Both are written.
+    """
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("h", digest())
+    keyed = scratch.save(d.select("doc_id", "h"))
+    classes = scratch.save(keyed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).select(F.col("h").alias("h_"), "rep", "copies", F.monotonically_increasing_id().alias("node")))
+    one = (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    banded = scratch.save(d.where("h is not null").select("doc_id", "h", "text").mapInArrow(_sketch, "doc_id long, h binary, bands array<long>"))
+    texts = classes.count()
+    rows = banded.join(small(classes, texts), one).select("node", F.explode("bands").alias("band"))
+    shared = rows.groupBy(F.col("band").alias("band_")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+    buckets = scratch.save(spread(rows, "band", shared, "band_", "n", F.col("node"), BANDS * texts).select("node", "band", "lo", "n"))
+    at = places(buckets, scratch).withColumnRenamed("node", "node_")
+    members = scratch.save(at.join(classes, F.col("node_") == F.col("node")).select("h_", "rep", "node", "copies", "places"))
+    sizes = members.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    rows = d.join(small(members, sizes[0], sizes[1]), one).select("text", "node", "copies", "places")
+    rows = rows.mapInArrow(_member, "node long, copies long, places array<struct<unit:bigint,bucket:boolean,blocks:bigint>>, sketch binary, shingles binary")
+    rows = rows.withColumn("p", F.explode("places")).select("node", "copies", "p.*", "sketch", "shingles").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("node", "copies", "block", "bucket", "unit", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "sketch", "shingles")
+    order = ("bucket", "unit", "x", "y")
+    found = scratch.save(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare, "a long, b long, n long"))
+    links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    linked = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    linked = scratch.save(linked.join(classes, "node").select("node", "root", F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), F.col("h_").alias("h")).alias("own")))
+    roots = linked.groupBy(F.col("root").alias("root_")).agg(F.min("own").alias("first"), F.count("*").alias("size"))
+    firsts = spread(linked, "root", roots, "root_", "size", F.col("node"), linked.count()).select(F.col("node").alias("node_"), "first")
+    info = classes.join(links, F.col("node") == F.col("a"), "left").join(firsts, F.col("node") == F.col("node_"), "left")
+    own = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), F.col("h_").alias("h"))
+    return keyed, scratch.save(info.select("h_", "rep", "copies", F.coalesce("first", own).alias("first"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+
+
+def _rows(keyed: DataFrame, info: DataFrame) -> DataFrame:
+    """Every row with its text's; a text of very many copies is dealt over several tasks."""
+    return spread(keyed.withColumn("by", F.xxhash64("doc_id", F.spark_partition_id())), "h", info, "h_", "copies", F.col("by"), keyed.count(), "left")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, text_id, class_id, n_links of every row.
 
     ``text_id`` is the smallest doc_id with an equal text, ``class_id`` the smallest that is linked with the row, directly
     or in a chain, and ``n_links`` the number of other rows with an equal or similar text. Texts of fewer than five
-    words are compared as one shingle; texts without a word are linked to equal ones only, null texts to none. Rows with
-    a null id count as copies but have a null class if no other row has their text.
+    words are compared as one shingle; texts without a word are linked to equal ones only, null texts to none; very long ones
+    are compared whole. Rows that share an id are told apart by their text. Rows with a null id count as copies but have a
+    null class if no other row of it has an id. Extra columns are not read.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
-        d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        keyed = scratch.save(d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")))
-        classes = scratch.save(keyed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-        banded = scratch.save(d.where("text is not null and doc_id is not null").mapInArrow(_sketch, "id long, bands array<long>"))
-        reps = banded.join(small(classes.select("rep").distinct()), F.col("id") == F.col("rep"), "left_semi").select("id", F.explode("bands").alias("band"))
-        shared = reps.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("band").alias("band_"), "lo")
-        edges = reps.join(shared, F.col("band") == F.col("band_")).where("id <> lo").select(F.col("id").alias("u"), F.col("lo").alias("v"))
-        near = scratch.save(components(edges, scratch))
-        blocks = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnRenamed("root", "root_")
-        members = near.join(blocks, F.col("root") == F.col("root_")).join(classes.groupBy("rep").agg(F.sum("copies").alias("copies")), F.col("node") == F.col("rep"))
-        members = scratch.save(members.select("node", "root", "blocks", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
-        texts = d.join(small(members), F.col("doc_id") == F.col("node")).select("text", "node", "root", "blocks", "copies", "block")
-        rows = texts.mapInArrow(_member, "node long, root long, blocks long, copies long, block long, sketch binary, shingles binary")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("node", "root", "copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "sketch", "shingles")
-        found = scratch.save(rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(_compare, "a long, b long, n long"))
-        links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-        linked = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-        info = classes.join(links, F.col("rep") == F.col("a"), "left").join(linked, F.col("rep") == F.col("node"), "left")
-        info = scratch.save(info.select(F.col("h").alias("h_"), "rep", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-        out = keyed.join(info, F.col("h") == F.col("h_"), "left")
-        return keep(out.select("doc_id", F.coalesce("rep", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    with Scratch(docs.sparkSession) as scratch:
+        out = _rows(*classified(docs, scratch))
+        return keep(out.select("doc_id", F.coalesce("rep", "doc_id").alias("text_id"), F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose id is that of their class; of rows repeated wholly, one."""
-    made = join(docs)
-    gone = keep(made.where("doc_id <> class_id").select(F.col("doc_id").alias(ID)).distinct())
-    out = docs.join(small(gone), F.col("doc_id") == F.col(ID), "left_anti")
-    again = keep(made.where("doc_id is not null").groupBy(F.col("doc_id").alias(ID)).agg(F.count("*").alias("n")).where("n > 1").select(ID))
+    """One row of ``docs``, with its columns, of each class of join(): that of the smallest id (null last), then of the smallest text digest; of
+    rows that repeat both, one. Rows of null text stay."""
+    names = ("__stackloom_h", "__stackloom_n")
+    with Scratch(docs.sparkSession) as scratch:
+        made = _rows(*classified(docs, scratch)).where("h is not null")
+        made = keep(made.groupBy(F.col("doc_id").alias(ID), F.col("h").alias(names[0])).agg(F.count("*").alias(names[1]), F.first(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("chosen")))
+    same = F.col("doc_id").eqNullSafe(F.col(ID)) & (digest() == F.col(names[0]))
+    out = docs.join(small(keep(made.where("not chosen").select(ID, names[0]))), same, "left_anti")
+    again = keep(made.where(F.col("chosen") & (F.col(names[1]) > 1)).select(ID, names[0]))
     rows = again.count()
     if rows:
-        same = F.col("doc_id") == F.col(ID)
-        out = out.join(small(again, rows), same, "left_anti").unionByName(docs.join(small(gone), same, "left_anti").join(small(again, rows), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        twice = docs.join(small(again, rows), same, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(small(again, rows), same, "left_anti").unionByName(twice)
     return out

@@ -249,6 +249,58 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in jaccard_join.one_of_each(d).collect()} == {r["class_id"] for r in got.values()}
 
 
+@pytest.mark.parametrize("mode", ["component", "bucket"])
+def test_jaccard_join_in_both_groupings(spark, monkeypatch, mode):
+    """A chain of near copies, whose ends are far apart, compared as one component and bucket by bucket."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2 if mode == "bucket" else 1000)
+    base = words(150, 31)
+    rows = []
+    for i in range(30):
+        rows.append((i, " ".join(base)))
+        base = list(base)
+        for k in range(3):
+            base[(i * 5 + k) % 150] = f"e{i}"
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(d).collect()}
+    sets = {i: set(tk.shingles(t).tolist()) for i, t in rows}
+    assert got == {i: (0, sum(jaccard(sets[i], sets[j]) >= 0.8 for j in sets if j != i)) for i in sets}
+
+
+def test_jaccard_join_of_ids_with_two_texts(spark):
+    """(1, A), (1, B), (2, A'), (3, B') with A like A' and B like B': no link may be lost."""
+    a, b = words(60, 41), words(60, 42)
+    edit = lambda w: " ".join([*w[:-1], "edit"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, edit(a)), (3, edit(b)), (None, " ".join(words(60, 43))), (None, edit(words(60, 43))), (4, None), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.join(d).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (None, None, 1), (None, None, 1), (4, 4, 0), (4, 4, 0)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(d).collect()), key=str)
+    assert len(kept) == 5 and kept.count((4, None)) == 2 and {rows[0], rows[1]} <= set(kept) and sum(i is None for i, _ in kept) == 1
+
+
+def test_spread_join_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB_ROWS", 3)
+    left = spark.createDataFrame([(i, i % 7 if i % 2 else 0) for i in range(100)] + [(100, None)], "i long, k long")
+    right = left.where("k is not null").groupBy(F.col("k").alias("k_")).agg(F.count("*").alias("n"), F.max("i").alias("m"))
+    got = common.spread(left, "k", right, "k_", "n", F.col("i"), 101, "left").select("i", "m").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, left.join(right, left.k == right.k_, "left").select("i", "m").collect()), key=str)
+
+
+def test_jaccard_recall_of_all_pairs(spark):
+    """All pairs of documents that reach 0.8, by an inverted index, against the classes: nine in ten at the least, here all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {r["doc_id"]: tk.shingles(r["text"]) for r in rows}
+    held: dict[int, list[int]] = {}
+    for i, s in sets.items():
+        for x in s.tolist():
+            held.setdefault(x, []).append(i)
+    common_ = Counter((a, b) for v in held.values() if len(v) > 1 for k, a in enumerate(v) for b in v[k + 1 :])
+    near = {p for p, n in common_.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    group = {r["doc_id"]: r["class_id"] for r in jaccard_join.join(docs).collect()}
+    assert len(near) > 50 and sum(group[a] == group[b] for a, b in near) / len(near) > 0.99
+
+
 def test_pruning_needs_few_matches_and_components(spark):
     need = jaccard_join.fewest()
     assert need[0] == 0 and all(b - a in (0, 1) for a, b in zip(need, need[1:])) and need[-1] < 0.8 * jaccard_join.HASHES
