@@ -55,12 +55,24 @@ def collapse_positions(zs: Column, tolerance: float = 1e-6) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+    """Letters, digits, ``-`` and ``_`` as they are, every other character as ``-``; ``analysis`` where nothing is left."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(text), r"[^\p{L}\p{N}_-]", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(t, F.lit("")), F.lit("analysis"))
 
 
-def stable_digest(*parts: Column, length: int = 8) -> Column:
-    """First hex digits of the SHA-256 of the parts joined in the given order; null parts count as empty."""
-    return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"), 256), 1, length)
+def canonical_json(**parts: Column) -> Column:
+    """A JSON object with sorted keys and no spaces; null parts are null."""
+    return F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"})
+
+
+def stable_digest(length: int = 8, **parts: Column) -> Column:
+    """First hex digits of the SHA-256 of the parts as canonical JSON."""
+    return F.substring(F.sha2(canonical_json(**parts).cast("binary"), 256), 1, length)
+
+
+def run_id(title: Column, scope: Column, made: Column, digest: Column) -> Column:
+    """Title, scope, day of the analysis and digest, joined."""
+    return F.concat_ws("__", slug(title), slug(scope), F.concat(F.lit("analyzed-"), F.date_format(made, "yyyyMMdd")), digest)
 
 
 def unit(v: Column, low: Column, high: Column) -> Column:
@@ -94,5 +106,18 @@ def safe_relative(path: Column) -> Column:
     return ~(path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)"))
 
 
+def choose_channel(requested: Column, declared: Column, saved: Column) -> tuple[Column, Column]:
+    """(channel, error): the requested channel, else the declared one, else the only saved one; a conflict of the first two, or one that is not saved, is named."""
+    channel = F.coalesce(requested, declared, F.when(F.size(saved) == 1, F.element_at(saved, 1)))
+    error = F.when(requested.isNotNull() & declared.isNotNull() & (requested != declared), "conflict").when(channel.isNull(), "ambiguous").when(~F.array_contains(saved, channel), "not_saved")
+    return F.when(error.isNull(), channel), error
+
+
 def to_um(dy: Column, dx: Column, py: float, px: float) -> Column:
     return F.hypot(dy * py, dx * px)
+
+
+def bookkeeping(plane: Column, local: Column, frames: int, factor: int, rate_hz: float, channels: int, position: int) -> list[Column]:
+    """acquired_start, acquired_end, time_s and page of a stored image: its first and last acquired frame, the start's time, and its page among all channels."""
+    start = plane * frames + local * factor
+    return [start.alias("acquired_start"), (start + (factor - 1)).alias("acquired_end"), (start / F.lit(rate_hz)).alias("time_s"), page_index(plane * (frames // factor) + local, F.lit(channels), F.lit(position)).alias("page")]

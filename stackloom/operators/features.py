@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackloom.functions import stats
+from stackloom.runtime import keep
+
 
 def repeat_pairs(scans: DataFrame, keys: list[str], scan: str) -> DataFrame:
     """Unordered pairs of scans with equal keys, by scan id."""
@@ -23,18 +26,19 @@ def overlap(pairs: DataFrame, axes: list[str], least: int, step: float) -> DataF
     return out.withColumn("usable", F.least(*(F.col(f"{a}_n") for a in axes), F.lit(least)) >= least)
 
 
-def nearest(left: DataFrame, right: DataFrame, axes: list[str], radius: float) -> DataFrame:
-    """The nearest right landmark within a radius of each left one: both sides fall into cells of that size, and only neighbouring cells
-    are compared. Ties go to the smaller id; left landmarks without a match are kept."""
+def nearest(left: DataFrame, right: DataFrame, axes: list[str], radius: float, keys: list[str] | None = None) -> DataFrame:
+    """The nearest right landmark within a radius of each left one (of equal ``keys``): both sides fall into cells of that size, and only
+    neighbouring cells are compared. Ties go to the smaller id; left landmarks without a match are kept."""
+    keys = keys or []
     cell = lambda c: F.floor(F.col(c) / radius)
-    near = left.select("id", *axes, *(cell(a).alias(f"c_{a}") for a in axes))
+    near = left.select(*keys, "id", *axes, *(cell(a).alias(f"c_{a}") for a in axes))
     for a in axes:
         near = near.withColumn(f"c_{a}", F.explode(F.sequence(F.col(f"c_{a}") - 1, F.col(f"c_{a}") + 1)))
-    r = right.select(F.col("id").alias("match"), *(F.col(a).alias(f"r_{a}") for a in axes), *(cell(a).alias(f"c_{a}") for a in axes))
+    r = right.select(*keys, F.col("id").alias("match"), *(F.col(a).alias(f"r_{a}") for a in axes), *(cell(a).alias(f"c_{a}") for a in axes))
     d2 = reduce(lambda x, y: x + y, ((F.col(a) - F.col(f"r_{a}")) * (F.col(a) - F.col(f"r_{a}")) for a in axes))
-    got = near.join(r, [f"c_{a}" for a in axes]).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
-    best = got.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("b")).select("id", F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))
-    return left.select("id").join(best, "id", "left")
+    got = near.join(r, [*keys, *(f"c_{a}" for a in axes)]).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
+    best = got.groupBy(*keys, "id").agg(F.min(F.struct("distance", "match")).alias("b")).select(*keys, "id", F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))
+    return left.select(*keys, "id").join(best, [*keys, "id"], "left")
 
 
 def landmark_summary(matches: DataFrame) -> DataFrame:
@@ -42,8 +46,72 @@ def landmark_summary(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("landmarks"), F.count(d).alias("matched"), F.coalesce(F.median(d), F.lit(float("nan"))).alias("error_median"), F.coalesce(F.percentile(d, F.lit(0.95)), F.lit(float("nan"))).alias("error_p95"))
 
 
-def centred_error(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """RMSE and p95 of the differences of two shifts, each freed of its mean."""
-    w = Window.partitionBy(*keys)
-    e = F.hypot((F.col("dy") - F.avg("dy").over(w)) - (F.col("true_dy") - F.avg("true_dy").over(w)), (F.col("dx") - F.avg("dx").over(w)) - (F.col("true_dx") - F.avg("true_dx").over(w)))
-    return rows.withColumn("e", e).groupBy(*keys).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.percentile("e", F.lit(0.95)).alias("p95"))
+def centred_error(rows: DataFrame, keys: list[str], compared: Column | None = None) -> DataFrame:
+    """RMSE and p95 of the differences of two shifts, each freed of its median, over the rows that ``compared`` picks (all without it)."""
+    d = rows if compared is None else rows.where(compared)
+    mid = d.groupBy(*keys).agg(*(F.median(c).alias(f"m_{c}") for c in ("dy", "dx", "true_dy", "true_dx")))
+    e = F.hypot(*((F.col(c) - F.col(f"m_{c}")) - (F.col(f"true_{c}") - F.col(f"m_true_{c}")) for c in ("dy", "dx")))
+    return d.join(mid, keys).withColumn("e", e).groupBy(*keys).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.percentile("e", F.lit(0.95)).alias("p95"))
+
+
+def common_grid(pairs: DataFrame, spacing_um: float, least: int = 4) -> DataFrame:
+    """Adds the common physical space of two volumes to pairs (z_um_1, z_um_2 arrays, fov_y_1, fov_x_1, fov_y_2, fov_x_2): z_start, z_stop,
+    y_stop, x_stop, and n_z, n_y, n_x samples at a spacing; ``usable`` if they overlap and every axis has ``least`` of them."""
+    first, last = (lambda i: F.element_at(f"z_um_{i}", 1)), (lambda i: F.element_at(f"z_um_{i}", -1))
+    d = pairs.withColumns({"z_start": F.greatest(first(1), first(2)), "z_stop": F.least(last(1), last(2)), "y_stop": F.least("fov_y_1", "fov_y_2"), "x_stop": F.least("fov_x_1", "fov_x_2")})
+    count = lambda span: F.greatest(F.ceil(span / spacing_um), F.lit(0)).cast("long")
+    d = d.withColumns({"n_z": count(F.col("z_stop") - F.col("z_start") + spacing_um * 0.25), "n_y": count(F.col("y_stop")), "n_x": count(F.col("x_stop"))})
+    return d.withColumn("usable", (F.col("z_stop") > F.col("z_start")) & (F.least("n_z", "n_y", "n_x") >= least))
+
+
+def on_grid(vol: DataFrame, grid: DataFrame, spacing_um: float) -> DataFrame:
+    """A volume (scan_id, plane, y, x, v) resampled linearly to the grid of its stack: rows (scan_id, z_start, n_z, n_y, n_x, z_um, pixel_y, pixel_x).
+
+    ``z_um`` are the positions of its planes, which rise; between them Z is interpolated piecewise. Outside, the border is repeated.
+    """
+    from stackloom.operators import volume
+
+    top = vol.groupBy("scan_id").agg(F.max("y").alias("top_y"), F.max("x").alias("top_x"))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    t = grid.join(top, "scan_id").withColumn("to_plane", span("n_z")).repartition("scan_id", "to_plane").withColumn("to_y", span("n_y")).withColumn("to_x", span("n_x"))
+    z = F.col("z_start") + F.col("to_plane") * spacing_um
+    low = F.greatest(F.least(F.size(F.filter("z_um", lambda p: p <= z)), F.size("z_um") - 1), F.lit(1))
+    part = F.least(F.greatest((z - F.element_at("z_um", low)) / (F.element_at("z_um", low + 1) - F.element_at("z_um", low)), F.lit(0.0)), F.lit(1.0))
+    t = t.withColumns({"at_z": F.when(F.size("z_um") == 1, 0.0).otherwise(low - 1 + part), "at_y": F.least(F.col("to_y") * spacing_um / F.col("pixel_y"), F.col("top_y").cast("double")), "at_x": F.least(F.col("to_x") * spacing_um / F.col("pixel_x"), F.col("top_x").cast("double"))})
+    t = t.select("scan_id", "to_plane", "to_y", "to_x", "at_z", "at_y", "at_x")
+    t = volume._taps(volume._taps(volume._taps(t, "plane", F.col("at_z")), "y", F.col("at_y")), "x", F.col("at_x")).withColumn("w", F.col("w_plane") * F.col("w_y") * F.col("w_x"))
+    return volume._blend(vol, t, ["scan_id"], ["plane", "y", "x"]).select("scan_id", F.col("to_plane").alias("plane"), F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+
+
+def landmarks(vol: DataFrame, most: int = 30, distance: int = 6, percentile: float = 0.998) -> DataFrame:
+    """scan_id, id, plane, y, x: the strongest local maxima of a difference of Gaussians, a cube of ``distance`` voxels apart and away from the faces."""
+    from stackloom.operators import volume
+
+    f = volume.gaussian(vol, 0.8).withColumnRenamed("v", "s_").join(volume.gaussian(vol, 4.0), ["scan_id", *volume.AXES])
+    f = keep(f.select("scan_id", *volume.AXES, "v", F.round(F.col("s_") - F.col("v"), 9).alias("f")))
+    offsets = [(a, b, c) for a in range(-distance, distance + 1) for b in range(-distance, distance + 1) for c in range(-distance, distance + 1) if (a, b, c) != (0, 0, 0)]
+    best = volume.peaks(f, percentile, most, offsets, (max(2, distance),) * 3)
+    return best.select("scan_id", F.col("rank_").cast("long").alias("id"), *volume.AXES)
+
+
+def compare_repeats(first: DataFrame, second: DataFrame, spacing_um: float, most_um: float = 40.0, count: int = 30, distance_um: float = 12.0, radius_um: float = 20.0, upsample: int = 10, percentile: float = 0.998) -> DataFrame:
+    """A row a pair of repeated volumes on their common grid (scan_id names the pair): the 3-D shift in µm and whether it is within the limit,
+    the correlation before and after it is applied, and landmarks of both, those matched within a radius and their errors."""
+    from stackloom.operators import register, volume
+
+    shift = keep(register.volume_shift(first, second, upsample))
+    after = keep(volume.move3(second, shift))
+    ncc = lambda b, n: first.withColumnRenamed("v", "a_").join(b.withColumnRenamed("v", "b_"), ["scan_id", *volume.AXES]).groupBy("scan_id").agg(stats.pearson(F.col("a_"), F.col("b_")).alias(n))
+    um = {f"{c}_um": F.col(c) * spacing_um for c in ("dz", "dy", "dx")}
+    out = shift.withColumns(um).withColumn("magnitude_um", F.sqrt(F.col("dz_um") * F.col("dz_um") + F.col("dy_um") * F.col("dy_um") + F.col("dx_um") * F.col("dx_um"))).withColumn("within_limit", F.col("magnitude_um") <= most_um)
+    out = out.join(ncc(second, "ncc_before"), "scan_id").join(ncc(after, "ncc_after"), "scan_id")
+    apart = max(1, round(distance_um / spacing_um))
+    fill = keep(volume.with_each(after, stats.quantiles(after, ["scan_id"], "v", {"fill_": 0.5})).withColumn("v", F.coalesce(stats.skip_nan(F.col("v")), "fill_")).drop("fill_"))
+    sides = [keep(landmarks(v, count, apart, percentile)).select("scan_id", F.concat_ws("/", "scan_id", "id").alias("id"), *((F.col(c) * spacing_um).alias(c) for c in volume.AXES)) for v in (first, fill)]
+    found = nearest(sides[0], sides[1], list(volume.AXES), radius_um, ["scan_id"])
+    n = [s.groupBy("scan_id").agg(F.count("*").alias(c)) for s, c in zip(sides, ("landmarks_first", "landmarks_second"), strict=True)]
+    found = found.groupBy("scan_id").agg(F.count("distance").alias("landmarks_matched"), F.median("distance").alias("landmark_error_median_um"), F.percentile("distance", F.lit(0.95)).alias("landmark_error_p95_um"))
+    for d in (*n, found):
+        out = out.join(d, "scan_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("landmarks_first", "landmarks_second", "landmarks_matched")}
+    return out.withColumns(zero | {c: F.coalesce(c, stats.nan()) for c in ("landmark_error_median_um", "landmark_error_p95_um")})

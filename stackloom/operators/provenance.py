@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.operators.gates import reasons
+from stackloom.operators.gates import reasons, required_keys
 
 
 def admission(files: DataFrame, declared: DataFrame, keys: list[str], size: str) -> DataFrame:
@@ -31,15 +31,97 @@ def compare_outputs(declared: DataFrame, observed: DataFrame, key: str) -> DataF
 
 
 def conflicts(pairs: list[tuple[str, Column, Column]]) -> Column:
-    """A map, as sorted text, of fields whose two values differ; null equals null."""
-    made = F.array(*(F.when(~a.eqNullSafe(b), F.concat(F.lit(f"{n}:"), F.coalesce(a.cast("string"), F.lit("?")), F.lit("|"), F.coalesce(b.cast("string"), F.lit("?")))) for n, a, b in pairs))
-    return F.array_join(F.array_sort(F.array_compact(made)), ";")
-
-
-def day_after(event: Column, start: Column) -> Column:
-    """Whole days since the start; null where that is unknown or negative."""
-    d = F.datediff(event, start)
-    return F.when(d >= 0, d).cast("long")
+    """A map from the fields whose two values differ to both; values are compared as text, null equals null."""
+    text = lambda c: c.cast("string")
+    made = F.array(*(F.when(~text(a).eqNullSafe(text(b)), F.struct(F.lit(n).alias("key"), F.struct(text(a).alias("declared"), text(b).alias("observed")).alias("value"))) for n, a, b in sorted(pairs)))
+    return F.map_from_entries(F.array_compact(made))
+
+
+def conflict_text(found: Column) -> Column:
+    """A map of conflicts as ``field:declared|observed`` joined by ``;``, in order of the fields."""
+    shown = lambda c: F.coalesce(c, F.lit("?"))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.concat(e["key"], F.lit(":"), shown(e["value"]["declared"]), F.lit("|"), shown(e["value"]["observed"]))), ";")
+
+
+def day_after(event: Column, start: Column, declared: Column | None = None) -> tuple[Column, Column]:
+    """(day, error): whole days since the start, or the declared day where there is no start. A negative day, and a declared one
+    that disagrees, are errors, and give no day."""
+    days = F.datediff(event, start).cast("long")
+    error = F.when(days < 0, "negative_day")
+    if declared is not None:
+        error = F.when(days < 0, "negative_day").when(days.isNotNull() & (declared != days), "day_disagrees")
+        days = F.coalesce(days, declared.cast("long"))
+    return F.when(error.isNull(), days), error
+
+
+def acquisition_context(scans: DataFrame, declarations: DataFrame, on: str, identity: list[str], source: str, required: tuple[str, ...], const: dict[str, str]) -> DataFrame:
+    """Scans with the status of their declaration: ``metadata_incomplete`` where there is none, else ``pass``, or ``fail`` with the error.
+
+    ``declarations`` are rows (``on``, document, a JSON object). A document must have the required keys and the constant fields, name the
+    scan's identity and source, and its day must follow from its dates. The conflict map is kept.
+    """
+    d = scans.join(declarations.select(on, "document"), on, "left")
+    get = lambda k: F.get_json_object("document", f"$.{k}")
+    lacks = required_keys(F.col("document"), required)
+    other = F.lit(False)
+    for k, v in const.items():
+        other = other | ~get(k).eqNullSafe(v)
+    found = conflicts([*((c, get(c), F.col(c)) for c in identity), (source, get(source), F.col(source))])
+    day, wrong_day = day_after(F.try_to_date(get("acquisition_date")), F.try_to_date(get("surgery_date")), get("post_surgery_day").try_cast("long"))
+    bad_date = F.try_to_date(get("acquisition_date")).isNull() | (get("surgery_date").isNotNull() & F.try_to_date(get("surgery_date")).isNull())
+    error = F.when(F.size(lacks) > 0, F.concat(F.lit("lacks "), F.array_join(lacks, ","))).when(other, "unsupported").when(F.size(found) > 0, "conflicts").when(bad_date, "not_a_date").otherwise(wrong_day)
+    there = F.col("document").isNotNull()
+    status = F.when(~there, "metadata_incomplete").when(error.isNull(), "pass").otherwise("fail")
+    return d.select(*scans.columns, status.alias("status"), F.when(there, error).alias("error"), F.when(there, found).alias("conflicts"), F.when(there & error.isNull(), day).alias("post_surgery_day"), F.when(there & error.isNull(), get("source_channel").try_cast("int")).alias("declared_channel"))
+
+
+def manifest_admission(files: DataFrame, manifests: DataFrame, version: str, kind: str, animal: str = r"[A-Z]+-[0-9]+") -> DataFrame:
+    """Files (folder, name, size, setup, scan_id, animal_id) with the status of the manifest in their folder, and the identity it declares.
+
+    ``manifests`` are rows (folder, schema_version, acquisition_type, setup_type, scan_id, animal_id, collected_files array<struct<name,bytes>>).
+    ``absent`` where there is none; else it must have the version, kind, rig and scan (with or without its prefix), list the file exactly
+    once with its size, and declare a well-formed animal, which then overrides that of the path.
+    """
+    m = manifests.select("folder", F.lit(True).alias("there_"), "schema_version", "acquisition_type", "setup_type", F.col("scan_id").alias("scan_"), F.col("animal_id").alias("declared_animal_id"), "collected_files")
+    d = files.join(m, "folder", "left").withColumn("hits_", F.filter(F.coalesce("collected_files", F.array().cast("array<struct<name:string,bytes:bigint>>")), lambda f: f["name"] == F.col("name")))
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^scan", "")
+    why = reasons(
+        version=~F.col("schema_version").eqNullSafe(version), type=~F.col("acquisition_type").eqNullSafe(kind), rig=~F.col("setup_type").eqNullSafe(F.col("setup")), scan=bare(F.col("scan_")) != bare(F.col("scan_id")),
+        not_unique=F.size("hits_") != 1, size_differs=(F.size("hits_") == 1) & ~F.get("hits_", F.lit(0))["bytes"].eqNullSafe(F.col("size")), animal=~F.coalesce(F.col("declared_animal_id").rlike(f"^(?:{animal})$"), F.lit(False)),
+    )
+    d = d.withColumn("reasons", F.when(F.col("there_"), why).otherwise(""))
+    status = F.when(F.col("there_").isNull(), "absent").when(F.col("reasons") == "", "pass").otherwise("fail")
+    ok = status == "pass"
+    return d.select(*(c for c in files.columns if c != "animal_id"), status.alias("status"), "reasons", F.when(ok, F.col("declared_animal_id")).otherwise(F.col("animal_id")).alias("animal_id"), F.col("animal_id").alias("path_animal_id"), F.when(F.col("there_"), F.col("declared_animal_id")).alias("declared_animal_id"), F.when(ok, "collection_manifest").otherwise("session_path").alias("identity_source"), (ok & (F.col("declared_animal_id") != F.col("animal_id"))).alias("animal_id_corrected"))
+
+
+def upstream_qc(runs: DataFrame, upstream: DataFrame, on: str) -> DataFrame:
+    """Runs with the status of the run they are made from (``upstream_status``); one without it is an ``error``, one that did not pass needs review."""
+    u = upstream.select(F.col(on), F.col("status").alias("upstream_status"))
+    return runs.join(u, on, "left").withColumn("status", F.when(F.col("upstream_status").isNull(), "error").when(F.col("upstream_status") != "pass", "needs_review").otherwise("pass"))
+
+
+def z_of_planes(planes: DataFrame, upstream: DataFrame, header: DataFrame, keys: list[str]) -> DataFrame:
+    """Planes (keys, plane) with their z_um: from an upstream table, else from the header's; and ``z_source``. A stack for which neither has one for every plane is an error."""
+    d = planes.join(upstream.select(*keys, "plane", F.col("z_um").alias("up_")), [*keys, "plane"], "left").join(header.select(*keys, "plane", F.col("z_um").alias("head_")), [*keys, "plane"], "left")
+    n = d.groupBy(*keys).agg(F.count("*").alias("n_"), F.count("up_").alias("n_up_"), F.count("head_").alias("n_head_"))
+    d = d.join(n, keys)
+    lacks = F.raise_error(F.concat(F.lit("no Z of every plane of "), F.concat_ws("/", *keys)))
+    return d.select(*keys, "plane", F.when(F.col("n_up_") == F.col("n_"), F.col("up_")).when(F.col("n_head_") == F.col("n_"), F.col("head_")).otherwise(lacks.cast("double")).alias("z_um"), F.when(F.col("n_up_") == F.col("n_"), "upstream").otherwise("header").alias("z_source"))
+
+
+def in_order_of_z(stacks: DataFrame, keys: list[str], zs: str = "z_um") -> DataFrame:
+    """Adds the place (from 0) of each stack among those of its key, by the first of its Z positions; ties by all of them."""
+    return stacks.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.element_at(zs, 1), zs)) - 1).cast("long"))
+
+
+def superseded(runs: DataFrame) -> DataFrame:
+    """Runs (analysis_id, supersedes) with ``superseded_by``, and ``error`` where one supersedes itself or a run that does not exist."""
+    links = runs.where("supersedes is not null").groupBy(F.col("supersedes").alias("old_")).agg(F.min("analysis_id").alias("superseded_by"))
+    known = runs.select(F.col("analysis_id").alias("known_")).distinct()
+    d = runs.join(links, F.col("analysis_id") == F.col("old_"), "left").drop("old_").join(known, F.col("supersedes") == F.col("known_"), "left")
+    why = F.when(F.col("supersedes") == F.col("analysis_id"), "itself").when(F.col("supersedes").isNotNull() & F.col("known_").isNull(), "unknown")
+    return d.withColumn("error", why).drop("known_")
 
 
 def review_flags(scans: DataFrame, flags: DataFrame, identity: list[str], path: str) -> DataFrame:

@@ -1,14 +1,25 @@
-"""Rigid registration by phase correlation, in Arrow UDFs over planes; gates and sums stay in SQL."""
+"""Rigid registration by phase correlation, in Arrow batches of frames; gates, ranks and sums stay in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import stats
-from stackloom.operators import volume
+from stackloom.operators import recon, volume
+from stackloom.operators.recon import FRAME, PLANE
+from stackloom.runtime import keep
+
+#: How images are prepared: blur and border in pixels, scaling by the MAD, and a Hann window.
+CONDITION = {"sigma": 1.0, "border": 32, "scale": True, "window": True}
+#: Frames of a plane that one task registers.
+BLOCK = 64
+# Names of the reasons to reject a registered frame.
+SHIFT, CORRELATION, ERROR, GAIN = "shift_exceeds_max", "post_correlation_low", "registration_error_high", "correlation_gain_low"
 
 
 def phase_shift(reference: np.ndarray, moving: np.ndarray, upsample: int = 10) -> tuple[np.ndarray, float]:
@@ -38,15 +49,33 @@ def phase_shift(reference: np.ndarray, moving: np.ndarray, upsample: int = 10) -
     return shift, float(np.sqrt(max(0.0, 1 - (best / power) ** 2))) if power > 0 else float("nan")
 
 
-def conditioned(image: np.ndarray, border: int = 0) -> np.ndarray:
-    """Centred by the median, scaled by the MAD, cropped and under a Hann window."""
+def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian along each axis, ended after four sigmas; borders are repeated."""
+    r = int(4 * sigma + 0.5)
+    if sigma <= 0 or r == 0:
+        return image
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    for axis in range(image.ndim):
+        p = np.pad(image, [(r, r) if a == axis else (0, 0) for a in range(image.ndim)], mode="edge")
+        image = sum(k * np.take(p, range(i, i + image.shape[axis]), axis) for i, k in enumerate(w / w.sum()))
+    return image
+
+
+def conditioned(image: np.ndarray, sigma: float = 0.0, border: int = 0, scale: bool = True, window: bool = True) -> np.ndarray:
+    """Blurred, cropped by a border, freed of its median and scaled by the MAD (an image whose MAD is 0 keeps its scale), under a Hann window."""
+    image = np.where(np.isfinite(image), image, np.nanmedian(np.where(np.isfinite(image), image, np.nan))) if np.isfinite(image).any() else np.zeros(image.shape)
+    image = blurred(image, sigma)
     if border:
+        if min(image.shape) <= 2 * border + 8:
+            raise ValueError(f"a border of {border} leaves too little of an image of {image.shape}")
         image = image[tuple(slice(border, n - border) for n in image.shape)]
-    image = np.where(np.isnan(image), np.nanmedian(image), image)
-    image = image - np.median(image)
-    image = image / max(1e-12, 1.4826 * np.median(np.abs(image)))
-    for axis, n in enumerate(image.shape):
-        image = image * np.hanning(n + 2)[1:-1].reshape([-1 if a == axis else 1 for a in range(image.ndim)])
+    if scale:
+        image = image - np.median(image)
+        mad = np.median(np.abs(image))
+        image = image / (stats.MAD_SCALE * mad) if mad > 0 else image
+    if window:
+        for axis, n in enumerate(image.shape):
+            image = image * np.hanning(n).reshape([-1 if a == axis else 1 for a in range(image.ndim)])
     return image
 
 
@@ -65,101 +94,185 @@ def moved(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
     yy, xx = np.indices(image.shape)
     sy, sx = yy - dy, xx - dx
     ok = (sy >= 0) & (sx >= 0) & (sy <= image.shape[0] - 1) & (sx <= image.shape[1] - 1)
-    y0, x0 = np.minimum(np.floor(sy[ok]).astype(int), image.shape[0] - 2), np.minimum(np.floor(sx[ok]).astype(int), image.shape[1] - 2)
+    y0, x0 = np.minimum(np.floor(sy[ok]).astype(int), max(0, image.shape[0] - 2)), np.minimum(np.floor(sx[ok]).astype(int), max(0, image.shape[1] - 2))
+    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
     fy, fx = sy[ok] - y0, sx[ok] - x0
-    out[ok] = image[y0, x0] * (1 - fy) * (1 - fx) + image[y0 + 1, x0] * fy * (1 - fx) + image[y0, x0 + 1] * (1 - fy) * fx + image[y0 + 1, x0 + 1] * fy * fx
+    out[ok] = image[y0, x0] * (1 - fy) * (1 - fx) + image[y1, x0] * fy * (1 - fx) + image[y0, x1] * (1 - fy) * fx + image[y1, x1] * fy * fx
     return out
 
 
-def frame_shifts(frames: DataFrame, width: int, upsample: int = 10, condition: bool = False) -> DataFrame:
-    """dy, dx, error, corr_before, corr_after of every frame (plane, local_index, pixels) against the median of its plane."""
+def _per_frame(rows: DataFrame, f: Callable[[dict, np.ndarray], tuple], names: list[str], schema: str) -> DataFrame:
+    """A row for each row, with FRAME and what ``f`` makes of it and its image (and ``reference``, an image too)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+            out = []
+            for i in range(b.num_rows):
+                width = at["width"][i].as_py()
+                image = lambda c: np.asarray(at[c][i].values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)  # noqa: B023, E731
+                out.append(f({n: image(n) if n in ("pixels", "reference") else at[n][i].as_py() for n in at if n not in FRAME}))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*(at[n] for n in FRAME), *(pa.array(c, pa.list_(pa.float64()) if n == "pixels" else pa.int32() if n == "width" else pa.float64()) for n, c in zip(names, cols, strict=True))], [*FRAME, *names])
+
+    return rows.mapInArrow(run, "scan_id string, plane long, local_index long, " + schema)
+
+
+def with_reference(frames: DataFrame, images: DataFrame) -> DataFrame:
+    """Frames with the image of their plane as ``reference``. The frames of a plane are dealt over tasks in blocks, each with a copy of the image."""
+    block = F.floor(F.col("local_index") / BLOCK).alias("block_")
+    refs = images.select(*PLANE, F.col("pixels").alias("reference")).join(frames.select(*PLANE, block).distinct(), PLANE)
+    return frames.select(*FRAME, "width", "pixels", block).join(refs, [*PLANE, "block_"]).drop("block_")
+
+
+def estimate(frames: DataFrame, images: DataFrame, upsample: int = 10, condition: dict | None = None) -> DataFrame:
+    """scan_id, plane, local_index, dy, dx, error, corr (unmoved) of every frame against the image of its plane."""
+
+    def one(r: dict) -> tuple:
+        a, b = (r["reference"], r["pixels"]) if condition is None else (conditioned(r["reference"], **condition), conditioned(r["pixels"], **condition))
+        (dy, dx), e = phase_shift(a, b, upsample)
+        return float(dy), float(dx), e, correlation(r["reference"], r["pixels"])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        images = np.stack([np.asarray(p, float).reshape(-1, width) for p in g["pixels"]])
-        ref = np.median(images, 0)
-        rows = []
-        for i, m in zip(g["local_index"], images, strict=True):
-            (dy, dx), e = phase_shift(conditioned(ref), conditioned(m), upsample) if condition else phase_shift(ref, m, upsample)
-            rows.append((g["plane"].iloc[0], i, dy, dx, e, correlation(ref, m), correlation(ref, moved(m, dy, dx))))
-        return pd.DataFrame(rows, columns=["plane", "local_index", "dy", "dx", "error", "corr_before", "corr_after"])
+    return _per_frame(with_reference(frames, images), one, ["dy", "dx", "error", "corr"], "dy double, dx double, error double, corr double")
 
-    return frames.select("plane", "local_index", "pixels").groupBy("plane").applyInPandas(run, "plane long, local_index long, dy double, dx double, error double, corr_before double, corr_after double")
+
+def registered(frames: DataFrame, shifts: DataFrame) -> DataFrame:
+    """The frames moved by their shifts."""
+    rows = frames.select(*FRAME, "width", "pixels").join(shifts.select(*FRAME, "dy", "dx"), FRAME)
+    return _per_frame(rows, lambda r: (r["width"], moved(r["pixels"], r["dy"], r["dx"]).ravel().tolist()), ["width", "pixels"], "width int, pixels array<double>")
+
+
+def frame_shifts(frames: DataFrame, upsample: int = 10, condition: dict | None = None, updates: int = 1) -> DataFrame:
+    """dy, dx, error, corr_before, corr_after of every frame.
+
+    The first reference of a plane is its median; after each of ``updates`` rounds it is the mean of the frames moved so
+    far. corr_before is with the median, corr_after that of the moved frame with the last mean.
+    """
+    s = keep(estimate(frames, keep(recon.median_images(frames)), upsample, condition))
+    before = s.select(*FRAME, F.col("corr").alias("corr_before"))
+    mean = keep(recon.mean_images(registered(frames, s)))
+    for _ in range(updates):
+        s = keep(estimate(frames, mean, upsample, condition))
+        mean = keep(recon.mean_images(registered(frames, s)))
+    after = _per_frame(with_reference(registered(frames, s), mean), lambda r: (correlation(r["reference"], r["pixels"]),), ["corr_after"], "corr_after double")
+    return keep(s.drop("corr").join(before, FRAME).join(after, FRAME))
 
 
 def registration_keep(shifts: DataFrame, most: float = 8.0, corr_k: float = 3.0, error_k: float = 4.0, gain: float = -0.02, least: float = 0.3, least_corr: float | None = None, most_error: float | None = None) -> DataFrame:
-    """Adds the shift's ``magnitude``, the correlation ``gain``, ``keep`` and ``reasons``. Bounds come from the frames whose shift is valid,
-    unless ``least_corr`` or ``most_error`` fix them; if too few frames pass, the best of the valid ones are kept."""
-    s = shifts.withColumns({"magnitude": F.hypot("dy", "dx"), "gain": F.col("corr_after") - F.col("corr_before")}).withColumn("valid", F.col("magnitude") <= most)
-    good = s.where("valid")
-    low = stats.robust_bounds(good, ["plane"], "corr_after", corr_k).select("plane", F.col("lower").alias("corr_bound"))
-    high = stats.robust_bounds(good, ["plane"], "error", error_k).select("plane", F.col("upper").alias("error_bound"))
-    s = s.join(low, "plane", "left").join(high, "plane", "left")
+    """Adds the shift's ``magnitude``, the correlation ``gain``, the bounds, ``keep``, ``relaxed`` and ``reasons``.
+
+    Bounds come from the frames whose shift is valid, unless ``least_corr`` or ``most_error`` fix them. A frame of undefined
+    correlation or error is never kept; if fewer than max(1, ceil(n * least)) pass, the best of the valid ones of defined
+    correlation are kept instead, up to that many (``relaxed``). Reasons are named for every frame they hold for, kept or not;
+    undefined values give none.
+    """
+    ok = stats.finite
+    s = shifts.withColumns({"magnitude": F.hypot("dy", "dx"), "gain": F.col("corr_after") - F.col("corr_before")}).withColumn("valid", ok(F.col("magnitude")) & (F.col("magnitude") <= most))
+    # robust_bounds of no valid frame accept nothing
+    low = stats.robust_bounds(s.withColumn("c_", F.when(F.col("valid"), F.col("corr_after"))), PLANE, "c_", corr_k).select(*PLANE, F.col("lower").alias("corr_bound"))
+    high = stats.robust_bounds(s.withColumn("e_", F.when(F.col("valid"), F.col("error"))), PLANE, "e_", error_k).select(*PLANE, F.col("upper").alias("error_bound"))
+    s = s.join(low, PLANE).join(high, PLANE)
     if least_corr is not None:
         s = s.withColumn("corr_bound", F.lit(float(least_corr)))
     if most_error is not None:
         s = s.withColumn("error_bound", F.lit(float(most_error)))
-    ok = F.col("valid") & (F.col("corr_after") >= F.col("corr_bound")) & (F.col("error") <= F.col("error_bound")) & (F.col("gain") >= gain)
-    from pyspark.sql import Window
-
-    every = Window.partitionBy("plane")
-    rank = Window.partitionBy("plane").orderBy(F.desc("valid"), F.desc("corr_after"), F.desc("local_index"))
-    s = s.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("rank", F.row_number().over(rank))
-    need = F.ceil(F.count("*").over(every) * F.lit(least))
-    s = s.withColumn("keep", F.when(F.sum(F.col("ok").cast("long")).over(every) < need, F.col("valid") & (F.col("rank") <= need)).otherwise(F.col("ok")))
-    why = F.concat_ws(";", F.when(~F.col("valid"), "shift"), F.when(F.col("corr_after") < F.col("corr_bound"), "correlation"), F.when(F.col("error") > F.col("error_bound"), "error"), F.when(F.col("gain") < gain, "gain"))
-    return s.withColumn("reasons", F.when(F.col("keep"), "").otherwise(why)).drop("ok", "rank", "corr_bound", "error_bound")
-
-
-def plane_methods(frames: DataFrame, width: int, upsample: int = 10, k: float = 3.0, least: float = 0.3) -> DataFrame:
-    """plane, method, y, x, v for A mean, B correlation-filtered mean, C registered mean, D registered and quality-filtered mean."""
-    from stackloom.operators import recon
-
-    vox = recon.voxels(frames, width)
-    a = recon.mean_volume(vox).withColumn("method", F.lit("A"))
-    b = recon.filtered_mean(vox, k, least).withColumn("method", F.lit("B"))
-    kept = registration_keep(frame_shifts(frames, width, upsample), least=least).select("plane", "local_index", "dy", "dx", "keep")
-
-    def shifted(g: pd.DataFrame) -> pd.DataFrame:
-        images = np.stack([moved(np.asarray(p, float).reshape(-1, width), dy, dx) for p, dy, dx in zip(g["pixels"], g["dy"], g["dx"], strict=True)])
-        parts = []
-        for name, keep in (("C", np.ones(len(g), bool)), ("D", g["keep"].to_numpy(bool))):
-            count = np.isfinite(images[keep]).sum(0)
-            v = np.where(count > 0, np.nansum(images[keep], 0) / np.maximum(count, 1), np.nan)
-            y, x = np.indices(v.shape)
-            parts.append(pd.DataFrame({"plane": g["plane"].iloc[0], "y": y.ravel(), "x": x.ravel(), "v": v.ravel(), "method": name}))
-        return pd.concat(parts)
-
-    cd = frames.select("plane", "local_index", "pixels").join(kept, ["plane", "local_index"]).groupBy("plane").applyInPandas(shifted, "plane long, y long, x long, v double, method string")
-    return a.unionByName(b).unionByName(cd)
-
-
-def cross_plane(vol: DataFrame, width: int, k: float = 3.0, most: float = 10.0, upsample: int = 10) -> DataFrame:
-    """Steps between raw neighbouring planes, gated and summed to drifts (see volume.cumulative_drift)."""
-    images = vol.groupBy("plane").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("pixels"))
-    nxt = images.select((F.col("plane") - 1).alias("plane"), F.col("pixels").alias("moving"))
-    pairs = images.join(nxt, "plane")
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for p, r, m in zip(b["plane"], b["pixels"], b["moving"], strict=True):
-                r, m = np.asarray(r, float).reshape(-1, width), np.asarray(m, float).reshape(-1, width)
-                (dy, dx), e = phase_shift(r, m, upsample)
-                rows.append((0, p + 1, dy, dx, e, correlation(r, moved(m, dy, dx))))
-            yield pd.DataFrame(rows, columns=["stack", "plane", "dy", "dx", "error", "corr"])
+    good = F.col("valid") & ok(F.col("corr_after")) & (F.col("corr_after") >= F.col("corr_bound")) & ok(F.col("error")) & (F.col("error") <= F.col("error_bound")) & ok(F.col("gain")) & (F.col("gain") >= gain)
+    every = Window.partitionBy(*PLANE)
+    may = F.col("valid") & ok(F.col("corr_after"))
+    s = s.withColumns({"ok": good, "may": may}).withColumn("rank", F.row_number().over(every.orderBy(F.desc("may"), *recon.ranked("corr_after"))))
+    need = F.greatest(F.lit(1), F.ceil(F.count("*").over(every) * F.lit(least)))
+    s = s.withColumn("relaxed", F.sum(F.col("ok").cast("long")).over(every) < need).withColumn("keep", F.when(F.col("relaxed"), F.col("may") & (F.col("rank") <= need)).otherwise(F.col("ok")))
+    why = F.concat_ws(";", F.when(ok(F.col("magnitude")) & (F.col("magnitude") > most), SHIFT), F.when(ok(F.col("corr_after")) & (F.col("corr_after") < F.col("corr_bound")), CORRELATION), F.when(ok(F.col("error")) & (F.col("error") > F.col("error_bound")), ERROR), F.when(ok(F.col("gain")) & (F.col("gain") < gain), GAIN))
+    return s.withColumn("reasons", why).drop("ok", "may", "rank")
+
 
-    steps = pairs.mapInPandas(run, "stack long, plane long, dy double, dx double, error double, corr double")
-    return volume.cumulative_drift(steps, k, most)
+def in_um(shifts: DataFrame, pixel_y_um: float, pixel_x_um: float) -> DataFrame:
+    """Adds the shift and its magnitude in µm."""
+    return shifts.withColumns({"dy_um": F.col("dy") * pixel_y_um, "dx_um": F.col("dx") * pixel_x_um, "magnitude_um": F.hypot(F.col("dy") * pixel_y_um, F.col("dx") * pixel_x_um)})
 
 
-def volume_shift(first: DataFrame, second: DataFrame, shape: tuple[int, int, int], upsample: int = 10) -> DataFrame:
-    """3-D shift, error and correlations of pairs (pair, plane, y, x, v) of volumes on a common grid."""
+def plane_methods(frames: DataFrame, kept: DataFrame, legacy: DataFrame) -> DataFrame:
+    """scan_id, plane, method, y, x, v: A mean, B mean of the frames that ``legacy`` keeps, C mean of the moved frames, D of those of them that ``kept`` keeps.
+
+    ``legacy`` is of recon.kept_frames() and ``kept`` of registration_keep(). A plane of which nothing is kept has no D.
+    """
+    shifted = registered(frames, kept)
+    only = lambda d, k: d.join(k.where("keep").select(*FRAME), FRAME, "left_semi")
+    made = {"A": frames, "B": only(frames, legacy), "C": shifted, "D": only(shifted, kept)}
+    out = None
+    for name, f in made.items():
+        v = recon.mean_volume(f).withColumn("method", F.lit(name))
+        out = v if out is None else out.unionByName(v)
+    return out.select(*PLANE, "method", "y", "x", "v")
+
+
+def plane_summary(kept: DataFrame, legacy: DataFrame, methods: DataFrame, pixel_um: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """A row a plane: frames kept by both filters, bounds, shifts, correlations, errors, longest rejected runs, and the sharpness of each method."""
+    k = in_um(kept, *pixel_um)
+    p = stats.percentile
+    rows = k.groupBy(*PLANE).agg(
+        F.count("*").alias("frames"), F.count_if("keep").alias("kept"), F.avg(F.col("keep").cast("double")).alias("kept_share"), F.bool_or("relaxed").alias("relaxed"), F.first("corr_bound").alias("corr_bound"), F.first("error_bound").alias("error_bound"),
+        F.median("magnitude").alias("shift_p50"), p("magnitude", 0.95).alias("shift_p95"), F.max("magnitude").alias("shift_max"), p("magnitude_um", 0.95).alias("shift_um_p95"),
+        F.avg("corr_before").alias("corr_before"), F.avg("corr_after").alias("corr_after"), F.avg("gain").alias("gain"), F.avg("error").alias("error_mean"), p("error", 0.95).alias("error_p95"),
+    )
+    old = legacy.groupBy(*PLANE).agg(F.count_if("keep").alias("legacy_kept"), F.avg(F.col("keep").cast("double")).alias("legacy_kept_share"), F.first("threshold").alias("legacy_bound"))
+    out = rows.join(old, PLANE)
+    for name, d in (("longest_rejected", kept), ("legacy_longest_rejected", legacy)):
+        run = stats.longest_run(d.select(*FRAME, (~F.col("keep")).alias("off_")), PLANE, ["local_index"], "off_")
+        out = out.join(run.withColumnRenamed("longest_run", name), PLANE)
+    sharp = stats.tenengrad(methods, [*PLANE, "method"], "y", "x", "v", pixel_um).groupBy(*PLANE).pivot("method", list("ABCD")).agg(F.first("tenengrad"))
+    return out.join(sharp.select(*PLANE, *(F.col(m).alias(f"sharpness_{m}") for m in "ABCD")), PLANE)
+
+
+def plane_images(vol: DataFrame) -> DataFrame:
+    """scan_id (if there), plane, width, pixels of a volume whose planes are whole."""
+    keys = [*volume.stack(vol), "plane"]
+    return vol.groupBy(*keys).agg((F.max("x") + 1).cast("int").alias("width"), F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("pixels"))
+
+
+def drift_within(frames: DataFrame, n: int = 5, upsample: int = 10) -> DataFrame:
+    """The shift of the mean of each plane's last n frames to that of its first n, with its error and correlations."""
+    v = recon.early_late(frames, n)
+    image = lambda c: plane_images(v.withColumnRenamed(c, "v")).withColumn("local_index", F.lit(0).cast("long"))
+    s = estimate(image("late"), image("early"), upsample)
+    after = _per_frame(with_reference(registered(image("late"), s), image("early")), lambda r: (correlation(r["reference"], r["pixels"]),), ["corr_after"], "corr_after double")
+    return s.join(after, FRAME).select(*PLANE, "dy", "dx", F.hypot("dy", "dx").alias("magnitude"), "error", F.col("corr").alias("corr_before"), "corr_after")
+
+
+def cross_plane(vol: DataFrame, k: float = 3.0, most: float = 10.0, upsample: int = 10) -> DataFrame:
+    """scan_id, plane, dy, dx, error, corr, reliable, cum_dy, cum_dx: steps between raw neighbouring planes (corr is theirs, unmoved), gated and summed to drifts."""
+    images = plane_images(vol).withColumn("local_index", F.lit(0).cast("long"))
+    before = images.withColumn("plane", F.col("plane") + 1)
+    return volume.cumulative_drift(estimate(images, before, upsample).drop("local_index"), k, most)
+
+
+def corrected(vol: DataFrame, k: float = 3.0, most: float = 10.0, upsample: int = 10) -> DataFrame:
+    """The volume with the drift that cross_plane() finds applied to each plane."""
+    return volume.apply_drift(vol, keep(cross_plane(vol, k, most, upsample)))
+
+
+def boundary_shift(first: DataFrame, second: DataFrame, upsample: int = 10) -> DataFrame:
+    """A row a stack: dy, dx, error, corr_before, corr_after of the second stack's first plane against the last plane of the first."""
+    edge = lambda d, f: volume.with_each(d, d.groupBy(*volume.stack(d)).agg(f("plane").alias("edge_"))).where("plane = edge_").drop("edge_").withColumn("plane", F.lit(0).cast("long"))
+    image = lambda d: plane_images(d).withColumn("local_index", F.lit(0).cast("long"))
+    a, b = image(edge(first, F.max)), image(edge(second, F.min))
+    s = estimate(b, a, upsample)
+    after = _per_frame(with_reference(registered(b, s), a), lambda r: (correlation(r["reference"], r["pixels"]),), ["corr_after"], "corr_after double")
+    return s.join(after, FRAME).select("scan_id", "dy", "dx", "error", F.col("corr").alias("corr_before"), "corr_after")
+
+
+def volume_shift(first: DataFrame, second: DataFrame, upsample: int = 10, sigma: float = 0.7) -> DataFrame:
+    """scan_id, dz, dy, dx, error of pairs of volumes (scan_id names the pair) on a common grid, by a 3-D phase correlation of conditioned volumes.
+
+    A pair is one Fourier transform, so one task; the grid bounds its size."""
     both = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = np.full((2, *shape), np.nan)
-        v[g["side"], g["plane"], g["y"], g["x"]] = g["v"]
-        (dz, dy, dx), e = phase_shift(conditioned(v[0]), conditioned(v[1]), upsample)
-        return pd.DataFrame([(g["pair"].iloc[0], dz, dy, dx, e, correlation(v[0], v[1]))], columns=["pair", "dz", "dy", "dx", "error", "corr_before"])
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        side, z, y, x = (t[c].to_numpy() for c in ("side", "plane", "y", "x"))
+        v = np.full((2, z.max() + 1, y.max() + 1, x.max() + 1), np.nan)
+        v[side, z, y, x] = t["v"].to_numpy()
+        (dz, dy, dx), e = phase_shift(conditioned(v[0], sigma), conditioned(v[1], sigma), upsample)
+        return pa.table({"scan_id": pa.array([key[0].as_py()], pa.string()), **{n: [float(s)] for n, s in (("dz", dz), ("dy", dy), ("dx", dx), ("error", e))}})
+
+    return both.select("scan_id", "side", "plane", "y", "x", "v").groupBy("scan_id").applyInArrow(run, "scan_id string, dz double, dy double, dx double, error double")
 
-    return both.groupBy("pair").applyInPandas(run, "pair string, dz double, dy double, dx double, error double, corr_before double")

@@ -56,19 +56,23 @@ def rotate(vol: DataFrame, angle: float, axes: tuple[str, str] = ("y", "x"), nea
 
 
 def dilate(mask: DataFrame, shape: tuple[int, int], steps: int = 1) -> DataFrame:
-    """Pixels (y, x) within so many steps along rows and columns of those of a mask."""
+    """Pixels (y, x) within so many steps along rows and columns of those of a mask; other columns name the image."""
+    keys = [c for c in mask.columns if c not in ("y", "x")]
     reach = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-steps, steps + 1) for j in range(-steps, steps + 1) if abs(i) + abs(j) <= steps))
-    d = mask.select("y", "x", F.explode(reach).alias("o")).select((F.col("y") + F.col("o.i")).alias("y"), (F.col("x") + F.col("o.j")).alias("x"))
+    d = mask.select(*keys, "y", "x", F.explode(reach).alias("o")).select(*keys, (F.col("y") + F.col("o.i")).alias("y"), (F.col("x") + F.col("o.j")).alias("x"))
     return d.where(F.col("y").between(0, shape[0] - 1) & F.col("x").between(0, shape[1] - 1)).distinct()
 
 
 def crop_nonzero(image: DataFrame, threshold: float, pad: int = 0) -> DataFrame:
-    """An image (y, x, v) cut to the padded bounding box of what is above a threshold, counted from 0; empty if nothing is."""
-    box = image.where(F.col("v") > threshold).agg(*(f(c).alias(f"{n}_{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))))
-    size = image.agg(F.max("y").alias("top_y"), F.max("x").alias("top_x"))
-    d = image.join(F.broadcast(box.where("lo_y is not null").crossJoin(size)))  # one row, or none
+    """Images (y, x, v), each cut to the padded bounding box of what is above a threshold and counted from 0; nothing of one where nothing is.
+
+    Other columns name the image."""
+    keys = [c for c in image.columns if c not in ("y", "x", "v")]
+    box = image.where(F.col("v") > threshold).groupBy(*keys).agg(*(f(c).alias(f"{n}_{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max)))).where("lo_y is not null")
+    size = image.groupBy(*keys).agg(F.max("y").alias("top_y"), F.max("x").alias("top_x"))
+    d = image.join(box, keys).join(size, keys) if keys else image.join(F.broadcast(box)).join(F.broadcast(size))  # one row each, or none
     lo, hi = (lambda c: F.greatest(F.col(f"lo_{c}") - pad, F.lit(0))), (lambda c: F.least(F.col(f"hi_{c}") + pad, F.col(f"top_{c}")))
-    return d.where(F.col("y").between(lo("y"), hi("y")) & F.col("x").between(lo("x"), hi("x"))).select((F.col("y") - lo("y")).alias("y"), (F.col("x") - lo("x")).alias("x"), "v")
+    return d.where(F.col("y").between(lo("y"), hi("y")) & F.col("x").between(lo("x"), hi("x"))).select(*keys, (F.col("y") - lo("y")).alias("y"), (F.col("x") - lo("x")).alias("x"), "v")
 
 
 def _turned(vol: DataFrame, shape: tuple[int, int, int], azimuth: float, elevation: float, nearest: bool = False) -> tuple[DataFrame, tuple[int, int, int]]:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.functions import stats
-from stackloom.operators import register
+from stackloom.operators import features, register
+from stackloom.runtime import keep
 
 # Frames, noise as a share of the image's deviation, and the displaced frames of each case.
 CASES = {"motion_with_outliers": (48, 0.04, {7: (10.0, -9.0), 31: (-11.0, 10.0)}), "brightness_only": (36, 0.02, {}), "low_snr": (36, 1.0, {})}
@@ -50,8 +50,8 @@ def displaced(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
     return image
 
 
-def frames(spark: SparkSession, shape: tuple[int, int] = (96, 96), seed: int = 3) -> DataFrame:
-    """case, plane, local_index, true_dy, true_dx, outlier, pixels; a plane a case. ``true_*`` is the shift that puts a frame back."""
+def frames(spark: SparkSession, shape: tuple[int, int] = (160, 160), seed: int = 3) -> DataFrame:
+    """scan_id (the case), plane, local_index, width, true_dy, true_dx, outlier, pixels. ``true_*`` is the shift that puts a frame back."""
     names = list(CASES)
     rows = [(p, i) for p, c in enumerate(names) for i in range(CASES[c][0])]
 
@@ -59,35 +59,32 @@ def frames(spark: SparkSession, shape: tuple[int, int] = (96, 96), seed: int = 3
         ref = reference(shape, seed)
         for b in batches:
             out = []
-            for p, i in zip(b["plane"], b["local_index"], strict=True):
+            for p, i in zip(b["case_"], b["local_index"], strict=True):
                 n, noise, outliers = CASES[names[p]]
                 rng = np.random.default_rng([seed, p, i])
                 dy, dx = outliers.get(i, tuple(rng.uniform(-2, 2, 2)) if outliers else (0.0, 0.0))
                 part = i / (n - 1)
                 scale, offset = ((rng.uniform(0.65, 1.4), rng.uniform(-80, 80)), (0.45 + 1.2 * part, 240 * part - 120), (0.08, 0.0))[p]
                 image = scale * displaced(ref, dy, dx) + offset + rng.normal(0, noise * ref.std(), shape)
-                out.append((names[p], p, i, -dy, -dx, i in outliers, image.astype(np.float32).ravel()))
-            yield pd.DataFrame(out, columns=["case", "plane", "local_index", "true_dy", "true_dx", "outlier", "pixels"])
+                out.append((names[p], 0, i, shape[1], -dy, -dx, i in outliers, image.astype(np.float32).ravel()))
+            yield pd.DataFrame(out, columns=["scan_id", "plane", "local_index", "width", "true_dy", "true_dx", "outlier", "pixels"])
 
-    return spark.createDataFrame(rows, "plane long, local_index long").repartition("plane", "local_index").mapInPandas(make, "case string, plane long, local_index long, true_dy double, true_dx double, outlier boolean, pixels array<float>")
+    return spark.createDataFrame(rows, "case_ long, local_index long").repartition("case_", "local_index").mapInPandas(make, "scan_id string, plane long, local_index long, width int, true_dy double, true_dx double, outlier boolean, pixels array<float>")
 
 
-def evaluate(spark: SparkSession, shape: tuple[int, int] = (96, 96), seed: int = 3, **bounds: float) -> DataFrame:
+def evaluate(spark: SparkSession, shape: tuple[int, int] = (160, 160), seed: int = 3, **bounds: float) -> DataFrame:
     """Per case: frames, kept share, outliers and those rejected, rmse and p95 of the centred shift error, and ``passed``.
 
     Errors are of frames that are no outliers, each side freed of its median over them. Frames of low signal are judged
-    by nothing but what is recorded. ``bounds`` go to registration_keep; its robust bounds drop the dimmest frames of the
+    by nothing but what is recorded. ``bounds`` go to registration_keep; its robust bounds may drop the dimmest frames of the
     brightness ramp, whose correlation is high but lower than the others'.
     """
-    f = frames(spark, shape, seed)
-    kept = register.registration_keep(register.frame_shifts(f, shape[1], condition=True), **bounds)
-    d = f.drop("pixels").join(kept.select("plane", "local_index", "dy", "dx", "keep"), ["plane", "local_index"])
-    mid = d.where("not outlier").groupBy("plane").agg(*(F.median(c).alias(f"m_{c}") for c in ("dy", "dx", "true_dy", "true_dx")))
-    e = [F.col(c) - F.col(f"m_{c}") - F.col(f"true_{c}") + F.col(f"m_true_{c}") for c in ("dy", "dx")]
-    d = d.join(F.broadcast(mid), "plane").withColumn("e", F.when(~F.col("outlier"), F.hypot(*e)))  # a row a case
-    s = d.groupBy("case").agg(
-        F.count("*").alias("frames"), F.avg(F.when(~F.col("outlier"), F.col("keep").cast("double"))).alias("kept"), F.count_if("outlier").alias("outliers"),
-        F.count_if(F.col("outlier") & ~F.col("keep")).alias("rejected"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), stats.percentile("e", 0.95).alias("p95"),
-    )
+    f = keep(frames(spark, shape, seed))
+    kept = register.registration_keep(register.frame_shifts(f, condition=register.CONDITION), **bounds)
+    d = f.drop("pixels", "width").join(kept.select("scan_id", "plane", "local_index", "dy", "dx", "keep"), ["scan_id", "plane", "local_index"])
+    error = features.centred_error(d, ["scan_id"], ~F.col("outlier"))
+    s = d.groupBy("scan_id").agg(
+        F.count("*").alias("frames"), F.avg(F.when(~F.col("outlier"), F.col("keep").cast("double"))).alias("kept"), F.count_if("outlier").alias("outliers"), F.count_if(F.col("outlier") & ~F.col("keep")).alias("rejected"),
+    ).join(error, "scan_id").withColumnRenamed("scan_id", "case")
     still = (F.col("rmse") <= MOST_RMSE) & (F.col("rejected") == F.col("outliers")) & (F.col("kept") >= LEAST_KEPT)
     return s.withColumn("passed", F.when(F.col("case") == "motion_with_outliers", still).when(F.col("case") == "brightness_only", (F.col("p95") <= MOST_P95) & (F.col("kept") >= LEAST_KEPT)))

@@ -1,4 +1,7 @@
-"""Volumes (plane, y, x, v): projections, slabs, comparisons of planes, composites, merging, resampling."""
+"""Volumes (scan_id, plane, y, x, v): projections, slabs, comparisons of planes, composites, merging, resampling.
+
+Everything is done stack by stack, for all stacks of a table at once; a table without scan_id is one stack.
+"""
 
 from __future__ import annotations
 
@@ -6,39 +9,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import scalar, stats
+from stackloom.runtime import keep
+
+
+STACK = "scan_id"
+
+
+def stack(df: DataFrame) -> list[str]:
+    """The column that names the stack, if there is one."""
+    return [STACK] if STACK in df.columns else []
+
+
+def with_each(df: DataFrame, of_stack: DataFrame) -> DataFrame:
+    """Adds to every row what ``of_stack`` has, a row a stack."""
+    keys = stack(df)
+    return df.join(of_stack, keys) if keys else df.join(F.broadcast(of_stack))  # one row
 
 
 def projections(vol: DataFrame) -> DataFrame:
     """name, i, j, mean, max along each axis, in one pass over the volume."""
-    v = stats.skip_nan(F.col("v"))
-    g = vol.groupingSets([[F.col("y"), F.col("x")], [F.col("plane"), F.col("x")], [F.col("plane"), F.col("y")]], "plane", "y", "x").agg(F.avg(v).alias("mean"), F.max(v).alias("max"), F.grouping("plane").alias("gp"), F.grouping("y").alias("gy"))
+    v, keys = stats.skip_nan(F.col("v")), stack(vol)
+    sets = [[*keys, "y", "x"], [*keys, "plane", "x"], [*keys, "plane", "y"]]
+    g = vol.groupingSets([[F.col(c) for c in x] for x in sets], *keys, "plane", "y", "x").agg(F.avg(v).alias("mean"), F.max(v).alias("max"), F.grouping("plane").alias("gp"), F.grouping("y").alias("gy"))
     name = F.when(F.col("gp") == 1, "xy").when(F.col("gy") == 1, "xz").otherwise("yz")
-    return g.select(name.alias("name"), F.when(name == "xy", F.col("y")).otherwise(F.col("plane")).alias("i"), F.when(name == "yz", F.col("y")).otherwise(F.col("x")).alias("j"), F.coalesce("mean", stats.nan()).alias("mean"), F.coalesce("max", stats.nan()).alias("max"))
+    return g.select(*keys, name.alias("name"), F.when(name == "xy", F.col("y")).otherwise(F.col("plane")).alias("i"), F.when(name == "yz", F.col("y")).otherwise(F.col("x")).alias("j"), F.coalesce("mean", stats.nan()).alias("mean"), F.coalesce("max", stats.nan()).alias("max"))
 
 
 def projection_summary(vol: DataFrame) -> DataFrame:
-    long = projections(vol).select("name", F.stack(F.lit(2), F.lit("mean"), "mean", F.lit("max"), "max").alias("kind", "v"))
-    return long.groupBy("name", "kind").agg(F.min("v").alias("minimum"), F.avg("v").alias("mean"), F.max("v").alias("maximum"))
+    keys = stack(vol)
+    long = projections(vol).select(*keys, "name", F.stack(F.lit(2), F.lit("mean"), "mean", F.lit("max"), "max").alias("kind", "v"))
+    return long.groupBy(*keys, "name", "kind").agg(F.min("v").alias("minimum"), F.avg("v").alias("mean"), F.max("v").alias("maximum"))
 
 
 def slab_mip(vol: DataFrame, centre: Column, half: int) -> DataFrame:
     """Maximum over the planes within ``half`` of a centre."""
-    return vol.where(F.col("plane").between(centre - half, centre + half)).groupBy("y", "x").agg(stats.nan_max(F.col("v")).alias("v"))
+    return vol.where(F.col("plane").between(centre - half, centre + half)).groupBy(*stack(vol), "y", "x").agg(stats.nan_max(F.col("v")).alias("v"))
 
 
 def slab_panels(vol: DataFrame, fractions: list[float], half: int) -> DataFrame:
     """A slab projection around each fraction of the depth; centres by half-even rounding."""
-    depth = vol.agg(F.max("plane").alias("top"))
-    centres = depth.select("top", F.explode(F.array(*(F.lit(f) for f in fractions))).alias("fraction")).select("fraction", F.rint(F.col("fraction") * F.col("top")).cast("long").alias("centre"))
+    depth = vol.groupBy(*stack(vol)).agg(F.max("plane").alias("top_"))
+    centre = F.rint(F.col("fraction") * F.col("top_")).cast("long")
+    d = with_each(vol, depth).withColumn("fraction", F.explode(F.array(*(F.lit(f) for f in fractions)))).withColumn("centre", centre)
     near = F.col("plane").between(F.col("centre") - half, F.col("centre") + half)
-    return vol.join(F.broadcast(centres), near).groupBy("fraction", "centre", "y", "x").agg(stats.nan_max(F.col("v")).alias("v"))  # a row a fraction
+    return d.where(near).groupBy(*stack(vol), "fraction", "centre", "y", "x").agg(stats.nan_max(F.col("v")).alias("v"))
 
 
 def ranged(vol: DataFrame, low: float, high: float) -> DataFrame:
-    """Adds the percentiles ``lo`` and ``hi`` of all numbers."""
-    v = stats.skip_nan(F.col("v"))
-    limits = vol.agg(stats.percentile(v, low).alias("lo"), stats.percentile(v, high).alias("hi"))
-    return vol.join(F.broadcast(limits))  # one row
+    """Adds the percentiles ``lo`` and ``hi`` of all numbers of the stack."""
+    return with_each(vol, stats.quantiles(vol, stack(vol), "v", {"lo": low, "hi": high}))
 
 
 def display(vol: DataFrame, low: float = 0.01, high: float = 0.998, gamma: float = 0.75, asinh: float | None = None) -> DataFrame:
@@ -48,68 +67,121 @@ def display(vol: DataFrame, low: float = 0.01, high: float = 0.998, gamma: float
 
 
 def clip_fractions(vol: DataFrame, low: float, high: float) -> DataFrame:
-    part = lambda c: F.avg(c.cast("double"))
-    return ranged(vol, low, high).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), part(F.col("v") < F.col("lo")).alias("clipped_low"), part(F.col("v") > F.col("hi")).alias("clipped_high"), part(~F.isnan("v")).alias("finite"))
+    """The display range, and the shares of finite values below and above it, and of finite ones among all."""
+    ok = stats.finite(F.col("v"))
+    part = lambda c: F.avg(F.when(ok, c.cast("double")))
+    return ranged(vol, low, high).groupBy(*stack(vol)).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), part(F.col("v") < F.col("lo")).alias("clipped_low"), part(F.col("v") > F.col("hi")).alias("clipped_high"), F.avg(ok.cast("double")).alias("finite"))
 
 
 def lag_correlation(vol: DataFrame, most: int = 1) -> DataFrame:
     """plane_a, plane_b, lag, corr of all pairs of planes up to a lag apart, by an equi-join on pixels."""
-    a = vol.select(F.col("plane").alias("plane_a"), "y", "x", F.col("v").alias("a"))
-    b = vol.select(F.col("plane").alias("plane_b"), "y", "x", F.col("v").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag")).withColumn("plane_a", F.col("plane_b") - F.col("lag"))
-    return a.join(b, ["plane_a", "y", "x"]).groupBy("plane_a", "plane_b", F.col("lag").cast("long").alias("lag")).agg(stats.pearson(F.col("a"), F.col("b")).alias("corr"))
+    keys = stack(vol)
+    a = vol.select(*keys, F.col("plane").alias("plane_a"), "y", "x", F.col("v").alias("a"))
+    b = vol.select(*keys, F.col("plane").alias("plane_b"), "y", "x", F.col("v").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag")).withColumn("plane_a", F.col("plane_b") - F.col("lag"))
+    return a.join(b, [*keys, "plane_a", "y", "x"]).groupBy(*keys, "plane_a", "plane_b", F.col("lag").cast("long").alias("lag")).agg(stats.pearson(F.col("a"), F.col("b")).alias("corr"))
 
 
 def z_decay(vol: DataFrame, step_um: float, most: int = 10) -> DataFrame:
     c = stats.skip_nan(F.col("corr"))
-    return lag_correlation(vol, most).groupBy("lag").agg((F.first("lag") * step_um).alias("lag_um"), F.count("*").alias("pairs"), F.avg(c).alias("mean"), F.median(c).alias("median"), stats.percentile(c, 0.05).alias("p05"), stats.percentile(c, 0.95).alias("p95"))
+    return lag_correlation(vol, most).groupBy(*stack(vol), "lag").agg((F.first("lag") * step_um).alias("lag_um"), F.count("*").alias("pairs"), F.avg(c).alias("mean"), F.median(c).alias("median"), stats.percentile(c, 0.05).alias("p05"), stats.percentile(c, 0.95).alias("p95"))
 
 
-def volume_metrics(vols: dict[str, DataFrame]) -> DataFrame:
-    """A row for each method: adjacent-plane correlation, spread, share of numbers."""
+def volume_metrics(vols: dict[str, DataFrame], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), row: float = 0.5, column: float = 0.5) -> DataFrame:
+    """A row for each method and stack: adjacent-plane correlation, spread, share of numbers, and the scale-normalised
+    Tenengrad of the XZ and YZ slices at given fractions of rows and columns (half-even) and of the axial maximum."""
     out = None
     for name, vol in vols.items():
+        keys = stack(vol)
         v = stats.skip_nan(F.col("v"))
-        whole = vol.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((~F.isnan("v")).cast("double")).alias("finite"))
-        near = lag_correlation(vol).agg(F.avg(stats.skip_nan(F.col("corr"))).alias("adjacent_mean"), F.median(stats.skip_nan(F.col("corr"))).alias("adjacent_median"))
-        row = whole.join(F.broadcast(near)).withColumn("method", F.lit(name))  # one row each
-        out = row if out is None else out.unionByName(row)
+        whole = vol.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg(stats.finite(F.col("v")).cast("double")).alias("finite"))
+        near = lag_correlation(vol).groupBy(*keys).agg(F.avg(stats.skip_nan(F.col("corr"))).alias("adjacent_mean"), F.median(stats.skip_nan(F.col("corr"))).alias("adjacent_median"))
+        cut = with_each(vol, vol.groupBy(*keys).agg(F.rint(row * F.max("y")).cast("long").alias("row_"), F.rint(column * F.max("x")).cast("long").alias("column_")))
+        whole_key = [*keys, "one_"]
+        image = lambda d, y, x: d.select(*keys, F.lit(0).alias("one_"), F.col(y).alias("i"), F.col(x).alias("j"), "v")  # noqa: B023, E731
+        sharp = {
+            "tenengrad_xz": (image(cut.where("y = row_"), "plane", "x"), (spacing[0], spacing[2])),
+            "tenengrad_yz": (image(cut.where("x = column_"), "plane", "y"), (spacing[0], spacing[1])),
+            "tenengrad_axial": (image(vol.groupBy(*keys, "y", "x").agg(stats.nan_max(F.col("v")).alias("v")), "y", "x"), (spacing[1], spacing[2])),
+        }
+        line = with_each(whole, near)
+        for n, (d, s) in sharp.items():
+            line = with_each(line, stats.tenengrad(d, whole_key, "i", "j", "v", s).select(*keys, F.col("tenengrad").alias(n)))
+        line = line.withColumn("method", F.lit(name))
+        out = line if out is None else out.unionByName(line)
     return out
 
 
-def _in_front() -> Window:
-    return Window.partitionBy("y", "x").orderBy("plane").rowsBetween(Window.unboundedPreceding, -1)
+def _in_front(vol: DataFrame) -> Window:
+    return Window.partitionBy(*stack(vol), "y", "x").orderBy("plane").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def attenuated_mip(vol: DataFrame, a: float) -> DataFrame:
     """Maximum of the signal weakened by what lies in front of it."""
-    front = F.coalesce(F.sum("v").over(_in_front()), F.lit(0.0))
-    return vol.withColumn("w", F.col("v") * F.exp(-a * front)).groupBy("y", "x").agg(F.max("w").alias("v"))
+    front = F.coalesce(F.sum("v").over(_in_front(vol)), F.lit(0.0))
+    return vol.withColumn("w", F.col("v") * F.exp(-a * front)).groupBy(*stack(vol), "y", "x").agg(F.max("w").alias("v"))
 
 
 def alpha_composite(vol: DataFrame, opacity: float) -> DataFrame:
     """Front-to-back compositing in closed form."""
-    front = F.coalesce(F.sum("v").over(_in_front()), F.lit(0.0))
+    front = F.coalesce(F.sum("v").over(_in_front(vol)), F.lit(0.0))
     w = F.exp(-opacity * front) * (1 - F.exp(-opacity * F.col("v"))) * F.col("v")
-    return vol.withColumn("w", w).groupBy("y", "x").agg(F.sum("w").alias("v"))
+    return vol.withColumn("w", w).groupBy(*stack(vol), "y", "x").agg(F.sum("w").alias("v"))
 
 
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     """Union of two stacks; planes that both have are averaged."""
-    return first.unionByName(second).groupBy("plane", "y", "x").agg(F.avg("v").alias("v"), F.count("*").alias("sources"))
+    return first.unionByName(second).groupBy(*stack(first), "plane", "y", "x").agg(stats.nan_avg(F.col("v")).alias("v"), F.count("*").alias("sources"))
+
+
+def boundary(first: DataFrame, second: DataFrame, zs: tuple[DataFrame, DataFrame], tolerance_um: float = 1e-6) -> DataFrame:
+    """A row a stack: gap_um from the last plane of the first to the first plane of the second one, mean boundary z, planes in and out, and ``overlaps``.
+
+    ``zs`` are rows (scan_id, plane, z_um) of both.
+    """
+    keys = stack(first)
+    last = zs[0].groupBy(*keys).agg(F.max_by("z_um", "plane").alias("z_last"), F.count("*").alias("n_first"), F.max("plane").alias("last_plane"))
+    begin = zs[1].groupBy(*keys).agg(F.min_by("z_um", "plane").alias("z_begin"), F.count("*").alias("n_second"), F.min("plane").alias("begin_plane"))
+    d = with_each(last, begin).withColumn("gap_um", F.col("z_begin") - F.col("z_last"))
+    return d.select(*keys, "gap_um", ((F.col("z_last") + F.col("z_begin")) / 2).alias("z_um"), (F.col("n_first") + F.col("n_second")).alias("planes_in"), (F.col("n_first") + F.col("n_second") - 1).alias("planes_out"), "last_plane", "begin_plane", (F.abs("gap_um") <= tolerance_um).alias("overlaps"))
+
+
+def merge_adjacent(first: DataFrame, second: DataFrame, zs: tuple[DataFrame, DataFrame], shifts: DataFrame | None = None, tolerance_um: float = 1e-6, most: float = float("inf")) -> DataFrame:
+    """scan_id, plane, z_um, y, x, v, source_role of two stacks merged around one shared plane, the second one moved first.
+
+    ``shifts`` has dy, dx a stack, from the registration of the boundary planes (see register.boundary_shift); none means no move.
+    Numbers of the shared plane are averaged, and its z is the mean of both. A gap above the tolerance, or a shift longer
+    than ``most``, is an error.
+    """
+    keys = stack(first)
+    at = boundary(first, second, zs, tolerance_um)
+    at = with_each(at, shifts.select(*keys, "dy", "dx")) if shifts is not None else at.withColumns({"dy": F.lit(0.0), "dx": F.lit(0.0)})
+    wrong = F.when(~F.col("overlaps"), F.raise_error(F.concat(F.lit("boundary planes do not overlap: gap "), F.col("gap_um"))).cast("long")).when(F.hypot("dy", "dx") > most, F.raise_error(F.concat(F.lit("boundary shift is too long: "), F.hypot("dy", "dx"))).cast("long"))
+    # the checks are part of a value that every row needs
+    at = at.withColumn("offset_", F.coalesce(wrong, F.col("last_plane") - F.col("begin_plane"))).select(*keys, F.col("z_um").alias("z_shared"), "offset_", "last_plane", "dy", "dx")
+    z = lambda d: d.select(*keys, "plane", "z_um")
+    a = with_each(first.join(z(zs[0]), [*keys, "plane"]), at).select(*keys, (F.col("plane") + F.col("offset_") * 0).alias("plane"), "y", "x", "v", "z_um", "z_shared", "last_plane", F.lit("first").alias("role_"))
+    b = move(with_each(second.join(z(zs[1]), [*keys, "plane"]), at), F.col("dy"), F.col("dx"), ["plane", "z_um", "z_shared", "last_plane", "offset_"])
+    b = b.select(*keys, (F.col("plane") + F.col("offset_")).alias("plane"), "y", "x", "v", "z_um", "z_shared", "last_plane", F.lit("second").alias("role_"))
+    shared = F.col("plane") == F.col("last_plane")
+    both = a.unionByName(b).groupBy(*keys, "plane", "y", "x").agg(F.first(F.when(shared, F.col("z_shared")).otherwise(F.col("z_um"))).alias("z_um"), stats.nan_avg(F.col("v")).alias("v"), F.first(F.when(shared, "overlap").otherwise(F.col("role_"))).alias("source_role"))
+    return both.select(*keys, "plane", "z_um", "y", "x", "v", "source_role")
 
 
 def slice_stats(vol: DataFrame) -> DataFrame:
+    """A row a plane; of a merged volume with the role of its source."""
     v = stats.skip_nan(F.col("v"))
     p = lambda x: stats.percentile(v, x)
-    return vol.groupBy("plane").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p(0.01).alias("p01"), p(0.5).alias("p50"), p(0.99).alias("p99"), F.avg((~F.isnan("v")).cast("double")).alias("finite"))
+    role = [F.first("source_role").alias("source_role")] if "source_role" in vol.columns else []
+    return vol.groupBy(*stack(vol), "plane").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p(0.01).alias("p01"), p(0.5).alias("p50"), p(0.99).alias("p99"), F.avg(stats.finite(F.col("v")).cast("double")).alias("finite"), *role)
 
 
 def cumulative_drift(steps: DataFrame, k: float = 3.0, most: float = 10.0) -> DataFrame:
-    """Adds ``reliable`` (correlation at or above the robust bound, magnitude within ``most``) and running sums of the reliable steps."""
-    bound = stats.robust_bounds(steps.withColumn("all_", F.lit(1)), ["all_"], "corr", k).select("lower")
-    s = steps.join(F.broadcast(bound))  # one row
-    s = s.withColumn("reliable", ~F.isnan("corr") & (F.col("corr") >= F.col("lower")) & (F.hypot("dy", "dx") <= most))
-    w = Window.partitionBy("stack").orderBy("plane").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds ``reliable`` (finite correlation at or above the stack's robust bound, magnitude within ``most``) and running sums of the reliable steps."""
+    keys = stack(steps)
+    bound = stats.robust_bounds(steps, keys, "corr", k).select(*keys, "lower")
+    s = with_each(steps, bound)
+    s = s.withColumn("reliable", stats.finite(F.col("corr")) & (F.col("corr") >= F.col("lower")) & (F.hypot("dy", "dx") <= most)).drop("lower")
+    w = Window.partitionBy(*keys).orderBy("plane").rowsBetween(Window.unboundedPreceding, 0)
     run = lambda c: F.sum(F.when(F.col("reliable"), F.col(c)).otherwise(0.0)).over(w)
     return s.withColumns({"cum_dy": run("dy"), "cum_dx": run("dx")})
 
@@ -117,17 +189,16 @@ def cumulative_drift(steps: DataFrame, k: float = 3.0, most: float = 10.0) -> Da
 def crop_box(vol: DataFrame, threshold: float, pad: int) -> DataFrame:
     """Pixels of the padded bounding box of what is above a threshold; values outside that support are NaN."""
     up = vol.where(F.col("v") > threshold)
-    box = up.agg(*(f(c).alias(f"{n}_{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))))
-    d = vol.join(F.broadcast(box))  # one row
+    box = up.groupBy(*stack(vol)).agg(*(f(c).alias(f"{n}_{c}") for c in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))))
     inside = F.col("y").between(F.col("lo_y") - pad, F.col("hi_y") + pad) & F.col("x").between(F.col("lo_x") - pad, F.col("hi_x") + pad)
-    return d.where(inside).select("plane", "y", "x", F.when(F.col("v") > threshold, F.col("v")).otherwise(stats.nan()).alias("v"))
+    return with_each(vol, box).where(inside).select(*stack(vol), "plane", "y", "x", F.when(F.col("v") > threshold, F.col("v")).otherwise(stats.nan()).alias("v"))
 
 
 def cuboid_edges(vol: DataFrame, t: int) -> DataFrame:
     """Voxels within t of the twelve edges: at least two of three coordinates within t of a face."""
-    top = vol.agg(*(F.max(c).alias(f"top_{c}") for c in ("plane", "y", "x")))
+    top = vol.groupBy(*stack(vol)).agg(*(F.max(c).alias(f"top_{c}") for c in ("plane", "y", "x")))
     near = sum(((F.col(c) < t) | (F.col(c) > F.col(f"top_{c}") - t)).cast("int") for c in ("plane", "y", "x"))
-    return vol.join(F.broadcast(top)).where(near >= 2).select("plane", "y", "x")  # one row
+    return with_each(vol, top).where(near >= 2).select(*stack(vol), "plane", "y", "x")
 
 
 def _blend(vol: DataFrame, targets: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
@@ -143,50 +214,156 @@ def _taps(df: DataFrame, axis: str, source: Column) -> DataFrame:
     return df.withColumn("tap", F.explode(F.array(F.lit(0), F.lit(1)))).select("*", (low + F.col("tap")).cast("long").alias(axis), F.when(F.col("tap") == 0, 1 - (source - low)).otherwise(source - low).alias(f"w_{axis}")).drop("tap")
 
 
+def move(vol: DataFrame, dy: Column, dx: Column, keep: list[str] | None = None, nearest: bool = False) -> DataFrame:
+    """Planes moved by (dy, dx), which may be columns, with linear interpolation; NaN where the source is outside, or, with
+    ``nearest``, the pixel at the border. ``keep`` are columns of a plane that stay."""
+    keys = [*stack(vol), *(keep or ["plane"])]
+    top = vol.groupBy(*stack(vol)).agg(F.max("y").alias("top_y"), F.max("x").alias("top_x")) if nearest else None
+    t = with_each(vol, top) if nearest else vol
+    from_ = {"y": F.col("y") - dy, "x": F.col("x") - dx}
+    if nearest:
+        from_ = {c: F.least(F.greatest(v, F.lit(0.0)), F.col(f"top_{c}").cast("double")) for c, v in from_.items()}
+    t = t.select(*keys, F.col("y").alias("to_y"), F.col("x").alias("to_x"), *(v.alias(f"from_{c}") for c, v in from_.items()))
+    t = _taps(_taps(t, "y", F.col("from_y")), "x", F.col("from_x")).withColumn("w", F.col("w_y") * F.col("w_x"))
+    return _blend(vol.select(*keys, "y", "x", "v"), t, keys, ["y", "x"]).select(*keys, F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+
+
 def bilinear_shift(vol: DataFrame, dy: float, dx: float) -> DataFrame:
     """Every plane moved by (dy, dx) with linear interpolation; NaN where the source is outside."""
-    t = vol.select("plane", F.col("y").alias("to_y"), F.col("x").alias("to_x"))
-    t = _taps(t, "y", F.col("to_y") - F.lit(dy))
-    t = _taps(t, "x", F.col("to_x") - F.lit(dx)).withColumn("w", F.col("w_y") * F.col("w_x"))
-    return _blend(vol, t, ["plane"], ["y", "x"]).select("plane", F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+    return move(vol, F.lit(dy), F.lit(dx))
+
+
+def move3(vol: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Volumes moved by the (dz, dy, dx) of their stack, with linear interpolation; NaN where the source is outside."""
+    keys = stack(vol)
+    t = with_each(vol, shifts.select(*keys, "dz", "dy", "dx"))
+    t = t.select(*keys, *(F.col(c).alias(f"to_{c}") for c in AXES), *((F.col(c) - F.col(d)).alias(f"from_{c}") for c, d in zip(AXES, ("dz", "dy", "dx"), strict=True)))
+    for c in AXES:
+        t = _taps(t, c, F.col(f"from_{c}"))
+    t = t.withColumn("w", F.col("w_plane") * F.col("w_y") * F.col("w_x"))
+    return _blend(vol.select(*keys, *AXES, "v"), t, keys, list(AXES)).select(*keys, *(F.col(f"to_{c}").alias(c) for c in AXES), "v")
+
+
+def apply_drift(vol: DataFrame, drift: DataFrame) -> DataFrame:
+    """The planes moved by their cumulative drift (plane, cum_dy, cum_dx), borders repeated; planes without one stay, as the first does."""
+    keys = [*stack(vol), "plane"]
+    d = vol.join(drift.select(*keys, "cum_dy", "cum_dx"), keys, "left")
+    return move(d, F.coalesce("cum_dy", F.lit(0.0)), F.coalesce("cum_dx", F.lit(0.0)), nearest=True)
 
 
 def resample(vol: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Trilinear resampling to a shape; first and last samples stay at the ends."""
-    top = {c: n for c, n in zip(("plane", "y", "x"), vol.agg(F.max("plane"), F.max("y"), F.max("x")).first(), strict=True)}
-    spark = vol.sparkSession
-    t = spark.range(shape[0] * shape[1] * shape[2]).select(F.floor(F.col("id") / (shape[1] * shape[2])).alias("to_plane"), (F.floor(F.col("id") / shape[2]) % shape[1]).alias("to_y"), (F.col("id") % shape[2]).alias("to_x"))
+    keys = stack(vol)
+    top = vol.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in ("plane", "y", "x")))
+    t = top.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[0] - 1).cast("long"))))
+    t = t.repartition(*keys, "id").select(*keys, F.col("id").alias("to_plane"), "top_plane", "top_y", "top_x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[1] * shape[2] - 1).cast("long"))).alias("id"))
+    t = t.select(*keys, "to_plane", F.floor(F.col("id") / shape[2]).alias("to_y"), (F.col("id") % shape[2]).alias("to_x"), "top_plane", "top_y", "top_x")
     for c, n in zip(("plane", "y", "x"), shape, strict=True):
-        t = _taps(t, c, F.col(f"to_{c}") * F.lit(top[c] / max(1, n - 1)))
+        t = _taps(t, c, F.col(f"to_{c}") * (F.col(f"top_{c}") / max(1, n - 1)))
     t = t.withColumn("w", F.col("w_plane") * F.col("w_y") * F.col("w_x"))
-    return _blend(vol, t, [], ["plane", "y", "x"]).select(F.col("to_plane").alias("plane"), F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+    return _blend(vol, t, keys, ["plane", "y", "x"]).select(*keys, F.col("to_plane").alias("plane"), F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+
+
+AXES = ("plane", "y", "x")
 
 
-def gaussian(vol: DataFrame, sigma: float, radius: int) -> DataFrame:
-    """Separable Gaussian in three passes; edges repeat their outermost value."""
+def gaussian(vol: DataFrame, sigma: float | tuple[float, float, float], radius: int | None = None) -> DataFrame:
+    """Separable Gaussian in three passes; edges repeat their outermost value. Sigmas are in voxels along plane, y, x;
+    kernels end after four of them, or after ``radius``.
+
+    A voxel gives its share to each target, one on a face also what would come from beyond it, so a pass is one aggregation and no join.
+    """
     from math import exp
 
-    w = [exp(-0.5 * (o / sigma) ** 2) for o in range(-radius, radius + 1)]
-    taps = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(x / sum(w)).alias("w")) for o, x in zip(range(-radius, radius + 1), w, strict=True)))
-    top = vol.agg(*(F.max(c).alias(f"top_{c}") for c in ("plane", "y", "x")))
-    for axis in ("plane", "y", "x"):
-        others = [c for c in ("plane", "y", "x") if c != axis]
-        t = vol.join(F.broadcast(top)).select(*others, F.col(axis).alias("to"), F.explode(taps).alias("t"), f"top_{axis}")  # one row
-        t = t.select(*others, "to", F.least(F.greatest(F.col("to") + F.col("t.o"), F.lit(0)), F.col(f"top_{axis}")).alias(axis), F.col("t.w").alias("w"))
-        vol = t.join(vol, ["plane", "y", "x"]).groupBy(*others, F.col("to").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return vol
-
-
-def candidates(vol: DataFrame, percentile: float, most: int, border: int = 1, narrow: float = 0.8, broad: float = 2.0) -> DataFrame:
-    """Bright local maxima of a band-passed volume, the strongest first; ties go to the lowest (plane, y, x)."""
-    f = gaussian(vol, narrow, 2).withColumnRenamed("v", "s").join(gaussian(vol, broad, 4), ["plane", "y", "x"]).select("plane", "y", "x", F.round(F.col("s") - F.col("v"), 9).alias("f"))
-    bound = f.agg(stats.percentile("f", percentile).alias("bound"), F.max("y").alias("ty"), F.max("x").alias("tx"))
-    up = f.join(F.broadcast(bound)).where(F.col("f") >= F.col("bound"))  # one row
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)))
-    spread = f.select(F.explode(steps).alias("n"), "plane", "y", "x", F.col("f").alias("g")).select((F.col("plane") + F.col("n.a")).alias("plane"), (F.col("y") + F.col("n.b")).alias("y"), (F.col("x") + F.col("n.c")).alias("x"), "g", (F.col("n.a") * 9 + F.col("n.b") * 3 + F.col("n.c")).alias("dir"))
-    # a neighbour that is larger, or equal and earlier (reached by a positive step), beats a voxel
-    beaten = up.join(spread, ["plane", "y", "x"]).where((F.col("g") > F.col("f")) | ((F.col("g") == F.col("f")) & (F.col("dir") > 0))).select("plane", "y", "x").distinct()
-    inside = F.col("y").between(border, F.col("ty") - border) & F.col("x").between(border, F.col("tx") - border)
-    top = up.where(inside).join(beaten, ["plane", "y", "x"], "left_anti").orderBy(F.desc("f"), "plane", "y", "x").limit(most)
-    rank = F.row_number().over(Window.orderBy(F.desc("f"), "plane", "y", "x"))  # of the few rows kept
-    return top.select(F.format_string("candidate_%02d", rank).alias("candidate_id"), "plane", "y", "x", F.col("f").alias("score"))
+    keys = stack(vol)
+    sigmas = (sigma,) * 3 if isinstance(sigma, int | float) else sigma
+    top = vol.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in AXES))
+    out = with_each(vol, top)
+    for axis, s in zip(AXES, sigmas, strict=True):
+        r = int(4 * s + 0.5) if radius is None else radius
+        if s <= 0 or r == 0:
+            continue
+        w = [exp(-0.5 * (o / s) ** 2) for o in range(-r, r + 1)]
+        w = [x / sum(w) for x in w]
+        beyond = [sum(w[: r + 1 - k]) for k in range(r + 1)]  # of all offsets of -k and less
+        at, end = F.col(axis), F.col(f"top_{axis}")
+        inner, outer = F.lit(w), F.lit(beyond)
+        share = lambda t: F.when(end == 0, 1.0).when(at == 0, F.get(outer, t.cast("int"))).when(at == end, F.get(outer, (end - t).cast("int"))).otherwise(F.get(inner, (at - t + r).cast("int")))  # noqa: B023, E731
+        targets = F.transform(F.sequence(F.greatest(at - r, F.lit(0).cast("long")), F.least(at + r, end)), lambda t: F.struct(t.alias("to"), share(t).alias("w")))  # noqa: B023
+        others = [c for c in AXES if c != axis]
+        tops = [f"top_{c}" for c in AXES]
+        out = out.select(*keys, *others, *tops, "v", F.explode(targets).alias("t")).groupBy(*keys, *others, F.col("t.to").alias(axis)).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"), *(F.first(c).alias(c) for c in tops))
+    return out.select(*keys, *AXES, "v")
+
+
+def voxels_of(sizes_um: tuple[float, float, float], spacing_um: tuple[float, float, float]) -> tuple[float, float, float]:
+    """Sizes in µm as (fractions of) voxels along plane, y, x."""
+    return tuple(s / d for s, d in zip(sizes_um, spacing_um, strict=True))
+
+
+def half_widths(sizes_um: tuple[float, float, float], spacing_um: tuple[float, float, float]) -> tuple[int, int, int]:
+    """Half widths in whole voxels, half-even, at least one."""
+    return tuple(max(1, round(v)) for v in voxels_of(sizes_um, spacing_um))
+
+
+def footprint(distance_um: float, spacing_um: tuple[float, float, float]) -> list[tuple[int, int, int]]:
+    """Offsets (plane, y, x) within an ellipsoid of a radius in µm, without the centre."""
+    from itertools import product
+    from math import ceil
+
+    r = [max(1, ceil(distance_um / s)) for s in spacing_um]
+    inside = lambda o: sum((i * s / distance_um) ** 2 for i, s in zip(o, spacing_um, strict=True)) <= 1.0
+    return [o for o in product(*(range(-k, k + 1) for k in r)) if any(o) and inside(o)]
+
+
+def band_passed(vol: DataFrame, feature: tuple[float, float, float], background: tuple[float, float, float]) -> DataFrame:
+    """Adds to each voxel of a volume, NaN filled by the stack's median, its smoothed difference from the smoothed background, ``f``."""
+    keys = stack(vol)
+    fill = stats.quantiles(vol, keys, "v", {"fill_": 0.5})
+    filled = keep(with_each(vol, fill).select(*keys, *(F.col(c).cast("long").alias(c) for c in AXES), F.coalesce(stats.skip_nan(F.col("v")), "fill_").alias("v")))
+    rest = filled.join(gaussian(filled, background).withColumnRenamed("v", "back_"), [*keys, *AXES]).select(*keys, *AXES, (F.col("v") - F.col("back_")).alias("v"))
+    return filled.join(gaussian(rest, feature).withColumnRenamed("v", "f_"), [*keys, *AXES]).select(*keys, *AXES, "v", F.round("f_", 9).alias("f"))
+
+
+def peaks(f: DataFrame, percentile: float, most: int, offsets: list[tuple[int, int, int]], border: tuple[int, int, int]) -> DataFrame:
+    """The ``most`` strongest local maxima of each stack among voxels (plane, y, x, v, f), with ``rank_``: at or above the percentile of f, not beaten by a voxel at any of
+    the offsets (of equal ones the first counts), and further than the border from every face. Only voxels above the percentile are compared."""
+    keys = stack(f)
+    bound = stats.quantiles(f, keys, "f", {"bound": percentile})
+    top = f.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in AXES))
+    up = with_each(with_each(f, bound), top).where(F.col("f") >= F.col("bound"))
+    steps = F.array(*(F.struct(*(F.lit(i).alias(n) for i, n in zip(o, "abc", strict=True)), F.lit(o > (0, 0, 0)).alias("later")) for o in offsets))
+    spread = up.select(*keys, F.explode(steps).alias("n"), *AXES, F.col("f").alias("g")).select(*keys, (F.col("plane") + F.col("n.a")).alias("plane"), (F.col("y") + F.col("n.b")).alias("y"), (F.col("x") + F.col("n.c")).alias("x"), "g", "n.later")
+    beaten = up.join(spread, [*keys, *AXES]).where((F.col("g") > F.col("f")) | ((F.col("g") == F.col("f")) & F.col("later"))).select(*keys, *AXES).distinct()
+    inside = F.lit(True)
+    for c, b in zip(AXES, border, strict=True):
+        inside = inside & F.col(c).between(b, F.col(f"top_{c}") - b)
+    rank = Window.partitionBy(*keys).orderBy(F.desc("f"), *AXES)
+    return up.where(inside).join(beaten, [*keys, *AXES], "left_anti").withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= most)
+
+
+def candidates(
+    vol: DataFrame, percentile: float, most: int, spacing_um: tuple[float, float, float] = (1.0, 1.0, 1.0), feature_um: tuple[float, float, float] = (0.8,) * 3, background_um: tuple[float, float, float] = (2.0,) * 3,
+    distance_um: float = 1.0, border_um: tuple[float, float, float] = (1.0, 1.0, 1.0), z_um: DataFrame | None = None,
+) -> DataFrame:
+    """Bright local maxima of a band-passed volume, the strongest first, ``most`` a stack; ties go to the lowest (plane, y, x).
+
+    A maximum is at or above the percentile of the feature, larger than every voxel in an ellipsoid around it (of equal
+    ones the first counts), and further than the border from every face. ``z_um`` has rows (scan_id, plane, z_scanimage_um); without it, Z counts from 0.
+    """
+    from math import ceil
+
+    keys = stack(vol)
+    f = keep(band_passed(vol, voxels_of(feature_um, spacing_um), voxels_of(background_um, spacing_um)))
+    best = peaks(f, percentile, most, footprint(distance_um, spacing_um), tuple(ceil(b / s) for b, s in zip(border_um, spacing_um, strict=True)))
+    z = best.join(z_um.select(*keys, "plane", "z_scanimage_um"), [*keys, "plane"], "left") if z_um is not None else best.withColumn("z_scanimage_um", F.col("plane") * F.lit(float(spacing_um[0])))
+    at = [(F.col(c) * F.lit(float(s))).alias(n) for c, s, n in zip(AXES, spacing_um, ("z_relative_um", "y_um", "x_um"), strict=True)]
+    return z.select(*keys, F.format_string("candidate_%02d", "rank_").alias("candidate_id"), *AXES, *at, "z_scanimage_um", F.col("f").alias("feature_score"), F.col("v").alias("source_intensity"))
+
+
+def candidate_bounds(found: DataFrame, shape: tuple[int, int, int], half_um: tuple[float, float, float], spacing_um: tuple[float, float, float]) -> DataFrame:
+    """Adds lo_* and hi_* (exclusive) of a box of half widths in µm around each candidate, clamped to the volume."""
+    out = found
+    for c, h, n in zip(AXES, half_widths(half_um, spacing_um), shape, strict=True):
+        out = out.withColumns({f"lo_{c}": F.greatest(F.col(c) - h, F.lit(0)), f"hi_{c}": F.least(F.col(c) + h + 1, F.lit(n))})
+    return out

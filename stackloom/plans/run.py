@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.functions import scalar
-from stackloom.operators import recon, volume
+from stackloom.operators import gates, recon, volume
 from stackloom.sources import bundle, tiff
-from stackloom.sources.io import write_rows
+from stackloom.sources.io import listed_files, write_rows
 
 PIPELINE, VERSION = "stackloom-median", "1"
 #: Defaults of a reconstruction.
@@ -44,19 +44,22 @@ def reconstruct(spark: SparkSession, source: str, out: str, channel: int | None
     if channel not in saved:
         raise ValueError(f"channel {channel} is not among {saved}")
     zs = h["z_positions_um"]
-    steps = np.diff(zs)
-    if len(zs) < 2 or not (steps > 0).all() or np.abs(steps - abs(h["z_step_um"])).max() > c["z_tolerance_um"]:
-        raise ValueError(f"Z positions {zs} do not rise by {h['z_step_um']}")
+    z_rows = spark.createDataFrame([(h["scan_id"], i, z) for i, z in enumerate(zs)], "scan_id string, plane int, z double")
+    gate = gates.z_geometry(z_rows, ["scan_id"], "plane", "z", h["z_step_um"], c["z_tolerance_um"]).first()
+    if gate["status"] != "pass":
+        raise ValueError(f"Z positions {zs} do not rise by {h['z_step_um']}: {gate['reasons']}")
+    grouped = gates.page_grouping(tiff.page_z(spark, h["source_path"]), ["source_path"], "page", "z_um", h["frames_per_slice"], c["z_tolerance_um"]).first()
+    if grouped is not None and grouped["status"] != "pass":
+        raise ValueError(f"page positions of {source} do not come in planes of {h['frames_per_slice']}")
     day = (date.fromisoformat(h["date"]) - surgery).days if surgery else None
     if day is not None and day < 0:
         raise ValueError("the scan is earlier than the surgery")
-    digest = spark.range(1).select(scalar.stable_digest(*(F.lit(x) for x in (h["source_path"], h["size_bytes"], channel, *(c[k] for k in sorted(c)))))).head()[0]
+    digest = spark.range(1).select(scalar.stable_digest(source=F.lit(h["source_path"]), size=F.lit(h["size_bytes"]), channel=F.lit(channel), **{f"config_{k}": F.lit(v) for k, v in c.items()})).head()[0]
     analysis = f"{h['animal_id']}-{h['scan_id']}-ch{channel}-{digest}"
     run = f"{out.rstrip('/')}/{analysis}"
-    frames = tiff.frames(spark, h["source_path"], channel, c["discard"]).select(F.col("plane_index").cast("long").alias("plane"), F.col("local_index").cast("long").alias("local_index"), "pixels")
-    vox = recon.voxels(frames, h["width_px"])
+    frames = tiff.frames(spark, h["source_path"], channel, c["discard"]).select("scan_id", F.col("plane_index").cast("long").alias("plane"), F.col("local_index").cast("long").alias("local_index"), "width", "pixels")
     spacing = (abs(h["z_step_um"]), h["pixel_size_y_um"], h["pixel_size_x_um"])
-    written = tiff.write_volumes(recon.median_volume(vox).withColumn("scan_id", F.lit("median")), f"{run}/volume", spacing).head()["path"]
+    written = tiff.write_volumes(recon.median_volume(frames).withColumn("scan_id", F.lit("median")), f"{run}/volume", spacing).head()["path"]
     vol = tiff.volume(spark, written).drop("path")  # what follows reads the volume instead of making it again
     identity = {
         "analysis_id": analysis, "pipeline_id": PIPELINE, "pipeline_version": VERSION, "animal_id": h["animal_id"], "acquisition_date": h["date"],
@@ -69,10 +72,10 @@ def reconstruct(spark: SparkSession, source: str, out: str, channel: int | None
     def table(name: str, rows: DataFrame) -> None:
         write_rows(rows.select(*(F.lit(v).cast("int" if k in ("post_surgery_day", "source_channel") else "string").alias(k) for k, v in identity.items()), "*").coalesce(1), f"{run}/tables/{name}.csv")
 
-    fq = recon.frame_qc(vox, c["mad_k"], c["stride"])
+    fq = recon.frame_qc(frames, c["mad_k"], c["stride"])
     place = [F.get(z, F.col("plane").cast("int")).alias("z_scanimage_um"), (F.get(z, F.col("plane").cast("int")) - zs[0]).alias("z_relative_um")]
     table("frame_qc", fq.select("plane", *place, "local_index", first.alias("acquisition_frame_start"), (first + factor - 1).alias("acquisition_frame_end"), ((F.col("plane") * h["frames_per_slice"] + first) / h["frame_rate_hz"]).alias("frame_time_s"), "corr", "frame_mean", "low").orderBy("plane", "local_index"))
-    table("plane_qc", recon.plane_qc(vox, c["mad_k"], c["stride"]).select("*", *place).orderBy("plane"))
+    table("plane_qc", recon.plane_qc(frames, c["mad_k"], c["stride"]).drop("scan_id").select("*", *place).orderBy("plane"))
     table("adjacent_planes", volume.lag_correlation(vol, 1).orderBy("plane_a"))
     table("projection_summary", volume.projection_summary(vol).orderBy("name", "kind"))
     flat = volume.projections(vol)
@@ -93,3 +96,37 @@ def reconstruct(spark: SparkSession, source: str, out: str, channel: int | None
         "configs": c, "qc": {"planes": len(zs)}, "supported_interpretations": ["robust per-plane structure"], "unsupported_interpretations": ["motion-corrected intensity"],
     })
     return run
+
+
+def batch(spark: SparkSession, sources: list[str], out: str, **config) -> DataFrame:
+    """Reconstructs stacks one after another (each by jobs that use the whole cluster) and validates each run: rows (source, run, status, message).
+
+    A source that fails does not stop the others; its error is the message. The table is also written to ``<out>/status``.
+    """
+    rows = []
+    for source in sources:
+        try:
+            run = reconstruct(spark, source, out, **config)
+            wrong = bundle.validate(spark, run).count()
+            rows.append((source, run, "invalid" if wrong else "pass", f"{wrong} errors" if wrong else None))
+        except Exception as e:  # noqa: BLE001  what is wrong with one source is a row
+            rows.append((source, None, "error", str(e).split("\n", 1)[0]))
+    table = spark.createDataFrame(rows, "source string, run string, status string, message string")
+    write_rows(table.coalesce(1), f"{out.rstrip('/')}/status")
+    return table
+
+
+def newest(spark: SparkSession, out: str) -> DataFrame:
+    """scan, run, modified: the newest run folder of each scan below ``out``, by its manifest's time."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", bundle.MANIFEST_NAME).load(out).select("path", "modificationTime")
+    d = d.withColumn("run", F.regexp_replace("path", "/[^/]*$", "")).withColumn("scan", F.regexp_extract("run", r"([^/]+)-[0-9a-f]{8}$", 1))
+    return d.groupBy("scan").agg(F.max_by("run", F.struct("modificationTime", "run")).alias("run"), F.max("modificationTime").alias("modified"))
+
+
+def volume_of(spark: SparkSession, run: str, name: str = "median") -> str:
+    """The path of a run's named volume or, where it is not there, of its only one; an error for none or several."""
+    found = [r["path"] for r in listed_files(spark, f"{run.rstrip('/')}/volume/*.ome.tif").collect()]  # of one run
+    exact = [p for p in found if p.endswith(f"/{name}.ome.tif")]
+    if len(exact or found) != 1:
+        raise ValueError(f"{run} has {len(found)} volumes, none of them named {name}")
+    return (exact or found)[0]

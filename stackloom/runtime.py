@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Rows and bytes of an Arrow batch, where the application did not set them: texts may be long.
@@ -19,7 +19,7 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and local runs; on a cluster, bring your own."""
     b = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC")
-    b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "8g"))
+    b = b.config("spark.ui.enabled", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "8g"))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
@@ -45,11 +45,30 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one only in one process."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset and Spark runs in one process."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="stackloom-")
-    return f"{base.rstrip('/')}/stackloom/{uuid.uuid4().hex}"
+        base = "file://" + tempfile.mkdtemp(prefix="stackloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+    return base
+
+
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder under shared()."""
+    return f"{shared(spark).rstrip('/')}/stackloom/{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """An eager checkpoint in the shared folder; Spark's cleaner drops it with the DataFrame."""
+    shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

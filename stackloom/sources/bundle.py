@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import io
 import json
 import os
@@ -15,19 +14,21 @@ import zlib
 from xml.sax.saxutils import escape
 
 import numpy as np
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.functions import scalar
 from stackloom.operators.provenance import compare_outputs
-from stackloom.sources.files import opened, resolve, written
+from stackloom.runtime import keep
+from stackloom.sources.files import opened, resolve, sha256, written
+from stackloom.sources.io import hashed_files
 
 # What a manifest, a table and a finished run must have.
 MANIFEST = ("analysis_id", "title", "question", "analysis_state", "pipeline", "identity", "inputs", "eligibility", "analysis_units", "entry_script", "git", "configs", "qc", "outputs", "supersession", "supported_interpretations", "unsupported_interpretations")
 IDENTITY = ("analysis_id", "pipeline_id", "pipeline_version", "animal_id", "acquisition_date", "post_surgery_day", "scan_id", "session_id", "source_channel")
 FIGURES = ("fig_mean_vs_max_projections", "fig_mean_projections", "fig_representative_median_plane")
 MANIFEST_NAME = "analysis_manifest.json"
+MEMBERS = (".json", ".svg", ".png", ".md")
 #: Pixels of an image that may come to the driver.
 MOST_PIXELS = 1 << 26
 
@@ -104,15 +105,6 @@ def figure(run: str, figure_id: str, analysis_id: str, panels: dict[str, np.ndar
     write_json(f"{base}.json", {"figure_id": figure_id, "analysis_id": analysis_id, "panels": {k: list(a.shape) for k, a in panels.items()}, "exact_plotted_data": {"path": f"figures/{figure_id}.npz", "sha256": sha256(f"{base}.npz")}})
 
 
-def sha256(path: str, size: int = 1 << 20) -> str:
-    """The hash of one file, read in pieces, of any size."""
-    h = hashlib.sha256()
-    with opened(path) as f:
-        while piece := f.read(size):
-            h.update(piece)
-    return h.hexdigest()
-
-
 def environment() -> dict:
     import numpy
     import pyarrow
@@ -131,17 +123,20 @@ def git_state(folder: str) -> dict:
     return {"commit": run("rev-parse", "HEAD"), "changed": None if changed is None else bool(changed)}
 
 
-def _files(spark: SparkSession, run: str) -> DataFrame:
-    """path within the run, size, sha256 of every file."""
+def code_hashes(spark: SparkSession, folder: str, glob: str = "*.py") -> DataFrame:
+    """path, size, sha256 of the source files below a folder, by path."""
+    return _inside(hashed_files(spark, folder, True).where(F.element_at(F.split("path", "/"), -1).rlike("^" + glob.replace(".", "[.]").replace("*", ".*") + "$")), folder).orderBy("path")
+
+
+def _inside(files: DataFrame, run: str) -> DataFrame:
+    """Files with their paths within a folder."""
     base = resolve(run)[1].rstrip("/")
-    inside = F.expr("substring(path, locate('{0}/', path) + length('{0}/'))".format(base.replace("'", "''")))
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(run)
-    return every.select(inside.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.withColumn("path", F.expr("substring(path, locate('{0}/', path) + length('{0}/'))".format(base.replace("'", "''"))))
 
 
 def seal(spark: SparkSession, run: str, manifest: dict) -> None:
     """Writes the manifest, last, with the hash and size of all files that are there."""
-    outputs = [{"path": r["path"], "size_bytes": r["size"], "sha256": r["sha256"]} for r in _files(spark, run).orderBy("path").toLocalIterator()]
+    outputs = [{"path": r["path"], "size_bytes": r["size"], "sha256": r["sha256"]} for r in _inside(hashed_files(spark, run, True), run).orderBy("path").toLocalIterator()]
     full = {**dict.fromkeys(MANIFEST), "environment": environment(), "git": git_state(os.getcwd()), **manifest, "outputs": outputs}
     write_json(f"{run}/{MANIFEST_NAME}", full)
 
@@ -149,52 +144,49 @@ def seal(spark: SparkSession, run: str, manifest: dict) -> None:
 def validate(spark: SparkSession, run: str) -> DataFrame:
     """Every error of a run folder, as rows (path, error); none for a good one. Nothing is written.
 
-    Checked are the manifest's keys, that its paths stay inside, existence, size and hash of outputs, the identity
-    columns of tables, and that each figure is complete, names its data's right hash and belongs to the run.
+    The manifest's outputs, the files that are there, the members each figure must have, its record, and the headers of tables are
+    relations, and every check is a join of two of them or a filter of one.
     """
-    errors: list[tuple[str, str]] = []
-    done = lambda: spark.createDataFrame(errors, "path string, error string")
-    system, base = resolve(run)
-    if system.get_file_info(f"{base}/{MANIFEST_NAME}").type != fs.FileType.File:
-        errors.append((MANIFEST_NAME, "missing"))
-        return done()
-    with opened(f"{run}/{MANIFEST_NAME}") as f:
-        manifest = json.loads(f.read())
-    if not isinstance(manifest, dict):
-        errors.append((MANIFEST_NAME, "no object"))
-        return done()
-    errors += [(MANIFEST_NAME, f"lacks {k}") for k in sorted(set(MANIFEST) - set(manifest))]
-    listed = [o if isinstance(o, dict) else {} for o in manifest.get("outputs") or []]
-    errors += [(MANIFEST_NAME, "output without a path") for o in listed if not isinstance(o.get("path"), str)]
-    listed = [(o["path"], o.get("size_bytes"), o.get("sha256")) for o in listed if isinstance(o.get("path"), str)]
-    declared = spark.createDataFrame(listed, "path string, size long, sha256 string")
-    files = _files(spark, run).where(F.col("path") != MANIFEST_NAME)
-    compared = compare_outputs(declared.where(scalar.safe_relative(F.col("path"))), files, "path").withColumnRenamed("errors", "error").where("error <> 'undeclared'")
-    escaping = declared.where(~scalar.safe_relative(F.col("path"))).select("path", F.lit("escapes the run").alias("error"))
-    found = {r["path"]: r["sha256"] for r in files.where("path like 'figures/%' or path like 'tables/%.csv'").toLocalIterator()}  # figures and tables of one run
-    for path in sorted(p for p in found if p.startswith("tables/")):
-        with opened(f"{run}/{path}") as f:
-            head = f.read(1 << 16).split(b"\n", 1)[0].decode().strip().split(",")
-        if lacking := sorted(set(IDENTITY) - set(head)):
-            errors.append((path, f"lacks identity columns {lacking}"))
-    names = sorted(p for p in found if p.startswith("figures/fig_") and p.endswith(".json"))
-    for path in names:
-        with opened(f"{run}/{path}") as f:
-            fig = json.loads(f.read())
-        stem = path.removeprefix("figures/").removesuffix(".json")
-        if fig.get("figure_id") != stem:
-            errors.append((path, "figure_id differs from the name"))
-            continue
-        errors += [(f"figures/{stem}{s}", "missing") for s in (".svg", ".png", ".md") if f"figures/{stem}{s}" not in found]
-        data = fig.get("exact_plotted_data") or {}
-        if data.get("path") not in found:
-            errors.append((path, "plotted data missing"))
-        elif found[data["path"]] != data.get("sha256"):
-            errors.append((path, "plotted data hash"))
-        if not fig.get("panels"):
-            errors.append((path, "no panels"))
-        if fig.get("analysis_id") != manifest.get("analysis_id"):
-            errors.append((path, "analysis_id differs"))
-    errors += [(f"figures/{f}.json", "missing") for f in FIGURES if f"figures/{f}.json" not in names]
-    return compared.select("path", "error").unionByName(escaping).unionByName(done())
-
+    everything = keep(_inside(hashed_files(spark, run, True), run))
+    text = spark.read.text(f"{run.rstrip('/')}/{MANIFEST_NAME}", wholetext=True) if everything.where(F.col("path") == MANIFEST_NAME).count() else None
+    none = "path string, error string"
+    if text is None:
+        return spark.createDataFrame([(MANIFEST_NAME, "missing")], none)
+    files = everything.where(F.col("path") != MANIFEST_NAME)
+    m = text.select(F.col("value").alias("m"))
+    get = lambda c, k: F.get_json_object(c, f"$.{k}")
+    whole = F.json_object_keys("m")
+    of_manifest = m.select(F.explode(F.when(whole.isNull(), F.array(F.lit("no object"))).otherwise(F.transform(F.array_except(F.array(*(F.lit(k) for k in MANIFEST)), whole), lambda k: F.concat(F.lit("lacks "), k)))).alias("error")).select(F.lit(MANIFEST_NAME).alias("path"), "error")
+    listed = m.select(F.explode(F.from_json(get("m", "outputs"), "array<struct<path:string,size_bytes:bigint,sha256:string>>")).alias("o")).select("o.*")
+    nameless = listed.where("path is null").select(F.lit(MANIFEST_NAME).alias("path"), F.lit("output without a path").alias("error"))
+    named = listed.where("path is not null").select("path", F.col("size_bytes").alias("size"), "sha256")
+    safe = scalar.safe_relative(F.col("path"))
+    escaping = named.where(~safe).select("path", F.lit("escapes the run").alias("error"))
+    outputs = compare_outputs(named.where(safe), files, "path").where("errors <> 'undeclared'").withColumnRenamed("errors", "error")
+
+    tables = spark.read.format("csv").option("header", False).option("sep", "\x01").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.csv").load(f"{run.rstrip('/')}/tables") if files.where("path like 'tables/%.csv'").count() else None
+    parts = [of_manifest, nameless, escaping, outputs]
+    if tables is not None:
+        # the first line of each file; a line never splits over tasks where each starts at the file's first byte
+        head = tables.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("_c0").alias("line")).where("at = 0").groupBy("path").agg(F.first("line").alias("line"))
+        lacks = F.array_except(F.array(*(F.lit(k) for k in IDENTITY)), F.split("line", ","))
+        parts.append(_inside(head, run).where(F.size(lacks) > 0).select("path", F.concat(F.lit("lacks identity columns "), F.array_join(lacks, ", ")).alias("error")))
+
+    # what must be there for each figure: those that every run has, and those that have a record
+    ids = spark.createDataFrame([(f,) for f in FIGURES], "figure string").unionByName(files.select(F.regexp_extract("path", r"^figures/(fig_[^/]*)[.]json$", 1).alias("figure")).where("figure <> ''")).distinct()
+    members = ids.select("figure", F.explode(F.array(*(F.lit(s) for s in MEMBERS))).alias("suffix")).select("figure", F.concat(F.lit("figures/"), "figure", "suffix").alias("path"))
+    parts.append(members.join(files, "path", "left_anti").select("path", F.lit("missing").alias("error")).subtract(outputs.select("path", "error")))
+    if files.where("path like 'figures/fig_%.json'").count():
+        records = spark.read.option("pathGlobFilter", "fig_*.json").text(f"{run.rstrip('/')}/figures", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("r"))
+        own = F.regexp_extract("path", r"([^/]*)[.]json$", 1)
+        r = _inside(records, run).select("path", own.alias("stem"), get("r", "figure_id").alias("figure_id"), get("r", "analysis_id").alias("analysis_id"), get("r", "exact_plotted_data.path").alias("data"), get("r", "exact_plotted_data.sha256").alias("hash"), F.json_object_keys(get("r", "panels")).alias("panels"))
+        r = r.join(files.select(F.col("path").alias("data"), F.col("sha256").alias("there")), "data", "left").join(F.broadcast(m.select(get("m", "analysis_id").alias("run_id"))))  # one row
+        found = F.array_compact(F.array(
+            F.when(~F.col("figure_id").eqNullSafe(F.col("stem")), "figure_id differs from the name"), F.when(~F.col("analysis_id").eqNullSafe(F.col("run_id")), "analysis_id differs"), F.when(F.col("there").isNull(), "plotted data missing"),
+            F.when(F.col("there") != F.coalesce("hash", F.lit("")), "plotted data hash"), F.when(F.coalesce(F.size("panels"), F.lit(0)) < 1, "no panels"),
+        ))
+        parts.append(r.select("path", F.explode(found).alias("error")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

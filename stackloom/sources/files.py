@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -45,3 +46,12 @@ def written(uri: str, replace: bool = False) -> Iterator[NativeFile]:
         if system.get_file_info(part).type != fs.FileType.NotFound:
             system.delete_file(part)
         raise
+
+
+def sha256(uri: str, size: int = 1 << 20) -> str:
+    """The hash of one file, read in pieces, of any size."""
+    h = hashlib.sha256()
+    with opened(uri) as f:
+        while piece := f.read(size):
+            h.update(piece)
+    return h.hexdigest()

@@ -208,7 +208,13 @@ def headers(spark: SparkSession, glob: str) -> DataFrame:
         "Z step": F.col("z_step_um").isNull(),
         "frame rate": F.col("frame_rate_hz").isNull(),
     }
-    return h.withColumn("errors", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in wrong.items())))).drop("zs", "fov", "folder")
+    return h.withColumn("errors", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in wrong.items())))).withColumnRenamed("zs", "page_z_um").drop("fov", "folder")
+
+
+def page_z(spark: SparkSession, glob: str) -> DataFrame:
+    """source_path, scan_id, page, z_um: the position of every acquired frame, where a header lists them all; no row of one that lists fewer."""
+    h = headers(spark, glob).where(F.size("page_z_um") == F.col("expected_pages"))
+    return h.select("source_path", "scan_id", F.posexplode("page_z_um").alias("page", "z_um"))
 
 
 def pixels(index: DataFrame) -> DataFrame:
@@ -247,11 +253,12 @@ def pixels(index: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, schema)
 
 
-def frames(spark: SparkSession, glob: str, channel: int | None = None, discard: int = 0) -> DataFrame:
+def frames(spark: SparkSession, glob: str, channel: int | None = None, discard: int = 0, offsets: list[int] | None = None, nominal: int = 100) -> DataFrame:
     """Frames of stacks (the schema FRAMES), by their headers; files whose header has errors or whose pages are too few or many are an error.
 
     Pages are ordered by plane, stored frame and saved channel. A channel, and the first ``discard`` images of each
-    plane, are left out before any pixel is read. Without ``channel`` all saved channels come.
+    plane, are left out before any pixel is read. Without ``channel`` all saved channels come. With ``offsets`` only these images of each plane
+    are read, or, where a plane has fewer, those at the same places of a plane of ``nominal`` images.
     """
     h = headers(spark, glob).select("source_path", "scan_id", "saved_channels", "stored_frames_per_slice", "expected_tiff_pages", "errors")
     p = pages(spark, glob)
@@ -265,10 +272,12 @@ def frames(spark: SparkSession, glob: str, channel: int | None = None, discard:
     c = F.size("saved_channels")
     d = d.select(
         "scan_id", *(x.split()[0] for x in PAGES.split(", ")), F.floor(F.col("page_index") / (s * c)).cast("int").alias("plane_index"),
-        F.floor((F.col("page_index") % (s * c)) / c).cast("int").alias("local_index"), F.get("saved_channels", F.col("page_index") % c).alias("channel"),
+        F.floor((F.col("page_index") % (s * c)) / c).cast("int").alias("local_index"), F.get("saved_channels", F.col("page_index") % c).alias("channel"), s.alias("stored_"),
     ).where(F.col("local_index") >= discard)
     d = d if channel is None else d.where(F.col("channel") == channel)
-    return pixels(d).select("scan_id", "page_index", "plane_index", "local_index", "channel", "height", "width", "pixels")
+    if offsets is not None:
+        d = d.where(F.array_contains(scalar.resolve_offsets(F.array(*(F.lit(o).cast("long") for o in offsets)), F.col("stored_"), F.lit(nominal)), F.col("local_index").cast("long")))
+    return pixels(d.drop("stored_")).select("scan_id", "page_index", "plane_index", "local_index", "channel", "height", "width", "pixels")
 
 
 def _directory(big: bool, at: int, width: int, height: int, description: bytes | None, last: bool) -> tuple[bytes, int, int]:

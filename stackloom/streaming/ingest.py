@@ -1,23 +1,34 @@
-"""Incremental ingest: new frames of a landing folder are reduced to plane medians, scan by scan."""
+"""Incremental ingest: frames that land in a folder are reduced to plane medians once their scan is whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stackloom.operators import recon
+from stackloom.runtime import keep
 from stackloom.sources.io import FRAMES
 
 
-def reconstruct(spark: SparkSession, landing: str, out: str, checkpoint: str, width: int) -> StreamingQuery:
-    """Writes the median volume of every batch of landed scans under ``out``, a folder a batch, so that retries write the same place."""
+def reconstruct(spark: SparkSession, landing: str, out: str, checkpoint: str, expected: DataFrame) -> StreamingQuery:
+    """Writes the median volumes of the scans that each batch completes to ``out``/volumes/batch=N, so that retries write the same place.
+
+    ``expected`` has rows (scan_id, pages). Frames wait in ``out``/frames/batch=N until all pages of their scan are there, whichever
+    batches they came in; a page that lands twice counts once. All complete scans of a batch are reduced in one job.
+    """
     source = spark.readStream.schema(FRAMES).parquet(landing)
 
     def batch(df: DataFrame, number: int) -> None:
-        f = df.selectExpr("scan_id", "cast(plane_index as bigint) plane", "cast(local_index as bigint) local_index", "pixels")
-        scans = [r[0] for r in f.select("scan_id").distinct().collect()]  # of one batch
-        for s in scans:
-            vol = recon.median_volume(recon.voxels(f.where(f.scan_id == s), width))
-            vol.write.mode("overwrite").parquet(f"{out}/batch={number}/scan={s}")
+        df.write.mode("overwrite").parquet(f"{out}/frames/batch={number}")
+        landed = spark.read.parquet(f"{out}/frames").where(F.col("batch") <= number)
+        new = df.select("scan_id").distinct()
+        count = landed.join(new, "scan_id", "left_semi").groupBy("scan_id").agg(F.count_distinct("page_index").alias("seen"))
+        # whole now, and not before this batch
+        before = landed.where(F.col("batch") < number).groupBy("scan_id").agg(F.count_distinct("page_index").alias("had"))
+        whole = keep(count.join(expected, "scan_id").join(before, "scan_id", "left").where((F.col("seen") >= F.col("pages")) & (F.coalesce("had", F.lit(0)) < F.col("pages"))).select("scan_id"))
+        f = landed.join(whole, "scan_id", "left_semi").dropDuplicates(["scan_id", "page_index"]).selectExpr("scan_id", "cast(plane_index as bigint) plane", "cast(local_index as bigint) local_index", "width", "pixels")
+        if not whole.isEmpty():
+            recon.median_volume(f).write.mode("overwrite").parquet(f"{out}/volumes/batch={number}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

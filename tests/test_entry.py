@@ -48,7 +48,7 @@ def test_all_queries_use_every_row(spark, duck):
     rows = dict(duck.sql("SELECT label::BIGINT, count(*) FROM embeddings GROUP BY 1").fetchall())
     assert len(set(rows.values())) > 1
     assert {r["plane"]: r["frames"] for r in QUERIES["plane_qc_all"](spark, DATA).collect()} == rows
-    assert QUERIES["frame_qc_all"](spark, DATA).count() == sum(rows.values())
+    assert QUERIES["frame_qc_all"](spark, DATA).count() == QUERIES["frame_qc"](spark, DATA).count() == QUERIES["phase_shift"](spark, DATA).count() == sum(rows.values())
 
 
 @pytest.mark.parametrize("left", ["all", "folder", "nothing"])
