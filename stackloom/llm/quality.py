@@ -121,7 +121,8 @@ def score(stats: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores every row of ``docs``. Statistics are written once (texts are read once) and dropped at the end.
 
-    Null and empty texts have zero statistics and get the score of these; repeated rows are scored each.
+    Null and empty texts have zero statistics and get the score of these; very long ones are measured whole; repeated rows are
+    scored each, and a label that is repeated counts as often. Extra columns of either table are not read.
     """
     with Scratch(docs.sparkSession) as scratch:
         stats = scratch.save(measure(docs))

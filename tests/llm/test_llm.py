@@ -73,10 +73,66 @@ def test_language_held_out_accuracy(spark):
     assert len(both) > 100 and sum(r["lang"] == r["lang_pred"] for r in both) / len(both) > 0.97
 
 
-def test_folded_weights_equal_the_kernel(spark):
+def test_folded_scores_equal_explicit_kernel_ridge(spark):
+    """Scores by the kernel of every pair of texts and a dense solution of the ridge problem on the landmarks."""
+    docs = real(spark, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"))
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    sets = {r["doc_id"]: set(language_id.grams(r["text"]).tolist()) for r in rows}
+    kernel = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    fold = {r["doc_id"]: r["held_out"] for r in language_id.identify(docs).collect()}
+    train = [(r["doc_id"], r["lang"]) for r in rows if r["lang"] and not fold[r["doc_id"]]]
+    langs = sorted({x for _, x in train})
+    turn, order = Counter(), []
+    for i, x in train:
+        turn[x] += 1
+        order.append((turn[x], x, i))
+    marks = [i for _, _, i in sorted(order)[:60]]
+    k_nm = np.array([[kernel(i, m) for m in marks] for i, _ in train])
+    k_mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    y = np.array([[x == z for z in langs] for _, x in train], float)
+    y = np.minimum(y / (y.sum(0) * len(langs) / len(train)), 1)
+    ridge = 1e-2
+    alpha = np.linalg.pinv(k_nm.T @ k_nm + ridge * len(train) * k_mm, 1e-9) @ k_nm.T @ y  # landmarks may repeat
+    got = {r["doc_id"]: r for r in language_id.predict(docs, language_id.fit(docs, landmarks=60, ridge=ridge)).collect()}
+    for r in rows:
+        want = np.array([kernel(r["doc_id"], m) for m in marks]) @ alpha
+        assert got[r["doc_id"]]["lang_pred"] == langs[int(want.argmax())] and abs(got[r["doc_id"]]["score"] - min(1, max(0, want.max()))) < 1e-3
+
+
+def test_grams_and_the_stage(spark):
     a, b = (set(language_id.grams(t).tolist()) for t in ("the cat sat", "a cat that sat"))
     assert len(a & b) and language_id.grams("... 12") is None
     assert set(language_id.grams("The--CAT 9 sat")) == a
+    docs = real(spark, "documents")
+    more = spark.createDataFrame([(90001, "Q.", None, "s", 2), (90002, "12 34", None, "s", 5), (90003, docs.first()["text"], None, "s", 9)], DOCS)
+    kept = {r["doc_id"]: r["lang"] for r in language_id.keep_identified(docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)).collect()}
+    assert {90001, 90002} & kept.keys() == set() and kept[90003] == docs.first()["lang"] and len(kept) >= docs.count()
+    scores = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    some = {r["doc_id"] for r in language_id.keep_identified(docs, languages=("en",)).collect()}
+    assert some == {i for i, r in scores.items() if r["lang_pred"] == "en" and r["score"] >= language_id.LEAST}
+
+
+def test_scores_equal_an_explicit_quadratic_discriminant(spark):
+    """Densities of two Gaussians, with covariances and determinants by NumPy from the rows themselves. A repeated label counts twice."""
+    docs, labels = real(spark, "documents"), real(spark, "labels")
+    labels = labels.unionByName(labels.limit(1))
+    x = {r["doc_id"]: np.array(r[1:]) for r in quality.measure(docs).collect()}
+    fold = {r["doc_id"]: r["held_out"] for r in quality.classify(docs, labels).collect()}
+    parts = [np.array([x[r["doc_id"]] for r in labels.collect() if r["quality"] == q and not fold[r["doc_id"]]]) for q in (0, 1)]
+    covs = [np.cov(p.T, bias=True) for p in parts]
+    n = np.array([len(p) for p in parts])
+    pooled = (covs[0] * n[0] + covs[1] * n[1]) / n.sum()
+    log = {i: [] for i in x}
+    for p, c, m in zip(parts, covs, n, strict=True):
+        c = (1 - quality.POOL) * c + quality.POOL * pooled
+        c = (1 - quality.SHRINK) * c + quality.SHRINK * np.diag(np.diag(c)) + 1e-4 * np.eye(len(c))
+        inverse, size = np.linalg.inv(c), np.linalg.slogdet(c)[1]
+        for i, v in x.items():
+            d = v - p.mean(0)
+            log[i].append(np.log(m / n.sum()) - 0.5 * size - 0.5 * d @ inverse @ d)
+    for r in quality.classify(docs, labels).collect():
+        a, b = log[r["doc_id"]]
+        assert abs(r["score"] - 1 / (1 + np.exp(np.clip(a - b, -500, 500)))) < 1e-6 and r["predicted"] == (r["score"] >= 0.3)
 
 
 def test_quality_held_out(spark):
