@@ -18,7 +18,9 @@ K, WINDOW = 3, 6
 _TOP = (1 << 30) - 1
 #: Documents of one bucket of the order by id, and most buckets.
 BUCKET_ROWS, BUCKETS = 500, 200_000
-_FIRST = -(1 << 63)
+_FIRST = -(1 << 62)
+#: The type of a place in the order: an id above 60 bits of a hash.
+KEY = "decimal(38,0)"
 
 
 def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
@@ -45,9 +47,9 @@ def positions(fingerprint: Column) -> Column:
     return F.transform(fingerprint, lambda x: F.struct(F.shiftright(x, 30).alias("hash"), (F.lit(_TOP) - x.bitwiseAND(F.lit(_TOP))).cast("int").alias("position")))
 
 
-def digest(fingerprint: Column) -> Column:
-    """SHA-256 of the hashes and positions of a packed fingerprint."""
-    return F.sha2(F.array_join(F.transform(fingerprint, lambda x: F.hex(x)), ",").cast("binary"), 256)
+def shown(fingerprint: Column) -> Column:
+    """A packed fingerprint as text: ``hash:position`` of each, the hash in hex, by position, joined by commas."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat_ws(":", F.lower(F.hex(F.shiftright(x, 30))), (F.lit(_TOP) - x.bitwiseAND(F.lit(_TOP))).cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -56,14 +58,14 @@ def likeness(a: Column, b: Column) -> Column:
     return let(plain(a), lambda x: let(plain(b), lambda y: let(F.size(F.array_intersect(x, y)), lambda n: F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(n / (F.size(x) + F.size(y) - n)))))
 
 
-def _bucket(key: Column, cuts: list[int]) -> Column:
+def _bucket(key: Column, cuts: list) -> Column:
     """The number of cuts that are not above the key, by a search of two levels."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    rows = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    heads = F.from_json(F.lit(str([r[0] for r in rows])), "array<bigint>")
-    inner = F.from_json(F.lit(str(rows)), "array<array<bigint>>")
+    rows = [[int(c) for c in cuts[i : i + step]] for i in range(0, len(cuts), step)]
+    heads = F.from_json(F.lit(str([r[0] for r in rows])), f"array<{KEY}>")
+    inner = F.from_json(F.lit(str(rows)), f"array<array<{KEY}>>")
     at = F.size(F.filter(heads, lambda c: c <= key))
     return let(at, lambda j: F.when(j == 0, F.lit(0)).otherwise((j - 1) * step + F.size(F.filter(F.get(inner, j - 1), lambda c: c <= key))))
 
@@ -71,15 +73,17 @@ def _bucket(key: Column, cuts: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and fingerprint of every row with those of the next one (``next_text``, ``next_fingerprint``) in descending id.
 
-    The order is cut into buckets at quantiles of the ids, so no task sorts all rows: texts are shuffled once, by bucket,
-    and each bucket also gets a copy of the row that follows it. The last row is followed by the first; a single row by
-    itself. Null ids come last; rows of one id are ordered by text.
+    Rows of one id are ordered by a hash of their text, null ids come last; the last row is followed by the first, a single
+    row by itself. The order, of ids and hashes as one number, is cut into buckets at its quantiles, so no task sorts all rows, nor all
+    of an id that very many rows share: texts are shuffled once, by bucket, and each bucket also gets a copy of the row that
+    follows it.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(_FIRST))
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key)
+    own = F.shiftrightunsigned(F.xxhash64("text"), 4)
+    key = (F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast(KEY) * F.lit(1 << 60).cast("decimal(19,0)")).cast(KEY) + own.cast("decimal(19,0)")
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key.cast(KEY))
     n = docs.count()
     parts = min(BUCKETS, n // BUCKET_ROWS)
-    cuts: list[int] = []
+    cuts: list = []
     if parts > 1:
         got = d.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], min(1_000_000, 20 * parts))).first()[0]
         cuts = sorted(set(got))
@@ -88,7 +92,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = sorted(((r["bucket"], r["key"]) for r in d.groupBy("bucket").agg(F.max("key").alias("key")).collect()), reverse=True)
     spark = docs.sparkSession
     # the head of each bucket also ends the one above; the head of the top ends the lowest
-    ends = spark.createDataFrame([(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)], "key_ long, to_ int")
+    ends = spark.createDataFrame([(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)], f"key_ {KEY}, to_ int")
     tails = d.join(small(ends, len(heads)), F.col("key") == F.col("key_")).groupBy("doc_id", "key", "to_").agg(F.max("text").alias("text"))
     tails = tails.select("doc_id", "text", "key", F.col("to_").alias("bucket"), F.lit(True).alias("tail"))
     both = d.withColumn("tail", F.lit(False)).unionByName(tails).repartition("bucket")
@@ -101,7 +105,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third is the beginning of the next document.
 
-    Null texts are empty. Repeated rows are fingerprinted each.
+    Null texts are empty, empty ones have an empty fingerprint, very long ones are fingerprinted whole. Repeated rows are fingerprinted each.
+    Extra columns are not read.
     """
     d = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
@@ -111,8 +116,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digest(F.col("fingerprint")).alias("fingerprint"),
-        digest(F.col("edited_fp")).alias("edited_fingerprint"),
+        shown(F.col("fingerprint")).alias("fingerprint"),
+        shown(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         F.size("fingerprint").alias("n_hashes"),

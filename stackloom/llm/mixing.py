@@ -83,19 +83,19 @@ def _node(level: int, seed: int):
 def mix(docs: DataFrame, weights=(1, 2, 3), most: float = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every row.
 
-    Documents fall into buckets by a hash of their id and are paired in the order of it, so reruns agree however the
-    input is split. Null and empty texts have no words and take none; an empty table gives an empty result. The totals
-    of the sources come to the driver, one row each.
+    Documents fall into buckets by a hash of their id and text and are paired in the order of it, so reruns agree however the
+    input is split, and rows of one id are spread. Null and empty texts have no words and take none; very long ones count whole; repeated rows
+    are drawn each; an empty table gives an empty result. The totals of the sources come to the driver, one row each.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        sized = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.expr(WORDS).cast("long").alias("size")))
+        sized = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.expr(WORDS).cast("long").alias("size"), F.xxhash64("doc_id", F.col("text").cast("string"), F.lit(seed)).alias("order")))
         totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         goal = targets({r["source"]: r["size"] for r in totals}, weights, most)
         rows = [(r["source"], r["size"], goal[r["source"]], min(most, goal[r["source"]] / r["size"]) if r["size"] else 0.0, max(1, -(-r["n"] // BUCKET))) for r in totals]
         plan = spark.createDataFrame(rows, "source_ string, source_size long, target double, rate double, buckets long")
         now = sized.join(small(plan, len(rows)), F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
-        now = now.select("*", F.floor("rate").cast("long").alias("base"), F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("chance"), F.xxhash64("doc_id", F.lit(seed)).alias("order")).withColumn("bucket", F.pmod(F.col("order"), F.col("buckets")))
+        now = now.select("*", F.floor("rate").cast("long").alias("base"), F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("chance")).withColumn("bucket", F.pmod(F.col("order"), F.col("buckets")))
         schema = now.schema
         level, widest, done = 0, max((r[4] for r in rows), default=1), []
 

@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": _over(quality.classify, "documents", "labels"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.scan_sql(), "op4_warc": warc.round_trip_sql(), "op6_url_filter": url_filter.judge_sql()}

@@ -40,22 +40,27 @@ def _hex(digest: str) -> str:
     return base64.b32decode(b + "=" * (-len(b) % 8)).hex()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member. A revisit has the HTTP head, whose content length is the payload's, and no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, name: str) -> bytes:
+    """One record as a gzip member. A revisit has the HTTP head, whose content length is the payload's, and no payload.
+
+    Record ids are made from ``name``, which is unique in a set of archives; pages have headers of their own, as ids of pages may repeat.
+    """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}"]
+    if page_id is not None:
+        lines.append(f"Page-Id: {page_id}")
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%-._~' + chr(39))}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"Refers-To-Page-Id: {refers_to}"]
     lines += [f"WARC-Payload-Digest: {_digest(payload)}", f"WARC-Block-Digest: {_digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
 def members(stream) -> Iterator[bytes]:
-    """The inflated gzip members of a file, one after another."""
+    """The inflated gzip members of a file, one after another; both sides move in pieces, so no more than a member and two pieces is held."""
     left, z, parts = b"", None, []
     while True:
         if not left:
@@ -65,11 +70,18 @@ def members(stream) -> Iterator[bytes]:
                     raise ValueError("the archive ends inside a record")
                 return
         z = z or zlib.decompressobj(31)
-        parts.append(z.decompress(left))
-        left = z.unused_data if z.eof else b""
+        parts.append(z.decompress(left, PIECE))
+        left = z.unused_data if z.eof else z.unconsumed_tail
         if z.eof:
             yield b"".join(parts)
             z, parts = None, []
+        elif not left and len(parts[-1]) == PIECE:  # the output was full: more may be waiting inside
+            while more := z.decompress(b"", PIECE):
+                parts.append(more)
+            if z.eof:
+                left = z.unused_data
+                yield b"".join(parts)
+                z, parts = None, []
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -94,8 +106,8 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return h, http, payload
 
 
-def _page(uri: str) -> int | None:
-    return int(x) if (x := uri.removeprefix("<urn:page:").removesuffix(">")) else None
+def _page(value: str | None) -> int | None:
+    return None if value is None else int(value)
 
 
 def plan(pages: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
@@ -118,13 +130,14 @@ def write(rows: DataFrame, root: str) -> DataFrame:
         fs, path = _fs(root)
         fs.create_dir(path, recursive=True)
         task = TaskContext.get()
-        out, name, size, count, files = None, "", 0, 0, []
+        out, name, size, count, files, row = None, "", 0, 0, [], 0
         for b in batches:
             for page_id, url, html, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(files):04d}.warc.gz"
                     out, size, count = fs.open_output_stream(f"{path}/{name}", compression=None), 0, 0
-                data = record(page_id, url, html.encode("utf-8", "surrogatepass"), refers, refers is not None)
+                data = record(page_id, url, html.encode("utf-8", "surrogatepass"), refers, refers is not None, f"{path}/{task.partitionId()}-{row}")
+                row += 1
                 out.write(data)
                 size, count = size + len(data), count + 1
                 if size >= FILE_BYTES:
@@ -156,7 +169,7 @@ def read(paths: DataFrame, payloads: bool = False) -> DataFrame:
                         h, http, payload = parse(m)
                         seen += 1
                         revisit = h["warc-type"] == "revisit"
-                        rows.append((_page(h["warc-record-id"]), h.get("warc-target-uri"), int(_headers(http)["content-length"]), _hex(h["warc-payload-digest"]), h["warc-type"], _page(h["warc-refers-to"]) if revisit else None, *([payload] if payloads else [])))
+                        rows.append((_page(h.get("page-id")), h.get("warc-target-uri"), int(_headers(http)["content-length"]), _hex(h["warc-payload-digest"]), h["warc-type"], _page(h.get("refers-to-page-id")) if revisit else None, *([payload] if payloads else [])))
                         held += len(payload) * payloads
                         if len(rows) == 4096 or held > 1 << 25:
                             yield batch(rows)
@@ -174,15 +187,33 @@ def read(paths: DataFrame, payloads: bool = False) -> DataFrame:
     return paths.select("path", "records").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
+def verify(rows: DataFrame) -> None:
+    """An error where a revisit's digest is not that of the response it refers to, or where that is not there."""
+    ends = rows.where("record_type = 'response'").select(F.col("page_id").alias("page_"), F.col("payload_digest").alias("digest_"))
+    lost = rows.where("record_type = 'revisit'").join(ends, (F.col("refers_to") == F.col("page_")) & (F.col("payload_digest") == F.col("digest_")), "left_anti").select("page_id", "refers_to").take(1)
+    if lost:
+        raise ValueError(f"the revisit of page {lost[0]['page_id']} differs from the response of page {lost[0]['refers_to']}")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives every row of ``pages``, reads the archives back and returns what they say.
 
-    Null html is an empty payload. Rows of one page_id are all the response of their payload; where every page_id of a
-    payload is null there is no revisit.
+    Null html is an empty payload; very long ones are one record. Rows of one page_id are all the response of their payload; where every page_id of a
+    payload is null there is no revisit. Extra columns are not read.
     """
     spark = pages.sparkSession
     with Scratch(spark) as scratch:
         root = f"{scratch.root}/archive-{uuid.uuid4().hex}"
         files = scratch.save(write(plan(pages, scratch), root))
-        out = read(files.repartition(max(1, files.count()), "path"))
-        return keep(out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+        out = keep(read(files.repartition(max(1, files.count()), "path")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+        verify(out)
+        return out
+
+
+def round_trip_sql(least: int = LEAST) -> str:
+    """DuckDB SQL for the rows of round_trip() over ``pages``."""
+    return f"""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {least} GROUP BY 1 HAVING count(*) > 1)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, p.payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest
+    """
