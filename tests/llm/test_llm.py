@@ -653,3 +653,29 @@ def test_leaks_of_edited_items(spark):
             rows.append((len(rows), " ".join(w[:40] + p + w[40:])))
     want = best_windows(rows, items)
     assert 60 < len(want) < len(rows) and found_windows(spark, rows, items) == want
+
+
+def test_pipeline_stages_by_hand(spark):
+    """Each stage on its own small input against plain Python, with odd rows and extra columns."""
+    a, b, item = words(60, 71), words(60, 72), words(30, 73)
+    rows = [(1, " ".join(a)), (2, " ".join([*a[:-1], "edit"])), (3, " ".join(b)), (4, " ".join(b)), (5, " ".join(words(40, 74)[:20] + item + words(40, 74)[20:])), (6, None), (7, ""), (8, "12 34"), (9, "mail x.y@z.com or +1 555 555 5555, token = 0123456789abcdef0"), (9, "other text of the same id here"), (None, " ".join(words(50, 75)))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 3}" if k % 4 else None, len(t or "")) for k, (i, t) in enumerate(rows)], DOCS).withColumn("digest", F.lit("x")).withColumn("start", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    assert text(jaccard_join.one_of_each(docs)) == text(stages["jaccard_join"](spark, docs, DATA)) == sorted([r for r in rows if r[0] not in (2, 4)], key=str)
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, None)], "item_id long, text string")
+    assert text(decontaminate.decontaminate(docs, bench)) == sorted([r for r in rows if r[0] != 5], key=str)
+    assert text(stages["decontamination"](spark, docs, DATA)) == sorted(rows, key=str)
+    masked = stages["pii"](spark, docs, DATA)
+    assert text(masked) == sorted([(i, pii.mask(t)) for i, t in rows], key=str) and all(r["n_chars"] == len(r["text"]) for r in masked.collect() if r["text"] is not None)
+    assert ("mail [EMAIL] or [PHONE], token = [ACCOUNT]") in {t for _, t in text(masked)}
+    scores = {(r["doc_id"]): r for r in language_id.identify(docs).where("doc_id <> 9").collect()}
+    kept = text(stages["language_id"](spark, docs, DATA))
+    assert {i for i, _ in kept if i != 9} - {None} == {i for i, r in scores.items() if i is not None and r["score"] >= language_id.LEAST} and not {6, 7, 8} & {i for i, _ in kept}
+    mixed = stages["source_mix"](spark, docs, DATA).collect()
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r["doc_id"]] = max(copies[r["doc_id"]], r["copies"])
+    assert Counter((r["doc_id"], r["text"]) for r in mixed) == Counter((i, t) for i, t in rows if copies[i] > 0) and all(r["copies"] == copies[r["doc_id"]] for r in mixed)
+    for d in (stages["jaccard_join"](spark, docs, DATA), masked, stages["language_id"](spark, docs, DATA)):
+        assert d.columns == docs.columns
