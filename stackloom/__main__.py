@@ -1,4 +1,4 @@
-"""``python -m stackloom reconstruct SOURCE OUT`` and ``python -m stackloom validate RUN``."""
+"""``python -m stackloom`` with reconstruct SOURCE OUT, batch OUT SOURCE..., newest OUT, or validate RUN."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import sys
 from datetime import date
 
-from stackloom.plans.run import reconstruct
+from stackloom.plans.run import batch, newest, reconstruct
 from stackloom.runtime import session, ship
 from stackloom.sources.bundle import validate
 
@@ -22,6 +22,13 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--surgery", type=date.fromisoformat)
     r.add_argument("--discard", type=int, default=0)
     r.add_argument("--stride", type=int, default=4)
+    b = sub.add_parser("batch", help="several stacks, each to a validated run folder, with a table of their status")
+    b.add_argument("out")
+    b.add_argument("sources", nargs="+")
+    b.add_argument("--channel", type=int)
+    b.add_argument("--stride", type=int, default=4)
+    n = sub.add_parser("newest", help="the newest run folder of each scan")
+    n.add_argument("out")
     v = sub.add_parser("validate", help="all errors of a run folder")
     v.add_argument("run")
     a = p.parse_args(argv)
@@ -30,6 +37,15 @@ def main(argv: list[str] | None = None) -> int:
     if a.do == "reconstruct":
         print(reconstruct(spark, a.source, a.out, a.channel, a.surgery, discard=a.discard, stride=a.stride))
         return 0
+    if a.do == "batch":
+        rows = batch(spark, a.sources, a.out, channel=a.channel, stride=a.stride).collect()
+        for r in rows:
+            print(r["status"], r["source"], r["run"] or r["message"])
+        return 0 if all(r["status"] == "pass" for r in rows) else 1
+    if a.do == "newest":
+        for r in newest(spark, a.out).orderBy("scan").collect():
+            print(r["run"])
+        return 0
     errors = validate(spark, a.run).orderBy("path", "error").collect()
     for e in errors:
         print(f"{e['path']}: {e['error']}")

@@ -224,6 +224,25 @@ def plane_summary(kept: DataFrame, legacy: DataFrame, methods: DataFrame, pixel_
     return out.join(sharp.select(*PLANE, *(F.col(m).alias(f"sharpness_{m}") for m in "ABCD")), PLANE)
 
 
+def stack_pass(frames: DataFrame, spacing_um: tuple[float, float, float] = (1.0, 1.0, 1.0), upsample: int = 10, condition: dict | None = None, updates: int = 1, most_lag: int = 10, **rule: float) -> dict[str, DataFrame]:
+    """All of a comparison of the four methods, stack by stack: ``frames`` with shifts, both filters' decisions and reasons, ``methods`` (volumes), ``planes``
+    (plane_summary), ``volumes`` (volume_metrics of each method), ``decay`` (correlation by lag) and ``histogram`` of all intensities."""
+    from stackloom.operators import saturation
+
+    kept = keep(registration_keep(frame_shifts(frames, upsample, condition, updates), **rule))
+    legacy = keep(recon.kept_frames(recon.frame_statistics(frames)))
+    methods = keep(plane_methods(frames, kept, legacy))
+    one = {m: methods.where(F.col("method") == m).drop("method") for m in "ABCD"}
+    decay = None
+    for m, v in one.items():
+        d = volume.z_decay(v, spacing_um[0], most_lag).withColumn("method", F.lit(m))
+        decay = d if decay is None else decay.unionByName(d)
+    return {
+        "frames": in_um(kept, *spacing_um[1:]).join(legacy.select(*FRAME, F.col("keep").alias("legacy_keep")), FRAME), "methods": methods, "planes": plane_summary(kept, legacy, methods, spacing_um[1:]),
+        "volumes": volume.volume_metrics(one, spacing_um), "decay": decay, "histogram": saturation.histogram(frames),
+    }
+
+
 def plane_images(vol: DataFrame) -> DataFrame:
     """scan_id (if there), plane, width, pixels of a volume whose planes are whole."""
     keys = [*volume.stack(vol), "plane"]

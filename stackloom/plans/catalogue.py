@@ -523,6 +523,7 @@ def _methods(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 query("xy_methods", None)(lambda t: _methods(t)[2])
 query("xy_plane_summary", None)(lambda t: register.plane_summary(*_methods(t)))
+query("xy_volume_metrics", None)(lambda t: register.stack_pass(t.frames(), (2.0, 0.9, 0.5), most_lag=4)["volumes"])
 # lines stand for registered frames, so that the rule itself has SQL
 KEEP = """sh AS (SELECT l_returnflag AS scan_id, l_suppkey % 5 AS plane, row_number() OVER (PARTITION BY l_returnflag, l_suppkey % 5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS local_index, l_discount * 100 - 3 AS dy, l_tax * 100 - 4 AS dx, CASE WHEN l_quantity < 2 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 10000 END AS error, 0.5::DOUBLE AS corr_before, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE 1 - l_quantity / 100 END AS corr_after FROM lineitem),
 v AS (SELECT *, sqrt(dy * dy + dx * dx) AS magnitude, corr_after - corr_before AS gain, sqrt(dy * dy + dx * dx) <= 5.5 AS valid FROM sh),

@@ -174,3 +174,62 @@ def test_a_run_is_made_whole_and_every_damage_is_found(spark, tmp_path):
     assert {("analysis_manifest.json", "lacks title"), ("../elsewhere", "escapes the run"), ("figures/fig_mean_projections.json", "plotted data hash"), ("figures/fig_mean_projections.png", "missing")} <= errors
     assert any(p == "figures/fig_mean_projections.npz" and "hash" in e for p, e in errors)
     assert [tuple(r) for r in bundle.validate(spark, str(tmp_path)).collect()] == [("analysis_manifest.json", "missing")]
+
+
+def test_a_batch_goes_on_after_an_error(spark, tmp_path):
+    from stackloom.plans.run import batch, newest, volume_of
+
+    good = stack(tmp_path / SESSION / "a.tif", images(12))
+    bad = stack(tmp_path / SESSION.replace("scan7", "scan8") / "a.tif", images(11))
+    got = {r["source"]: r for r in batch(spark, [bad, good], str(tmp_path / "runs"), channel=3, stride=1).collect()}
+    assert got[good]["status"] == "pass" and got[bad]["status"] == "error" and got[bad]["run"] is None
+    assert spark.read.option("header", True).csv(str(tmp_path / "runs" / "status")).count() == 2
+    found = newest(spark, str(tmp_path / "runs")).collect()
+    assert len(found) == 1 and found[0]["run"].endswith(got[good]["run"].rsplit("/", 1)[1])
+    assert volume_of(spark, got[good]["run"]).endswith("median.ome.tif") and volume_of(spark, got[good]["run"], "other").endswith("median.ome.tif")
+    with pytest.raises(Exception, match="volume"):
+        volume_of(spark, str(tmp_path / "runs" / "none"))
+
+
+def test_page_positions_and_sampled_frames(spark, tmp_path):
+    from stackloom.operators import gates, saturation
+
+    path = stack(tmp_path / SESSION / "a.tif", images(12))
+    z = tiff.page_z(spark, path).orderBy("page").collect()
+    assert [r["z_um"] for r in z] == [0.0] * 4 + [2.0] * 4 + [4.0] * 4
+    assert gates.page_grouping(tiff.page_z(spark, path), ["source_path"], "page", "z_um", 4).first()["status"] == "pass"
+    some = tiff.frames(spark, path, channel=1, offsets=[0]).collect()
+    assert [(r["plane_index"], r["local_index"]) for r in some] == [(0, 0), (1, 0), (2, 0)]
+    whole = tiff.frames(spark, path, channel=1, offsets=[0, 99], nominal=100)
+    assert sorted({r["local_index"] for r in whole.collect()}) == [0, 1]
+    h = {r["value"]: r["n"] for r in saturation.histogram(whole).collect()}
+    values = np.concatenate([i.ravel() for k, i in enumerate(images(12)) if k % 2 == 0])
+    assert h == dict(zip(*(x.tolist() for x in np.unique(values, return_counts=True)), strict=True))
+    s = saturation.summary(saturation.histogram(whole), int(values.min()), 10_000).first()
+    assert s["samples"] == len(values) and s["rail_hit"] and s["maximum"] == values.max() and s["p50"] == np.sort(values)[len(values) // 2 - 1]
+
+
+def test_discovery_flags_and_code_hashes(spark, tmp_path):
+    import hashlib
+    import json
+
+    from stackloom.sources import bundle, io
+
+    path = stack(tmp_path / "a" / SESSION / "a.tif", images(1))
+    assert io.discover(spark, str(tmp_path / "a"), "AB-1", "2026-01-02", "scan7").endswith("/a.tif")
+    with pytest.raises(ValueError, match="0 folders"):
+        io.discover(spark, str(tmp_path / "a"), "AB-1", "2026-01-02", "scan8")
+    stack(tmp_path / "a" / SESSION / "b.tif", images(1))
+    with pytest.raises(ValueError, match="2 stacks"):
+        io.discover(spark, str(tmp_path / "a"), "AB-1", "2026-01-02", "scan7")
+    flags = tmp_path / "flags"
+    flags.mkdir()
+    for n in ("b", "a"):
+        (flags / f"{n}.json").write_text(json.dumps({"subject": {"animal_id": n}, "source_tiff": path, "status": "open"}))
+    got = io.review_flags(spark, str(flags / "*.json")).collect()
+    assert [r["subject"]["animal_id"] for r in got] == ["a", "b"] and got[0]["sha256"] == hashlib.sha256((flags / "a.json").read_bytes()).hexdigest()
+    (tmp_path / "code" / "sub").mkdir(parents=True)
+    (tmp_path / "code" / "x.py").write_text("1")
+    (tmp_path / "code" / "sub" / "y.py").write_text("2")
+    (tmp_path / "code" / "z.txt").write_text("3")
+    assert [(r["path"], r["sha256"]) for r in bundle.code_hashes(spark, str(tmp_path / "code")).collect()] == [("sub/y.py", hashlib.sha256(b"2").hexdigest()), ("x.py", hashlib.sha256(b"1").hexdigest())]
