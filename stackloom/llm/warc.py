@@ -189,7 +189,8 @@ def read(paths: DataFrame, payloads: bool = False) -> DataFrame:
 
 def verify(rows: DataFrame) -> None:
     """An error where a revisit's digest is not that of the response it refers to, or where that is not there."""
-    ends = rows.where("record_type = 'response'").select(F.col("page_id").alias("page_"), F.col("payload_digest").alias("digest_"))
+    # sizes of what a reader made are guessed, so no side may be broadcast on a guess
+    ends = rows.where("record_type = 'response'").select(F.col("page_id").alias("page_"), F.col("payload_digest").alias("digest_")).hint("merge")
     lost = rows.where("record_type = 'revisit'").join(ends, (F.col("refers_to") == F.col("page_")) & (F.col("payload_digest") == F.col("digest_")), "left_anti").select("page_id", "refers_to").take(1)
     if lost:
         raise ValueError(f"the revisit of page {lost[0]['page_id']} differs from the response of page {lost[0]['refers_to']}")
