@@ -212,5 +212,5 @@ def kept_summary(kept: DataFrame) -> DataFrame:
 def early_late(frames: DataFrame, n: int = 5) -> DataFrame:
     """Pixelwise means of the first and of the last n frames of each plane."""
     last = frames.groupBy(*PLANE).agg(F.max("local_index").alias("last_"))
-    tail = frames.join(last, PLANE).where(F.col("local_index") > F.col("last_") - n)
+    tail = frames.hint("merge").join(last, PLANE).where(F.col("local_index") > F.col("last_") - n)
     return mean_volume(frames.where(F.col("local_index") < n)).withColumnRenamed("v", "early").join(mean_volume(tail).withColumnRenamed("v", "late"), PIXEL)

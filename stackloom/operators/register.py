@@ -122,7 +122,8 @@ def with_reference(frames: DataFrame, images: DataFrame) -> DataFrame:
     """Frames with the image of their plane as ``reference``. The frames of a plane are dealt over tasks in blocks, each with a copy of the image."""
     block = F.floor(F.col("local_index") / BLOCK).alias("block_")
     refs = images.select(*PLANE, F.col("pixels").alias("reference")).join(frames.select(*PLANE, block).distinct(), PLANE)
-    return frames.select(*FRAME, "width", "pixels", block).join(refs, [*PLANE, "block_"]).drop("block_")
+    # sizes of images that a reader made are guessed, so no side may be broadcast on a guess
+    return frames.select(*FRAME, "width", "pixels", block).hint("merge").join(refs, [*PLANE, "block_"]).drop("block_")
 
 
 def estimate(frames: DataFrame, images: DataFrame, upsample: int = 10, condition: dict | None = None) -> DataFrame:
@@ -138,7 +139,7 @@ def estimate(frames: DataFrame, images: DataFrame, upsample: int = 10, condition
 
 def registered(frames: DataFrame, shifts: DataFrame) -> DataFrame:
     """The frames moved by their shifts."""
-    rows = frames.select(*FRAME, "width", "pixels").join(shifts.select(*FRAME, "dy", "dx"), FRAME)
+    rows = frames.select(*FRAME, "width", "pixels").hint("merge").join(shifts.select(*FRAME, "dy", "dx"), FRAME)
     return _per_frame(rows, lambda r: (r["width"], moved(r["pixels"], r["dy"], r["dx"]).ravel().tolist()), ["width", "pixels"], "width int, pixels array<double>")
 
 
