@@ -123,6 +123,7 @@ KNOWN += tuple((i, f"{title}\n\n{text}") for i, text in KNOWN if len(text) > 200
 INLINE = 100
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;>-]*(copyright|\(c\)|©)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
@@ -143,6 +144,20 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def first_words(heads: set[str]) -> list[str] | None:
+    """The words, in lower case, that a text may begin with whose canonical form begins with one of ``heads``; None for any, as the form may be empty.
+
+    A text whose first word is in a copyright line has lost all of that line, so a single line has then no word left.
+    """
+    if "" in heads:
+        return None
+    found = set(heads)
+    for a, b in reversed(SPELLINGS):
+        if b.split()[0] in found:
+            found.add(a.split()[0])
+    return sorted(found)
+
+
 def scan(docs: DataFrame, known: tuple | DataFrame = KNOWN) -> DataFrame:
     """doc_id, digest, license (of the entire text, else null), line_licenses and n_license_lines of every row.
 
@@ -151,18 +166,22 @@ def scan(docs: DataFrame, known: tuple | DataFrame = KNOWN) -> DataFrame:
     """
     spark = docs.sparkSession
     listed = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, known string")
-    table = keep(listed.select(digest(F.col("known")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license")))
+    table = keep(listed.select(digest(F.col("known")).alias("digest"), "license", F.substring_index(canonical(F.col("known")), " ", 1).alias("head")).groupBy("digest").agg(F.min("license").alias("license"), F.min("head").alias("head")))
     rows = table.count()
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).withColumn("digest", digest(F.col("text")))
-    hashed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), digest)
-    of_text = small(table, rows)
+    each = F.split(F.coalesce("text", F.lit("")), "\n")
+    of_text = small(table.drop("head"), rows)
     if rows <= INLINE:
-        ids = F.create_map(*[F.lit(x) for r in table.collect() for x in (r["digest"], r["license"])]) if rows else F.lit(None).cast("map<string,string>")
-        d = d.select("doc_id", "digest", F.filter(F.transform(hashed, lambda x: F.try_element_at(ids, x)), lambda x: x.isNotNull()).alias("lines"))
+        listed = table.collect()
+        ids = F.create_map(*[F.lit(x) for r in listed for x in (r["digest"], r["license"])]) if rows else F.lit(None).cast("map<string,string>")
+        begin = first_words({r["head"] for r in listed})
+        if begin is not None:  # only lines that begin as a known form does can be one
+            each = F.filter(each, lambda x: F.regexp_extract(F.lower(x), WORD, 0).isin(begin))
+        d = d.select("doc_id", "digest", F.filter(F.transform(each, lambda x: F.try_element_at(ids, digest(x))), lambda x: x.isNotNull()).alias("lines"))
     else:  # rows of equal id and text have equal lines
         key = ["doc_id", "digest", "own"]
         d = d.withColumn("own", F.xxhash64("text"))
-        lines = d.dropDuplicates(key).select(*key, F.explode(hashed).alias("line")).groupBy(*key, "line").agg(F.count("*").alias("n"))
+        lines = d.dropDuplicates(key).select(*key, F.explode(F.transform(each, digest)).alias("line")).groupBy(*key, "line").agg(F.count("*").alias("n"))
         met = lines.join(small(table.select(F.col("digest").alias("line"), "license"), rows), "line").groupBy(*(F.col(c).alias(f"{c}_") for c in key)).agg(F.flatten(F.collect_list(F.array_repeat("license", F.col("n").cast("int")))).alias("lines"))
         on = F.col("own") == F.col("own_")
         for c in key[:2]:

@@ -168,6 +168,19 @@ def test_license_lines_by_join_equal_those_looked_up(spark, monkeypatch):
     assert sorted(map(str, license_scan.scan(frame(spark, rows), table).collect())) == want and any("n_license_lines=2" in r for r in want)
 
 
+def test_lines_are_hashed_if_they_begin_as_a_known_form(spark, monkeypatch):
+    known = (("X", "Sublicense granted here"), ("Y", "cc by nc 9"), ("Z", "\u0130d 7"))
+    lines = ["** SUB-Licence granted here", "sublicense granted here", "Creative Commons Attribution Non-Commercial 9", "CC-BY-NC 9", "\u0130D 7", "granted here", "", "Copyright 2020 cc by nc 9", "\rcc by nc 9", "\u2028(c) a"]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(100, "\n".join(lines)), (101, None)]
+    for k in (known, (*known, ("E", "Copyright 2020 me")), ()):
+        got = sorted(map(str, license_scan.scan(frame(spark, rows), k).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(license_scan, "INLINE", -1)
+            assert sorted(map(str, license_scan.scan(frame(spark, rows), k).collect())) == got
+        if k == known:
+            assert sum("n_license_lines=1" in r for r in got) == 6 and any("n_license_lines=6" in r and "X,Y,Z" in r for r in got)
+
+
 def test_targets_are_capped_and_reshared():
     t = mixing.targets({"b": 10, "a": 1000, None: 500, "c": 0})
     assert t["c"] == 0 and t["b"] == 30 and abs(sum(t.values()) - 1510) < 1e-9 and t["a"] * 1 == pytest.approx(t[None] * 1)
