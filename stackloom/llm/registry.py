@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.llm import decontaminate, fingerprints, jaccard_join, language_id, license_scan, mixing, periodic_runs, pii, quality, url_filter, warc
+from stackloom.llm import decontaminate, fingerprints, jaccard_join, language_id, license_scan, mixing, periodic_runs, pii, quality, url_filter, vector_codes, warc
 from stackloom.runtime import ship
 
 
@@ -29,7 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _over(pii.scan, "documents"),
     "op9_decontamination": _over(decontaminate.leaks, "documents", "benchmark"),
     "op10_quality": _over(quality.classify, "documents", "labels"),
+    "op11_vector_codes": _over(vector_codes.compress, "embeddings"),
     "op13_periodic_runs": _over(periodic_runs.detect, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.scan_sql(), "op4_warc": warc.round_trip_sql(), "op6_url_filter": url_filter.judge_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.scan_sql(), "op4_warc": warc.round_trip_sql(), "op6_url_filter": url_filter.judge_sql(), "op11_vector_codes": vector_codes.compress_sql()}
