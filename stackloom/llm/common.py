@@ -90,9 +90,9 @@ def spread(left: DataFrame, on: str, right: DataFrame, key: str, n: str, by: Col
     return dealt.join(copies, (F.col(on) == F.col(key)) & (F.col("salt__") == F.col("copy__")), how).drop("salt__", "copy__")
 
 
-def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
-    """True where crc32 of the id as text leaves no remainder; false for a null id."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
+def held_out(doc_id: str = "doc_id", folds: int = 5, remainder: int = 0) -> Column:
+    """True where crc32 of the id as text leaves that remainder; false for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == remainder, F.lit(False))
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.llm import decontaminate, fingerprints, jaccard_join, language_id, license_scan, mixing, periodic_runs, pii, quality, url_filter, vector_codes, warc
+from stackloom.llm import decontaminate, fingerprints, jaccard_join, language_id, license_scan, mixing, periodic_runs, pii, quality, toxicity, url_filter, vector_codes, warc
 from stackloom.runtime import ship
 
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": _over(decontaminate.leaks, "documents", "benchmark"),
     "op10_quality": _over(quality.classify, "documents", "labels"),
     "op11_vector_codes": _over(vector_codes.compress, "embeddings"),
+    "op12_toxicity": _over(toxicity.classify, "documents", "labels"),
     "op13_periodic_runs": _over(periodic_runs.detect, "documents"),
 }
 
