@@ -38,8 +38,8 @@ NORM = sum(w * w for _, w in PATTERNS)
 #: Four letters in a row, for the first statistics.
 PLAIN = [((0, 1, 2, 3), 1.0)]
 PAD = 6
-#: Code points and letters that are worked on together.
-TOGETHER = 1 << 20
+#: Code points and letters that are worked on together; units, and landmarks, likewise.
+TOGETHER, ROWS, SOME = 1 << 20, 4096, 64
 #: Units of a text that its score depends on (the highest ones), and letters that are kept of a unit that is learned from.
 TOP, KEPT = 8, 40
 #: Of these, the ones that a clean and a toxic text of the sample give to learn from.
@@ -93,6 +93,19 @@ def stream(texts: list[str | None]) -> Stream:
     return Stream(c, zeros[unit], zeros[unit + 1], doc[zeros[unit] + 1] - 1)
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that share a stream."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "") + PAD
+        if size and size + n > TOGETHER:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _left(c: np.ndarray) -> np.ndarray:
     """From each position the letters to the next boundary, PAD at most: no subsequence goes beyond it."""
     at = np.where(c == 0, np.arange(len(c)), len(c) + PAD)
@@ -150,7 +163,7 @@ def features(unit: str) -> tuple[np.ndarray, np.ndarray]:
         for o in offsets:
             ok = ok & known[o : o + n]
         got.append((bucket[ok], np.full(ok.sum(), weight)))
-    return np.concatenate([b for b, _ in got]), np.concatenate([w for _, w in got]) / np.sqrt(n * NORM)
+    return np.concatenate([b for b, _ in got]).astype(np.int32), np.concatenate([w for _, w in got]) / np.sqrt(n * NORM)
 
 
 @dataclass
@@ -186,17 +199,41 @@ def link(top: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by Newton steps over the support vectors; the last column of x is the constant."""
-    beta = np.zeros(x.shape[1])
+    n = x.shape[1]
+    beta = np.zeros(n)
     for _ in range(30):
-        sv = y * (x @ beta) < 1
-        g = x[sv] * weight[sv, None]
-        new = np.linalg.solve(g.T @ x[sv] + ridge * weight.sum() * np.eye(x.shape[1]), g.T @ y[sv])
-        if np.allclose(new, beta, atol=1e-7):
+        sv = y * (x @ beta.astype(x.dtype)) < 1
+        h, g = ridge * weight.sum() * np.eye(n), np.zeros(n)
+        for s in range(0, len(x), ROWS):
+            part = x[s : s + ROWS][sv[s : s + ROWS]].astype(np.float64)
+            w = weight[s : s + ROWS][sv[s : s + ROWS]]
+            h += (part * w[:, None]).T @ part
+            g += part.T @ (w * y[s : s + ROWS][sv[s : s + ROWS]])
+        new = np.linalg.solve(h, g)
+        if np.allclose(new, beta, atol=1e-6):
             break
         beta = new
     return beta
 
 
+def kernels(units: list, marks: list) -> np.ndarray:
+    """The kernel of each unit with each landmark, both given as features(); a few landmarks at a time, so that their weights stay small."""
+    out = np.zeros((len(units), len(marks)))
+    for s in range(0, len(marks), SOME):
+        some = marks[s : s + SOME]
+        used = np.unique(np.concatenate([b for b, _ in some]))
+        at = np.full(BUCKETS, len(used), np.int32)
+        at[used] = np.arange(len(used))
+        lm = np.zeros((len(used) + 1, len(some)))
+        for j, (b, w) in enumerate(some):
+            np.add.at(lm, (at[b], j), w)
+        for i, (b, w) in enumerate(units):
+            rows = at[b]
+            on = rows < len(used)
+            out[i, s : s + SOME] = w[on] @ lm[rows[on]]
+    return out
+
+
 def inserted(unit: str) -> list[str]:
     """A unit with an unknown letter after its second and its middle letter; none of a short unit."""
     return [unit[:k] + INSERTED + unit[k:] for k in dict.fromkeys((2, len(unit) // 2))] if len(unit) >= 4 else []
@@ -214,24 +251,20 @@ def train(units: list[str], y: np.ndarray, landmarks: int = LANDMARKS, ridge: fl
     half = landmarks // 2
     marks = list(dict.fromkeys([*each[0][: max(half, landmarks - len(each[1]))], *each[1][: max(half, landmarks - len(each[0]))]]))
     found = [features(u) for u in marks]
-    used = np.unique(np.concatenate([b for b, _ in found]))
-    at = np.full(BUCKETS, len(used))
-    at[used] = np.arange(len(used))
-    lm = np.zeros((len(used) + 1, len(marks)))
-    for j, (b, w) in enumerate(found):
-        np.add.at(lm, (at[b], j), w)
-    each_unit = list(count)
-    k = np.stack([w @ lm[at[b]] for b, w in map(features, [u for _, u in each_unit])])
-    value, vector = np.linalg.eigh(lm.T @ lm)
+    value, vector = np.linalg.eigh(kernels(found, found))
     ok = value > 1e-6 * value.max()
     root = vector[:, ok] / np.sqrt(value[ok])
-    x = np.column_stack((k @ root, np.ones(len(k))))
+    each_unit = list(count)
+    x = np.ones((len(each_unit), root.shape[1] + 1), np.float32)
+    for s in range(0, len(x), ROWS):
+        x[s : s + ROWS, :-1] = kernels([features(u) for _, u in each_unit[s : s + ROWS]], found) @ root
     label, n = np.array([c for c, _ in each_unit], float), np.sqrt([count[u] for u in each_unit])
     for c in (1, -1):
         n[label == c] /= n[label == c].sum()  # labels weigh alike
     beta = machine(x, label, n, ridge)
     table = np.zeros(BUCKETS)
-    table[used] = lm[:-1] @ (root @ beta[:-1])
+    for (b, w), c in zip(found, root @ beta[:-1], strict=True):
+        np.add.at(table, b, w * c)
     return table.astype(np.float32), float(beta[-1])
 
 
@@ -254,10 +287,16 @@ def _groups(sample: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = stream([t]).letters
-                (bucket, within, _), *_ = _buckets(c, _left(c), len(c) - PAD, PLAIN)
-                n[y, np.unique(bucket[within])] += 1
+            texts, labels = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.int64)
+            for first, last in pieces(texts):
+                s = stream(texts[first:last])
+                (bucket, within, _), *_ = _buckets(s.letters, _left(s.letters), len(s.letters) - PAD, PLAIN)
+                of = np.full(len(s.letters) - PAD, -1)
+                for lo, hi, k in zip(s.first, s.last, s.of, strict=True):
+                    of[lo:hi] = k
+                on = within & (of >= 0)
+                got = np.unique(of[on] * BUCKETS + bucket[on])
+                np.add.at(n, (labels[first + got // BUCKETS], got % BUCKETS), 1)
         at = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], ["bucket", "clean", "toxic"])
 
@@ -278,12 +317,14 @@ def _witnesses(sample: DataFrame, table: np.ndarray, patterns: list) -> list:
         for b in batches:
             texts, labels, keys = (c.to_pylist() for c in b.columns)
             scores, units = [], []
-            for t, y, k in zip(texts, labels, keys, strict=True):
-                s = stream([t])
-                value, unit = tops(s, unit_scores(s, table, patterns), 1)
-                scores.append(value[0].tolist())
-                own = [int(u) for u in unit[0] if u >= 0]
-                units.append([spelled(s, u) for u in own[: KEEP[y]] + ([k % len(s.first)] if own and not y else [])])
+            for first, last in pieces(texts):
+                s = stream(texts[first:last])
+                value, unit = tops(s, unit_scores(s, table, patterns), last - first)
+                scores += value.tolist()
+                begin = np.searchsorted(s.of, np.arange(last - first + 1))
+                for i in range(last - first):
+                    own, n = [int(u) for u in unit[i] if u >= 0], int(begin[i + 1] - begin[i])
+                    units.append([spelled(s, u) for u in own[: KEEP[labels[first + i]]] + ([begin[i] + keys[first + i] % n] if n and not labels[first + i] else [])])
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(scores, pa.list_(pa.float64())), pa.array(units, pa.list_(pa.string()))], ["key", "toxic", "scores", "units"])
 
     rows = sample.mapInArrow(run, "key long, toxic int, scores array<double>, units array<string>").collect()
@@ -328,13 +369,9 @@ def scored(texts: list[str | None], model: Model | None) -> np.ndarray:
     out = np.zeros(len(texts))
     if model is None:
         return out
-    first, size = 0, 0
-    for i, t in enumerate([*texts, None]):
-        if i == len(texts) or (size and size + len(t or "") > TOGETHER):
-            s = stream(texts[first:i])
-            out[first:i] = model.probability(tops(s, unit_scores(s, model.table), i - first)[0])
-            first, size = i, 0
-        size += len(t or "") + 1
+    for first, last in pieces(texts):
+        s = stream(texts[first:last])
+        out[first:last] = model.probability(tops(s, unit_scores(s, model.table), last - first)[0])
     return out
 
 
