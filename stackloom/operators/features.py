@@ -64,13 +64,24 @@ def common_grid(pairs: DataFrame, spacing_um: float, least: int = 4) -> DataFram
     return d.withColumn("usable", (F.col("z_stop") > F.col("z_start")) & (F.least("n_z", "n_y", "n_x") >= least))
 
 
+def _blend(vol: DataFrame, targets: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """Weighted sums over the neighbours that ``targets`` names; NaN where a neighbour of weight is missing."""
+    got = targets.join(vol, [*keys, *axes], "left")
+    missing = F.max((F.col("v").isNull() & (F.col("w") > 0)).cast("int")) == 1
+    return got.groupBy(*keys, *(f"to_{a}" for a in axes)).agg(F.when(missing, stats.nan()).otherwise(F.sum(F.coalesce(F.col("v") * F.col("w"), F.lit(0.0)))).alias("v"))
+
+
+def _taps(df: DataFrame, axis: str, source: Column) -> DataFrame:
+    """Two neighbours of a source coordinate with their weights."""
+    low = F.floor(source)
+    return df.withColumn("tap", F.explode(F.array(F.lit(0), F.lit(1)))).select("*", (low + F.col("tap")).cast("long").alias(axis), F.when(F.col("tap") == 0, 1 - (source - low)).otherwise(source - low).alias(f"w_{axis}")).drop("tap")
+
+
 def on_grid(vol: DataFrame, grid: DataFrame, spacing_um: float) -> DataFrame:
     """A volume (scan_id, plane, y, x, v) resampled linearly to the grid of its stack: rows (scan_id, z_start, n_z, n_y, n_x, z_um, pixel_y, pixel_x).
 
     ``z_um`` are the positions of its planes, which rise; between them Z is interpolated piecewise. Outside, the border is repeated.
     """
-    from stackloom.operators import volume
-
     top = vol.groupBy("scan_id").agg(F.max("y").alias("top_y"), F.max("x").alias("top_x"))
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     t = grid.join(top, "scan_id").withColumn("to_plane", span("n_z")).repartition("scan_id", "to_plane").withColumn("to_y", span("n_y")).withColumn("to_x", span("n_x"))
@@ -79,16 +90,15 @@ def on_grid(vol: DataFrame, grid: DataFrame, spacing_um: float) -> DataFrame:
     part = F.least(F.greatest((z - F.element_at("z_um", low)) / (F.element_at("z_um", low + 1) - F.element_at("z_um", low)), F.lit(0.0)), F.lit(1.0))
     t = t.withColumns({"at_z": F.when(F.size("z_um") == 1, 0.0).otherwise(low - 1 + part), "at_y": F.least(F.col("to_y") * spacing_um / F.col("pixel_y"), F.col("top_y").cast("double")), "at_x": F.least(F.col("to_x") * spacing_um / F.col("pixel_x"), F.col("top_x").cast("double"))})
     t = t.select("scan_id", "to_plane", "to_y", "to_x", "at_z", "at_y", "at_x")
-    t = volume._taps(volume._taps(volume._taps(t, "plane", F.col("at_z")), "y", F.col("at_y")), "x", F.col("at_x")).withColumn("w", F.col("w_plane") * F.col("w_y") * F.col("w_x"))
-    return volume._blend(vol, t, ["scan_id"], ["plane", "y", "x"]).select("scan_id", F.col("to_plane").alias("plane"), F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+    t = _taps(_taps(_taps(t, "plane", F.col("at_z")), "y", F.col("at_y")), "x", F.col("at_x")).withColumn("w", F.col("w_plane") * F.col("w_y") * F.col("w_x"))
+    return _blend(vol, t, ["scan_id"], ["plane", "y", "x"]).select("scan_id", F.col("to_plane").alias("plane"), F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
 
 
 def landmarks(vol: DataFrame, most: int = 30, distance: int = 6, percentile: float = 0.998) -> DataFrame:
     """scan_id, id, plane, y, x: the strongest local maxima of a difference of Gaussians, a cube of ``distance`` voxels apart and away from the faces."""
-    from stackloom.operators import volume
+    from stackloom.operators import chunks, volume
 
-    f = volume.gaussian(vol, 0.8).withColumnRenamed("v", "s_").join(volume.gaussian(vol, 4.0), ["scan_id", *volume.AXES])
-    f = keep(f.select("scan_id", *volume.AXES, "v", F.round(F.col("s_") - F.col("v"), 9).alias("f")))
+    f = keep(chunks.band_pass(vol, (0.8,) * 3, (4.0,) * 3, difference=False).withColumn("f", F.round("f", 9)))
     offsets = [(a, b, c) for a in range(-distance, distance + 1) for b in range(-distance, distance + 1) for c in range(-distance, distance + 1) if (a, b, c) != (0, 0, 0)]
     best = volume.peaks(f, percentile, most, offsets, (max(2, distance),) * 3)
     return best.select("scan_id", F.col("rank_").cast("long").alias("id"), *volume.AXES)

@@ -1,4 +1,4 @@
-"""Rotated views of a volume (plane, y, x, v) as relational stencils: every target voxel names its sources and joins them."""
+"""Rotated views of volumes (plane, y, x, v)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.functions import stats
-from stackloom.operators import volume
+from stackloom.operators import chunks, volume
 
 AXES = ("plane", "y", "x")
 
@@ -29,30 +29,19 @@ def turn(rows: int, columns: int, angle: float) -> tuple[float, float, tuple[int
     return c, s, size, ((rows - 1) / 2 - c * mid[0] - s * mid[1], (columns - 1) / 2 - c * mid[1] + s * mid[0])
 
 
-def rotate(vol: DataFrame, angle: float, axes: tuple[str, str] = ("y", "x"), nearest: bool = False, shape: tuple[int, int, int] | None = None) -> tuple[DataFrame, tuple[int, int, int]]:
-    """The volume turned by degrees in the plane of two axes, grown to hold all of it, and its new shape.
+def rotate(vol: DataFrame, angle: float, axes: tuple[str, str] = ("y", "x"), nearest: bool = False) -> DataFrame:
+    """Each volume turned by degrees in the plane of two axes, grown to hold all of it.
 
     Linear interpolation, or the nearest voxel for masks; 0 where the source lies outside.
     """
-    shape = shape or shape_of(vol)
-    n = dict(zip(AXES, shape, strict=True))
-    p, q = axes
-    (other,) = set(AXES) - {p, q}
-    c, s, size, (a, b) = turn(n[p], n[q], angle)
-    t = vol.sparkSession.range(n[other] * size[0] * size[1]).select(
-        F.floor(F.col("id") / (size[0] * size[1])).alias(other), F.floor(F.col("id") / size[1] % size[0]).alias(f"to_{p}"), (F.col("id") % size[1]).alias(f"to_{q}")
-    )
-    t = t.withColumns({"from_p": F.round(c * F.col(f"to_{p}") + s * F.col(f"to_{q}") + a, 9), "from_q": F.round(c * F.col(f"to_{q}") - s * F.col(f"to_{p}") + b, 9)})
-    inside = F.col("from_p").between(0, n[p] - 1) & F.col("from_q").between(0, n[q] - 1)
-    new = {other: n[other], p: size[0], q: size[1]}
-    if nearest:
-        t = t.select(other, f"to_{p}", f"to_{q}", F.when(inside, F.floor(F.col("from_p") + 0.5)).alias(p), F.when(inside, F.floor(F.col("from_q") + 0.5)).alias(q))
-        out = t.join(vol, [other, p, q], "left").select(other, F.col(f"to_{p}").alias(p), F.col(f"to_{q}").alias(q), F.coalesce("v", F.lit(0.0)).alias("v"))
-    else:
-        t = t.withColumn("in_", inside.cast("double"))
-        t = volume._taps(volume._taps(t, p, F.col("from_p")), q, F.col("from_q")).withColumn("w", F.col(f"w_{p}") * F.col(f"w_{q}") * F.col("in_"))
-        out = volume._blend(vol, t, [other], [p, q]).select(other, F.col(f"to_{p}").alias(p), F.col(f"to_{q}").alias(q), "v")
-    return out.select(*AXES, "v"), tuple(new[x] for x in AXES)
+    return chunks.turned(vol, axes, nearest, lambda rows, columns: turn(rows, columns, angle))
+
+
+def turned_shape(shape: tuple[int, int, int], angle: float, axes: tuple[str, str] = ("y", "x")) -> tuple[int, int, int]:
+    p, q = (AXES.index(a) for a in axes)
+    out = list(shape)
+    out[p], out[q] = turn(shape[p], shape[q], angle)[2]
+    return tuple(out)
 
 
 def dilate(mask: DataFrame, shape: tuple[int, int], steps: int = 1) -> DataFrame:
@@ -75,9 +64,8 @@ def crop_nonzero(image: DataFrame, threshold: float, pad: int = 0) -> DataFrame:
     return d.where(F.col("y").between(lo("y"), hi("y")) & F.col("x").between(lo("x"), hi("x"))).select(*keys, (F.col("y") - lo("y")).alias("y"), (F.col("x") - lo("x")).alias("x"), "v")
 
 
-def _turned(vol: DataFrame, shape: tuple[int, int, int], azimuth: float, elevation: float, nearest: bool = False) -> tuple[DataFrame, tuple[int, int, int]]:
-    v, shape = rotate(vol, azimuth, ("y", "x"), nearest, shape)
-    return rotate(v, elevation, ("plane", "y"), nearest, shape)
+def _turned(vol: DataFrame, azimuth: float, elevation: float, nearest: bool = False) -> DataFrame:
+    return rotate(rotate(vol, azimuth, ("y", "x"), nearest), elevation, ("plane", "y"), nearest)
 
 
 def _ones(vol: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
@@ -94,8 +82,7 @@ def views(vol: DataFrame, z_step_um: float, pixel_um: float, azimuth: float = -2
     n = shape_of(vol)
     size = (max(2, round(n[0] * z_step_um / pixel_um)), n[1], n[2])
     iso = volume.resample(vol, size)
-    seen, full = _turned(iso, size, azimuth, elevation)
-    feet, _ = _turned(_ones(vol, size), size, azimuth, elevation, nearest=True)
+    seen, feet = _turned(iso, azimuth, elevation), _turned(_ones(vol, size), azimuth, elevation, nearest=True)
     flat = lambda d: d.groupBy("y", "x").agg(F.max("v").alias("v"))
     both = flat(seen).join(flat(feet).withColumnRenamed("v", "foot"), ["y", "x"])
     box = both.where("foot > 0").agg(*(f(c).alias(f"{k}_{c}") for c in ("y", "x") for k, f in (("lo", F.min), ("hi", F.max))))
@@ -118,9 +105,9 @@ def cuboid(vol: DataFrame, spacing_zyx_um: tuple[float, float, float], most: int
     step = max(min(spacing_zyx_um), max(spans) / most)
     size = tuple(max(2, round(s / step)) for s in spans)
     iso = volume.resample(vol, size)
-    seen, full = _turned(iso, size, azimuth, elevation)
-    feet, _ = _turned(_ones(vol, size), size, azimuth, elevation, nearest=True)
-    lines, _ = _turned(volume.cuboid_edges(_ones(vol, size), thickness).withColumn("v", F.lit(1.0)), size, azimuth, elevation, nearest=True)
+    full = turned_shape(turned_shape(size, azimuth), elevation, ("plane", "y"))
+    seen, feet = _turned(iso, azimuth, elevation), _turned(_ones(vol, size), azimuth, elevation, nearest=True)
+    lines = _turned(volume.cuboid_edges(_ones(vol, size), thickness).withColumn("v", F.lit(1.0)), azimuth, elevation, nearest=True)
     signal = F.least(F.greatest((F.col("v") - threshold) / (1 - threshold), F.lit(0.0)), F.lit(1.0))
     shown = volume.alpha_composite(seen.withColumn("v", signal), opacity)
     foot = feet.where("v > 0").select("y", "x").distinct().withColumn("support", F.lit(True))

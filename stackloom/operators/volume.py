@@ -5,27 +5,16 @@ Everything is done stack by stack, for all stacks of a table at once; a table wi
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import scalar, stats
+from stackloom.operators import chunks
+from stackloom.operators.stacks import AXES, stack, with_each
 from stackloom.runtime import keep
 
 
-STACK = "scan_id"
-
-
-def stack(df: DataFrame) -> list[str]:
-    """The column that names the stack, if there is one."""
-    return [STACK] if STACK in df.columns else []
-
-
-def with_each(df: DataFrame, of_stack: DataFrame) -> DataFrame:
-    """Adds to every row what ``of_stack`` has, a row a stack."""
-    keys = stack(df)
-    return df.join(of_stack, keys) if keys else df.join(F.broadcast(of_stack))  # one row
-
-
 def projections(vol: DataFrame) -> DataFrame:
     """name, i, j, mean, max along each axis, in one pass over the volume."""
     v, keys = stats.skip_nan(F.col("v")), stack(vol)
@@ -74,11 +63,12 @@ def clip_fractions(vol: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def lag_correlation(vol: DataFrame, most: int = 1) -> DataFrame:
-    """plane_a, plane_b, lag, corr of all pairs of planes up to a lag apart, by an equi-join on pixels."""
-    keys = stack(vol)
-    a = vol.select(*keys, F.col("plane").alias("plane_a"), "y", "x", F.col("v").alias("a"))
-    b = vol.select(*keys, F.col("plane").alias("plane_b"), "y", "x", F.col("v").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag")).withColumn("plane_a", F.col("plane_b") - F.col("lag"))
-    return a.join(b, [*keys, "plane_a", "y", "x"]).groupBy(*keys, "plane_a", "plane_b", F.col("lag").cast("long").alias("lag")).agg(stats.pearson(F.col("a"), F.col("b")).alias("corr"))
+    """plane_a, plane_b, lag, corr of all pairs of planes up to a lag apart, from moments of tiles of all planes."""
+    m = chunks.moments(vol, most)
+    n, rounding = F.col("n"), 1e-13
+    spread = lambda q, t: F.when(F.col(q) - F.col(t) * F.col(t) / n > rounding * F.col(q), F.col(q) - F.col(t) * F.col(t) / n)
+    corr = (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread("saa", "sa") * spread("sbb", "sb"))
+    return m.select(*stack(vol), "plane_a", "plane_b", "lag", F.when(n < 2, stats.nan()).otherwise(F.coalesce(corr, stats.nan())).alias("corr"))
 
 
 def z_decay(vol: DataFrame, step_um: float, most: int = 10) -> DataFrame:
@@ -111,21 +101,19 @@ def volume_metrics(vols: dict[str, DataFrame], spacing: tuple[float, float, floa
     return out
 
 
-def _in_front(vol: DataFrame) -> Window:
-    return Window.partitionBy(*stack(vol), "y", "x").orderBy("plane").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def attenuated_mip(vol: DataFrame, a: float) -> DataFrame:
     """Maximum of the signal weakened by what lies in front of it."""
-    front = F.coalesce(F.sum("v").over(_in_front(vol)), F.lit(0.0))
-    return vol.withColumn("w", F.col("v") * F.exp(-a * front)).groupBy(*stack(vol), "y", "x").agg(F.max("w").alias("v"))
+    return chunks.composed(vol, lambda v: (v * np.exp(-a * _in_front(v))).max(0))
 
 
 def alpha_composite(vol: DataFrame, opacity: float) -> DataFrame:
     """Front-to-back compositing in closed form."""
-    front = F.coalesce(F.sum("v").over(_in_front(vol)), F.lit(0.0))
-    w = F.exp(-opacity * front) * (1 - F.exp(-opacity * F.col("v"))) * F.col("v")
-    return vol.withColumn("w", w).groupBy(*stack(vol), "y", "x").agg(F.sum("w").alias("v"))
+    return chunks.composed(vol, lambda v: (np.exp(-opacity * _in_front(v)) * (1 - np.exp(-opacity * v)) * v).sum(0))
+
+
+def _in_front(v: np.ndarray) -> np.ndarray:
+    """Sums of the planes before each."""
+    return np.concatenate((np.zeros((1, *v.shape[1:])), np.cumsum(v[:-1], 0)))
 
 
 def merge(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -149,19 +137,23 @@ def merge_adjacent(first: DataFrame, second: DataFrame, zs: tuple[DataFrame, Dat
     """scan_id, plane, z_um, y, x, v, source_role of two stacks merged around one shared plane, the second one moved first.
 
     ``shifts`` has dy, dx a stack, from the registration of the boundary planes (see register.boundary_shift); none means no move.
-    Numbers of the shared plane are averaged, and its z is the mean of both. A gap above the tolerance, or a shift longer
-    than ``most``, is an error.
+    Numbers of the shared plane are averaged, and its z is the mean of both. A gap above the tolerance, a shift longer
+    than ``most``, or a plane without a z is an error.
     """
     keys = stack(first)
     at = boundary(first, second, zs, tolerance_um)
     at = with_each(at, shifts.select(*keys, "dy", "dx")) if shifts is not None else at.withColumns({"dy": F.lit(0.0), "dx": F.lit(0.0)})
     wrong = F.when(~F.col("overlaps"), F.raise_error(F.concat(F.lit("boundary planes do not overlap: gap "), F.col("gap_um"))).cast("long")).when(F.hypot("dy", "dx") > most, F.raise_error(F.concat(F.lit("boundary shift is too long: "), F.hypot("dy", "dx"))).cast("long"))
     # the checks are part of a value that every row needs
-    at = at.withColumn("offset_", F.coalesce(wrong, F.col("last_plane") - F.col("begin_plane"))).select(*keys, F.col("z_um").alias("z_shared"), "offset_", "last_plane", "dy", "dx")
-    z = lambda d: d.select(*keys, "plane", "z_um")
-    a = with_each(first.join(z(zs[0]), [*keys, "plane"]), at).select(*keys, (F.col("plane") + F.col("offset_") * 0).alias("plane"), "y", "x", "v", "z_um", "z_shared", "last_plane", F.lit("first").alias("role_"))
-    b = move(with_each(second.join(z(zs[1]), [*keys, "plane"]), at), F.col("dy"), F.col("dx"), ["plane", "z_um", "z_shared", "last_plane", "offset_"])
-    b = b.select(*keys, (F.col("plane") + F.col("offset_")).alias("plane"), "y", "x", "v", "z_um", "z_shared", "last_plane", F.lit("second").alias("role_"))
+    at = keep(at.withColumn("offset_", F.coalesce(wrong, F.col("last_plane") - F.col("begin_plane"))).select(*keys, F.col("z_um").alias("z_shared"), "offset_", "last_plane", "dy", "dx"))
+
+    def side(vol: DataFrame, z: DataFrame, offset: Column, role: str) -> DataFrame:
+        known = F.coalesce("z_um", F.raise_error(F.concat(F.lit("a plane has no z: "), F.col("plane"))).cast("double"))
+        d = with_each(vol.join(z.select(*keys, "plane", "z_um"), [*keys, "plane"], "left"), at)
+        return d.select(*keys, (F.col("plane") + offset).alias("plane"), "y", "x", "v", known.alias("z_um"), "z_shared", "last_plane", F.lit(role).alias("role_"))
+
+    moving = with_each(second, at.select(*keys, "dy", "dx"))
+    a, b = side(first, zs[0], F.col("offset_") * 0, "first"), side(move(moving, F.col("dy"), F.col("dx")), zs[1], F.col("offset_"), "second")
     shared = F.col("plane") == F.col("last_plane")
     both = a.unionByName(b).groupBy(*keys, "plane", "y", "x").agg(F.first(F.when(shared, F.col("z_shared")).otherwise(F.col("z_um"))).alias("z_um"), stats.nan_avg(F.col("v")).alias("v"), F.first(F.when(shared, "overlap").otherwise(F.col("role_"))).alias("source_role"))
     return both.select(*keys, "plane", "z_um", "y", "x", "v", "source_role")
@@ -201,31 +193,12 @@ def cuboid_edges(vol: DataFrame, t: int) -> DataFrame:
     return with_each(vol, top).where(near >= 2).select(*stack(vol), "plane", "y", "x")
 
 
-def _blend(vol: DataFrame, targets: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
-    """Weighted sums over the neighbours that ``targets`` names; NaN where a neighbour of weight is missing."""
-    got = targets.join(vol, [*keys, *axes], "left")
-    missing = F.max((F.col("v").isNull() & (F.col("w") > 0)).cast("int")) == 1
-    return got.groupBy(*keys, *(f"to_{a}" for a in axes)).agg(F.when(missing, stats.nan()).otherwise(F.sum(F.coalesce(F.col("v") * F.col("w"), F.lit(0.0)))).alias("v"))
-
-
-def _taps(df: DataFrame, axis: str, source: Column) -> DataFrame:
-    """Two neighbours of a source coordinate with their weights."""
-    low = F.floor(source)
-    return df.withColumn("tap", F.explode(F.array(F.lit(0), F.lit(1)))).select("*", (low + F.col("tap")).cast("long").alias(axis), F.when(F.col("tap") == 0, 1 - (source - low)).otherwise(source - low).alias(f"w_{axis}")).drop("tap")
-
-
-def move(vol: DataFrame, dy: Column, dx: Column, keep: list[str] | None = None, nearest: bool = False) -> DataFrame:
-    """Planes moved by (dy, dx), which may be columns, with linear interpolation; NaN where the source is outside, or, with
-    ``nearest``, the pixel at the border. ``keep`` are columns of a plane that stay."""
-    keys = [*stack(vol), *(keep or ["plane"])]
-    top = vol.groupBy(*stack(vol)).agg(F.max("y").alias("top_y"), F.max("x").alias("top_x")) if nearest else None
-    t = with_each(vol, top) if nearest else vol
-    from_ = {"y": F.col("y") - dy, "x": F.col("x") - dx}
-    if nearest:
-        from_ = {c: F.least(F.greatest(v, F.lit(0.0)), F.col(f"top_{c}").cast("double")) for c, v in from_.items()}
-    t = t.select(*keys, F.col("y").alias("to_y"), F.col("x").alias("to_x"), *(v.alias(f"from_{c}") for c, v in from_.items()))
-    t = _taps(_taps(t, "y", F.col("from_y")), "x", F.col("from_x")).withColumn("w", F.col("w_y") * F.col("w_x"))
-    return _blend(vol.select(*keys, "y", "x", "v"), t, keys, ["y", "x"]).select(*keys, F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
+def move(vol: DataFrame, dy: Column, dx: Column, nearest: bool = False, order: int = 1) -> DataFrame:
+    """Planes moved by (dy, dx), which may be columns of the plane, with splines of an ``order`` (1: linear); NaN where the source is outside, or,
+    with ``nearest``, the pixel at the border. Planes are whole."""
+    d = vol.select(*stack(vol), *AXES, "v", dy.alias("dy_"), dx.alias("dx_"))
+    axes = (chunks.Same(), chunks.Shifted(order, "dy_", nearest), chunks.Shifted(order, "dx_", nearest))
+    return chunks.separable(d, axes, ("dy_", "dx_"), sides=(1, *chunks.chunk_for(axes)[1:]))
 
 
 def bilinear_shift(vol: DataFrame, dy: float, dx: float) -> DataFrame:
@@ -233,15 +206,11 @@ def bilinear_shift(vol: DataFrame, dy: float, dx: float) -> DataFrame:
     return move(vol, F.lit(dy), F.lit(dx))
 
 
-def move3(vol: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Volumes moved by the (dz, dy, dx) of their stack, with linear interpolation; NaN where the source is outside."""
-    keys = stack(vol)
-    t = with_each(vol, shifts.select(*keys, "dz", "dy", "dx"))
-    t = t.select(*keys, *(F.col(c).alias(f"to_{c}") for c in AXES), *((F.col(c) - F.col(d)).alias(f"from_{c}") for c, d in zip(AXES, ("dz", "dy", "dx"), strict=True)))
-    for c in AXES:
-        t = _taps(t, c, F.col(f"from_{c}"))
-    t = t.withColumn("w", F.col("w_plane") * F.col("w_y") * F.col("w_x"))
-    return _blend(vol.select(*keys, *AXES, "v"), t, keys, list(AXES)).select(*keys, *(F.col(f"to_{c}").alias(c) for c in AXES), "v")
+def move3(vol: DataFrame, shifts: DataFrame, order: int = 1) -> DataFrame:
+    """Volumes moved by the (dz, dy, dx) of their stack, with splines of an ``order``; NaN where the source is outside."""
+    tops = vol.groupBy(*stack(vol)).agg(*(F.max(c).alias(f"top_{c}") for c in AXES))
+    tops = with_each(tops, shifts.select(*stack(vol), "dz", "dy", "dx"))
+    return chunks.separable(vol, tuple(chunks.Shifted(order, c) for c in ("dz", "dy", "dx")), tops=tops)
 
 
 def apply_drift(vol: DataFrame, drift: DataFrame) -> DataFrame:
@@ -253,47 +222,13 @@ def apply_drift(vol: DataFrame, drift: DataFrame) -> DataFrame:
 
 def resample(vol: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Trilinear resampling to a shape; first and last samples stay at the ends."""
-    keys = stack(vol)
-    top = vol.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in ("plane", "y", "x")))
-    t = top.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[0] - 1).cast("long"))))
-    t = t.repartition(*keys, "id").select(*keys, F.col("id").alias("to_plane"), "top_plane", "top_y", "top_x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[1] * shape[2] - 1).cast("long"))).alias("id"))
-    t = t.select(*keys, "to_plane", F.floor(F.col("id") / shape[2]).alias("to_y"), (F.col("id") % shape[2]).alias("to_x"), "top_plane", "top_y", "top_x")
-    for c, n in zip(("plane", "y", "x"), shape, strict=True):
-        t = _taps(t, c, F.col(f"to_{c}") * (F.col(f"top_{c}") / max(1, n - 1)))
-    t = t.withColumn("w", F.col("w_plane") * F.col("w_y") * F.col("w_x"))
-    return _blend(vol, t, keys, ["plane", "y", "x"]).select(*keys, F.col("to_plane").alias("plane"), F.col("to_y").alias("y"), F.col("to_x").alias("x"), "v")
-
-
-AXES = ("plane", "y", "x")
+    return chunks.separable(vol, tuple(chunks.Scaled(1, n) for n in shape), every=True)
 
 
 def gaussian(vol: DataFrame, sigma: float | tuple[float, float, float], radius: int | None = None) -> DataFrame:
-    """Separable Gaussian in three passes; edges repeat their outermost value. Sigmas are in voxels along plane, y, x;
-    kernels end after four of them, or after ``radius``.
-
-    A voxel gives its share to each target, one on a face also what would come from beyond it, so a pass is one aggregation and no join.
-    """
-    from math import exp
-
-    keys = stack(vol)
+    """Separable Gaussian; edges repeat their outermost value. Sigmas are in voxels along plane, y, x; kernels end after four of them, or after ``radius``."""
     sigmas = (sigma,) * 3 if isinstance(sigma, int | float) else sigma
-    top = vol.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in AXES))
-    out = with_each(vol, top)
-    for axis, s in zip(AXES, sigmas, strict=True):
-        r = int(4 * s + 0.5) if radius is None else radius
-        if s <= 0 or r == 0:
-            continue
-        w = [exp(-0.5 * (o / s) ** 2) for o in range(-r, r + 1)]
-        w = [x / sum(w) for x in w]
-        beyond = [sum(w[: r + 1 - k]) for k in range(r + 1)]  # of all offsets of -k and less
-        at, end = F.col(axis), F.col(f"top_{axis}")
-        inner, outer = F.lit(w), F.lit(beyond)
-        share = lambda t: F.when(end == 0, 1.0).when(at == 0, F.get(outer, t.cast("int"))).when(at == end, F.get(outer, (end - t).cast("int"))).otherwise(F.get(inner, (at - t + r).cast("int")))  # noqa: B023, E731
-        targets = F.transform(F.sequence(F.greatest(at - r, F.lit(0).cast("long")), F.least(at + r, end)), lambda t: F.struct(t.alias("to"), share(t).alias("w")))  # noqa: B023
-        others = [c for c in AXES if c != axis]
-        tops = [f"top_{c}" for c in AXES]
-        out = out.select(*keys, *others, *tops, "v", F.explode(targets).alias("t")).groupBy(*keys, *others, F.col("t.to").alias(axis)).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"), *(F.first(c).alias(c) for c in tops))
-    return out.select(*keys, *AXES, "v")
+    return chunks.separable(vol, tuple(chunks.blur(s, radius) for s in sigmas))
 
 
 def voxels_of(sizes_um: tuple[float, float, float], spacing_um: tuple[float, float, float]) -> tuple[float, float, float]:
@@ -320,26 +255,21 @@ def band_passed(vol: DataFrame, feature: tuple[float, float, float], background:
     """Adds to each voxel of a volume, NaN filled by the stack's median, its smoothed difference from the smoothed background, ``f``."""
     keys = stack(vol)
     fill = stats.quantiles(vol, keys, "v", {"fill_": 0.5})
-    filled = keep(with_each(vol, fill).select(*keys, *(F.col(c).cast("long").alias(c) for c in AXES), F.coalesce(stats.skip_nan(F.col("v")), "fill_").alias("v")))
-    rest = filled.join(gaussian(filled, background).withColumnRenamed("v", "back_"), [*keys, *AXES]).select(*keys, *AXES, (F.col("v") - F.col("back_")).alias("v"))
-    return filled.join(gaussian(rest, feature).withColumnRenamed("v", "f_"), [*keys, *AXES]).select(*keys, *AXES, "v", F.round("f_", 9).alias("f"))
+    filled = with_each(vol, fill).select(*keys, *AXES, F.coalesce(stats.skip_nan(F.col("v")), "fill_").alias("v"))
+    return chunks.band_pass(filled, feature, background).withColumn("f", F.round("f", 9))
 
 
 def peaks(f: DataFrame, percentile: float, most: int, offsets: list[tuple[int, int, int]], border: tuple[int, int, int]) -> DataFrame:
     """The ``most`` strongest local maxima of each stack among voxels (plane, y, x, v, f), with ``rank_``: at or above the percentile of f, not beaten by a voxel at any of
-    the offsets (of equal ones the first counts), and further than the border from every face. Only voxels above the percentile are compared."""
+    the offsets (of equal ones the first counts), and further than the border from every face."""
     keys = stack(f)
     bound = stats.quantiles(f, keys, "f", {"bound": percentile})
     top = f.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in AXES))
-    up = with_each(with_each(f, bound), top).where(F.col("f") >= F.col("bound"))
-    steps = F.array(*(F.struct(*(F.lit(i).alias(n) for i, n in zip(o, "abc", strict=True)), F.lit(o > (0, 0, 0)).alias("later")) for o in offsets))
-    spread = up.select(*keys, F.explode(steps).alias("n"), *AXES, F.col("f").alias("g")).select(*keys, (F.col("plane") + F.col("n.a")).alias("plane"), (F.col("y") + F.col("n.b")).alias("y"), (F.col("x") + F.col("n.c")).alias("x"), "g", "n.later")
-    beaten = up.join(spread, [*keys, *AXES]).where((F.col("g") > F.col("f")) | ((F.col("g") == F.col("f")) & F.col("later"))).select(*keys, *AXES).distinct()
-    inside = F.lit(True)
+    inside = F.col("f") >= F.col("bound")
     for c, b in zip(AXES, border, strict=True):
         inside = inside & F.col(c).between(b, F.col(f"top_{c}") - b)
     rank = Window.partitionBy(*keys).orderBy(F.desc("f"), *AXES)
-    return up.where(inside).join(beaten, [*keys, *AXES], "left_anti").withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= most)
+    return with_each(chunks.maxima(f, offsets), with_each(bound, top)).where(inside).withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= most)
 
 
 def candidates(

@@ -574,8 +574,8 @@ def _turn_sql(nearest: bool) -> str:
       FROM ({to}), (VALUES (0), (1)) p(i), (VALUES (0), (1)) r(j)) g LEFT JOIN med m ON m.plane = g.plane AND m.y = g.sy AND m.x = g.sx GROUP BY ALL"""
 
 
-query("rotate_planes", _turn_sql(False), "v", "plane y x", "one")(lambda t: render.rotate(t.one_med(), ANGLE)[0])
-query("rotate_mask", _turn_sql(True), "v", "plane y x", "one")(lambda t: render.rotate(t.one_med(), ANGLE, nearest=True)[0])
+query("rotate_planes", _turn_sql(False), "v", "plane y x", "one")(lambda t: render.rotate(t.one_med(), ANGLE))
+query("rotate_mask", _turn_sql(True), "v", "plane y x", "one")(lambda t: render.rotate(t.one_med(), ANGLE, nearest=True))
 query("edge_dilation", "SELECT DISTINCT plane, y + i AS y, x + j AS x FROM med, (VALUES (-2), (-1), (0), (1), (2)) p(i), (VALUES (-2), (-1), (0), (1), (2)) r(j) WHERE v > 0.03 AND abs(i) + abs(j) <= 2 AND y + i BETWEEN 0 AND 7 AND x + j BETWEEN 0 AND 7", "", "plane y x", True)(
     lambda t: render.dilate(t.med().where("v > 0.03").select("scan_id", "plane", "y", "x"), (WIDTH, WIDTH), 2)
 )
