@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions import scalar, stats
 from stackloom.operators import features, gates, provenance, recon, register, render, synthetic, volume
+from stackloom.plans import registration_sql as reg
 from stackloom.runtime import delete, keep, scratch, ship
 from stackloom.sources import io, tiff
 
@@ -505,13 +506,14 @@ query("pivot_methods", "SELECT label::BIGINT AS label, avg(embedding[1]::DOUBLE)
 query("set_difference", "SELECT p_partkey FROM part WHERE p_size > 10 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")(lambda t: t.part.where("p_size > 10").select("p_partkey").subtract(t.lineitem.where("l_quantity > 49").select("l_partkey")))
 query("union_of_columns", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")(lambda t: io.union_rows(t.documents.select(F.col("doc_id").alias("id"), "lang"), t.pages.select(F.col("page_id").alias("id"), "url")))
 
-# --- registration: kernels in Arrow UDFs, tested for recovery; no SQL ----------------------------------------------------
+# --- registration: Fourier transforms in Arrow functions; as SQL they are joins (registration_sql) -----------------------
 
-query("phase_shift", None)(lambda t: register.frame_shifts(t.frames()))
-query("registration_keep", None)(lambda t: register.registration_keep(register.frame_shifts(t.frames())))
-query("cross_plane_registration", None)(lambda t: register.cross_plane(t.med()))
-query("drift_corrected", None)(lambda t: register.corrected(t.med()))
-query("drift_within_planes", None)(lambda t: register.drift_within(t.frames()))
+query("phase_shift", "SELECT * FROM fsh", "dy dx error corr_before corr_after", "plane local_index", True, reg.frame_shifts())(lambda t: register.frame_shifts(t.frames()))
+RULE = ", ".join((reg.frame_shifts(), reg.rule("fsh", 8.0, 3.0, 4.0, -0.02)))
+query("registration_keep", "SELECT * FROM rule", "dy dx error corr_before corr_after magnitude gain corr_bound error_bound", "plane local_index", True, RULE)(lambda t: register.registration_keep(register.frame_shifts(t.frames())))
+query("cross_plane_registration", "SELECT * FROM cp", "dy dx error corr cum_dy cum_dx", "plane", True, reg.cross_plane())(lambda t: register.cross_plane(t.med()))
+query("drift_corrected", "SELECT plane, y, x, v FROM co", "v", "plane y x", True, reg.corrected())(lambda t: register.corrected(t.med()))
+query("drift_within_planes", "SELECT * FROM dw", "dy dx magnitude error corr_before corr_after", "plane", True, reg.within())(lambda t: register.drift_within(t.frames()))
 
 
 def _methods(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -521,9 +523,27 @@ def _methods(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kept, legacy, register.plane_methods(f, kept, legacy)
 
 
-query("xy_methods", None)(lambda t: _methods(t)[2])
-query("xy_plane_summary", None)(lambda t: register.plane_summary(*_methods(t)))
-query("xy_volume_metrics", None)(lambda t: register.stack_pass(t.frames(), (2.0, 0.9, 0.5), most_lag=4)["volumes"])
+METHODS = ", ".join((FQ, _kept_sql(3.0), RULE, reg.methods()))
+query("xy_methods", "SELECT * FROM me", "v", "plane y x", True, METHODS)(lambda t: _methods(t)[2])
+query(
+    "xy_plane_summary", reg.summary(), "kept_share corr_bound error_bound shift_p50 shift_p95 shift_max shift_um_p95 corr_before corr_after gain error_mean error_p95 legacy_kept_share legacy_bound sharpness_A sharpness_B sharpness_C sharpness_D",
+    "plane frames kept legacy_kept longest_rejected legacy_longest_rejected", True, METHODS,
+)(lambda t: register.plane_summary(*_methods(t)))
+
+
+def _metrics_sql(tables: dict[str, str]) -> str:
+    """volume_metrics() of volumes by name, at spacings of 2, 0.9 and 0.5."""
+    return " UNION ALL ".join(
+        f"""SELECT (SELECT avg(v) FILTER (isfinite(v)) FROM {s}) AS mean, (SELECT stddev_pop(v) FILTER (isfinite(v)) FROM {s}) AS std, (SELECT avg(isfinite(v)::INT) FROM {s}) AS finite, avg(corr) FILTER (isfinite(corr)) AS adjacent_mean, median(corr) FILTER (isfinite(corr)) AS adjacent_median, '{n}' AS method,
+          {_sharp(f"SELECT plane AS i, x AS j, v FROM {s} WHERE y = 4", 2.0, 0.5)} AS tenengrad_xz, {_sharp(f"SELECT plane AS i, y AS j, v FROM {s} WHERE x = 4", 2.0, 0.9)} AS tenengrad_yz, {_sharp(f"SELECT y AS i, x AS j, max(v) AS v FROM {s} GROUP BY ALL", 0.9, 0.5)} AS tenengrad_axial FROM {_lags(s, 1)}"""
+        for n, s in tables.items()
+    )
+
+
+query(
+    "xy_volume_metrics", _metrics_sql({m: f"me_{m}" for m in "ABCD"}), "mean std finite adjacent_mean adjacent_median tenengrad_xz tenengrad_yz tenengrad_axial", "", True,
+    METHODS + "".join(f", me_{m} AS (SELECT plane, y, x, v FROM me WHERE method = '{m}')" for m in "ABCD"),
+)(lambda t: register.stack_pass(t.frames(), (2.0, 0.9, 0.5), most_lag=4)["volumes"])
 # lines stand for registered frames, so that the rule itself has SQL
 KEEP = """sh AS (SELECT l_returnflag AS scan_id, l_suppkey % 5 AS plane, row_number() OVER (PARTITION BY l_returnflag, l_suppkey % 5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS local_index, l_discount * 100 - 3 AS dy, l_tax * 100 - 4 AS dx, CASE WHEN l_quantity < 2 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 10000 END AS error, 0.5::DOUBLE AS corr_before, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE 1 - l_quantity / 100 END AS corr_after FROM lineitem),
 v AS (SELECT *, sqrt(dy * dy + dx * dx) AS magnitude, corr_after - corr_before AS gain, sqrt(dy * dy + dx * dx) <= 5.5 AS valid FROM sh),
