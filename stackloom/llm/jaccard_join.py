@@ -128,8 +128,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces a text by its sketch and shingles."""
+    """Replaces a text by its sketch and shingles; a node that comes again is left out."""
+    seen: set[int] = set()
     for b in batches:
+        nodes = b.column(b.schema.get_field_index("node")).to_pylist()
+        new = [n not in seen and not seen.add(n) for n in nodes]
+        b = b if all(new) else b.filter(pa.array(new))
         s = [tk.shingles(t.as_py(), K) for t in b.column(0)]
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([minhash(x).tobytes() for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.large_binary()).cast(pa.binary())], [*b.schema.names[1:], "sketch", "shingles"])
 
@@ -201,14 +205,23 @@ def classified(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     one = (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     banded = scratch.save(d.where("h is not null").select("doc_id", "h", "text").mapInArrow(_sketch, "doc_id long, h binary, bands array<long>"))
     texts = classes.count()
-    rows = banded.join(small(classes, texts), one).select("node", F.explode("bands").alias("band"))
+    # rows that repeat id and text, or copies without any id, are one from here on
+    texts_ = scratch.save(banded.join(small(classes, texts), one).groupBy("node").agg(F.first("bands").alias("bands"), F.count("*").alias("same")))
+    rows = texts_.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy(F.col("band").alias("band_")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
     buckets = scratch.save(spread(rows, "band", shared, "band_", "n", F.col("node"), BANDS * texts).select("node", "band", "lo", "n"))
     at = places(buckets, scratch).withColumnRenamed("node", "node_")
-    members = scratch.save(at.join(classes, F.col("node_") == F.col("node")).select("h_", "rep", "node", "copies", "places"))
-    sizes = members.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    rows = d.join(small(members, sizes[0], sizes[1]), one).select("text", "node", "copies", "places")
-    rows = rows.mapInArrow(_member, "node long, copies long, places array<struct<unit:bigint,bucket:boolean,blocks:bigint>>, sketch binary, shingles binary")
+    members = scratch.save(at.join(classes, F.col("node_") == F.col("node")).drop("node_").join(texts_.select("node", "same"), "node").select("h_", "rep", "node", "copies", "places", "same"))
+
+    def made(members: DataFrame) -> DataFrame:
+        """The sketch and shingles of each row with a member's text and id; repeated ones once a task."""
+        sizes = members.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+        rows = d.join(small(members, sizes[0], sizes[1]), one).select("text", "node", "copies", "places")
+        return rows.mapInArrow(_member, "node long, copies long, places array<struct<unit:bigint,bucket:boolean,blocks:bigint>>, sketch binary, shingles binary")
+
+    rows, again = made(members.where("same = 1")), members.where("same > 1")
+    if again.take(1):
+        rows = rows.unionByName(made(again).dropDuplicates(["node"]))
     rows = rows.withColumn("p", F.explode("places")).select("node", "copies", "p.*", "sketch", "shingles").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("node", "copies", "block", "bucket", "unit", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "sketch", "shingles")
