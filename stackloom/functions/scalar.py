@@ -117,6 +117,12 @@ def to_um(dy: Column, dx: Column, py: float, px: float) -> Column:
     return F.hypot(dy * py, dx * px)
 
 
+def plane_times(plane: Column, frames: Column, rate_hz: float) -> list[Column]:
+    """start_s, end_s and duration_s of a plane of so many acquired frames: of its first frame, its last one, and all of them."""
+    first = plane * frames
+    return [(first / F.lit(rate_hz)).alias("start_s"), ((first + frames - 1) / F.lit(rate_hz)).alias("end_s"), (frames / F.lit(rate_hz)).alias("duration_s")]
+
+
 def bookkeeping(plane: Column, local: Column, frames: int, factor: int, rate_hz: float, channels: int, position: int) -> list[Column]:
     """acquired_start, acquired_end, time_s and page of a stored image: its first and last acquired frame, the start's time, and its page among all channels."""
     start = plane * frames + local * factor

@@ -107,9 +107,9 @@ def landmarks(vol: DataFrame, most: int = 30, distance: int = 6, percentile: flo
 def compare_repeats(first: DataFrame, second: DataFrame, spacing_um: float, most_um: float = 40.0, count: int = 30, distance_um: float = 12.0, radius_um: float = 20.0, upsample: int = 10, percentile: float = 0.998) -> DataFrame:
     """A row a pair of repeated volumes on their common grid (scan_id names the pair): the 3-D shift in µm and whether it is within the limit,
     the correlation before and after it is applied, and landmarks of both, those matched within a radius and their errors."""
-    from stackloom.operators import register, volume
+    from stackloom.operators import spectra, volume
 
-    shift = keep(register.volume_shift(first, second, upsample))
+    shift = keep(spectra.shift_of_volumes(first, second, upsample))
     after = keep(volume.move3(second, shift))
     ncc = lambda b, n: first.withColumnRenamed("v", "a_").join(b.withColumnRenamed("v", "b_"), ["scan_id", *volume.AXES]).groupBy("scan_id").agg(stats.pearson(F.col("a_"), F.col("b_")).alias(n))
     um = {f"{c}_um": F.col(c) * spacing_um for c in ("dz", "dy", "dx")}

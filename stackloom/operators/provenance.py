@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.operators.gates import reasons, required_keys
+from stackloom.runtime import keep
 
 
 def admission(files: DataFrame, declared: DataFrame, keys: list[str], size: str) -> DataFrame:
@@ -75,6 +76,15 @@ def acquisition_context(scans: DataFrame, declarations: DataFrame, on: str, iden
     return d.select(*scans.columns, status.alias("status"), F.when(there, error).alias("error"), F.when(there, found).alias("conflicts"), F.when(there & error.isNull(), day).alias("post_surgery_day"), F.when(there & error.isNull(), get("source_channel").try_cast("int")).alias("declared_channel"))
 
 
+def manifests(documents: DataFrame) -> DataFrame:
+    """Collection manifests from rows (folder, document, a JSON object), as manifest_admission() takes them, with the document's SHA-256 and its ``z_stack``.
+
+    ``collected_files`` may be a list or one object, which is a list of one."""
+    get = lambda k: F.get_json_object("document", f"$.{k}")
+    files = F.from_json(get("collected_files"), "array<struct<name:string,bytes:bigint>>")
+    return documents.select("folder", *(get(k).alias(k) for k in ("schema_version", "acquisition_type", "setup_type", "scan_id", "animal_id", "z_stack")), files.alias("collected_files"), F.sha2(F.col("document").cast("binary"), 256).alias("manifest_sha256"))
+
+
 def manifest_admission(files: DataFrame, manifests: DataFrame, version: str, kind: str, animal: str = r"[A-Z]+-[0-9]+") -> DataFrame:
     """Files (folder, name, size, setup, scan_id, animal_id) with the status of the manifest in their folder, and the identity it declares.
 
@@ -82,7 +92,8 @@ def manifest_admission(files: DataFrame, manifests: DataFrame, version: str, kin
     ``absent`` where there is none; else it must have the version, kind, rig and scan (with or without its prefix), list the file exactly
     once with its size, and declare a well-formed animal, which then overrides that of the path.
     """
-    m = manifests.select("folder", F.lit(True).alias("there_"), "schema_version", "acquisition_type", "setup_type", F.col("scan_id").alias("scan_"), F.col("animal_id").alias("declared_animal_id"), "collected_files")
+    more = [c for c in ("manifest_sha256", "z_stack") if c in manifests.columns]
+    m = manifests.select("folder", *more, F.lit(True).alias("there_"), "schema_version", "acquisition_type", "setup_type", F.col("scan_id").alias("scan_"), F.col("animal_id").alias("declared_animal_id"), "collected_files")
     d = files.join(m, "folder", "left").withColumn("hits_", F.filter(F.coalesce("collected_files", F.array().cast("array<struct<name:string,bytes:bigint>>")), lambda f: f["name"] == F.col("name")))
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^scan", "")
     why = reasons(
@@ -92,13 +103,14 @@ def manifest_admission(files: DataFrame, manifests: DataFrame, version: str, kin
     d = d.withColumn("reasons", F.when(F.col("there_"), why).otherwise(""))
     status = F.when(F.col("there_").isNull(), "absent").when(F.col("reasons") == "", "pass").otherwise("fail")
     ok = status == "pass"
-    return d.select(*(c for c in files.columns if c != "animal_id"), status.alias("status"), "reasons", F.when(ok, F.col("declared_animal_id")).otherwise(F.col("animal_id")).alias("animal_id"), F.col("animal_id").alias("path_animal_id"), F.when(F.col("there_"), F.col("declared_animal_id")).alias("declared_animal_id"), F.when(ok, "collection_manifest").otherwise("session_path").alias("identity_source"), (ok & (F.col("declared_animal_id") != F.col("animal_id"))).alias("animal_id_corrected"))
+    return d.select(*(c for c in files.columns if c != "animal_id"), status.alias("status"), "reasons", F.when(ok, F.col("declared_animal_id")).otherwise(F.col("animal_id")).alias("animal_id"), F.col("animal_id").alias("path_animal_id"), F.when(F.col("there_"), F.col("declared_animal_id")).alias("declared_animal_id"), F.when(ok, "collection_manifest").otherwise("session_path").alias("identity_source"), (ok & (F.col("declared_animal_id") != F.col("animal_id"))).alias("animal_id_corrected"), F.when(ok, F.get("hits_", F.lit(0))).alias("selected_file"), *(F.when(ok, F.col(c)).alias(c) for c in more))
 
 
 def upstream_qc(runs: DataFrame, upstream: DataFrame, on: str) -> DataFrame:
-    """Runs with the status of the run they are made from (``upstream_status``); one without it is an ``error``, one that did not pass needs review."""
-    u = upstream.select(F.col(on), F.col("status").alias("upstream_status"))
-    return runs.join(u, on, "left").withColumn("status", F.when(F.col("upstream_status").isNull(), "error").when(F.col("upstream_status") != "pass", "needs_review").otherwise("pass"))
+    """Runs with the status of the run they are made from (``upstream_status``); where there is no such run that is an ``error``, one that did not pass, or has
+    no status, needs review."""
+    u = upstream.select(F.col(on), F.col("status").alias("upstream_status"), F.lit(True).alias("there_"))
+    return runs.join(u, on, "left").withColumn("status", F.when(F.col("there_").isNull(), "error").when(F.col("upstream_status").eqNullSafe("pass"), "pass").otherwise("needs_review")).drop("there_")
 
 
 def z_of_planes(planes: DataFrame, upstream: DataFrame, header: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,6 +136,29 @@ def superseded(runs: DataFrame) -> DataFrame:
     return d.withColumn("error", why).drop("known_")
 
 
+def chains(runs: DataFrame) -> DataFrame:
+    """analysis_id, head, steps, cycle of every run (analysis_id, supersedes): the run that replaces it in the end, and how many replacements that takes.
+
+    A run replaced by several goes on with the one of the smallest id. Where replacements lead into a circle there is no head, and ``cycle`` is the smallest id of
+    that circle. Pointers are doubled, so a chain of n runs takes log2(n) joins; a run that supersedes one that is not there, or itself, replaces nothing.
+    """
+    known = runs.select("analysis_id").distinct()
+    after = runs.where("supersedes is not null AND supersedes <> analysis_id").groupBy(F.col("supersedes").alias("analysis_id")).agg(F.min("analysis_id").alias("to"))
+    d = known.join(after, "analysis_id", "left")
+    d = keep(d.select("analysis_id", F.coalesce("to", "analysis_id").alias("to"), F.col("to").isNotNull().cast("long").alias("steps"), F.least("analysis_id", F.coalesce("to", "analysis_id")).alias("low"), F.col("to").isNull().alias("done")))
+    reach, left = 1, d.where("not done").count()
+    while left:
+        ahead = d.select(F.col("analysis_id").alias("at_"), F.col("to").alias("to_"), F.col("steps").alias("steps_"), F.col("low").alias("low_"), F.col("done").alias("done_"))
+        open_ = d.where("not done").join(ahead, F.col("to") == F.col("at_"))
+        open_ = open_.select("analysis_id", F.col("to_").alias("to"), (F.col("steps") + F.col("steps_")).alias("steps"), F.least("low", "low_").alias("low"), F.col("done_").alias("done"))
+        d = keep(d.where("done").unionByName(open_))
+        reach, before, left = 2 * reach, left, d.where("not done").count()
+        if left == before and reach >= left:  # a chain would have shortened, so all that is left leads into circles, and has come to them
+            break
+    circle = d.where("not done").select(F.col("analysis_id").alias("at_"), F.col("low").alias("cycle"))
+    return d.join(circle, ~F.col("done") & (F.col("to") == F.col("at_")), "left").select("analysis_id", F.when(F.col("done"), F.col("to")).alias("head"), F.when(F.col("done"), F.col("steps")).alias("steps"), "cycle")
+
+
 def review_flags(scans: DataFrame, flags: DataFrame, identity: list[str], path: str) -> DataFrame:
     """Scans with the flags whose identity is wholly equal or whose path is equal: two equi-joins and a distinct, so that it scales."""
     f = flags.select("flag_id", *(F.col(c).alias(f"f_{c}") for c in [*identity, path]))

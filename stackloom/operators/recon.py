@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import stats
+from stackloom.operators.stacks import only
 
 PLANE = ["scan_id", "plane"]
 FRAME = [*PLANE, "local_index"]
@@ -43,6 +44,13 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) for c in column.chunks for x in c]) if len(column) else np.zeros((0, 0))
 
 
+def lists(rows: list[np.ndarray], before: int = 0) -> pa.ListArray:
+    """A column of ``before`` nulls and then the rows, from their buffers."""
+    ends = np.cumsum([0, *(len(r) for r in rows)])
+    offsets = pa.array([*([None] * before), *ends.tolist()], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+
+
 _MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab", "total", "pixels_n")
 
 
@@ -70,7 +78,7 @@ def reduced(frames: DataFrame, stride: int = 1) -> DataFrame:
         rows = len(images) + 1
         return pa.table({
             "scan_id": pa.array([scan] * rows, pa.string()), "plane": pa.array([plane] * rows, pa.int64()), "tile": pa.array([tile] * rows, pa.int32()), "width": pa.array([t["width"][0].as_py()] * rows, pa.int32()),
-            "local_index": pa.array([*t["local_index"].to_pylist(), None], pa.int64()), **out, "part": pa.array([None] * (rows - 1) + [middle.tolist()], pa.list_(pa.float64())),
+            "local_index": pa.array([*t["local_index"].to_pylist(), None], pa.int64()), **out, "part": lists([np.asarray(middle, np.float64)], rows - 1),
         })
 
     schema = "scan_id string, plane long, tile int, width int, local_index long, " + ", ".join(f"{m} double" for m in _MOMENTS) + ", part array<double>"
@@ -104,10 +112,10 @@ def mean_images(frames: DataFrame, discard: int = 0) -> DataFrame:
         held: dict[tuple, list] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(*k, w, s.tolist(), n.tolist()) for k, (w, s, n) in held.items()]
+            scan, plane = zip(*held, strict=True)
+            width, s, n = zip(*held.values(), strict=True)
             held.clear()
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["scan_id", "plane", "width", "s", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(scan, pa.string()), pa.array(plane, pa.int64()), pa.array(width, pa.int32()), lists(list(s)), lists(list(n))], ["scan_id", "plane", "width", "s", "n"])
 
         for b in batches:
             for scan, plane, width, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
@@ -129,7 +137,7 @@ def mean_images(frames: DataFrame, discard: int = 0) -> DataFrame:
     def total(key: tuple, t: pa.Table) -> pa.Table:
         s, n = matrix(t["s"]).sum(0), matrix(t["n"]).sum(0)
         mean = np.divide(s, n, out=np.full(len(s), np.nan), where=n > 0)
-        return pa.table({"scan_id": pa.array([key[0].as_py()], pa.string()), "plane": pa.array([key[1].as_py()], pa.int64()), "width": pa.array([t["width"][0].as_py()], pa.int32()), "pixels": pa.array([mean.tolist()], pa.list_(pa.float64()))})
+        return pa.table({"scan_id": pa.array([key[0].as_py()], pa.string()), "plane": pa.array([key[1].as_py()], pa.int64()), "width": pa.array([t["width"][0].as_py()], pa.int32()), "pixels": lists([mean])})
 
     return sums.groupBy(*PLANE).applyInArrow(total, "scan_id string, plane long, width int, pixels array<double>")
 
@@ -209,6 +217,14 @@ def kept_summary(kept: DataFrame) -> DataFrame:
     return kept.groupBy(*PLANE).agg(F.count("*").alias("frames"), F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"), F.avg(F.col("keep").cast("double")).alias("kept_share")).join(run, PLANE)
 
 
+def representative(frames: DataFrame, fraction: float = 0.5, discard: int = 0) -> DataFrame:
+    """One raw frame a stack: of the plane at a fraction of the depth (half-even), the frame in the middle of those after the first ``discard``."""
+    n = frames.groupBy(*PLANE).agg((F.max("local_index") - discard + 1).alias("n_"))
+    at = n.groupBy("scan_id").agg(F.max("plane").alias("top_"))
+    at = n.join(at, "scan_id").where(F.col("plane") == F.rint(F.lit(fraction) * F.col("top_")).cast("long"))
+    return only(frames, at.select(*PLANE, (F.floor(F.col("n_") / 2).cast("long") + discard).alias("local_index")), FRAME)
+
+
 def early_late(frames: DataFrame, n: int = 5) -> DataFrame:
     """Pixelwise means of the first and of the last n frames of each plane."""
     last = frames.groupBy(*PLANE).agg(F.max("local_index").alias("last_"))

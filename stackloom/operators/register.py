@@ -113,7 +113,7 @@ def _per_frame(rows: DataFrame, f: Callable[[dict, np.ndarray], tuple], names: l
                 image = lambda c: np.asarray(at[c][i].values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)  # noqa: B023, E731
                 out.append(f({n: image(n) if n in ("pixels", "reference") else at[n][i].as_py() for n in at if n not in FRAME}))
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([*(at[n] for n in FRAME), *(pa.array(c, pa.list_(pa.float64()) if n == "pixels" else pa.int32() if n == "width" else pa.float64()) for n, c in zip(names, cols, strict=True))], [*FRAME, *names])
+            yield pa.RecordBatch.from_arrays([*(at[n] for n in FRAME), *(recon.lists(list(c)) if n == "pixels" else pa.array(c, pa.int32() if n == "width" else pa.float64()) for n, c in zip(names, cols, strict=True))], [*FRAME, *names])
 
     return rows.mapInArrow(run, "scan_id string, plane long, local_index long, " + schema)
 
@@ -140,14 +140,14 @@ def estimate(frames: DataFrame, images: DataFrame, upsample: int = 10, condition
 def registered(frames: DataFrame, shifts: DataFrame) -> DataFrame:
     """The frames moved by their shifts."""
     rows = frames.select(*FRAME, "width", "pixels").hint("merge").join(shifts.select(*FRAME, "dy", "dx"), FRAME)
-    return _per_frame(rows, lambda r: (r["width"], moved(r["pixels"], r["dy"], r["dx"]).ravel().tolist()), ["width", "pixels"], "width int, pixels array<double>")
+    return _per_frame(rows, lambda r: (r["width"], moved(r["pixels"], r["dy"], r["dx"]).ravel()), ["width", "pixels"], "width int, pixels array<double>")
 
 
-def frame_shifts(frames: DataFrame, upsample: int = 10, condition: dict | None = None, updates: int = 1) -> DataFrame:
+def frame_shifts(frames: DataFrame, upsample: int = 10, condition: dict | None = CONDITION, updates: int = 1) -> DataFrame:
     """dy, dx, error, corr_before, corr_after of every frame.
 
     The first reference of a plane is its median; after each of ``updates`` rounds it is the mean of the frames moved so
-    far. corr_before is with the median, corr_after that of the moved frame with the last mean.
+    far. corr_before is with the median, corr_after that of the moved frame with the last mean. ``condition`` says how images are prepared; None: not at all.
     """
     s = keep(estimate(frames, keep(recon.median_images(frames)), upsample, condition))
     before = s.select(*FRAME, F.col("corr").alias("corr_before"))
@@ -192,10 +192,16 @@ def in_um(shifts: DataFrame, pixel_y_um: float, pixel_x_um: float) -> DataFrame:
     return shifts.withColumns({"dy_um": F.col("dy") * pixel_y_um, "dx_um": F.col("dx") * pixel_x_um, "magnitude_um": F.hypot(F.col("dy") * pixel_y_um, F.col("dx") * pixel_x_um)})
 
 
+def plane_status(kept: DataFrame) -> DataFrame:
+    """scan_id, plane, frames, kept, status: ``nothing_kept`` where the rule leaves no frame of a plane, so that it has no D."""
+    n = kept.groupBy(*PLANE).agg(F.count("*").alias("frames"), F.count_if("keep").alias("kept"))
+    return n.withColumn("status", F.when(F.col("kept") == 0, "nothing_kept").otherwise("pass"))
+
+
 def plane_methods(frames: DataFrame, kept: DataFrame, legacy: DataFrame) -> DataFrame:
     """scan_id, plane, method, y, x, v: A mean, B mean of the frames that ``legacy`` keeps, C mean of the moved frames, D of those of them that ``kept`` keeps.
 
-    ``legacy`` is of recon.kept_frames() and ``kept`` of registration_keep(). A plane of which nothing is kept has no D.
+    ``legacy`` is of recon.kept_frames() and ``kept`` of registration_keep(). A plane of which nothing is kept has no D; plane_status() and plane_summary() say so.
     """
     shifted = registered(frames, kept)
     only = lambda d, k: d.join(k.where("keep").select(*FRAME), FRAME, "left_semi")
@@ -212,7 +218,7 @@ def plane_summary(kept: DataFrame, legacy: DataFrame, methods: DataFrame, pixel_
     k = in_um(kept, *pixel_um)
     p = stats.percentile
     rows = k.groupBy(*PLANE).agg(
-        F.count("*").alias("frames"), F.count_if("keep").alias("kept"), F.avg(F.col("keep").cast("double")).alias("kept_share"), F.bool_or("relaxed").alias("relaxed"), F.first("corr_bound").alias("corr_bound"), F.first("error_bound").alias("error_bound"),
+        F.count("*").alias("frames"), F.count_if("keep").alias("kept"), F.when(F.count_if("keep") == 0, "nothing_kept").otherwise("pass").alias("status"), F.avg(F.col("keep").cast("double")).alias("kept_share"), F.bool_or("relaxed").alias("relaxed"), F.first("corr_bound").alias("corr_bound"), F.first("error_bound").alias("error_bound"),
         F.median("magnitude").alias("shift_p50"), p("magnitude", 0.95).alias("shift_p95"), F.max("magnitude").alias("shift_max"), p("magnitude_um", 0.95).alias("shift_um_p95"),
         F.avg("corr_before").alias("corr_before"), F.avg("corr_after").alias("corr_after"), F.avg("gain").alias("gain"), F.avg("error").alias("error_mean"), p("error", 0.95).alias("error_p95"),
     )
@@ -225,11 +231,13 @@ def plane_summary(kept: DataFrame, legacy: DataFrame, methods: DataFrame, pixel_
     return out.join(sharp.select(*PLANE, *(F.col(m).alias(f"sharpness_{m}") for m in "ABCD")), PLANE)
 
 
-def stack_pass(frames: DataFrame, spacing_um: tuple[float, float, float] = (1.0, 1.0, 1.0), upsample: int = 10, condition: dict | None = None, updates: int = 1, most_lag: int = 10, **rule: float) -> dict[str, DataFrame]:
+def stack_pass(frames: DataFrame, spacing_um: tuple[float, float, float] = (1.0, 1.0, 1.0), upsample: int = 10, condition: dict | None = CONDITION, updates: int = 1, most_lag: int = 10, positions: tuple[float, ...] = (0, 0.25, 0.5, 0.75, 1), rails: tuple[int, int] = (-32768, 32767), **rule: float) -> dict[str, DataFrame]:
     """All of a comparison of the four methods, stack by stack: ``frames`` with shifts, both filters' decisions and reasons, ``methods`` (volumes), ``planes``
-    (plane_summary), ``volumes`` (volume_metrics of each method), ``decay`` (correlation by lag) and ``histogram`` of all intensities."""
+    (plane_summary, with high raw intensities), ``volumes`` (volume_metrics of each method), ``decay`` (correlation by lag), ``representative`` (a raw frame), and
+    ``histogram`` and ``saturation`` of the intensities of frames at ``positions`` of each plane."""
     from stackloom.operators import saturation
 
+    counts = keep(saturation.histogram(saturation.sampled(frames, positions)))
     kept = keep(registration_keep(frame_shifts(frames, upsample, condition, updates), **rule))
     legacy = keep(recon.kept_frames(recon.frame_statistics(frames)))
     methods = keep(plane_methods(frames, kept, legacy))
@@ -239,8 +247,8 @@ def stack_pass(frames: DataFrame, spacing_um: tuple[float, float, float] = (1.0,
         d = volume.z_decay(v, spacing_um[0], most_lag).withColumn("method", F.lit(m))
         decay = d if decay is None else decay.unionByName(d)
     return {
-        "frames": in_um(kept, *spacing_um[1:]).join(legacy.select(*FRAME, F.col("keep").alias("legacy_keep")), FRAME), "methods": methods, "planes": plane_summary(kept, legacy, methods, spacing_um[1:]),
-        "volumes": volume.volume_metrics(one, spacing_um), "decay": decay, "histogram": saturation.histogram(frames),
+        "frames": in_um(kept, *spacing_um[1:]).join(legacy.select(*FRAME, F.col("keep").alias("legacy_keep")), FRAME), "methods": methods, "planes": plane_summary(kept, legacy, methods, spacing_um[1:]).join(saturation.plane_levels(frames), PLANE),
+        "volumes": volume.volume_metrics(one, spacing_um), "decay": decay, "representative": recon.representative(frames), "histogram": counts, "saturation": saturation.summary(counts, *rails),
     }
 
 
@@ -279,20 +287,3 @@ def boundary_shift(first: DataFrame, second: DataFrame, upsample: int = 10) -> D
     s = estimate(b, a, upsample)
     after = _per_frame(with_reference(registered(b, s), a), lambda r: (correlation(r["reference"], r["pixels"]),), ["corr_after"], "corr_after double")
     return s.join(after, FRAME).select("scan_id", "dy", "dx", "error", F.col("corr").alias("corr_before"), "corr_after")
-
-
-def volume_shift(first: DataFrame, second: DataFrame, upsample: int = 10, sigma: float = 0.7) -> DataFrame:
-    """scan_id, dz, dy, dx, error of pairs of volumes (scan_id names the pair) on a common grid, by a 3-D phase correlation of conditioned volumes.
-
-    A pair is one Fourier transform, so one task; the grid bounds its size."""
-    both = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        side, z, y, x = (t[c].to_numpy() for c in ("side", "plane", "y", "x"))
-        v = np.full((2, z.max() + 1, y.max() + 1, x.max() + 1), np.nan)
-        v[side, z, y, x] = t["v"].to_numpy()
-        (dz, dy, dx), e = phase_shift(conditioned(v[0], sigma), conditioned(v[1], sigma), upsample)
-        return pa.table({"scan_id": pa.array([key[0].as_py()], pa.string()), **{n: [float(s)] for n, s in (("dz", dz), ("dy", dy), ("dx", dx), ("error", e))}})
-
-    return both.select("scan_id", "side", "plane", "y", "x", "v").groupBy("scan_id").applyInArrow(run, "scan_id string, dz double, dy double, dx double, error double")
-

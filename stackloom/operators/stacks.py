@@ -18,6 +18,12 @@ def stack(df: DataFrame) -> list[str]:
     return [STACK] if STACK in df.columns else []
 
 
+def only(df: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``df`` whose key is among ``wanted``, which is written and counted first: broadcast if it is small."""
+    wanted = keep(wanted.select(*on).distinct())
+    return df.join(F.broadcast(wanted), on, "left_semi") if wanted.count() <= FEW_STACKS else df.hint("merge").join(wanted, on, "left_semi")
+
+
 def with_each(df: DataFrame, of_stack: DataFrame, written: bool = False) -> DataFrame:
     """Adds to every row what ``of_stack`` has, a row a stack; it is written first, unless ``written`` says that it is, and counted."""
     keys = stack(df)

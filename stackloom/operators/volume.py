@@ -148,9 +148,9 @@ def merge_adjacent(first: DataFrame, second: DataFrame, zs: tuple[DataFrame, Dat
     at = keep(at.withColumn("offset_", F.coalesce(wrong, F.col("last_plane") - F.col("begin_plane"))).select(*keys, F.col("z_um").alias("z_shared"), "offset_", "last_plane", "dy", "dx"))
 
     def side(vol: DataFrame, z: DataFrame, offset: Column, role: str) -> DataFrame:
-        known = F.coalesce("z_um", F.raise_error(F.concat(F.lit("a plane has no z: "), F.col("plane"))).cast("double"))
+        known = F.when(F.col("z_um").isNull(), F.raise_error(F.concat(F.lit("a plane has no z: "), F.col("plane"))).cast("long")).otherwise(F.col("plane"))
         d = with_each(vol.join(z.select(*keys, "plane", "z_um"), [*keys, "plane"], "left"), at)
-        return d.select(*keys, (F.col("plane") + offset).alias("plane"), "y", "x", "v", known.alias("z_um"), "z_shared", "last_plane", F.lit(role).alias("role_"))
+        return d.select(*keys, (known + offset).alias("plane"), "y", "x", "v", "z_um", "z_shared", "last_plane", F.lit(role).alias("role_"))
 
     moving = with_each(second, at.select(*keys, "dy", "dx"))
     a, b = side(first, zs[0], F.col("offset_") * 0, "first"), side(move(moving, F.col("dy"), F.col("dx")), zs[1], F.col("offset_"), "second")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import scalar, stats
 from stackloom.operators import features, gates, provenance, recon, register, render, synthetic, volume
 from stackloom.plans import registration_sql as reg
+from stackloom.plans import views_sql
 from stackloom.runtime import delete, keep, scratch, ship
 from stackloom.sources import io, tiff
 
@@ -307,10 +308,10 @@ query(
 )(_upper_tail)
 query(
     "rail_fractions",
-    "SELECT user_id, avg((v <= 0)::INT) AS low_rail, avg((v = mx)::INT) AS at_max, avg((v = mx)::INT) > 0.01 AS plateau FROM (SELECT user_id, floor(value)::BIGINT AS v, max(floor(value)::BIGINT) OVER (PARTITION BY user_id) AS mx FROM events) GROUP BY user_id",
+    "SELECT user_id, avg((v <= 0)::INT) AS low_rail, avg((v = mx)::INT) AS at_max, avg((v = mx)::INT) >= 0.01 AS plateau FROM (SELECT user_id, floor(value)::BIGINT AS v, max(floor(value)::BIGINT) OVER (PARTITION BY user_id) AS mx FROM events) GROUP BY user_id",
     "low_rail at_max",
 )(
-    lambda t: _samples(t).join(_samples(t).groupBy("user_id").agg(F.max("v").alias("mx")), "user_id").groupBy("user_id").agg(F.avg((F.col("v") <= 0).cast("double")).alias("low_rail"), F.avg((F.col("v") == F.col("mx")).cast("double")).alias("at_max")).withColumn("plateau", F.col("at_max") > 0.01)
+    lambda t: _samples(t).join(_samples(t).groupBy("user_id").agg(F.max("v").alias("mx")), "user_id").groupBy("user_id").agg(F.avg((F.col("v") <= 0).cast("double")).alias("low_rail"), F.avg((F.col("v") == F.col("mx")).cast("double")).alias("at_max")).withColumn("plateau", F.col("at_max") >= 0.01)
 )
 query(
     "saturation_offsets",
@@ -508,9 +509,9 @@ query("union_of_columns", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM
 
 # --- registration: Fourier transforms in Arrow functions; as SQL they are joins (registration_sql) -----------------------
 
-query("phase_shift", "SELECT * FROM fsh", "dy dx error corr_before corr_after", "plane local_index", True, reg.frame_shifts())(lambda t: register.frame_shifts(t.frames()))
+query("phase_shift", "SELECT * FROM fsh", "dy dx error corr_before corr_after", "plane local_index", True, reg.frame_shifts())(lambda t: register.frame_shifts(t.frames(), condition=None))
 RULE = ", ".join((reg.frame_shifts(), reg.rule("fsh", 8.0, 3.0, 4.0, -0.02)))
-query("registration_keep", "SELECT * FROM rule", "dy dx error corr_before corr_after magnitude gain corr_bound error_bound", "plane local_index", True, RULE)(lambda t: register.registration_keep(register.frame_shifts(t.frames())))
+query("registration_keep", "SELECT * FROM rule", "dy dx error corr_before corr_after magnitude gain corr_bound error_bound", "plane local_index", True, RULE)(lambda t: register.registration_keep(register.frame_shifts(t.frames(), condition=None)))
 query("cross_plane_registration", "SELECT * FROM cp", "dy dx error corr cum_dy cum_dx", "plane", True, reg.cross_plane())(lambda t: register.cross_plane(t.med()))
 query("drift_corrected", "SELECT plane, y, x, v FROM co", "v", "plane y x", True, reg.corrected())(lambda t: register.corrected(t.med()))
 query("drift_within_planes", "SELECT * FROM dw", "dy dx magnitude error corr_before corr_after", "plane", True, reg.within())(lambda t: register.drift_within(t.frames()))
@@ -518,7 +519,7 @@ query("drift_within_planes", "SELECT * FROM dw", "dy dx magnitude error corr_bef
 
 def _methods(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     f = t.frames()
-    kept = keep(register.registration_keep(register.frame_shifts(f)))
+    kept = keep(register.registration_keep(register.frame_shifts(f, condition=None)))
     legacy = keep(recon.kept_frames(recon.frame_statistics(f)))
     return kept, legacy, register.plane_methods(f, kept, legacy)
 
@@ -543,7 +544,7 @@ def _metrics_sql(tables: dict[str, str]) -> str:
 query(
     "xy_volume_metrics", _metrics_sql({m: f"me_{m}" for m in "ABCD"}), "mean std finite adjacent_mean adjacent_median tenengrad_xz tenengrad_yz tenengrad_axial", "", True,
     METHODS + "".join(f", me_{m} AS (SELECT plane, y, x, v FROM me WHERE method = '{m}')" for m in "ABCD"),
-)(lambda t: register.stack_pass(t.frames(), (2.0, 0.9, 0.5), most_lag=4)["volumes"])
+)(lambda t: register.stack_pass(t.frames(), (2.0, 0.9, 0.5), condition=None, most_lag=4)["volumes"])
 # lines stand for registered frames, so that the rule itself has SQL
 KEEP = """sh AS (SELECT l_returnflag AS scan_id, l_suppkey % 5 AS plane, row_number() OVER (PARTITION BY l_returnflag, l_suppkey % 5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS local_index, l_discount * 100 - 3 AS dy, l_tax * 100 - 4 AS dx, CASE WHEN l_quantity < 2 THEN 'NaN'::DOUBLE ELSE l_extendedprice / 10000 END AS error, 0.5::DOUBLE AS corr_before, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE 1 - l_quantity / 100 END AS corr_after FROM lineitem),
 v AS (SELECT *, sqrt(dy * dy + dx * dx) AS magnitude, corr_after - corr_before AS gain, sqrt(dy * dy + dx * dx) <= 5.5 AS valid FROM sh),
@@ -566,6 +567,14 @@ query(
 )(lambda t: register.registration_keep(_line_shifts(t), 5.5, 0.5, 0.5, 0.2))
 
 
+NOTHING = KEEP.replace("CASE WHEN l_linenumber = 7 THEN", "CASE WHEN l_linenumber = 7 OR l_suppkey % 5 = 4 THEN")
+query(
+    "registration_status",
+    "SELECT scan_id, plane, count(*) AS frames, count_if(keep) AS kept, CASE WHEN count_if(keep) = 0 THEN 'nothing_kept' ELSE 'pass' END AS status FROM (SELECT *, CASE WHEN relaxed THEN may AND rk <= need ELSE ok END AS keep FROM r) GROUP BY ALL",
+    "", "plane frames kept", ctes=NOTHING,
+)(lambda t: register.plane_status(register.registration_keep(_line_shifts(t).withColumn("corr_after", F.when(F.col("plane") == 4, float("nan")).otherwise(F.col("corr_after"))), 5.5, 0.5, 0.5, 0.2)))
+
+
 def _repeats(t: Tables) -> DataFrame:
     """Even and odd frames of each stack stand for two repeats; spacing 1 µm everywhere."""
     f = t.frames()
@@ -602,8 +611,9 @@ query("edge_dilation", "SELECT DISTINCT plane, y + i AS y, x + j AS x FROM med,
 query("crop_nonzero", "SELECT plane, y - greatest(ly - 1, 0) AS y, x - greatest(lx - 1, 0) AS x, v FROM med JOIN (SELECT plane, min(y) AS ly, max(y) AS hy, min(x) AS lx, max(x) AS hx FROM med WHERE v > 0.03 GROUP BY plane) USING (plane) WHERE y BETWEEN ly - 1 AND hy + 1 AND x BETWEEN lx - 1 AND hx + 1", "v", "plane y x", True)(
     lambda t: render.crop_nonzero(t.med(), 0.03, 1)
 )
-query("oblique_views", None)(lambda t: render.views(t.one_med(), 2.0, 1.0))
-query("cuboid_render", None)(lambda t: render.cuboid(t.one_med(), (1.0, 1.0, 1.0), most=64, threshold=0.0))
+VIEWS, CUBOID = views_sql.views("med", (10, 8, 8), 2.0, 1.0), views_sql.cuboid("med", (10, 8, 8), (1.0, 1.0, 1.0), 64, 0.0)
+query("oblique_views", VIEWS[1], "v", "y x", "one", VIEWS[0])(lambda t: render.views(t.one_med(), 2.0, 1.0))
+query("cuboid_render", CUBOID[1], "v", "y x", "one", CUBOID[0])(lambda t: render.cuboid(t.one_med(), (1.0, 1.0, 1.0), most=64, threshold=0.0))
 
 # --- files ---------------------------------------------------------------------------------------------------------------
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackloom.functions import scalar
 from stackloom.operators import gates, provenance, recon, saturation, volume
 from stackloom.plans.catalogue import Tables, query
 
@@ -24,12 +25,16 @@ def _manifest_admission(t: Tables) -> DataFrame:
         key.alias("folder"), F.when(key % 11 == 0, "2.0").otherwise("1.0").alias("schema_version"), F.lit("stack").alias("acquisition_type"), F.when(key % 13 == 0, "X").otherwise(F.col("o_orderstatus")).alias("setup_type"),
         F.when(cust % 17 == 0, "0").otherwise(cust.cast("string")).alias("scan_id"), F.when(key % 19 == 0, "bad").otherwise(_text("A-", cust % 9)).alias("animal_id"), "collected_files",
     )
-    return provenance.manifest_admission(files, m, "1.0", "stack").drop("setup", "scan_id")
+    # a manifest of one file may name it without a list
+    alone = F.when((F.size("collected_files") == 1) & (key % 2 == 0), F.to_json(F.struct(*(c for c in m.columns if c != "collected_files"), F.get("collected_files", F.lit(0)).alias("collected_files"))))
+    documents = m.withColumnRenamed("folder", "o_orderkey").select(key.alias("folder"), F.coalesce(alone, F.to_json(F.struct(*(c for c in m.columns if c not in ("folder",))))).alias("document"))
+    out = provenance.manifest_admission(files, provenance.manifests(documents), "1.0", "stack")
+    return out.drop("setup", "scan_id", "manifest_sha256", "z_stack").withColumn("selected_file", F.concat_ws(":", "selected_file.name", F.col("selected_file.bytes").cast("string")))
 
 
 query(
     "collection_manifest",
-    """SELECT folder, name, size, status, reasons, CASE WHEN status = 'pass' THEN declared ELSE path_animal_id END AS animal_id, path_animal_id, declared AS declared_animal_id, CASE WHEN status = 'pass' THEN 'collection_manifest' ELSE 'session_path' END AS identity_source, status = 'pass' AND declared <> path_animal_id AS animal_id_corrected FROM (
+    """SELECT folder, name, size, status, reasons, CASE WHEN status = 'pass' THEN declared ELSE path_animal_id END AS animal_id, path_animal_id, declared AS declared_animal_id, CASE WHEN status = 'pass' THEN 'collection_manifest' ELSE 'session_path' END AS identity_source, status = 'pass' AND declared <> path_animal_id AS animal_id_corrected, CASE WHEN status = 'pass' THEN name || ':' || size ELSE '' END AS selected_file FROM (
       SELECT *, CASE WHEN NOT there THEN 'absent' WHEN reasons = '' THEN 'pass' ELSE 'fail' END AS status FROM (
       SELECT *, CASE WHEN there THEN concat_ws(';', CASE WHEN folder % 11 = 0 THEN 'version' END, CASE WHEN folder % 13 = 0 THEN 'rig' END, CASE WHEN cust % 17 = 0 AND cust <> 0 THEN 'scan' END, CASE WHEN hits <> 1 THEN 'not_unique' END, CASE WHEN hits = 1 AND listed <> size THEN 'size_differs' END, CASE WHEN declared = 'bad' THEN 'animal' END) ELSE '' END AS reasons FROM (
       SELECT o_orderkey AS folder, o_custkey AS cust, 'f' || (o_orderkey % 5) AS name, o_orderkey % 7 + 1 AS size, 'A-' || (o_custkey % 10) AS path_animal_id, o_orderkey % 4 <> 0 AS there, CASE WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderkey % 19 = 0 THEN 'bad' ELSE 'A-' || (o_custkey % 9) END END AS declared,
@@ -88,8 +93,8 @@ query("json_properties", "SELECT event_type, count(*) AS n, sum(k) AS k_sum, cou
 
 # --- runs made from other runs, Z tables ---------------------------------------------------------------------------------
 
-query("upstream_qc", "SELECT l_orderkey, upstream_status, CASE WHEN upstream_status IS NULL THEN 'error' WHEN upstream_status <> 'pass' THEN 'needs_review' ELSE 'pass' END AS status FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'pass' ELSE 'fail' END AS upstream_status FROM orders WHERE o_orderkey % 5 <> 0) ON o_orderkey = l_orderkey")(
-    lambda t: provenance.upstream_qc(t.lineitem.select("l_orderkey").distinct(), t.orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", "pass").otherwise("fail").alias("status")), "l_orderkey")
+query("upstream_qc", "SELECT l_orderkey, upstream_status, CASE WHEN o_orderkey IS NULL THEN 'error' WHEN upstream_status = 'pass' THEN 'pass' ELSE 'needs_review' END AS status FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'pass' ELSE 'fail' END AS upstream_status FROM orders WHERE o_orderkey % 5 <> 0) ON o_orderkey = l_orderkey")(
+    lambda t: provenance.upstream_qc(t.lineitem.select("l_orderkey").distinct(), t.orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).when(F.col("o_orderstatus") == "F", "pass").otherwise("fail").alias("status")), "l_orderkey")
 )
 
 
@@ -119,17 +124,41 @@ query(
     "SELECT a.o_orderkey AS analysis_id, a.s AS supersedes, b.n AS superseded_by, CASE WHEN a.s = a.o_orderkey THEN 'itself' WHEN a.s < 0 THEN 'unknown' END AS error FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey WHEN o_orderkey % 89 = 0 THEN -5 WHEN o_orderkey % 4 = 1 THEN o_orderkey - 1 END AS s FROM orders) a LEFT JOIN (SELECT s, min(o_orderkey) AS n FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey WHEN o_orderkey % 89 = 0 THEN -5 WHEN o_orderkey % 4 = 1 THEN o_orderkey - 1 END AS s FROM orders) GROUP BY s) b ON b.s = a.o_orderkey",
 )(lambda t: provenance.superseded(t.orders.select(F.col("o_orderkey").alias("analysis_id"), F.expr("CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey WHEN o_orderkey % 89 = 0 THEN -5 WHEN o_orderkey % 4 = 1 THEN o_orderkey - 1 END").alias("supersedes"))))
 
+# chains of up to sixteen orders, each superseding the one before; in each fourth one the first supersedes the last
+CHAIN = "CASE WHEN o_orderkey % 64 = 0 THEN o_orderkey + 15 WHEN o_orderkey % 16 <> 0 THEN o_orderkey - 1 END"
+query(
+    "supersession_heads",
+    f"""WITH RECURSIVE nx AS (SELECT s AS id, min(id) AS nxt FROM (SELECT o_orderkey AS id, {CHAIN} AS s FROM orders) WHERE s <> id GROUP BY s),
+    w AS (SELECT o_orderkey AS id, o_orderkey AS here, 0 AS steps, [o_orderkey] AS path FROM orders UNION ALL SELECT w.id, nxt, steps + 1, list_append(path, nxt) FROM w JOIN nx ON nx.id = w.here WHERE NOT list_contains(path, nxt))
+    SELECT id AS analysis_id, CASE WHEN nxt IS NULL THEN here END AS head, CASE WHEN nxt IS NULL THEN steps END AS steps, CASE WHEN nxt IS NOT NULL THEN list_min(path[list_position(path, nxt):]) END AS cycle
+      FROM (SELECT id, arg_max(here, steps) AS here, max(steps) AS steps, arg_max(path, steps) AS path FROM w GROUP BY id) e LEFT JOIN (SELECT id AS at_, nxt FROM nx) n ON n.at_ = e.here""",
+    "", "analysis_id head steps cycle",
+)(lambda t: provenance.chains(t.orders.select(F.col("o_orderkey").alias("analysis_id"), F.expr(CHAIN).alias("supersedes"))))
+
 # --- saturation: the values of all frames, times 20, as whole intensities ------------------------------------------------
 
 SATURATION = """hs AS (SELECT floor(v * 20)::BIGINT AS value, count(*) AS n FROM vox GROUP BY 1), cu AS (SELECT *, sum(n) OVER (ORDER BY value) AS up, sum(n) OVER () AS al FROM hs),
-q AS (SELECT max(al) AS samples, min(value) FILTER (up >= al * 0.5) AS p50, min(value) FILTER (up >= al * 0.99) AS p99, min(value) FILTER (up >= al * 0.999) AS tail_from, max(value) AS maximum, sum(CASE WHEN value <= -8 THEN n ELSE 0 END) AS lo, sum(CASE WHEN value >= 12 THEN n ELSE 0 END) AS hi FROM cu),
+q AS (SELECT max(al) AS samples, min(value) AS minimum, min(value) FILTER (up >= al * 0.999) AS p999, min(value) FILTER (up >= al * 0.9999) AS p9999, min(value) FILTER (up >= al * 0.5) AS p50, min(value) FILTER (up >= al * 0.99) AS p99, min(value) FILTER (up >= al * 0.999) AS tail_from, max(value) AS maximum, sum(CASE WHEN value <= -8 THEN n ELSE 0 END) AS lo, sum(CASE WHEN value >= 12 THEN n ELSE 0 END) AS hi FROM cu),
 tl AS (SELECT sum(n) AS tn, arg_min(value, (-n, value)) AS mode, max(n) AS mn, sum(CASE WHEN value = maximum THEN n ELSE 0 END) AS mx FROM hs, q WHERE value >= tail_from)"""
 query(
     "saturation_summary",
-    "SELECT samples, p50, p99, tail_from, maximum, mx / samples AS at_max_share, lo / samples AS low_rail_share, hi / samples AS high_rail_share, tn / samples AS tail_share, mode AS tail_mode, mn / tn AS tail_mode_share, lo > 0 OR hi > 0 AS rail_hit, mn / tn > 0.2 AS plateau FROM q, tl",
-    "at_max_share low_rail_share high_rail_share tail_share tail_mode_share", "samples p50 p99 tail_from maximum tail_mode", True, SATURATION,
+    "SELECT samples, minimum, p50, p99, p999, p9999, tail_from, maximum, mx / samples AS at_max_share, lo / samples AS low_rail_share, hi / samples AS high_rail_share, tn / samples AS tail_share, mode AS tail_mode, mn / tn AS tail_mode_share, lo > 0 OR hi > 0 AS rail_hit, mn / tn >= 0.2 AS plateau FROM q, tl",
+    "at_max_share low_rail_share high_rail_share tail_share tail_mode_share", "samples minimum p50 p99 p999 p9999 tail_from maximum tail_mode", True, SATURATION,
 )(lambda t: saturation.summary(saturation.histogram(t.frames().withColumn("pixels", F.transform("pixels", lambda v: v.cast("double") * 20))), -8, 12))
 
+query(
+    "sampled_histogram",
+    "SELECT floor(v * 20)::BIGINT AS value, count(*) AS n FROM vox JOIN (SELECT plane, count(*) AS f FROM fr GROUP BY plane) USING (plane) WHERE local_index IN (round_even(0.1 * (f - 1), 0), round_even(0.5 * (f - 1), 0), f - 1) GROUP BY 1", "", "value n", True,
+)(lambda t: saturation.histogram(saturation.sampled(t.frames(), (0.1, 0.5, 1.0)).withColumn("pixels", F.transform("pixels", lambda v: v.cast("double") * 20))))
+query(
+    "plane_levels",
+    "SELECT plane, quantile_cont(v, 0.999) AS p999, max(v) AS maximum, plane * 30 / 29.97::DOUBLE AS start_s, (plane * 30 + 29) / 29.97::DOUBLE AS end_s, 30 / 29.97::DOUBLE AS duration_s FROM vox GROUP BY plane", "p999 maximum start_s end_s duration_s", "plane", True,
+)(lambda t: saturation.plane_levels(t.frames()).select("*", *scalar.plane_times(F.col("plane"), F.lit(30), 29.97)))
+query(
+    "representative_frame",
+    "SELECT plane, local_index, y, x, v FROM vox JOIN (SELECT plane, count(*) AS f FROM fr GROUP BY plane) USING (plane) WHERE plane = (SELECT round_even(0.3 * max(plane), 0) FROM fr) AND local_index = 2 + (f - 2) // 2", "v", "plane local_index y x", True,
+)(lambda t: recon.representative(t.frames(), 0.3, 2).select(*recon.FRAME, F.col("width"), F.posexplode("pixels").alias("at", "v")).select(*recon.FRAME, F.floor(F.col("at") / F.col("width")).alias("y"), (F.col("at") % F.col("width")).alias("x"), "v"))
+
 # --- two stacks that share a plane ----------------------------------------------------------------------------------------
 
 

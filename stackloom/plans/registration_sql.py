@@ -116,7 +116,7 @@ def summary() -> str:
     side = lambda c: f"CASE WHEN lag(v) OVER w{c} IS NULL THEN lead(v) OVER w{c} - v WHEN lead(v) OVER w{c} IS NULL THEN v - lag(v) OVER w{c} ELSE (lead(v) OVER w{c} - lag(v) OVER w{c}) / 2 END"
     sharp = f"SELECT plane, method, avg(gy * gy + gx * gx) / var_pop(v) AS t FROM (SELECT plane, method, v, {side('y')} AS gy, {side('x')} AS gx FROM me WINDOW wy AS (PARTITION BY plane, method, x ORDER BY y), wx AS (PARTITION BY plane, method, y ORDER BY x)) GROUP BY ALL"
     p95 = lambda c, n: f"quantile_cont({c}, 0.95) AS {n}"
-    return f"""SELECT * FROM (SELECT plane, count(*) AS frames, count_if(keep) AS kept, avg(keep::INT) AS kept_share, bool_or(relaxed) AS relaxed, first(corr_bound) AS corr_bound, first(error_bound) AS error_bound, median(magnitude) AS shift_p50, {p95('magnitude', 'shift_p95')}, max(magnitude) AS shift_max, {p95('magnitude', 'shift_um_p95')},
+    return f"""SELECT * FROM (SELECT plane, count(*) AS frames, count_if(keep) AS kept, CASE WHEN count_if(keep) = 0 THEN 'nothing_kept' ELSE 'pass' END AS status, avg(keep::INT) AS kept_share, bool_or(relaxed) AS relaxed, first(corr_bound) AS corr_bound, first(error_bound) AS error_bound, median(magnitude) AS shift_p50, {p95('magnitude', 'shift_p95')}, max(magnitude) AS shift_max, {p95('magnitude', 'shift_um_p95')},
       avg(corr_before) AS corr_before, avg(corr_after) AS corr_after, avg(gain) AS gain, avg(error) AS error_mean, {p95('error', 'error_p95')} FROM rule GROUP BY plane)
       JOIN (SELECT plane, count_if(keep) AS legacy_kept, avg(keep::INT) AS legacy_kept_share, first(threshold) AS legacy_bound FROM kp GROUP BY plane) USING (plane) JOIN ({runs('rule', 'longest_rejected')}) USING (plane) JOIN ({runs('kp', 'legacy_longest_rejected')}) USING (plane)
       JOIN (SELECT plane, {', '.join(f"max(t) FILTER (method = '{m}') AS sharpness_{m}" for m in 'ABCD')} FROM ({sharp}) GROUP BY plane) USING (plane)"""

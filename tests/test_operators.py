@@ -128,7 +128,7 @@ def test_phase_shift_whole_and_fraction():
 
 def test_outlier_is_rejected_and_brightness_is_not(spark):
     images = [blob(48, 0.2 * (i % 3), -0.2 * (i % 2)) * (2 if i == 4 else 1) for i in range(11)] + [blob(48, 13, 0)]
-    kept = {r["local_index"]: r for r in register.registration_keep(register.frame_shifts(frames(spark, images))).collect()}
+    kept = {r["local_index"]: r for r in register.registration_keep(register.frame_shifts(frames(spark, images), condition=None)).collect()}
     assert not kept[11]["keep"] and register.SHIFT in kept[11]["reasons"] and kept[4]["keep"]
 
 
@@ -137,7 +137,7 @@ def test_undefined_correlation_is_never_kept(spark):
     images = [blob(24, 0.1 * i, 0) for i in range(6)] + [np.full((24, 24), 7.0)]
     kept = {r["local_index"]: r["keep"] for r in recon.kept_frames(recon.frame_statistics(frames(spark, images)), 1000.0).collect()}
     assert kept == {**dict.fromkeys(range(6), True), 6: False}
-    shifts = register.frame_shifts(frames(spark, images))
+    shifts = register.frame_shifts(frames(spark, images), condition=None)
     r = {r["local_index"]: r for r in register.registration_keep(shifts, corr_k=1000.0, error_k=1000.0, gain=-2.0).collect()}
     assert [r[i]["keep"] for i in range(7)] == [True] * 6 + [False] and register.CORRELATION not in r[6]["reasons"] and register.GAIN not in r[6]["reasons"]
     ranked = {r["local_index"]: r["rank"] for r in recon.kept_frames(recon.frame_statistics(frames(spark, images)), -1000.0).collect()}
@@ -177,7 +177,7 @@ def test_boundary_of_two_stacks(spark):
 
 def test_registered_means_and_their_summary(spark):
     f = frames(spark, [blob(24, 2 * (i % 2), 0) for i in range(6)])
-    kept = register.registration_keep(register.frame_shifts(f, updates=2), corr_k=100.0, error_k=100.0)
+    kept = register.registration_keep(register.frame_shifts(f, condition=None, updates=2), corr_k=100.0, error_k=100.0)
     legacy = recon.kept_frames(recon.frame_statistics(f))
     m = register.plane_methods(f, kept, legacy)
     assert {r["method"]: r["count"] for r in m.groupBy("method").count().collect()} == dict.fromkeys("ABCD", 576)
@@ -191,7 +191,7 @@ def test_two_scans_at_once_equal_the_single_ones(spark):
     b = [frames(spark, list(rng.random((4, 6, 5))), p, "b") for p in range(2)]
     join = lambda x: x[0].unionByName(x[1])
     both = join(a).unionByName(join(b))
-    for f in (recon.median_volume, recon.mean_volume, recon.frame_qc, recon.plane_qc, recon.filtered_mean, register.frame_shifts):
+    for f in (recon.median_volume, recon.mean_volume, recon.frame_qc, recon.plane_qc, recon.filtered_mean, lambda d: register.frame_shifts(d, condition=None)):
         want = sorted(map(str, [*f(join(a)).collect(), *f(join(b)).collect()]))
         assert sorted(map(str, f(both).collect())) == want
 
