@@ -617,7 +617,7 @@ def test_rows_of_one_id_are_not_joined(spark):
 
 
 def test_queries_and_pipeline(spark):
-    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in [(1, "language_id"), (2, "license_scan"), (3, "source_mix"), (4, "warc"), (5, "fingerprints"), (6, "url_filter"), (7, "jaccard_join"), (8, "pii"), (9, "decontamination"), (10, "quality")])
+    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in [(1, "language_id"), (2, "license_scan"), (3, "source_mix"), (4, "warc"), (5, "fingerprints"), (6, "url_filter"), (7, "jaccard_join"), (8, "pii"), (9, "decontamination"), (10, "quality"), (11, "vector_codes"), (12, "toxicity"), (13, "periodic_runs")])
     docs = real(spark, "documents")
     names = docs.columns
     kept = None
