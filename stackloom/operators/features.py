@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import stats
 from stackloom.runtime import keep
 
+#: Points of a block, blocks of a tile, and right blocks that a left one is compared with first.
+BLOCK, TILE, FIRST = 256, 16, 4
+
 
 def repeat_pairs(scans: DataFrame, keys: list[str], scan: str) -> DataFrame:
     """Unordered pairs of scans with equal keys, by scan id."""
@@ -26,19 +33,119 @@ def overlap(pairs: DataFrame, axes: list[str], least: int, step: float) -> DataF
     return out.withColumn("usable", F.least(*(F.col(f"{a}_n") for a in axes), F.lit(least)) >= least)
 
 
+def _curve(axes: list[str], low: list[float], high: list[float]) -> Column:
+    """The place of a point on a curve through all points (bits of its coordinates in turn), so that neighbours on it are near each other."""
+    bits = min(20, 62 // len(axes))
+
+    @F.pandas_udf("long")
+    def place(xs: pd.DataFrame) -> pd.Series:
+        out = np.zeros(len(xs), dtype=np.int64)
+        for i, (a, lo, hi) in enumerate(zip(axes, low, high, strict=True)):
+            q = (np.clip((xs[a].to_numpy() - lo) / ((hi - lo) or 1.0), 0.0, 1.0) * (2**bits - 1)).astype(np.int64)
+            for b in range(bits):
+                out |= ((q >> b) & 1) << (b * len(axes) + i)
+        return pd.Series(out)
+
+    return place(F.struct(*axes))
+
+
+def _blocks(points: DataFrame, axes: list[str]) -> DataFrame:
+    """Points (k_, id, axes) in rows of at most ``BLOCK`` neighbours, by id, with the box around them; ``tile`` names blocks near each other."""
+    shares = points.agg(F.count("*").alias("n"), *(F.percentile_approx(a, F.array(F.lit(0.001), F.lit(0.999))).alias(a) for a in axes)).first()
+    low, high = ([(1.5 * s[i] - 0.5 * s[1 - i]) if (s := shares[a]) else 0.0 for a in axes] for i in (0, 1))
+    d = points.withColumn("place_", _curve(axes, low, high)).repartitionByRange(max(1, -(-shares["n"] // (BLOCK * TILE))), "k_", "place_", "id").sortWithinPartitions("k_", "place_", "id")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, made = TaskContext.get().partitionId() << 24, 0
+        whole = list(batches)
+        for k, (name, of_key) in enumerate(pd.concat(whole).groupby("k_", sort=False)) if whole else ():
+            for at in range(0, len(of_key), BLOCK):
+                b = of_key.iloc[at : at + BLOCK].sort_values("id")
+                row = {"k_": name, "tile": part + k, "block": part + made, "id": b["id"].to_numpy()}
+                for a in axes:
+                    row |= {a: b[a].to_numpy(), f"lo_{a}": b[a].min(), f"hi_{a}": b[a].max()}
+                made += 1
+                yield pd.DataFrame([row])
+
+    kind = points.schema["id"].dataType.simpleString()
+    return keep(d.mapInPandas(cut, f"k_ string, tile long, block long, id array<{kind}>, " + ", ".join(f"{a} array<double>, lo_{a} double, hi_{a} double" for a in axes)))
+
+
+def _close(pairs: DataFrame, axes: list[str], radius: float, by: str) -> DataFrame:
+    """Pairs of boxes (l_, r_) in which the nearest point to one of the left box may be, with their least distance ``near_``."""
+    sides = [[F.col(f"{s}_{e}_{a}") for s in "lr" for e in ("lo", "hi")] for a in axes]
+    size = lambda parts: F.sqrt(reduce(lambda x, y: x + y, (p * p for p in parts)))
+    # bounds leave room for rounding
+    near = size(F.greatest(rlo - lhi, llo - rhi, F.lit(0.0)) for llo, lhi, rlo, rhi in sides) * (1 - 1e-9)
+    far = size(F.greatest(rhi - llo, lhi - rlo) for llo, lhi, rlo, rhi in sides) * (1 + 1e-9)
+    d = pairs.withColumns({"near_": near, "far_": far}).where(F.col("near_") <= radius)
+    return d.withColumn("far_", F.min("far_").over(Window.partitionBy(by))).where("near_ <= far_")
+
+
+def block_pairs(left: DataFrame, right: DataFrame, axes: list[str], radius: float) -> DataFrame:
+    """l_block, r_block, near_ and ``rank_`` (from 1, nearest first) of the blocks that are to be compared: tiles are paired first, then the blocks of those that are close."""
+    box = lambda d, s, by: d.groupBy("k_", *by).agg(*(f(f"{e}_{a}").alias(f"{s}_{e}_{a}") for a in axes for e, f in (("lo", F.min), ("hi", F.max)))).withColumnsRenamed({b: f"{s}_{b}" for b in by})
+    tiles = _close(box(left, "l", ["tile"]).join(box(right, "r", ["tile"]), "k_"), axes, radius, "l_tile").select("l_tile", "r_tile")
+    pairs = _close(tiles.join(box(left, "l", ["tile", "block"]).drop("k_"), "l_tile").join(box(right, "r", ["tile", "block"]).drop("k_"), "r_tile"), axes, radius, "l_block")
+    apart = reduce(lambda x, y: x + y, (F.abs(F.col(f"l_lo_{a}") + F.col(f"l_hi_{a}") - F.col(f"r_lo_{a}") - F.col(f"r_hi_{a}")) for a in axes))
+    return pairs.select("l_block", "r_block", "near_", F.row_number().over(Window.partitionBy("l_block").orderBy("near_", apart, "r_block")).alias("rank_"))
+
+
+def _compare(row: dict, axes: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and id of the nearest right point of each of some left ones; right ones are by id, so ties go to the smaller."""
+    with np.errstate(over="ignore"):
+        d = np.sqrt(reduce(np.add, (np.square(row[a][rows, None] - row[f"r_{a}"][None, :]) for a in axes)))
+    at = d.argmin(axis=1)
+    return d[np.arange(len(d)), at], row["r_id"][at]
+
+
 def nearest(left: DataFrame, right: DataFrame, axes: list[str], radius: float, keys: list[str] | None = None) -> DataFrame:
-    """The nearest right landmark within a radius of each left one (of equal ``keys``): both sides fall into cells of that size, and only
-    neighbouring cells are compared. Ties go to the smaller id; left landmarks without a match are kept."""
+    """The nearest right landmark within a radius of each left one (of equal ``keys``). Ties go to the smaller id; left landmarks without a match are kept.
+
+    Both sides are cut into blocks of near points, so that the work follows the number of points at any density. Each left block is compared with its
+    ``FIRST`` nearest right ones, then with those only that are nearer to one of its points than what that has found.
+    """
     keys = keys or []
-    cell = lambda c: F.floor(F.col(c) / radius)
-    near = left.select(*keys, "id", *axes, *(cell(a).alias(f"c_{a}") for a in axes))
-    for a in axes:
-        near = near.withColumn(f"c_{a}", F.explode(F.sequence(F.col(f"c_{a}") - 1, F.col(f"c_{a}") + 1)))
-    r = right.select(*keys, F.col("id").alias("match"), *(F.col(a).alias(f"r_{a}") for a in axes), *(cell(a).alias(f"c_{a}") for a in axes))
-    d2 = reduce(lambda x, y: x + y, ((F.col(a) - F.col(f"r_{a}")) * (F.col(a) - F.col(f"r_{a}")) for a in axes))
-    got = near.join(r, [*keys, *(f"c_{a}" for a in axes)]).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
-    best = got.groupBy(*keys, "id").agg(F.min(F.struct("distance", "match")).alias("b")).select(*keys, "id", F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))
-    return left.select(*keys, "id").join(best, [*keys, "id"], "left")
+    name = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    whole = reduce(lambda x, y: x & y, (*(F.col(k).isNotNull() for k in keys), *(F.abs(F.col(a).cast("double")) < float("inf") for a in axes)))
+    points = lambda d: d.where(whole).select(name.alias("k_"), "id", *(F.col(a).cast("double").alias(a) for a in axes))
+    of_l = _blocks(points(left), axes)
+    of_r = _blocks(points(right).groupBy("k_", *axes).agg(F.min("id").alias("id")), axes)
+    pairs = keep(block_pairs(of_l, of_r, axes, radius))
+    r = of_r.select(F.col("block").alias("r_block"), F.col("id").alias("r_id"), *(F.col(c).alias(f"r_{c}") for a in axes for c in (a, f"lo_{a}", f"hi_{a}")))
+    l = of_l.select("k_", F.col("block").alias("l_block"), "id", *axes)  # noqa: E741
+    kinds = [d.schema["id"].dataType.simpleString() for d in (left, right)]
+
+    def first(of_block: pd.DataFrame) -> pd.DataFrame:
+        rows = of_block.to_dict("records")
+        every = np.arange(len(rows[0]["id"]))
+        best, match = np.full(len(every), np.inf), np.empty(len(every), dtype=object)
+        for row in rows:
+            d, to = _compare(row, axes, every)
+            better = d < best
+            better[d == best] = [m is None or t < m for t, m in zip(to[d == best], match[d == best], strict=True)]
+            best[better], match[better] = d[better], to[better]
+        best = np.where(best <= radius, best, np.inf)
+        return pd.DataFrame([{**{c: rows[0][c] for c in ("k_", "l_block", "id", *axes)}, "best": best, "match": [m if b < np.inf else None for m, b in zip(match, best, strict=True)], "reach": min(best.max(), radius)}])
+
+    def more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                gaps = (np.maximum(np.maximum(row[f"r_lo_{a}"] - row[a], row[a] - row[f"r_hi_{a}"]), 0.0) for a in axes)
+                rows = np.flatnonzero(np.sqrt(reduce(np.add, map(np.square, gaps))) * (1 - 1e-9) <= np.minimum(row["best"], radius))
+                if len(rows):
+                    d, to = _compare(row, axes, rows)
+                    ok = (d <= radius) & (d <= row["best"][rows])
+                    yield pd.DataFrame({"k_": row["k_"], "id": row["id"][rows[ok]], "distance": d[ok], "match": to[ok]})
+
+    start = pairs.where(F.col("rank_") <= FIRST).join(l, "l_block").join(r, "r_block")
+    found = keep(start.groupBy("l_block").applyInPandas(first, f"k_ string, l_block long, id array<{kinds[0]}>, " + "".join(f"{a} array<double>, " for a in axes) + f"best array<double>, match array<{kinds[1]}>, reach double"))
+    rest = pairs.where(F.col("rank_") > FIRST).join(found.drop("match"), "l_block").where("near_ <= reach").join(r, "r_block")
+    got = found.select("k_", F.explode(F.arrays_zip("id", "best", "match")).alias("p")).where("p.match is not null").select("k_", "p.id", F.col("p.best").alias("distance"), "p.match")
+    got = got.unionByName(rest.mapInPandas(more, f"k_ string, id {kinds[0]}, distance double, match {kinds[1]}"))
+    got = left.select(*keys, name.alias("k_"), "id").unionByName(got, allowMissingColumns=True).groupBy("k_", "id")
+    best = F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "match"))).alias("b")
+    return got.agg(*(F.first(k, True).alias(k) for k in keys), best).select(*keys, "id", F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))
 
 
 def landmark_summary(matches: DataFrame) -> DataFrame:
