@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import stats
-from stackloom.runtime import keep
+from stackloom.runtime import dealt_pairs, keep
 
 #: Points of a block, blocks of a tile, and right blocks that a left one is compared with first.
 BLOCK, TILE, FIRST = 256, 16, 4
 
 
-def repeat_pairs(scans: DataFrame, keys: list[str], scan: str) -> DataFrame:
-    """Unordered pairs of scans with equal keys, by scan id."""
-    b = scans.select(*keys, F.col(scan).alias("second"))
-    return scans.select(*keys, F.col(scan).alias("first")).join(b, keys).where("first < second")
+def repeat_pairs(scans: DataFrame, keys: list[str], scan: str, more: list[str] | None = None) -> DataFrame:
+    """Unordered pairs of scans with equal keys, by scan id, with columns ``more`` of both as ``_1`` and ``_2``; pairs are not shuffled."""
+    side = lambda i, n, named: scans.select(*(F.col(k).alias(named(k)) for k in keys), F.col(scan).alias(n), *(F.col(c).alias(f"{c}_{i}") for c in more or []))
+    pairs = dealt_pairs(side(1, "first", str), side(2, "second", lambda k: f"{k}_of_2"), keys, [f"{k}_of_2" for k in keys])
+    return pairs.where("first < second").drop(*(f"{k}_of_2" for k in keys))
 
 
 def overlap(pairs: DataFrame, axes: list[str], least: int, step: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.operators.gates import reasons, required_keys
-from stackloom.runtime import keep
+from stackloom.runtime import dealt_pairs, keep
 
 
 def admission(files: DataFrame, declared: DataFrame, keys: list[str], size: str) -> DataFrame:
@@ -160,13 +160,23 @@ def chains(runs: DataFrame) -> DataFrame:
 
 
 def review_flags(scans: DataFrame, flags: DataFrame, identity: list[str], path: str) -> DataFrame:
-    """Scans with the flags whose identity is wholly equal or whose path is equal: two equi-joins and a distinct, so that it scales."""
-    f = flags.select("flag_id", *(F.col(c).alias(f"f_{c}") for c in [*identity, path]))
-    on = F.lit(True)
+    """Scans with the flags whose identity is wholly equal or whose path is equal, each pair once.
+
+    Both joins are on equal values. Pairs may be far more than rows, so they are never shuffled: pairs of equal paths leave out those of equal
+    identity, and only flags of which several rows share an id, which may name a pair twice, need a distinct. Large groups are dealt over tasks.
+    """
+    f = flags.select("flag_id", *(F.col(c).alias(f"f_{c}") for c in [*identity, path])).distinct()
+    f = f.withColumn("same_", F.count("*").over(Window.partitionBy("flag_id")))
+    s = scans.distinct()
+    equal = F.lit(True)
     for c in identity:
-        on = on & (F.col(c) == F.col(f"f_{c}"))
-    pick = lambda cond: scans.join(f, cond).select(*scans.columns, "flag_id")
-    return pick(on).unionByName(pick(F.col(path) == F.col(f"f_{path}"))).distinct()
+        equal = equal & F.coalesce(F.col(c) == F.col(f"f_{c}"), F.lit(False))
+
+    def pick(of: DataFrame) -> DataFrame:
+        named = dealt_pairs(s, of, identity, [f"f_{c}" for c in identity])
+        return named.unionByName(dealt_pairs(s, of, [path], [f"f_{path}"]).where(~equal)).select(*scans.columns, "flag_id")
+
+    return pick(f.where("same_ = 1")).unionByName(pick(f.where("same_ > 1")).distinct())
 
 
 def eligibility(day_unknown: Column, flagged: Column) -> list[Column]:

@@ -466,10 +466,8 @@ query("repeat_pairs", "SELECT a.s_nationkey, a.s_suppkey AS first, b.s_suppkey A
 
 
 def _overlaps(t: Tables) -> DataFrame:
-    s = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_acctbal") / 100).alias("lo"))
-    side = lambda i, n: s.select(F.col("s_suppkey").alias(n), F.col("lo").alias(f"z_lo_{i}"), (F.col("lo") + 40).alias(f"z_hi_{i}"))
-    p = features.repeat_pairs(t.supplier, ["s_nationkey"], "s_suppkey")
-    return features.overlap(p.join(side(1, "first"), "first").join(side(2, "second"), "second"), ["z"], 4, 2.0).select("first", "second", "z_lo", "z_hi", "z_n", "usable")
+    s = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_acctbal") / 100).alias("z_lo"), (F.col("s_acctbal") / 100 + 40).alias("z_hi"))
+    return features.overlap(features.repeat_pairs(s, ["s_nationkey"], "s_suppkey", ["z_lo", "z_hi"]), ["z"], 4, 2.0).select("first", "second", "z_lo", "z_hi", "z_n", "usable")
 
 
 query(

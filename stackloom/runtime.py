@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 #: Rows and bytes of an Arrow batch, where the application did not set them: texts may be long.
@@ -69,6 +70,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt_pairs(left: DataFrame, right: DataFrame, on: list[str], to: list[str], shares: int = 16) -> DataFrame:
+    """Inner join of ``on`` with ``to`` where pairs are far more than rows: the right rows of a value are dealt to ``shares`` units, the left ones are
+    copied to each, and the number of partitions is given, as it would else follow from the size of the input."""
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * left.sparkSession.sparkContext.defaultParallelism)
+    whole = lambda d, names: d.where(" AND ".join(f"`{c}` IS NOT NULL" for c in names) or "true")
+    a = whole(left, on).withColumn("unit_", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(n, *on, "unit_")
+    b = whole(right, to).withColumn("unit_to_", F.pmod(F.xxhash64(*right.columns), F.lit(shares)).cast("int")).repartition(n, *to, "unit_to_")
+    equal = F.col("unit_") == F.col("unit_to_")
+    for x, y in zip(on, to, strict=True):
+        equal = equal & (F.col(x) == F.col(y))
+    return a.hint("merge").join(b, equal).drop("unit_", "unit_to_")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

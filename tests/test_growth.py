@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stackloom.operators import features
+from stackloom.operators import features, provenance
 
 
 def points(spark, xyz, groups=0):
@@ -43,3 +44,21 @@ def test_nearest_compares_few_blocks_within_a_wide_radius(spark):
     n = 6 * features.TILE * features.BLOCK
     of = lambda seed: features._blocks(spark.range(n).selectExpr("'' AS k_", "id", f"rand({seed}) AS a", "0D AS b", "0D AS c"), ["a", "b", "c"])
     assert features.block_pairs(of(1), of(9), ["a", "b", "c"], 99.0).count() < 8 * (n / features.BLOCK)
+
+
+def test_pairs_of_one_large_group_are_dealt_over_tasks(spark):
+    """Before, one task made all pairs of a group."""
+    scans = spark.range(400).selectExpr("IF(id < 0, 'b', 'a') AS key", "id", "id * 0.5D AS z")
+    got = features.repeat_pairs(scans, ["key"], "id", ["z"])
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 400 * 399 // 2 and max(sizes) < 0.4 * sum(sizes)
+    assert got.where("z_1 <> first * 0.5 OR z_2 <> second * 0.5 OR key <> 'a'").count() == 0
+
+
+def test_review_flags_name_a_pair_once_without_a_shuffle_of_pairs(spark):
+    scans = spark.createDataFrame([(1, "a", "p"), (2, "a", "q"), (3, None, "q"), (4, "b", None), (4, "b", None)], "scan long, animal string, path string")
+    rows = [(10, "a", "p"), (10, "a", "p"), (11, "a", "q"), (12, None, "q"), (13, "b", "p"), (13, "a", "x"), (13, "c", "p"), (14, "b", None)]
+    got = provenance.review_flags(scans, spark.createDataFrame(rows, "flag_id long, animal string, path string"), ["animal"], "path")
+    want = {(s, f) for s, a, p in [(1, "a", "p"), (2, "a", "q"), (3, None, "q"), (4, "b", None)] for f, b, q in rows if (a and a == b) or (p and p == q)}
+    assert sorted((r["scan"], r["flag_id"]) for r in got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
