@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.operators.gates import reasons, required_keys
-from stackloom.runtime import dealt_pairs, keep
+from stackloom.runtime import dealt_pairs, keep, spread
 
 
 def admission(files: DataFrame, declared: DataFrame, keys: list[str], size: str) -> DataFrame:
@@ -61,17 +61,22 @@ def acquisition_context(scans: DataFrame, declarations: DataFrame, on: str, iden
     ``declarations`` are rows (``on``, document, a JSON object). A document must have the required keys and the constant fields, name the
     scan's identity and source, and its day must follow from its dates. The conflict map is kept.
     """
-    d = scans.join(declarations.select(on, "document"), on, "left")
-    get = lambda k: F.get_json_object("document", f"$.{k}")
-    lacks = required_keys(F.col("document"), required)
+    # each document is parsed once, before the join, so that only its fields move
+    later = list(dict.fromkeys([*identity, source, "acquisition_date", "surgery_date", "post_surgery_day", "source_channel"]))
+    names = list(dict.fromkeys([*const, *later]))
+    get = lambda k: F.col(f"json_{k}")
+    fields = declarations.select(on, "document", F.json_tuple("document", *names).alias(*(f"json_{k}" for k in names)))
     other = F.lit(False)
     for k, v in const.items():
         other = other | ~get(k).eqNullSafe(v)
+    fields = fields.select(on, F.col("document").isNotNull().alias("there_"), required_keys(F.col("document"), required).alias("lacks_"), other.alias("other_"), *map(get, later))
+    d = scans.join(fields, on, "left")
+    lacks, other = F.col("lacks_"), F.col("other_")
     found = conflicts([*((c, get(c), F.col(c)) for c in identity), (source, get(source), F.col(source))])
     day, wrong_day = day_after(F.try_to_date(get("acquisition_date")), F.try_to_date(get("surgery_date")), get("post_surgery_day").try_cast("long"))
     bad_date = F.try_to_date(get("acquisition_date")).isNull() | (get("surgery_date").isNotNull() & F.try_to_date(get("surgery_date")).isNull())
     error = F.when(F.size(lacks) > 0, F.concat(F.lit("lacks "), F.array_join(lacks, ","))).when(other, "unsupported").when(F.size(found) > 0, "conflicts").when(bad_date, "not_a_date").otherwise(wrong_day)
-    there = F.col("document").isNotNull()
+    there = F.coalesce("there_", F.lit(False))
     status = F.when(~there, "metadata_incomplete").when(error.isNull(), "pass").otherwise("fail")
     return d.select(*scans.columns, status.alias("status"), F.when(there, error).alias("error"), F.when(there, found).alias("conflicts"), F.when(there & error.isNull(), day).alias("post_surgery_day"), F.when(there & error.isNull(), get("source_channel").try_cast("int")).alias("declared_channel"))
 
@@ -115,9 +120,10 @@ def upstream_qc(runs: DataFrame, upstream: DataFrame, on: str) -> DataFrame:
 
 def z_of_planes(planes: DataFrame, upstream: DataFrame, header: DataFrame, keys: list[str]) -> DataFrame:
     """Planes (keys, plane) with their z_um: from an upstream table, else from the header's; and ``z_source``. A stack for which neither has one for every plane is an error."""
-    d = planes.join(upstream.select(*keys, "plane", F.col("z_um").alias("up_")), [*keys, "plane"], "left").join(header.select(*keys, "plane", F.col("z_um").alias("head_")), [*keys, "plane"], "left")
+    d = spread(planes, *keys, "plane")
+    d = d.join(upstream.select(*keys, "plane", F.col("z_um").alias("up_")), [*keys, "plane"], "left").join(header.select(*keys, "plane", F.col("z_um").alias("head_")), [*keys, "plane"], "left")
     n = d.groupBy(*keys).agg(F.count("*").alias("n_"), F.count("up_").alias("n_up_"), F.count("head_").alias("n_head_"))
-    d = d.join(n, keys)
+    d = spread(d, *keys, like=planes).join(n, keys)
     lacks = F.raise_error(F.concat(F.lit("no Z of every plane of "), F.concat_ws("/", *keys)))
     return d.select(*keys, "plane", F.when(F.col("n_up_") == F.col("n_"), F.col("up_")).when(F.col("n_head_") == F.col("n_"), F.col("head_")).otherwise(lacks.cast("double")).alias("z_um"), F.when(F.col("n_up_") == F.col("n_"), "upstream").otherwise("header").alias("z_source"))
 
@@ -129,9 +135,13 @@ def in_order_of_z(stacks: DataFrame, keys: list[str], zs: str = "z_um") -> DataF
 
 def superseded(runs: DataFrame) -> DataFrame:
     """Runs (analysis_id, supersedes) with ``superseded_by``, and ``error`` where one supersedes itself or a run that does not exist."""
-    links = runs.where("supersedes is not null").groupBy(F.col("supersedes").alias("old_")).agg(F.min("analysis_id").alias("superseded_by"))
-    known = runs.select(F.col("analysis_id").alias("known_")).distinct()
-    d = runs.join(links, F.col("analysis_id") == F.col("old_"), "left").drop("old_").join(known, F.col("supersedes") == F.col("known_"), "left")
+    # hashed before they are grouped: a scan's share of the rows would be held as a hash table
+    links = spread(runs.where("supersedes is not null"), "supersedes", like=runs).groupBy(F.col("supersedes").alias("old_")).agg(F.min("analysis_id").alias("superseded_by"))
+    known = spread(runs.select(F.col("analysis_id").alias("known_")), "known_", like=runs).distinct()
+    # a run that supersedes nothing looks for itself: nulls would all meet in one task
+    looked = F.coalesce("supersedes", "analysis_id")
+    d = spread(runs, "analysis_id").join(links, F.col("analysis_id") == F.col("old_"), "left").drop("old_").withColumn("looked_", looked)
+    d = spread(d, "looked_", like=runs).join(known, F.col("looked_") == F.col("known_"), "left").drop("looked_")
     why = F.when(F.col("supersedes") == F.col("analysis_id"), "itself").when(F.col("supersedes").isNotNull() & F.col("known_").isNull(), "unknown")
     return d.withColumn("error", why).drop("known_")
 
@@ -140,23 +150,32 @@ def chains(runs: DataFrame) -> DataFrame:
     """analysis_id, head, steps, cycle of every run (analysis_id, supersedes): the run that replaces it in the end, and how many replacements that takes.
 
     A run replaced by several goes on with the one of the smallest id. Where replacements lead into a circle there is no head, and ``cycle`` is the smallest id of
-    that circle. Pointers are doubled, so a chain of n runs takes log2(n) joins; a run that supersedes one that is not there, or itself, replaces nothing.
+    that circle. Pointers are doubled, so a chain or circle of n runs takes about log2(n) joins; a run that supersedes one that is not there, or itself, replaces nothing.
     """
     known = runs.select("analysis_id").distinct()
     after = runs.where("supersedes is not null AND supersedes <> analysis_id").groupBy(F.col("supersedes").alias("analysis_id")).agg(F.min("analysis_id").alias("to"))
     d = known.join(after, "analysis_id", "left")
-    d = keep(d.select("analysis_id", F.coalesce("to", "analysis_id").alias("to"), F.col("to").isNotNull().cast("long").alias("steps"), F.least("analysis_id", F.coalesce("to", "analysis_id")).alias("low"), F.col("to").isNull().alias("done")))
-    reach, left = 1, d.where("not done").count()
-    while left:
-        ahead = d.select(F.col("analysis_id").alias("at_"), F.col("to").alias("to_"), F.col("steps").alias("steps_"), F.col("low").alias("low_"), F.col("done").alias("done_"))
-        open_ = d.where("not done").join(ahead, F.col("to") == F.col("at_"))
-        open_ = open_.select("analysis_id", F.col("to_").alias("to"), (F.col("steps") + F.col("steps_")).alias("steps"), F.least("low", "low_").alias("low"), F.col("done_").alias("done"))
-        d = keep(d.where("done").unionByName(open_))
-        reach, before, left = 2 * reach, left, d.where("not done").count()
-        if left == before and reach >= left:  # a chain would have shortened, so all that is left leads into circles, and has come to them
+    d = keep(d.select("analysis_id", F.coalesce("to", "analysis_id").alias("to"), F.col("to").isNotNull().cast("long").alias("steps"), F.least("analysis_id", F.coalesce("to", "analysis_id")).alias("low"), F.col("to").isNull().alias("done"), F.lit(True).alias("lower")))
+    ended, before, ends_before = d.where("done"), None, None
+    while True:
+        open_ = d.where("not done")
+        left, lower = open_.agg(F.count("*"), F.count_if("lower")).first()
+        if left == 0:
             break
-    circle = d.where("not done").select(F.col("analysis_id").alias("at_"), F.col("low").alias("cycle"))
-    return d.join(circle, ~F.col("done") & (F.col("to") == F.col("at_")), "left").select("analysis_id", F.when(F.col("done"), F.col("to")).alias("head"), F.when(F.col("done"), F.col("steps")).alias("steps"), "cycle")
+        if left == before and not lower:
+            # a chain would have shortened, so all that is left leads into circles; no pointer leads to a smaller id than it has passed, so
+            # circles are passed whole; and where a further doubling leaves as many ends, these are in circles
+            ends = open_.agg(F.count_distinct("to")).first()[0]
+            if ends in (left, ends_before):
+                break
+            ends_before = ends
+        ahead = ended.drop("lower").unionByName(open_.drop("lower")).withColumnsRenamed({"analysis_id": "at_", "to": "to_", "steps": "steps_", "low": "low_", "done": "done_"})
+        d = keep(open_.join(ahead, F.col("to") == F.col("at_")).select("analysis_id", F.col("to_").alias("to"), (F.col("steps") + F.col("steps_")).alias("steps"), F.least("low", "low_").alias("low"), F.col("done_").alias("done"), (F.col("low_") < F.col("low")).alias("lower")))
+        ended, before = ended.unionByName(d.where("done")), left
+    circle = open_.select(F.col("analysis_id").alias("at_"), F.col("low").alias("cycle"))
+    none = lambda c: F.lit(None).cast(d.schema[c].dataType)
+    in_circles = open_.join(circle, F.col("to") == F.col("at_"), "left").select("analysis_id", none("to").alias("head"), none("steps").alias("steps"), "cycle")
+    return ended.select("analysis_id", F.col("to").alias("head"), "steps", none("low").alias("cycle")).unionByName(in_circles)
 
 
 def review_flags(scans: DataFrame, flags: DataFrame, identity: list[str], path: str) -> DataFrame:

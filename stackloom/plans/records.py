@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import scalar
 from stackloom.operators import gates, provenance, recon, saturation, volume
 from stackloom.plans.catalogue import Tables, query
+from stackloom.runtime import spread
 
 
 def _text(*parts: Column | str) -> Column:
@@ -99,7 +100,7 @@ query("upstream_qc", "SELECT l_orderkey, upstream_status, CASE WHEN o_orderkey I
 
 
 def _z_of_planes(t: Tables) -> DataFrame:
-    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("long").alias("plane")).distinct()
+    lines = spread(t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("long").alias("plane")), "l_orderkey", "plane").distinct()
     upstream = lines.where("l_orderkey % 3 <> 0 AND (l_orderkey % 4 <> 0 OR plane > 1)").withColumn("z_um", F.col("plane") * F.lit(2.0))
     return provenance.z_of_planes(lines, upstream, lines.withColumn("z_um", F.col("plane") + F.lit(0.5)), ["l_orderkey"])
 

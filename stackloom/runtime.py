@@ -83,6 +83,12 @@ def dealt_pairs(left: DataFrame, right: DataFrame, on: list[str], to: list[str],
     return a.hint("merge").join(b, equal).drop("unit_", "unit_to_")
 
 
+def spread(df: DataFrame, *by: str, like: DataFrame | None = None, rows: int = 250_000) -> DataFrame:
+    """Rows by hash of columns, in partitions of about ``rows`` of ``like``, or of itself: Spark would merge partitions by their compressed bytes, and a task's memory would grow with the input."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(df if like is None else like).count() // rows))
+    return df.repartition(n, *by)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -62,3 +62,29 @@ def test_review_flags_name_a_pair_once_without_a_shuffle_of_pairs(spark):
     want = {(s, f) for s, a, p in [(1, "a", "p"), (2, "a", "q"), (3, None, "q"), (4, "b", None)] for f, b, q in rows if (a and a == b) or (p and p == q)}
     assert sorted((r["scan"], r["flag_id"]) for r in got.collect()) == sorted(want)
     assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_runs_that_supersede_nothing_do_not_meet_in_one_task(spark):
+    """Before, the rows without a link were joined by null, in one partition."""
+    runs = spark.range(4000).selectExpr("id AS analysis_id", "IF(id % 100 = 1, id - 1, NULL) AS supersedes")
+    got = provenance.superseded(runs)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 0.5 * 4000
+    assert got.where("error IS NOT NULL").count() == 0 and got.where("superseded_by = analysis_id + 1").count() == 40
+
+
+def test_circles_of_runs_take_few_joins(spark, monkeypatch):
+    """Before, doubling went on until pointers could pass as many runs as there are in all circles."""
+    made = []
+    monkeypatch.setattr(provenance, "keep", lambda d: made.append(1) or d.localCheckpoint())
+    runs = spark.range(4096).selectExpr("id AS analysis_id", "IF(id % 4 = 0, id + 3, id - 1) AS supersedes")
+    got = provenance.chains(runs)
+    assert got.where("head IS NULL AND cycle = analysis_id - analysis_id % 4").count() == 4096 and len(made) <= 6
+
+
+def test_duplicate_fields_of_a_document_are_read_once_and_the_last_counts(spark):
+    """As a JSON reader of the reference does; before, the first one counted."""
+    scans = spark.createDataFrame([("f", "A-1", "s")], "folder string, animal_id string, source_tiff string")
+    doc = '{"v": "1", "animal_id": "A-2", "animal_id": "A-1", "source_tiff": "s", "acquisition_date": "1995-01-02"}'
+    got = provenance.acquisition_context(scans, spark.createDataFrame([("f", doc)], "folder string, document string"), "folder", ["animal_id"], "source_tiff", ("v",), {"v": "1"})
+    assert [r["status"] for r in got.collect()] == ["pass"]
